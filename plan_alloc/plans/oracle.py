@@ -109,4 +109,42 @@ def group_summary_sql(decimals: int = 0, target: str = "macro_target_qty") -> st
     )
 
 
+def integrity_ctes(tolerance: float, target: str = "macro_target_qty") -> list[tuple[str, str]]:
+    """group_checks over ``rounded``; unmatched groups from ``macro``/``totals``."""
+    return [
+        (
+            "group_checks",
+            f"SELECT *, {target} - final_allocated_total AS allocation_gap, "
+            f"{target} = final_allocated_total AS exact_match, "
+            f"abs({target} - final_allocated_total) AS absolute_gap, "
+            f"abs({target} - final_allocated_total) <= {tolerance!r} AS within_tolerance "
+            f"FROM (SELECT {KEYS}, MAX({target}) AS {target}, {exact_sum('final_allocated_qty')} "
+            f"AS final_allocated_total, COUNT(*) AS row_count FROM rounded GROUP BY {KEYS}) x",
+        ),
+        (
+            "unmatched_macro",
+            f"SELECT DISTINCT {KEYS} FROM macro m WHERE NOT EXISTS (SELECT 1 FROM totals t "
+            "WHERE t.period = m.period AND t.market = m.market AND t.channel = m.channel)",
+        ),
+        (
+            "unmatched_granular",
+            f"SELECT {KEYS} FROM totals t WHERE NOT EXISTS (SELECT 1 FROM macro m "
+            "WHERE t.period = m.period AND t.market = m.market AND t.channel = m.channel)",
+        ),
+    ]
+
+
+def integrity_summary_sql(allow_negative: bool) -> str:
+    neg = "FALSE" if allow_negative else "negative_allocation_count > 0"
+    return (
+        "SELECT *, NOT (groups_with_gap_count > 0 OR " + neg + " OR unmatched_macro_group_count > 0 "
+        "OR unmatched_granular_group_count > 0) AS is_valid FROM (SELECT "
+        "(SELECT COUNT(*) FROM group_checks) AS validated_group_count, "
+        "(SELECT COUNT(*) FROM group_checks WHERE NOT within_tolerance) AS groups_with_gap_count, "
+        "(SELECT COUNT(*) FROM rounded WHERE final_allocated_qty < 0) AS negative_allocation_count, "
+        "(SELECT COUNT(*) FROM unmatched_macro) AS unmatched_macro_group_count, "
+        "(SELECT COUNT(*) FROM unmatched_granular) AS unmatched_granular_group_count) s"
+    )
+
+
 __all__ = ["allocation_ctes", "exact_sum", "group_summary_sql", "market_totals_sql", "with_ctes", "KEYS"]

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plan_alloc.operators import allocate as A
+from plan_alloc.operators import integrity as I
 from plan_alloc.plans import oracle as O
 from plan_alloc.sources.cube import Cube, granular_cube, macro_cube
 from plan_alloc.spec import AllocSpec
@@ -16,6 +17,9 @@ from plan_alloc.spec import AllocSpec
 Query = Callable[[SparkSession, str], DataFrame]
 
 CORE = Cube()  # market = region, channel = order priority
+NATION = Cube(market="nation")  # finer markets: groups on one side only
+ZERO = Cube(market="nation", returned_only=True)  # baseline = returned lines only: zero groups
+NET = Cube(market="nation", net_of_returns=True)  # returns count negative: negative rows
 
 
 def _units_inputs(spark: SparkSession, sf_dir: str, cube: Cube = CORE) -> tuple[DataFrame, DataFrame]:
@@ -61,6 +65,51 @@ def q_rnd_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark, sf_dir, AllocSpec()).group_summary
 
 
+# ---- zero baselines and unmatched groups ---------------------------------
+def q_alloc_zero_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    granular, _ = _units_inputs(spark, sf_dir, ZERO)
+    return A.calculate_weights(granular, AllocSpec()).zero_groups
+
+
+def q_alloc_equal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    granular, _ = _units_inputs(spark, sf_dir, ZERO)
+    return A.calculate_weights(granular, AllocSpec(zero_baseline="equal_split")).weights
+
+
+def _nation_redistribution(spark: SparkSession, sf_dir: str, cube: Cube, spec: AllocSpec) -> A.Redistribution:
+    granular, macro = _units_inputs(spark, sf_dir, cube)
+    weights = A.calculate_weights(granular, spec)
+    return A.redistribute(macro, weights.weights, spec, granular_groups=weights.totals)
+
+
+def q_alloc_unmatched_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_redistribution(spark, sf_dir, NATION, AllocSpec()).unmatched_macro
+
+
+def q_alloc_unmatched_granular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_redistribution(spark, sf_dir, NATION, AllocSpec()).unmatched_granular
+
+
+# ---- integrity ------------------------------------------------------------
+def _net_integrity(spark: SparkSession, sf_dir: str) -> I.Integrity:
+    spec = AllocSpec(zero_baseline="equal_split", allow_negative=True)
+    red = _nation_redistribution(spark, sf_dir, NET, spec)
+    rounded = A.apply_rounding(red.allocations, spec).allocations
+    return I.validate_integrity(rounded, red.unmatched_macro, red.unmatched_granular, spec)
+
+
+def q_int_group_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _net_integrity(spark, sf_dir).group_checks
+
+
+def q_int_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _net_integrity(spark, sf_dir).negative_allocations
+
+
+def q_int_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _net_integrity(spark, sf_dir).summary
+
+
 QUERIES: dict[str, Query] = {
     "alloc_weights": q_alloc_weights,
     "alloc_redistribute": q_alloc_redistribute,
@@ -68,6 +117,13 @@ QUERIES: dict[str, Query] = {
     "rnd_apportion_decimal2": q_rnd_apportion_decimal2,
     "rnd_apportion_bucketed": q_rnd_apportion_bucketed,
     "rnd_group_summary": q_rnd_group_summary,
+    "alloc_zero_groups": q_alloc_zero_groups,
+    "alloc_equal_split": q_alloc_equal_split,
+    "alloc_unmatched_macro": q_alloc_unmatched_macro,
+    "alloc_unmatched_granular": q_alloc_unmatched_granular,
+    "int_group_checks": q_int_group_checks,
+    "int_negative": q_int_negative,
+    "int_summary": q_int_summary,
 }
 
 
@@ -75,7 +131,7 @@ def _oracle() -> dict[str, str]:
     core = O.allocation_ctes()
     dec2 = O.allocation_ctes(decimals=2)
     rounded_cols = "*"
-    return {
+    out = {
         "alloc_weights": O.with_ctes(core[:4], "SELECT * FROM weighted"),
         "alloc_redistribute": O.with_ctes(core[:5], "SELECT * FROM alloc"),
         "rnd_apportion_integer": O.with_ctes(core, f"SELECT {rounded_cols} FROM rounded"),
@@ -83,6 +139,25 @@ def _oracle() -> dict[str, str]:
         "rnd_apportion_bucketed": O.with_ctes(core, f"SELECT {rounded_cols} FROM rounded"),
         "rnd_group_summary": O.with_ctes(core[:6], O.group_summary_sql()),
     }
+    zero = O.allocation_ctes(cube=ZERO)
+    zero_eq = O.allocation_ctes(cube=ZERO, zero_baseline="equal_split")
+    nation = O.allocation_ctes(cube=NATION)
+    net = O.allocation_ctes(cube=NET, zero_baseline="equal_split")
+    out["alloc_zero_groups"] = O.with_ctes(zero[:3], f"SELECT {O.KEYS} FROM totals WHERE group_baseline_qty = 0")
+    out["alloc_equal_split"] = O.with_ctes(zero_eq[:4], "SELECT * FROM weighted")
+    out["alloc_unmatched_macro"] = O.with_ctes(
+        nation[:3], f"SELECT DISTINCT {O.KEYS} FROM macro m WHERE NOT EXISTS "
+        "(SELECT 1 FROM totals t WHERE t.period = m.period AND t.market = m.market AND t.channel = m.channel)"
+    )
+    out["alloc_unmatched_granular"] = O.with_ctes(
+        nation[:3], f"SELECT {O.KEYS} FROM totals t WHERE NOT EXISTS "
+        "(SELECT 1 FROM macro m WHERE t.period = m.period AND t.market = m.market AND t.channel = m.channel)"
+    )
+    int_ctes = net + O.integrity_ctes(tolerance=AllocSpec().tolerance + 1e-9)
+    out["int_group_checks"] = O.with_ctes(int_ctes, "SELECT * FROM group_checks")
+    out["int_negative"] = O.with_ctes(net, "SELECT * FROM rounded WHERE final_allocated_qty < 0")
+    out["int_summary"] = O.with_ctes(int_ctes, O.integrity_summary_sql(allow_negative=True))
+    return out
 
 
 ORACLE: dict[str, str] = _oracle()

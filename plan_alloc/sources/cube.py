@@ -35,6 +35,7 @@ class Cube:
     base_year: int = 1997
     brands: tuple[str, ...] | None = None  # keep only parts of these brands
     returned_only: bool = False  # baseline counts only returned lines (zero-baseline groups)
+    net_of_returns: bool = False  # returned lines count negative (negative baselines)
     null_market: str | None = None  # this market value becomes NULL (sentinel tests)
 
 
@@ -79,6 +80,10 @@ def _lines(spark: SparkSession, sf_dir: str, cube: Cube, years: tuple[int, ...])
         returned = F.col("l_returnflag") == F.lit("R")
         qty = F.when(returned, qty).otherwise(F.lit(0.0))
         amount = F.when(returned, amount).otherwise(F.lit(0).cast(AMOUNT))
+    if cube.net_of_returns:
+        returned = F.col("l_returnflag") == F.lit("R")
+        qty = F.when(returned, -qty).otherwise(qty)
+        amount = F.when(returned, -amount).otherwise(amount)
     return rows.select(
         F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period"),
         F.year("o_orderdate").alias("yr"),
@@ -150,6 +155,9 @@ def lines_sql(cube: Cube, years: tuple[int, ...]) -> str:
     if cube.returned_only:
         qty = f"CASE WHEN l.l_returnflag = 'R' THEN {qty} ELSE 0.0 END"
         amount = f"CASE WHEN l.l_returnflag = 'R' THEN {amount} ELSE CAST(0 AS DECIMAL(18,2)) END"
+    if cube.net_of_returns:
+        qty = f"CASE WHEN l.l_returnflag = 'R' THEN -{qty} ELSE {qty} END"
+        amount = f"CASE WHEN l.l_returnflag = 'R' THEN -{amount} ELSE {amount} END"
     return f"""
     SELECT CAST(date_trunc('month', o.o_orderdate) AS DATE) AS period,
            year(o.o_orderdate) AS yr,
