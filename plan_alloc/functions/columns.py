@@ -45,7 +45,7 @@ def period_month(c: Column, dtype: T.DataType) -> Column:
         return F.trunc(c.cast("date"), "month")
     if _is_text(dtype):
         s = strip_ws(c)
-        parsed = F.coalesce(*[F.try_to_date(s, F.lit(p)) for p in PERIOD_PATTERNS])
+        parsed = F.coalesce(*[F.try_to_date(s, p) for p in PERIOD_PATTERNS])
         return F.trunc(parsed, "month")
     return F.lit(None).cast("date")
 

@@ -24,11 +24,16 @@ class Check:
     error: type[AllocError]
     message: str
     violations: DataFrame
+    # When set, ``violations`` is a pre-aggregated frame and this column holds
+    # the number of violating rows (lets several rules share one scan).
+    count_col: str | None = None
 
     def count_frame(self, position: int) -> DataFrame:
-        return self.violations.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(position).alias("pos"), F.col("n")
-        )
+        if self.count_col is None:
+            n = F.count(F.lit(1))
+        else:
+            n = F.coalesce(F.sum(self.count_col), F.lit(0))
+        return self.violations.agg(n.cast("long").alias("n")).select(F.lit(position).alias("pos"), F.col("n"))
 
 
 def violation_counts(checks: list[Check]) -> dict[str, int]:

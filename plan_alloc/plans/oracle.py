@@ -7,7 +7,8 @@ each query only appends its final SELECT.
 
 from __future__ import annotations
 
-from plan_alloc.sources.cube import Cube, granular_sql, macro_sql, market_totals_sql
+from plan_alloc.functions.columns import NUMBER_PATTERN
+from plan_alloc.sources.cube import Cube, granular_sql, macro_sql, market_totals_sql, text_lines_sql
 
 KEYS = "period, market, channel"
 
@@ -147,4 +148,69 @@ def integrity_summary_sql(allow_negative: bool) -> str:
     )
 
 
+STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def annotated_text_ctes(cube: Cube = Cube()) -> list[tuple[str, str]]:
+    """text lines → parsed period/quantity → first reason."""
+    formats = ["%Y-%m", "%Y-%m-%d", "%Y/%m", "%Y/%m/%d", "%d/%m/%Y"]
+    parsed = ", ".join(f"try_strptime(p_s, '{f}')" for f in formats)
+    return [
+        ("t", text_lines_sql(cube)),
+        (
+            "a",
+            f"SELECT *, {STRIP.format(c='period')} AS p_s, {STRIP.format(c='baseline_qty')} AS q_t, "
+            f"replace({STRIP.format(c='baseline_qty')}, ',', '') AS q_s FROM t",
+        ),
+        (
+            "b",
+            f"SELECT *, CAST(date_trunc('month', coalesce({parsed})) AS DATE) AS p_d, "
+            f"CASE WHEN regexp_matches(q_s, '{NUMBER_PATTERN}') AND abs(TRY_CAST(q_s AS DOUBLE)) <> 'inf'::DOUBLE "
+            f"THEN TRY_CAST(q_s AS DOUBLE) END AS q_d FROM a",
+        ),
+        (
+            "c",
+            "SELECT *, CASE WHEN period IS NULL THEN 'period_null' WHEN p_s = '' THEN 'period_empty' "
+            "WHEN p_d IS NULL THEN 'period_invalid' END AS p_reason, "
+            "CASE WHEN baseline_qty IS NULL THEN 'qty_null' WHEN q_t = '' THEN 'qty_empty' "
+            "WHEN q_d IS NULL THEN 'qty_non_numeric' END AS q_reason FROM b",
+        ),
+        ("d", "SELECT *, coalesce(p_reason, q_reason) AS reason FROM c"),
+    ]
+
+
+def standardize_oracle() -> dict[str, str]:
+    ctes = annotated_text_ctes()
+    gkeys = "period, market, channel, client, sku"
+    std = ctes + [
+        (
+            "std",
+            "SELECT p_d AS period, market, channel, client, sku, q_d AS baseline_qty FROM d WHERE reason IS NULL",
+        )
+    ]
+    null_ctes = annotated_text_ctes(Cube(null_market="ASIA"))
+    nulls = ", ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c in gkeys.split(", "))
+    return {
+        "std_period_formats": with_ctes(
+            ctes, "SELECT l_orderkey, l_linenumber, period AS period_text, p_d AS period, p_reason AS reason FROM d"
+        ),
+        "std_quantity_text": with_ctes(
+            ctes, "SELECT l_orderkey, l_linenumber, baseline_qty AS qty_text, q_d AS qty, q_reason AS reason FROM d"
+        ),
+        "std_granular": with_ctes(std, "SELECT * FROM std"),
+        "std_rejects": with_ctes(
+            ctes,
+            "SELECT l_orderkey, l_linenumber, period, market, channel, client, sku, baseline_qty, reason "
+            "FROM d WHERE reason IS NOT NULL",
+        ),
+        "chk_duplicate_keys": with_ctes(
+            std, f"SELECT {gkeys}, COUNT(*) AS row_count FROM std GROUP BY {gkeys} HAVING COUNT(*) > 1"
+        ),
+        "chk_null_profile": with_ctes(
+            null_ctes[:1],
+            f"SELECT 'granular' AS dataset, COUNT(*) AS row_count, CAST(8 AS BIGINT) AS column_count, {nulls} FROM t",
+        ),
+    }
+
+
 __all__ = ["allocation_ctes", "exact_sum", "group_summary_sql", "market_totals_sql", "with_ctes", "KEYS"]

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plan_alloc.operators import allocate as A
 from plan_alloc.operators import integrity as I
+from plan_alloc.operators import standardize as S
+from plan_alloc.functions.columns import period_month, period_reason, quantity_reason, quantity_value
 from plan_alloc.plans import oracle as O
-from plan_alloc.sources.cube import Cube, granular_cube, macro_cube
+from pyspark.sql import functions as F
+
+from plan_alloc.sources.cube import Cube, granular_cube, macro_cube, text_lines
 from plan_alloc.spec import AllocSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +114,50 @@ def q_int_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _net_integrity(spark, sf_dir).summary
 
 
+# ---- standardising --------------------------------------------------------
+def q_std_period_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text_lines(spark, sf_dir)
+    dtype = t.schema["period"].dataType
+    return t.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("period").alias("period_text"),
+        period_month(F.col("period"), dtype).alias("period"),
+        period_reason(F.col("period"), dtype).alias("reason"),
+    )
+
+
+def q_std_quantity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text_lines(spark, sf_dir)
+    dtype = t.schema["baseline_qty"].dataType
+    return t.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("baseline_qty").alias("qty_text"),
+        quantity_value(F.col("baseline_qty"), dtype).alias("qty"),
+        quantity_reason(F.col("baseline_qty"), dtype).alias("reason"),
+    )
+
+
+def q_std_granular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.standardize_granular(text_lines(spark, sf_dir), AllocSpec()).table
+
+
+def q_std_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.standardize_granular(text_lines(spark, sf_dir), AllocSpec()).rejects
+
+
+def q_chk_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = AllocSpec()
+    table = S.standardize_granular(text_lines(spark, sf_dir), spec).table
+    return S.duplicate_keys(table, spec.granular_keys)
+
+
+def q_chk_null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = AllocSpec()
+    return S.standardize_granular(text_lines(spark, sf_dir, Cube(null_market="ASIA")), spec).profile
+
+
 QUERIES: dict[str, Query] = {
     "alloc_weights": q_alloc_weights,
     "alloc_redistribute": q_alloc_redistribute,
@@ -124,6 +172,12 @@ QUERIES: dict[str, Query] = {
     "int_group_checks": q_int_group_checks,
     "int_negative": q_int_negative,
     "int_summary": q_int_summary,
+    "std_period_formats": q_std_period_formats,
+    "std_quantity_text": q_std_quantity_text,
+    "std_granular": q_std_granular,
+    "std_rejects": q_std_rejects,
+    "chk_duplicate_keys": q_chk_duplicate_keys,
+    "chk_null_profile": q_chk_null_profile,
 }
 
 
@@ -157,6 +211,7 @@ def _oracle() -> dict[str, str]:
     out["int_group_checks"] = O.with_ctes(int_ctes, "SELECT * FROM group_checks")
     out["int_negative"] = O.with_ctes(net, "SELECT * FROM rounded WHERE final_allocated_qty < 0")
     out["int_summary"] = O.with_ctes(int_ctes, O.integrity_summary_sql(allow_negative=True))
+    out.update(O.standardize_oracle())
     return out
 
 

@@ -136,6 +136,91 @@ def market_totals(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> Data
     )
 
 
+# How the text table spells periods, by (orderkey + linenumber) % 7
+# (0-4: the five accepted formats; 5: accepted format wrapped in whitespace;
+# 6: month 13, unreadable), and quantities, by line number (1: thousands
+# separator, 2: blanks, 3: letters, 4: plain number, 5: NaN, 6: type suffix,
+# 7: missing).
+PERIOD_TEXT_FORMATS = ("yyyy-MM", "yyyy-MM-dd", "yyyy/MM", "yyyy/MM/dd", "dd/MM/yyyy")
+PERIOD_TEXT_STRFTIME = ("%Y-%m", "%Y-%m-%d", "%Y/%m", "%Y/%m/%d", "%d/%m/%Y")
+
+
+def text_lines(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
+    """Every order line as an untyped upload would carry it: period and
+    quantity as text in several spellings (the standardising inputs).
+
+    l_orderkey, l_linenumber, period, market, channel, client, sku, baseline_qty
+    """
+    lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    rows = (
+        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    )
+    market = F.col("r_name") if cube.market == "region" else F.col("n_name")
+    if cube.null_market is not None:
+        market = F.when(market != F.lit(cube.null_market), market)
+    channel = F.col("o_orderpriority") if cube.channel == "priority" else F.col("o_orderstatus")
+    d = F.col("o_orderdate")
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 7
+    period = F.when(k == 5, F.concat(F.lit(" \t"), F.date_format(d, "yyyy-MM"), F.lit(" ")))
+    period = period.when(k == 6, F.concat(F.year(d).cast("string"), F.lit("-13")))
+    for i, fmt in enumerate(PERIOD_TEXT_FORMATS):
+        period = period.when(k == i, F.date_format(d, fmt))
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    qty = (
+        F.when(n == 1, F.concat(F.lit("1,0"), F.lpad(q.cast("int").cast("string"), 2, "0"), F.lit(".5")))
+        .when(n == 2, F.lit("   "))
+        .when(n == 3, F.lit("abc"))
+        .when(n == 4, q.cast("string"))
+        .when(n == 5, F.lit("NaN"))
+        .when(n == 6, F.lit("1.0d"))
+    )
+    return rows.select(
+        "l_orderkey",
+        "l_linenumber",
+        period.alias("period"),
+        market.alias("market"),
+        channel.alias("channel"),
+        F.col("c_mktsegment").alias("client"),
+        F.col("l_partkey").cast("string").alias("sku"),
+        qty.alias("baseline_qty"),
+    )
+
+
+def text_lines_sql(cube: Cube = Cube()) -> str:
+    market = "r.r_name" if cube.market == "region" else "n.n_name"
+    if cube.null_market is not None:
+        market = f"NULLIF({market}, '{cube.null_market}')"
+    channel = "o.o_orderpriority" if cube.channel == "priority" else "o.o_orderstatus"
+    k = "((l.l_orderkey + l.l_linenumber) % 7)"
+    whens = " ".join(f"WHEN {k} = {i} THEN strftime(o.o_orderdate, '{f}')" for i, f in enumerate(PERIOD_TEXT_STRFTIME))
+    return f"""
+    SELECT l.l_orderkey, l.l_linenumber,
+           CASE {whens}
+                WHEN {k} = 5 THEN ' ' || chr(9) || strftime(o.o_orderdate, '%Y-%m') || ' '
+                WHEN {k} = 6 THEN CAST(year(o.o_orderdate) AS VARCHAR) || '-13' END AS period,
+           {market} AS market, {channel} AS channel, c.c_mktsegment AS client,
+           CAST(l.l_partkey AS VARCHAR) AS sku,
+           CASE l.l_linenumber
+                WHEN 1 THEN '1,0' || lpad(CAST(CAST(l.l_quantity AS INTEGER) AS VARCHAR), 2, '0') || '.5'
+                WHEN 2 THEN '   '
+                WHEN 3 THEN 'abc'
+                WHEN 4 THEN CAST(l.l_quantity AS VARCHAR)
+                WHEN 5 THEN 'NaN'
+                WHEN 6 THEN '1.0d' END AS baseline_qty
+    FROM lineitem l
+    JOIN orders o ON l.l_orderkey = o.o_orderkey
+    JOIN customer c ON o.o_custkey = c.c_custkey
+    JOIN nation n ON c.c_nationkey = n.n_nationkey
+    JOIN region r ON n.n_regionkey = r.r_regionkey"""
+
+
 # --------------------------------------------------------------------------
 # DuckDB twins (CTE bodies)
 # --------------------------------------------------------------------------
