@@ -108,14 +108,15 @@ def _standardize(
     dataset: str,
     key_columns: tuple[str, ...],
     qty_col: str,
+    carry: tuple[str, ...] = (),
 ) -> Standardized:
-    check_columns(df, (*key_columns, qty_col), dataset)
+    check_columns(df, (*key_columns, qty_col, *carry), dataset)
     annotated = annotate(df, spec, qty_col)
     period = spec.columns.period
     canonical = [
         (F.col("_period").alias(period) if c == period and period in spec.group_keys else F.col(c))
         for c in key_columns
-    ] + [F.col("_qty").alias(qty_col)]
+    ] + [F.col("_qty").alias(qty_col)] + [F.col(c) for c in carry]
     table = annotated.filter(F.col(REASON).isNull()).select(*canonical)
     rejects = annotated.filter(F.col(REASON).isNotNull()).select(*df.columns, REASON)
     profile = null_profile(df, key_columns, dataset)
@@ -151,11 +152,13 @@ def _standardize(
     return Standardized(table=table, rejects=rejects, profile=profile, checks=checks)
 
 
-def standardize_macro(df: DataFrame, spec: AllocSpec) -> Standardized:
-    """``std_macro``: one target per control group, period as first of month."""
-    return _standardize(df, spec, "macro", tuple(spec.group_keys), spec.columns.target)
+def standardize_macro(df: DataFrame, spec: AllocSpec, carry: tuple[str, ...] = ()) -> Standardized:
+    """``std_macro``: one target per control group, period as first of month.
+    ``carry``: extra columns passed through unchanged."""
+    return _standardize(df, spec, "macro", tuple(spec.group_keys), spec.columns.target, carry)
 
 
-def standardize_granular(df: DataFrame, spec: AllocSpec) -> Standardized:
-    """``std_granular``: one baseline per group, client and sku."""
-    return _standardize(df, spec, "granular", spec.granular_keys, spec.columns.baseline)
+def standardize_granular(df: DataFrame, spec: AllocSpec, carry: tuple[str, ...] = ()) -> Standardized:
+    """``std_granular``: one baseline per group, client and sku.
+    ``carry``: extra columns passed through unchanged."""
+    return _standardize(df, spec, "granular", spec.granular_keys, spec.columns.baseline, carry)

@@ -22,8 +22,14 @@ def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
     return f"WITH {body}\n{final}"
 
 
+def to_exact(col: str) -> str:
+    """DOUBLE → DECIMAL(28,9) rounding the shortest decimal text of the double
+    half-up (what Spark's cast does); a direct DuckDB cast rounds ``x * 1e9``."""
+    return f"CAST(CAST({col} AS VARCHAR) AS DECIMAL(28,9))"
+
+
 def exact_sum(col: str) -> str:
-    return f"COALESCE(CAST(SUM(CAST({col} AS DECIMAL(28,9))) AS DOUBLE), 0.0)"
+    return f"COALESCE(CAST(SUM({to_exact(col)}) AS DOUBLE), 0.0)"
 
 
 def allocation_ctes(
@@ -213,4 +219,230 @@ def standardize_oracle() -> dict[str, str]:
     }
 
 
-__all__ = ["allocation_ctes", "exact_sum", "group_summary_sql", "market_totals_sql", "with_ctes", "KEYS"]
+__all__ = ["allocation_ctes", "exact_sum", "granular_sql", "group_summary_sql", "macro_sql", "market_totals_sql", "with_ctes", "KEYS"]
+
+
+# --------------------------------------------------------------------------
+# planning layer and two-metric outputs
+# --------------------------------------------------------------------------
+SENTINEL = "'[NULL_MERCADO]'"
+ROW_KEYS = "period, market, channel, client, sku"
+
+
+def wsum(expr: str, part: str = "yr, market, channel") -> str:
+    return f"COALESCE(CAST(SUM({to_exact(expr)}) OVER (PARTITION BY {part}) AS DOUBLE), 0.0)"
+
+
+def reference_ctes(cube: Cube) -> list[tuple[str, str]]:
+    return [
+        ("granular", granular_sql(cube)),
+        (
+            "ref",
+            f"SELECT period, COALESCE(market, {SENTINEL}) AS market, channel, client, sku, "
+            "CAST(baseline_qty AS DOUBLE) AS baseline_qty, CAST(baseline_value AS DOUBLE) AS baseline_value, "
+            "CASE WHEN baseline_qty > 0 THEN baseline_value / baseline_qty END AS unit_price FROM granular",
+        ),
+    ]
+
+
+def direct_target_ctes(cube: Cube) -> list[tuple[str, str]]:
+    return [
+        ("macro", macro_sql(cube)),
+        (
+            "targets",
+            f"SELECT DISTINCT period, COALESCE(market, {SENTINEL}) AS market, channel, "
+            "CAST(macro_target_qty AS DOUBLE) AS macro_target_qty, "
+            "CAST(macro_target_value AS DOUBLE) AS macro_target_value FROM macro",
+        ),
+    ]
+
+
+def lock_template_sql(basis: str, months: tuple[str, ...]) -> str:
+    metric = "baseline_qty" if basis == "units" else "baseline_value"
+    inlist = ", ".join(f"DATE '{m}'" for m in months)
+    return (
+        f"SELECT {KEYS}, TRUE AS is_locked, {exact_sum(metric)} AS locked_target "
+        f"FROM ref WHERE period IN ({inlist}) GROUP BY {KEYS}"
+    )
+
+
+def share_target_ctes(cube: Cube, basis: str, share: float, months: tuple[str, ...]) -> list[tuple[str, str]]:
+    """ref → market totals ⟕ monthly granular ⟕ locks → annual windows → targets."""
+    driver = "total_market_qty" if basis == "units" else "total_market_value"
+    source = "baseline_qty" if basis == "units" else "baseline_value"
+    if basis == "units":
+        tq = "driver_target"
+        tv = "CASE WHEN mup IS NOT NULL AND mup > 0 THEN driver_target * mup END"
+    else:
+        tv = "driver_target"
+        tq = "CASE WHEN mup IS NOT NULL AND mup > 0 THEN driver_target / mup END"
+    return reference_ctes(cube) + [
+        ("mt", market_totals_sql(cube)),
+        ("monthly", f"SELECT {KEYS}, {exact_sum(source)} AS glt FROM ref GROUP BY {KEYS}"),
+        ("locks", f"SELECT DISTINCT * FROM ({lock_template_sql(basis, months)}) lt" if months else
+         "SELECT NULL::DATE AS period, NULL AS market, NULL AS channel, NULL::BOOLEAN AS is_locked, "
+         "NULL::DOUBLE AS locked_target WHERE FALSE"),
+        (
+            "sw",
+            f"SELECT m.period, m.market, m.channel, m.total_market_qty, m.total_market_value, "
+            f"year(m.period) AS yr, mo.glt, COALESCE(l.is_locked, FALSE) AS is_locked, l.locked_target "
+            f"FROM (SELECT period, COALESCE(market, {SENTINEL}) AS market, channel, "
+            f"CAST(total_market_qty AS DOUBLE) AS total_market_qty, "
+            f"CAST(total_market_value AS DOUBLE) AS total_market_value FROM mt) m "
+            f"LEFT JOIN monthly mo {_using()} LEFT JOIN locks l {_using()}",
+        ),
+        (
+            "sx",
+            f"SELECT *, CASE WHEN total_market_qty IS NOT NULL AND total_market_value IS NOT NULL "
+            f"AND total_market_qty > 0 THEN total_market_value / total_market_qty END AS mup, "
+            f"{wsum(driver)} * CAST({share!r} AS DOUBLE) AS annual, "
+            f"CASE WHEN is_locked THEN COALESCE(locked_target, glt) END AS eff FROM sw",
+        ),
+        (
+            "sy",
+            f"SELECT *, {wsum('COALESCE(eff, 0.0)')} AS locked_total, "
+            f"{wsum(f'CASE WHEN NOT is_locked THEN {driver} ELSE 0.0 END')} AS unlocked_w FROM sx",
+        ),
+        (
+            "sz",
+            f"SELECT *, annual - locked_total AS remaining, "
+            f"CASE WHEN is_locked THEN eff ELSE (CASE WHEN (unlocked_w) > 0 "
+            f"THEN (annual - locked_total) * {driver} / unlocked_w ELSE 0.0 END) END AS driver_target FROM sy",
+        ),
+        (
+            "targets",
+            f"SELECT DISTINCT {KEYS}, CAST({tq} AS DOUBLE) AS macro_target_qty, "
+            f"CAST({tv} AS DOUBLE) AS macro_target_value FROM sz",
+        ),
+    ]
+
+
+def share_violations_sql() -> str:
+    return (
+        f"SELECT 'lock_without_source' AS rule, {KEYS} FROM sz WHERE is_locked AND eff IS NULL "
+        f"UNION ALL SELECT 'lock_exceeds_annual', {KEYS} FROM sz WHERE remaining < -1e-9 "
+        f"UNION ALL SELECT 'no_unlocked_weight', {KEYS} FROM sz "
+        f"WHERE NOT is_locked AND remaining > 1e-9 AND unlocked_w <= 0"
+    )
+
+
+def dual_ctes(basis: str, decimals: int = 0) -> list[tuple[str, str]]:
+    """After ``ref`` and ``targets``: engine inputs → allocation → both metrics."""
+    drive_t = "macro_target_qty" if basis == "units" else "macro_target_value"
+    drive_b = "baseline_qty" if basis == "units" else "baseline_value"
+    priced = "f.unit_price IS NOT NULL AND f.unit_price > 0"
+    if basis == "units":
+        metrics = (
+            "r.baseline_qty, f.baseline_value, f.unit_price, r.weight, m.macro_target_qty, m.macro_target_value, "
+            + ", ".join(
+                f"r.{s}_allocated_qty, CASE WHEN {priced} THEN r.{s}_allocated_qty * f.unit_price END "
+                f"AS {s}_allocated_value"
+                for s in ("raw", "rounded", "final")
+            )
+        )
+    else:
+        metrics = (
+            "f.baseline_qty, r.baseline_qty AS baseline_value, f.unit_price, r.weight, m.macro_target_qty, "
+            "m.macro_target_value, "
+            + ", ".join(
+                f"CASE WHEN {priced} THEN r.{s}_allocated_qty / f.unit_price END AS {s}_allocated_qty, "
+                f"r.{s}_allocated_qty AS {s}_allocated_value"
+                for s in ("raw", "rounded", "final")
+            )
+        )
+    ctes = [
+        ("engine_macro", f"SELECT {KEYS}, {drive_t} AS macro_target_qty FROM targets"),
+        (
+            "engine_granular",
+            f"SELECT {ROW_KEYS}, {drive_b} AS baseline_qty FROM ref "
+            f"WHERE ({KEYS}) IN (SELECT ({KEYS}) FROM engine_macro)",
+        ),
+    ]
+    ctes += allocation_ctes(
+        decimals=decimals, granular_name="engine_granular", macro_name="engine_macro", include_inputs=False
+    )
+    ctes += [
+        ("valid", f"SELECT DISTINCT {KEYS} FROM rounded"),
+        (
+            "macro_ref",
+            f"SELECT DISTINCT {KEYS}, macro_target_qty, macro_target_value FROM targets "
+            f"WHERE ({KEYS}) IN (SELECT ({KEYS}) FROM valid)",
+        ),
+        (
+            "final_allocations",
+            f"SELECT r.period, r.market, r.channel, r.client, r.sku, {metrics} FROM rounded r "
+            f"LEFT JOIN ref f ON f.period = r.period AND f.market = r.market AND f.channel = r.channel "
+            f"AND f.client = r.client AND f.sku = r.sku "
+            f"LEFT JOIN macro_ref m ON m.period = r.period AND m.market = r.market AND m.channel = r.channel",
+        ),
+    ]
+    return ctes
+
+
+def dual_group_sql() -> str:
+    return (
+        "SELECT *, final_allocated_group_qty - baseline_group_qty AS group_delta_qty, "
+        "final_allocated_group_value - baseline_group_value AS group_delta_value, "
+        "CASE WHEN baseline_group_qty <> 0 THEN (final_allocated_group_qty - baseline_group_qty) "
+        "/ baseline_group_qty END AS group_delta_qty_pct, "
+        "CASE WHEN baseline_group_value <> 0 THEN (final_allocated_group_value - baseline_group_value) "
+        "/ baseline_group_value END AS group_delta_value_pct, "
+        "macro_target_qty - final_allocated_group_qty AS final_gap_to_target_qty, "
+        "macro_target_value - final_allocated_group_value AS final_gap_to_target_value "
+        f"FROM (SELECT {KEYS}, MAX(macro_target_qty) AS macro_target_qty, "
+        "MAX(macro_target_value) AS macro_target_value, "
+        f"{exact_sum('baseline_qty')} AS baseline_group_qty, {exact_sum('baseline_value')} AS baseline_group_value, "
+        f"{exact_sum('final_allocated_qty')} AS final_allocated_group_qty, "
+        f"{exact_sum('final_allocated_value')} AS final_allocated_group_value, COUNT(*) AS row_count "
+        f"FROM final_allocations GROUP BY {KEYS}) g"
+    )
+
+
+def dual_sku_sql() -> str:
+    return (
+        f"SELECT a.period, a.market, a.channel, a.client, a.sku, a.baseline_qty, a.baseline_value, a.unit_price, "
+        "a.weight, a.raw_allocated_qty, a.raw_allocated_value, a.rounded_allocated_qty, a.rounded_allocated_value, "
+        "a.final_allocated_qty, a.final_allocated_value, "
+        "CASE WHEN t.fq <> 0 THEN a.final_allocated_qty / t.fq END AS final_weight_qty, "
+        "CASE WHEN t.fv <> 0 THEN a.final_allocated_value / t.fv END AS final_weight_value, "
+        "a.final_allocated_qty - a.baseline_qty AS sku_delta_qty, "
+        "CASE WHEN a.baseline_qty <> 0 THEN (a.final_allocated_qty - a.baseline_qty) / a.baseline_qty END "
+        "AS sku_delta_qty_pct, "
+        "a.final_allocated_value - a.baseline_value AS sku_delta_value, "
+        "CASE WHEN a.baseline_value <> 0 THEN (a.final_allocated_value - a.baseline_value) / a.baseline_value END "
+        "AS sku_delta_value_pct "
+        f"FROM final_allocations a JOIN (SELECT {KEYS}, {exact_sum('final_allocated_qty')} AS fq, "
+        f"{exact_sum('final_allocated_value')} AS fv FROM final_allocations GROUP BY {KEYS}) t "
+        "ON a.period = t.period AND a.market = t.market AND a.channel = t.channel"
+    )
+
+
+def report_group_sql() -> str:
+    return (
+        "SELECT *, final_allocated_group_qty - baseline_group_qty AS group_delta_qty, "
+        "CASE WHEN baseline_group_qty <> 0 THEN (final_allocated_group_qty - baseline_group_qty) "
+        "/ baseline_group_qty END AS group_delta_pct, "
+        "macro_target_qty - final_allocated_group_qty AS final_gap_to_target "
+        f"FROM (SELECT {KEYS}, MAX(macro_target_qty) AS macro_target_qty, "
+        f"{exact_sum('baseline_qty')} AS baseline_group_qty, "
+        f"{exact_sum('raw_allocated_qty')} AS raw_allocated_group_qty, "
+        f"{exact_sum('rounded_allocated_qty')} AS rounded_group_qty, "
+        f"{exact_sum('final_allocated_qty')} AS final_allocated_group_qty, COUNT(*) AS sku_count "
+        f"FROM rounded GROUP BY {KEYS}) g"
+    )
+
+
+def report_sku_sql() -> str:
+    return (
+        "SELECT r.period, r.market, r.channel, r.client, r.sku, r.baseline_qty, r.group_baseline_qty, r.weight, "
+        "r.raw_allocated_qty, r.rounded_allocated_qty, r.final_allocated_qty, "
+        "CASE WHEN r.group_baseline_qty <> 0 THEN r.baseline_qty / r.group_baseline_qty END AS baseline_weight, "
+        "CASE WHEN t.ft <> 0 THEN r.final_allocated_qty / t.ft END AS final_weight, "
+        "r.final_allocated_qty - r.baseline_qty AS sku_delta_qty, "
+        "CASE WHEN r.baseline_qty <> 0 THEN (r.final_allocated_qty - r.baseline_qty) / r.baseline_qty END "
+        "AS sku_delta_pct, "
+        "(CASE WHEN t.ft <> 0 THEN r.final_allocated_qty / t.ft END) - "
+        "(CASE WHEN r.group_baseline_qty <> 0 THEN r.baseline_qty / r.group_baseline_qty END) AS weight_delta "
+        f"FROM rounded r JOIN (SELECT {KEYS}, {exact_sum('final_allocated_qty')} AS ft FROM rounded "
+        f"GROUP BY {KEYS}) t ON r.period = t.period AND r.market = t.market AND r.channel = t.channel"
+    )

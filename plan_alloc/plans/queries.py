@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plan_alloc.operators import allocate as A
 from plan_alloc.operators import integrity as I
+from plan_alloc.operators import reports as R
 from plan_alloc.operators import standardize as S
+from plan_alloc.operators import targets as TG
+from plan_alloc.plans import job as J
 from plan_alloc.functions.columns import period_month, period_reason, quantity_reason, quantity_value
 from plan_alloc.plans import oracle as O
 from pyspark.sql import functions as F
 
-from plan_alloc.sources.cube import Cube, granular_cube, macro_cube, text_lines
+from plan_alloc.sources.cube import Cube, granular_cube, macro_cube, market_totals, text_lines
 from plan_alloc.spec import AllocSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +27,9 @@ CORE = Cube()  # market = region, channel = order priority
 NATION = Cube(market="nation")  # finer markets: groups on one side only
 ZERO = Cube(market="nation", returned_only=True)  # baseline = returned lines only: zero groups
 NET = Cube(market="nation", net_of_returns=True)  # returns count negative: negative rows
+SHARE = Cube(channel="status", brands=("Brand#1", "Brand#2", "Brand#3"))  # a few brands in their market
+LOCKED_MONTHS = ("1997-01-01", "1997-02-01")
+SHARE_OF_MARKET = 0.12
 
 
 def _units_inputs(spark: SparkSession, sf_dir: str, cube: Cube = CORE) -> tuple[DataFrame, DataFrame]:
@@ -158,6 +164,115 @@ def q_chk_null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.standardize_granular(text_lines(spark, sf_dir, Cube(null_market="ASIA")), spec).profile
 
 
+# ---- reports ---------------------------------------------------------------
+def q_rep_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.group_report(_rounded(spark, sf_dir, AllocSpec()).allocations, AllocSpec())
+
+
+def q_rep_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sku_report(_rounded(spark, sf_dir, AllocSpec()).allocations, AllocSpec())
+
+
+# ---- planning layer --------------------------------------------------------
+def q_plan_market_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TG.normalize_market(granular_cube(spark, sf_dir, Cube(null_market="ASIA")))
+
+
+def q_plan_unit_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TG.granular_reference(granular_cube(spark, sf_dir))
+
+
+def q_plan_direct_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TG.direct_targets(macro_cube(spark, sf_dir))
+
+
+def q_plan_lock_template_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TG.lock_template(granular_cube(spark, sf_dir, SHARE), "units", list(LOCKED_MONTHS))
+
+
+def q_plan_lock_template_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TG.lock_template(granular_cube(spark, sf_dir, SHARE), "value", list(LOCKED_MONTHS))
+
+
+def _share(spark: SparkSession, sf_dir: str, basis: str, share: float = SHARE_OF_MARKET) -> TG.ShareTargets:
+    granular = granular_cube(spark, sf_dir, SHARE)
+    locks = TG.lock_template(granular, basis, list(LOCKED_MONTHS))
+    return TG.share_targets(market_totals(spark, sf_dir, SHARE), granular, share, basis, locks)
+
+
+def q_plan_share_targets_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _share(spark, sf_dir, "units").targets
+
+
+def q_plan_share_targets_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _share(spark, sf_dir, "value").targets
+
+
+def q_plan_lock_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At a 1% share the locked months exceed the annual target."""
+    return _share(spark, sf_dir, "units", share=0.01).violations
+
+
+def q_plan_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TG.align(macro_cube(spark, sf_dir, NATION), granular_cube(spark, sf_dir, NATION))
+
+
+# ---- two metrics -------------------------------------------------------------
+def _dual(spark: SparkSession, sf_dir: str, basis: str) -> R.DualOutputs:
+    """Stage by stage, the other metric joined back from the reference rows."""
+    spec = AllocSpec()
+    reference = TG.granular_reference(granular_cube(spark, sf_dir))
+    targets = TG.direct_targets(macro_cube(spark, sf_dir))
+    drive_t = "macro_target_qty" if basis == "units" else "macro_target_value"
+    drive_b = "baseline_qty" if basis == "units" else "baseline_value"
+    macro = S.standardize_macro(targets.select("period", "market", "channel", F.col(drive_t).alias("macro_target_qty")), spec).table
+    granular = S.standardize_granular(
+        reference.select("period", "market", "channel", "client", "sku", F.col(drive_b).alias("baseline_qty")), spec
+    ).table
+    aligned = TG.align(macro, granular)
+    weights = A.calculate_weights(aligned, spec)
+    alloc = A.redistribute(macro, weights.weights, spec).allocations
+    rounded = A.apply_rounding(alloc, spec).allocations
+    return R.dual_outputs(rounded, targets, reference, basis)
+
+
+def q_dual_allocations_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dual(spark, sf_dir, "units").final_allocations
+
+
+def q_dual_allocations_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dual(spark, sf_dir, "value").final_allocations
+
+
+def q_dual_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dual(spark, sf_dir, "units").group_summary
+
+
+def q_dual_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dual(spark, sf_dir, "units").sku_variance
+
+
+# ---- end-to-end jobs ---------------------------------------------------------
+def q_job_direct_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.run_job(macro_cube(spark, sf_dir), granular_cube(spark, sf_dir), basis="units", persist=False).final_allocations
+
+
+def q_job_share_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    granular = granular_cube(spark, sf_dir, SHARE)
+    locks = TG.lock_template(granular, "value", list(LOCKED_MONTHS))
+    result = J.run_job(
+        market_totals(spark, sf_dir, SHARE),
+        granular,
+        spec=AllocSpec(enforce_exact_totals=False),
+        basis="value",
+        mode="share",
+        share=SHARE_OF_MARKET,
+        locks=locks,
+        persist=False,
+    )
+    return result.final_allocations
+
+
 QUERIES: dict[str, Query] = {
     "alloc_weights": q_alloc_weights,
     "alloc_redistribute": q_alloc_redistribute,
@@ -178,6 +293,23 @@ QUERIES: dict[str, Query] = {
     "std_rejects": q_std_rejects,
     "chk_duplicate_keys": q_chk_duplicate_keys,
     "chk_null_profile": q_chk_null_profile,
+    "rep_group": q_rep_group,
+    "rep_sku": q_rep_sku,
+    "plan_market_sentinel": q_plan_market_sentinel,
+    "plan_unit_price": q_plan_unit_price,
+    "plan_direct_targets": q_plan_direct_targets,
+    "plan_lock_template_units": q_plan_lock_template_units,
+    "plan_lock_template_value": q_plan_lock_template_value,
+    "plan_share_targets_units": q_plan_share_targets_units,
+    "plan_share_targets_value": q_plan_share_targets_value,
+    "plan_lock_violations": q_plan_lock_violations,
+    "plan_align": q_plan_align,
+    "dual_allocations_units": q_dual_allocations_units,
+    "dual_allocations_value": q_dual_allocations_value,
+    "dual_group": q_dual_group,
+    "dual_sku": q_dual_sku,
+    "job_direct_units": q_job_direct_units,
+    "job_share_value": q_job_share_value,
 }
 
 
@@ -212,6 +344,41 @@ def _oracle() -> dict[str, str]:
     out["int_negative"] = O.with_ctes(net, "SELECT * FROM rounded WHERE final_allocated_qty < 0")
     out["int_summary"] = O.with_ctes(int_ctes, O.integrity_summary_sql(allow_negative=True))
     out.update(O.standardize_oracle())
+    out["rep_group"] = O.with_ctes(core, O.report_group_sql())
+    out["rep_sku"] = O.with_ctes(core, O.report_sku_sql())
+    sentinel = O.reference_ctes(Cube(null_market="ASIA"))
+    out["plan_market_sentinel"] = O.with_ctes(
+        sentinel[:1],
+        f"SELECT period, COALESCE(market, {O.SENTINEL}) AS market, channel, client, sku, baseline_qty, baseline_value "
+        "FROM granular",
+    )
+    out["plan_unit_price"] = O.with_ctes(O.reference_ctes(CORE), "SELECT * FROM ref")
+    out["plan_direct_targets"] = O.with_ctes(O.direct_target_ctes(CORE), "SELECT * FROM targets")
+    share_ref = O.reference_ctes(SHARE)
+    out["plan_lock_template_units"] = O.with_ctes(share_ref, O.lock_template_sql("units", LOCKED_MONTHS))
+    out["plan_lock_template_value"] = O.with_ctes(share_ref, O.lock_template_sql("value", LOCKED_MONTHS))
+    for basis in ("units", "value"):
+        out[f"plan_share_targets_{basis}"] = O.with_ctes(
+            O.share_target_ctes(SHARE, basis, SHARE_OF_MARKET, LOCKED_MONTHS), "SELECT * FROM targets"
+        )
+    out["plan_lock_violations"] = O.with_ctes(
+        O.share_target_ctes(SHARE, "units", 0.01, LOCKED_MONTHS), O.share_violations_sql()
+    )
+    out["plan_align"] = O.with_ctes(
+        [("granular", O.granular_sql(NATION)), ("macro", O.macro_sql(NATION))],
+        f"SELECT * FROM granular WHERE ({O.KEYS}) IN (SELECT ({O.KEYS}) FROM macro)",
+    )
+    direct = O.reference_ctes(CORE) + O.direct_target_ctes(CORE)
+    units = direct + O.dual_ctes("units")
+    out["dual_allocations_units"] = O.with_ctes(units, "SELECT * FROM final_allocations")
+    out["dual_allocations_value"] = O.with_ctes(direct + O.dual_ctes("value"), "SELECT * FROM final_allocations")
+    out["dual_group"] = O.with_ctes(units, O.dual_group_sql())
+    out["dual_sku"] = O.with_ctes(units, O.dual_sku_sql())
+    out["job_direct_units"] = out["dual_allocations_units"]
+    out["job_share_value"] = O.with_ctes(
+        O.share_target_ctes(SHARE, "value", SHARE_OF_MARKET, LOCKED_MONTHS) + O.dual_ctes("value"),
+        "SELECT * FROM final_allocations",
+    )
     return out
 
 
