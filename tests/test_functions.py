@@ -1,0 +1,86 @@
+from datetime import date, datetime
+
+from pyspark.sql import functions as F
+
+from plan_alloc.functions import period_month, period_reason, quantity_reason, quantity_value
+
+
+def _periods(spark, values, ddl="p string"):
+    df = spark.createDataFrame([(v,) for v in values], ddl)
+    t = df.schema["p"].dataType
+    return [
+        (r["m"], r["why"])
+        for r in df.select(period_month(F.col("p"), t).alias("m"), period_reason(F.col("p"), t).alias("why")).collect()
+    ]
+
+
+def test_period_text_formats(spark):
+    got = _periods(spark, ["2026-03", "2026-03-15", "2026/03", "2026/3/9", "15/03/2026", "2026-1", "  2026-04\t"])
+    assert [m for m, _ in got] == [
+        date(2026, 3, 1),
+        date(2026, 3, 1),
+        date(2026, 3, 1),
+        date(2026, 3, 1),
+        date(2026, 3, 1),
+        date(2026, 1, 1),
+        date(2026, 4, 1),
+    ]
+    assert all(why is None for _, why in got)
+
+
+def test_period_errors(spark):
+    got = _periods(spark, [None, "", "   ", "2026-13", "202601", "2026-02-30", "26-01"])
+    assert [why for _, why in got] == [
+        "period_null",
+        "period_empty",
+        "period_empty",
+        "period_invalid",
+        "period_invalid",
+        "period_invalid",
+        "period_invalid",
+    ]
+    assert all(m is None for m, _ in got)
+
+
+def test_period_from_dates_and_timestamps(spark):
+    assert _periods(spark, [date(2026, 5, 17)], "p date") == [(date(2026, 5, 1), None)]
+    assert _periods(spark, [datetime(2026, 5, 17, 13, 5)], "p timestamp") == [(date(2026, 5, 1), None)]
+
+
+def test_period_of_wrong_type(spark):
+    assert _periods(spark, [202601], "p int") == [(None, "period_type")]
+
+
+def _qty(spark, values, ddl="q string"):
+    df = spark.createDataFrame([(v,) for v in values], ddl)
+    t = df.schema["q"].dataType
+    return [
+        (r["v"], r["why"])
+        for r in df.select(quantity_value(F.col("q"), t).alias("v"), quantity_reason(F.col("q"), t).alias("why")).collect()
+    ]
+
+
+def test_quantity_text(spark):
+    got = _qty(spark, ["12", " 1,250.5 ", "-3.5e2", ".5", "+7."])
+    assert got == [(12.0, None), (1250.5, None), (-350.0, None), (0.5, None), (7.0, None)]
+
+
+def test_quantity_errors(spark):
+    got = _qty(spark, [None, "", "  ", "abc", "NaN", "1.0d", "inf", "1e999", "1_000"])
+    assert [why for _, why in got] == [
+        "qty_null",
+        "qty_empty",
+        "qty_empty",
+        "qty_non_numeric",
+        "qty_non_numeric",
+        "qty_non_numeric",
+        "qty_non_numeric",
+        "qty_non_numeric",
+        "qty_non_numeric",
+    ]
+
+
+def test_quantity_numbers_and_booleans(spark):
+    assert _qty(spark, [5, None], "q bigint") == [(5.0, None), (None, "qty_null")]
+    assert _qty(spark, [float("nan")], "q double") == [(None, "qty_non_numeric")]
+    assert _qty(spark, [True], "q boolean") == [(None, "qty_non_numeric")]
