@@ -14,6 +14,20 @@ from pyspark.sql import types as T
 # period text formats accepted, tried in this order (strptime spelling:
 # %Y-%m, %Y-%m-%d, %Y/%m, %Y/%m/%d, %d/%m/%Y).
 PERIOD_PATTERNS = ("yyyy-M", "yyyy-M-d", "yyyy/M", "yyyy/M/d", "d/M/yyyy")
+# Each accepted format is first rewritten to the canonical yyyy-M-d text by
+# one anchored rewrite (fixed values; d/M/yyyy, yyyy/M/d, yyyy/M, yyyy-M in
+# turn), then parsed once. A value matching no shape is left as it is and
+# fails the final shape test, so mixed forms such as 2026/01-05 stay invalid.
+# One parse per value: a failed parse raises inside Spark, so trying five
+# formats per value would cost up to four raised errors per row.
+PERIOD_REWRITES = (
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$2-$1"),
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3"),
+    (r"^([0-9]{4})/([0-9]{1,2})$", "$1-$2"),
+    (r"^([0-9]{4})-([0-9]{1,2})$", "$1-$2-1"),
+)
+CANONICAL_SHAPE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+CANONICAL_PATTERN = "yyyy-M-d"
 
 # A quantity given as text: optional sign, digits with an optional fraction
 # (or a bare fraction), optional exponent. Commas are removed first.
@@ -23,9 +37,42 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 EXACT_DECIMAL = T.DecimalType(28, 9)
 
 
+# Whitespace stripped around periods and quantities (``trim`` alone only
+# removes spaces): space, tab, newline, vertical tab, form feed, carriage return.
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def strip_ws(c: Column) -> Column:
-    """Trim all leading/trailing whitespace (``trim`` only removes spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim leading/trailing whitespace (a character-set trim, no regex)."""
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
+def canonical_period_text(stripped: Column) -> Column:
+    """Stripped period text rewritten to ``yyyy-M-d`` when it has an accepted
+    shape (left unchanged otherwise)."""
+    s = stripped
+    for pattern, replacement in PERIOD_REWRITES:
+        s = F.regexp_replace(s, pattern, replacement)
+    return s
+
+
+def parse_canonical_period(canonical: Column) -> Column:
+    """First of month of a canonical ``yyyy-M-d`` text; null when not a date."""
+    return F.trunc(F.when(canonical.rlike(CANONICAL_SHAPE), F.try_to_date(canonical, CANONICAL_PATTERN)), "month")
+
+
+def number_text(stripped: Column) -> Column:
+    """Stripped quantity text without thousands separators."""
+    return F.translate(stripped, ",", "")
+
+
+def parse_number_text(text: Column) -> Column:
+    """DOUBLE of a number text (null unless it has the accepted shape)."""
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+
+
+def finite(d: Column) -> Column:
+    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
 def _is_text(dtype: T.DataType) -> bool:
@@ -44,22 +91,24 @@ def period_month(c: Column, dtype: T.DataType) -> Column:
     if _is_datelike(dtype):
         return F.trunc(c.cast("date"), "month")
     if _is_text(dtype):
-        s = strip_ws(c)
-        parsed = F.coalesce(*[F.try_to_date(s, p) for p in PERIOD_PATTERNS])
-        return F.trunc(parsed, "month")
+        return parse_canonical_period(canonical_period_text(strip_ws(c)))
     return F.lit(None).cast("date")
 
 
-def period_reason(c: Column, dtype: T.DataType) -> Column:
-    """Why a period value is rejected, or null when it is usable."""
+def period_reason(
+    c: Column, dtype: T.DataType, parsed: Column | None = None, stripped: Column | None = None
+) -> Column:
+    """Why a period value is rejected, or null when it is usable.
+    ``parsed``/``stripped``: already computed ``period_month`` / stripped text."""
     if _is_datelike(dtype):
         return F.when(c.isNull(), F.lit("period_null"))
     if _is_text(dtype):
-        s = strip_ws(c)
+        month = parsed if parsed is not None else period_month(c, dtype)
+        text = stripped if stripped is not None else strip_ws(c)
         return (
             F.when(c.isNull(), F.lit("period_null"))
-            .when(s == "", F.lit("period_empty"))
-            .when(period_month(c, dtype).isNull(), F.lit("period_invalid"))
+            .when(text == "", F.lit("period_empty"))
+            .when(month.isNull(), F.lit("period_invalid"))
         )
     return F.when(c.isNull(), F.lit("period_null")).otherwise(F.lit("period_type"))
 
@@ -74,26 +123,26 @@ def _is_number(dtype: T.DataType) -> bool:
 def quantity_value(c: Column, dtype: T.DataType) -> Column:
     """A quantity as DOUBLE; null when it is missing or unusable (see ``quantity_reason``)."""
     if _is_number(dtype):
-        d = c.cast("double")
-        return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+        return finite(c.cast("double"))
     if _is_text(dtype):
-        s = F.regexp_replace(strip_ws(c), ",", "")
-        d = s.try_cast("double")
-        return F.when(s.rlike(NUMBER_PATTERN) & (F.abs(d) != float("inf")), d)
+        return finite(parse_number_text(number_text(strip_ws(c))))
     return F.lit(None).cast("double")
 
 
-def quantity_reason(c: Column, dtype: T.DataType) -> Column:
-    """Why a quantity value is rejected, or null when it is usable."""
+def quantity_reason(
+    c: Column, dtype: T.DataType, parsed: Column | None = None, stripped: Column | None = None
+) -> Column:
+    """Why a quantity value is rejected, or null when it is usable.
+    ``parsed``/``stripped``: already computed ``quantity_value`` / stripped text."""
+    value = parsed if parsed is not None else quantity_value(c, dtype)
     if _is_number(dtype):
-        return F.when(c.isNull(), F.lit("qty_null")).when(
-            quantity_value(c, dtype).isNull(), F.lit("qty_non_numeric")
-        )
+        return F.when(c.isNull(), F.lit("qty_null")).when(value.isNull(), F.lit("qty_non_numeric"))
     if _is_text(dtype):
+        text = stripped if stripped is not None else strip_ws(c)
         return (
             F.when(c.isNull(), F.lit("qty_null"))
-            .when(strip_ws(c) == "", F.lit("qty_empty"))
-            .when(quantity_value(c, dtype).isNull(), F.lit("qty_non_numeric"))
+            .when(text == "", F.lit("qty_empty"))
+            .when(value.isNull(), F.lit("qty_non_numeric"))
         )
     if isinstance(dtype, T.BooleanType):
         return F.when(c.isNull(), F.lit("qty_null")).otherwise(F.lit("qty_non_numeric"))

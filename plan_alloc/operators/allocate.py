@@ -302,6 +302,11 @@ def apply_rounding(
         .select(*alloc.columns, *ROUNDING_COLUMNS)
     )
     summary = _group_summary(scaled, spec)
+    # Both group rules come from one aggregate over the (small) group summary.
+    rule_counts = summary.agg(
+        F.count_if(F.col("_residual_units") < 0).alias("negative_residual"),
+        F.count_if(F.abs(F.col("final_gap")) > F.lit(spec.tolerance + 1e-9)).alias("rounding_gap"),
+    )
     checks = [
         Check(
             "empty_allocation",
@@ -313,7 +318,8 @@ def apply_rounding(
             "negative_residual",
             IntegrityError,
             "Rounding left a negative residual in some groups (the raw values exceed the target)",
-            summary.filter(F.col("_residual_units") < 0),
+            rule_counts,
+            count_col="negative_residual",
         ),
     ]
     if spec.enforce_exact_totals:
@@ -322,7 +328,8 @@ def apply_rounding(
                 "rounding_gap",
                 IntegrityError,
                 "Final allocations miss the macro target of some groups",
-                summary.filter(F.abs(F.col("final_gap")) > F.lit(spec.tolerance + 1e-9)),
+                rule_counts,
+                count_col="rounding_gap",
             )
         )
     return Rounding(allocations=out, group_summary=summary.drop("_residual_units"), checks=checks)

@@ -17,7 +17,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plan_alloc.functions.columns import period_month, period_reason, quantity_reason, quantity_value
+from plan_alloc.functions.columns import (
+    _is_text,
+    canonical_period_text,
+    finite,
+    number_text,
+    parse_canonical_period,
+    parse_number_text,
+    period_month,
+    period_reason,
+    quantity_reason,
+    quantity_value,
+    strip_ws,
+)
 from plan_alloc.operators.checks import Check
 from plan_alloc.spec import AllocSpec, DataError, SchemaError
 
@@ -89,17 +101,59 @@ def duplicate_keys(df: DataFrame, key_columns: tuple[str, ...]) -> DataFrame:
 
 
 def annotate(df: DataFrame, spec: AllocSpec, qty_col: str) -> DataFrame:
-    """Parsed period and quantity plus the first reason a row is unusable."""
+    """Parsed period and quantity plus the first reason a row is unusable.
+
+    Text is parsed in stages, one projection each (stripped text → canonical
+    text → value), so every intermediate is computed once per row: Spark does
+    not share a subexpression that sits inside a CASE branch.
+    """
     schema = {f.name: f.dataType for f in df.schema.fields}
     period = spec.columns.period
-    reasons = []
+    with_period = period in spec.group_keys
+    p_text = with_period and _is_text(schema[period])
+    q_text = _is_text(schema[qty_col])
     out = df
-    if period in spec.group_keys:
-        reasons.append(period_reason(F.col(period), schema[period]))
-        out = out.withColumn("_period", period_month(F.col(period), schema[period]))
-    reasons.append(quantity_reason(F.col(qty_col), schema[qty_col]))
-    out = out.withColumn("_qty", quantity_value(F.col(qty_col), schema[qty_col]))
-    return out.withColumn(REASON, F.coalesce(*reasons))
+    stage1 = {}
+    if p_text:
+        stage1["_p_strip"] = strip_ws(F.col(period))
+    if q_text:
+        stage1["_q_strip"] = strip_ws(F.col(qty_col))
+    if stage1:
+        out = out.withColumns(stage1)
+    stage2 = {}
+    if p_text:
+        stage2["_p_canon"] = canonical_period_text(F.col("_p_strip"))
+    if q_text:
+        stage2["_q_num"] = parse_number_text(number_text(F.col("_q_strip")))
+    if stage2:
+        out = out.withColumns(stage2)
+    stage3 = {
+        "_qty": finite(F.col("_q_num")) if q_text else quantity_value(F.col(qty_col), schema[qty_col]),
+    }
+    if with_period:
+        stage3["_period"] = (
+            parse_canonical_period(F.col("_p_canon")) if p_text else period_month(F.col(period), schema[period])
+        )
+    out = out.withColumns(stage3)
+    reasons = []
+    if with_period:
+        reasons.append(
+            period_reason(
+                F.col(period), schema[period], F.col("_period"), F.col("_p_strip") if p_text else None
+            )
+        )
+    reasons.append(
+        quantity_reason(F.col(qty_col), schema[qty_col], F.col("_qty"), F.col("_q_strip") if q_text else None)
+    )
+    out = out.withColumn(REASON, F.coalesce(*reasons))
+    out = out.drop(*[c for c in ("_p_strip", "_q_strip", "_p_canon", "_q_num") if c in out.columns])
+    # Optimizer barrier: the table and the rejects filter on ``reason``. Left
+    # alone, Catalyst pushes that filter below these projections by
+    # substituting the parse expressions into it, so every row would be parsed
+    # twice (and every upstream expression copied into each reference). A
+    # one-element ``inline`` is a Generate node, which filters on its output
+    # cannot cross: rows are parsed once and filtered after.
+    return out.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in out.columns]))))
 
 
 def _standardize(

@@ -7,9 +7,10 @@
 
 Everything stays lazy until three actions: one small job measuring the
 control groups (decides broadcast and hot-group handling), one job counting
-every rule violation at once, and the integrity summary. The rounded
-allocation is persisted because the integrity checks, the three reports and
-the sink all read it.
+every rule violation at once, and the integrity summary (then the writes).
+The reference rows, the targets, the group totals and the rounded allocation
+are persisted (memory and disk) because several of those actions read them;
+a lost executor's blocks are recomputed from the same deterministic lineage.
 """
 
 from __future__ import annotations
@@ -124,25 +125,30 @@ def run_job(
         raise SpecError("basis is 'units' or 'value'.")
     if tuple(spec.group_keys) != TG.KEYS:
         raise SpecError("The planning job allocates over period, market and channel.")
-    reference = TG.granular_reference(granular)
-    targets, target_checks = build_targets(macro, granular, basis, mode, share, locks)
+    cached: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        # Read by several actions (group measure, checks, integrity, writes):
+        # materialise once instead of recomputing the lineage per action.
+        if not persist:
+            return df
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(df)
+        return df
+
+    reference = keep(TG.granular_reference(granular))
+    targets, target_checks = build_targets(macro, reference, basis, mode, share, locks)
+    targets = keep(targets)
     std_macro, std_granular = engine_inputs(targets, reference, basis, spec)
     engine_macro = std_macro.table
     aligned = std_granular.table.join(engine_macro.select(*KEYS), KEYS, "left_semi")
 
-    totals = A.group_totals(aligned, spec)
-    cached = []
-    if persist:
-        totals = totals.persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(totals)
+    totals = keep(A.group_totals(aligned, spec))
     layout = A.measure_groups(totals, spec)
     weights = A.calculate_weights(aligned, spec, totals=totals, layout=layout)
     red = A.redistribute(engine_macro, weights.weights, spec, granular_groups=totals, layout=layout)
     rounding = A.apply_rounding(red.allocations, spec, layout=layout)
-    rounded = rounding.allocations
-    if persist:
-        rounded = rounded.persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(rounded)
+    rounded = keep(rounding.allocations)
 
     unmatched_granular = red.unmatched_granular
     if report_unmatched_granular:

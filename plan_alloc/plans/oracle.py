@@ -154,7 +154,7 @@ def integrity_summary_sql(allow_negative: bool) -> str:
     )
 
 
-STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+STRIP = "trim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
 def annotated_text_ctes(cube: Cube = Cube()) -> list[tuple[str, str]]:

@@ -124,24 +124,24 @@ def q_int_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_std_period_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text_lines(spark, sf_dir)
     dtype = t.schema["period"].dataType
-    return t.select(
+    return t.withColumn("_month", period_month(F.col("period"), dtype)).select(
         "l_orderkey",
         "l_linenumber",
         F.col("period").alias("period_text"),
-        period_month(F.col("period"), dtype).alias("period"),
-        period_reason(F.col("period"), dtype).alias("reason"),
+        F.col("_month").alias("period"),
+        period_reason(F.col("period"), dtype, F.col("_month")).alias("reason"),
     )
 
 
 def q_std_quantity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text_lines(spark, sf_dir)
     dtype = t.schema["baseline_qty"].dataType
-    return t.select(
+    return t.withColumn("_qty", quantity_value(F.col("baseline_qty"), dtype)).select(
         "l_orderkey",
         "l_linenumber",
         F.col("baseline_qty").alias("qty_text"),
-        quantity_value(F.col("baseline_qty"), dtype).alias("qty"),
-        quantity_reason(F.col("baseline_qty"), dtype).alias("reason"),
+        F.col("_qty").alias("qty"),
+        quantity_reason(F.col("baseline_qty"), dtype, F.col("_qty")).alias("reason"),
     )
 
 

@@ -39,8 +39,18 @@ class Cube:
     null_market: str | None = None  # this market value becomes NULL (sentinel tests)
 
 
+_READERS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; the reader (file listing, footer schema) is made once per
+    session and path, and reusing the same relation lets Spark reuse scans."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READERS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _READERS[key] = spark.read.parquet(path)
+    return df
 
 
 def _lines(spark: SparkSession, sf_dir: str, cube: Cube, years: tuple[int, ...]) -> DataFrame:
