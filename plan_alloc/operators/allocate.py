@@ -203,13 +203,16 @@ def _tie_order(df: DataFrame, spec: AllocSpec) -> list[Column]:
 
 
 def _scaled(alloc: DataFrame, spec: AllocSpec) -> DataFrame:
-    scale = float(spec.scale)
-    raw_s = F.col(RAW) * F.lit(scale)
-    return (
-        alloc.withColumn(_RAW_S, raw_s)
-        .withColumn(_TGT_S, F.round(F.col(spec.columns.target) * F.lit(scale), 0))
-        .withColumn(_FLOOR_S, floor_double(F.col(_RAW_S)))
-        .withColumn(_REM_S, F.col(_RAW_S) - F.col(_FLOOR_S))
+    scale = F.lit(float(spec.scale))
+    raw_s = F.col(RAW) * scale
+    floor_s = floor_double(raw_s)
+    return alloc.withColumns(
+        {
+            _RAW_S: raw_s,
+            _TGT_S: F.round(F.col(spec.columns.target) * scale, 0),
+            _FLOOR_S: floor_s,
+            _REM_S: raw_s - floor_s,
+        }
     )
 
 
@@ -217,8 +220,11 @@ def _rank_by_window(scaled: DataFrame, spec: AllocSpec) -> DataFrame:
     """Rank and residual with one window spec: one exchange, one sort."""
     ordered = Window.partitionBy(*spec.keys).orderBy(*_tie_order(scaled, spec))
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return scaled.withColumn(RANK, F.row_number().over(ordered).cast("long")).withColumn(
-        _RESID, F.max(_TGT_S).over(whole) - F.sum(_FLOOR_S).over(whole)
+    return scaled.withColumns(
+        {
+            RANK: F.row_number().over(ordered).cast("long"),
+            _RESID: F.max(_TGT_S).over(whole) - F.sum(_FLOOR_S).over(whole),
+        }
     )
 
 
@@ -291,15 +297,15 @@ def apply_rounding(
         ranked = _rank_by_window(scaled.join(hot, keys, "left_anti"), spec).unionByName(
             _rank_by_range(scaled.join(hot, keys, "left_semi"), spec, layout.hot_rows, rows_per_task)
         )
-    scale = float(spec.scale)
+    scale = F.lit(float(spec.scale))
     adjust_s = F.when(F.col(RANK) <= F.col(_RESID), F.lit(1.0)).otherwise(F.lit(0.0))
-    out = (
-        ranked.withColumn("_adj_s", adjust_s)
-        .withColumn(ROUNDED, F.col(_FLOOR_S) / scale)
-        .withColumn(REMAINDER, F.col(_REM_S) / scale)
-        .withColumn(ADJUST, F.col("_adj_s") / scale)
-        .withColumn(FINAL, (F.col(_FLOOR_S) + F.col("_adj_s")) / scale)
-        .select(*alloc.columns, *ROUNDING_COLUMNS)
+    out = ranked.select(
+        *[F.col(f"`{c}`") for c in alloc.columns],
+        (F.col(_FLOOR_S) / scale).alias(ROUNDED),
+        (F.col(_REM_S) / scale).alias(REMAINDER),
+        F.col(RANK),
+        (adjust_s / scale).alias(ADJUST),
+        ((F.col(_FLOOR_S) + adjust_s) / scale).alias(FINAL),
     )
     summary = _group_summary(scaled, spec)
     # Both group rules come from one aggregate over the (small) group summary.
@@ -352,22 +358,16 @@ def _group_summary(scaled: DataFrame, spec: AllocSpec) -> DataFrame:
     )
     residual = F.col("_tgt_s") - F.col("_floor_total_s")
     added = F.greatest(F.least(residual, F.col("_rows").cast("double")), F.lit(0.0))
-    return (
-        g.withColumn("_residual_units", residual)
-        .withColumn("rounded_group_total", F.col("_floor_total_s") / scale)
-        .withColumn("final_group_total", (F.col("_floor_total_s") + added) / scale)
-        .withColumn("residual_added_total", added / scale)
-        .withColumn("rounded_gap", F.col(target) - F.col("rounded_group_total"))
-        .withColumn("final_gap", F.col(target) - F.col("final_group_total"))
-        .select(
-            *spec.keys,
-            target,
-            "raw_group_total",
-            "rounded_group_total",
-            "final_group_total",
-            "residual_added_total",
-            "rounded_gap",
-            "final_gap",
-            "_residual_units",
-        )
+    rounded_total = F.col("_floor_total_s") / scale
+    final_total = (F.col("_floor_total_s") + added) / scale
+    return g.select(
+        *spec.keys,
+        target,
+        "raw_group_total",
+        rounded_total.alias("rounded_group_total"),
+        final_total.alias("final_group_total"),
+        (added / scale).alias("residual_added_total"),
+        (F.col(target) - rounded_total).alias("rounded_gap"),
+        (F.col(target) - final_total).alias("final_gap"),
+        residual.alias("_residual_units"),
     )

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plan_alloc.functions.columns import exact_sum
 from plan_alloc.operators.allocate import FINAL
+from plan_alloc.operators.checks import Check
 from plan_alloc.spec import AllocSpec, IntegrityError
 
 SUMMARY_COLUMNS = (
@@ -52,10 +54,14 @@ def group_checks(rounded: DataFrame, spec: AllocSpec) -> DataFrame:
             exact_sum(FINAL).alias("final_allocated_total"),
             F.count(F.lit(1)).alias("row_count"),
         )
-        .withColumn("allocation_gap", gap)
-        .withColumn("exact_match", F.col(target) == F.col("final_allocated_total"))
-        .withColumn("absolute_gap", F.abs(gap))
-        .withColumn("within_tolerance", F.col("absolute_gap") <= F.lit(spec.tolerance + 1e-9))
+        .withColumns(
+            {
+                "allocation_gap": gap,
+                "exact_match": F.col(target) == F.col("final_allocated_total"),
+                "absolute_gap": F.abs(gap),
+                "within_tolerance": F.abs(gap) <= F.lit(spec.tolerance + 1e-9),
+            }
+        )
     )
 
 
@@ -103,7 +109,45 @@ def validate_integrity(
 def enforce_integrity(result: Integrity, spec: AllocSpec) -> dict:
     """Collect the one-row summary; raise with every failed reason (in fixed
     order) when exact totals are enforced and the result is not valid."""
-    row = result.summary.first().asDict()
+    return raise_if_invalid(result.summary.first().asDict(), spec)
+
+
+SUMMARY_SCHEMA = T.StructType(
+    [T.StructField(c, T.LongType()) for c in SUMMARY_COLUMNS] + [T.StructField("is_valid", T.BooleanType())]
+)
+
+
+def count_checks(result: Integrity) -> list[Check]:
+    """The summary's counts as count-only checks, so a job can compute them in
+    the same single Spark job as its rule checks (see ``checks.violation_counts``)."""
+    gaps = result.group_checks.agg(
+        F.count(F.lit(1)).alias("validated_group_count"),
+        F.count_if(~F.col("within_tolerance")).alias("groups_with_gap_count"),
+    )
+    return [
+        Check("validated_group_count", IntegrityError, "", gaps, count_col="validated_group_count"),
+        Check("groups_with_gap_count", IntegrityError, "", gaps, count_col="groups_with_gap_count"),
+        Check("negative_allocation_count", IntegrityError, "", result.negative_allocations),
+        Check("unmatched_macro_group_count", IntegrityError, "", result.unmatched_macro),
+        Check("unmatched_granular_group_count", IntegrityError, "", result.unmatched_granular),
+    ]
+
+
+def summary_from_counts(spark: SparkSession, counts: dict, spec: AllocSpec) -> tuple[dict, DataFrame]:
+    """The one-row summary (as a dict and a DataFrame) from collected counts."""
+    row = {c: int(counts[c]) for c in SUMMARY_COLUMNS}
+    negative_fails = row["negative_allocation_count"] > 0 and not spec.allow_negative
+    row["is_valid"] = not (
+        row["groups_with_gap_count"] > 0
+        or negative_fails
+        or row["unmatched_macro_group_count"] > 0
+        or row["unmatched_granular_group_count"] > 0
+    )
+    return row, spark.createDataFrame([tuple(row[c] for c in (*SUMMARY_COLUMNS, "is_valid"))], SUMMARY_SCHEMA)
+
+
+def raise_if_invalid(row: dict, spec: AllocSpec) -> dict:
+    """``int_enforce``: every failed reason, in fixed order."""
     if spec.enforce_exact_totals and not row["is_valid"]:
         reasons = [
             text

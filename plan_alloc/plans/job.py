@@ -5,9 +5,9 @@
                                                                  │
                          integrity ── two-metric outputs ── write bundle
 
-Everything stays lazy until three actions: one small job measuring the
-control groups (decides broadcast and hot-group handling), one job counting
-every rule violation at once, and the integrity summary (then the writes).
+Everything stays lazy until two actions before the writes: one small job
+measuring the control groups (decides broadcast and hot-group handling) and
+one job counting every rule violation and every integrity figure at once.
 The reference rows, the targets, the group totals and the rounded allocation
 are persisted (memory and disk) because several of those actions read them;
 a lost executor's blocks are recomputed from the same deterministic lineage.
@@ -26,7 +26,7 @@ from plan_alloc.operators import integrity as I
 from plan_alloc.operators import reports as R
 from plan_alloc.operators import standardize as S
 from plan_alloc.operators import targets as TG
-from plan_alloc.operators.checks import Check, enforce
+from plan_alloc.operators.checks import Check, enforce, violation_counts
 from plan_alloc.sources.tables import write_bundle
 from plan_alloc.spec import AllocSpec, Basis, SpecError, TargetError
 
@@ -167,10 +167,17 @@ def run_job(
         _cached=cached,
     )
     if check:
-        result.counts = enforce(
-            [*target_checks, *std_macro.checks, *std_granular.checks, *weights.checks, *rounding.checks]
-        )
-        result.integrity = I.enforce_integrity(integrity, spec)
+        # One Spark job counts every rule violation and every integrity figure.
+        rules = [*target_checks, *std_macro.checks, *std_granular.checks, *weights.checks, *rounding.checks]
+        counts = violation_counts([*rules, *I.count_checks(integrity)])
+        for c in rules:
+            if counts[c.name] > 0:
+                raise c.error(f"{c.message} ({counts[c.name]} violating rows; check '{c.name}').")
+        result.counts = {c.name: counts[c.name] for c in rules}
+        row, summary = I.summary_from_counts(rounded.sparkSession, counts, spec)
+        result.integrity = I.raise_if_invalid(row, spec)
+        # the one-row summary is already known: no second computation to write it
+        result.integrity_summary = summary
     return result
 
 
