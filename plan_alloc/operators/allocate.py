@@ -51,7 +51,7 @@ _ROWS = "_group_rows"
 class GroupLayout:
     """Facts about the control groups, measured once on a per-group table.
 
-    ``broadcast``: the number of groups is below ``broadcast_limit`` so tables
+    ``broadcast``: the number of groups is at most ``spec.broadcast_group_limit`` so tables
     with one row per group may be broadcast. ``hot_keys``: keys of the groups
     with more than ``spec.hot_group_rows`` rows; at most
     ``total_rows / hot_group_rows`` of them exist, so this table is always
@@ -65,9 +65,7 @@ class GroupLayout:
     hot_rows: int = 0
 
 
-def measure_groups(
-    per_group: DataFrame, spec: AllocSpec, rows_col: str = _ROWS, broadcast_limit: int = 2_000_000
-) -> GroupLayout:
+def measure_groups(per_group: DataFrame, spec: AllocSpec, rows_col: str = _ROWS) -> GroupLayout:
     """One small job over a per-group table (keys + row count)."""
     hot = F.col(rows_col) > F.lit(spec.hot_group_rows)
     stats = per_group.agg(
@@ -80,7 +78,7 @@ def measure_groups(
     return GroupLayout(
         group_count=int(stats["groups"]),
         row_count=int(stats["rows"]),
-        broadcast=int(stats["groups"]) <= broadcast_limit,
+        broadcast=int(stats["groups"]) <= spec.broadcast_group_limit,
         hot_keys=hot_keys,
         hot_rows=int(stats["hot_rows"]),
     )
