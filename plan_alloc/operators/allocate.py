@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plan_alloc.functions.columns import exact_sum, floor_double, ratio
 from plan_alloc.operators.checks import Check
-from plan_alloc.session import checkpoint_dir
+from plan_alloc.session import materialize
 from plan_alloc.spec import AllocationError, AllocSpec, IntegrityError, ZeroBaselineError
 
 GROUP_TOTAL = "group_baseline_qty"
@@ -233,23 +233,21 @@ def _rank_by_range(scaled: DataFrame, spec: AllocSpec, hot_rows: int, rows_per_t
        is unique, so the sampled bounds split even a single group evenly;
     2. sort inside partitions and tag each row with its partition id and a
        monotonically increasing id (ordered along the key);
-    3. checkpoint, so the tags stay fixed whatever is recomputed later;
+    3. write the tagged rows once to the shared checkpoint folder, so the tags
+       stay fixed whatever is recomputed later (a lost executor included);
     4. per (group, partition): row count and first id; a running count over
        partitions gives how many rows of the group precede the partition;
     5. rank = rows before + position inside the partition + 1.
     """
-    spark = scaled.sparkSession
-    checkpoint_dir(spark)
     keys = spec.keys
     order = [F.col(k).asc() for k in keys] + _tie_order(scaled, spec)
     parts = max(2, math.ceil(hot_rows / max(1, rows_per_task)))
     residual = scaled.groupBy(*keys).agg((F.max(_TGT_S) - F.sum(_FLOOR_S)).alias(_RESID))
-    tagged = (
+    tagged = materialize(
         scaled.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_seq", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+        .withColumns({"_pid": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}),
+        "hot_ranks",
     )
     spans = tagged.groupBy(*keys, "_pid").agg(
         F.count(F.lit(1)).alias("_span_rows"), F.min("_seq").alias("_span_start")

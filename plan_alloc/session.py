@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "plan_alloc") -> SparkSession:
@@ -46,3 +47,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(folder)
         return sc.getCheckpointDir() or folder
     raise RuntimeError("Set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster.")
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: cuts the lineage, and every later read sees exactly these rows
+    (columnar and compressed, unlike an RDD checkpoint)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/plan_alloc_{label}_{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

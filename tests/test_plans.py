@@ -56,9 +56,11 @@ def test_hot_groups_use_range_partitioning(spark):
     r = A.apply_rounding(A.redistribute(m, w.weights, spec).allocations, spec)
     plan = _plan(r.allocations)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    # hot rows come from a checkpointed range-partitioned sort; the per-partition
-    # span table is broadcast (bounded by #hot groups + #partitions)
-    assert "ExistingRDD" in plan or "Scan ExistingRDD" in plan or "LogicalRDD" in plan or "RDDScan" in plan
+    # hot rows come from a range-partitioned sort written once to the shared
+    # checkpoint folder; the per-partition span table is broadcast (bounded by
+    # #hot groups + #partitions)
+    assert "plan_alloc_hot_ranks" in plan
+    assert "BroadcastHashJoin" in plan
 
 
 def test_scans_are_pruned_and_filtered(spark):
