@@ -58,9 +58,19 @@ def check_bundle(tables: dict[str, DataFrame]) -> None:
 
 
 def write_bundle(
-    tables: dict[str, DataFrame], base: str, fmt: str = "parquet", run: str | None = None
+    tables: dict[str, DataFrame],
+    base: str,
+    fmt: str = "parquet",
+    run: str | None = None,
+    rebalance: bool = False,
 ) -> dict[str, str]:
-    """``snk_bundle``/``snk_csv``: write the four tables; return their paths."""
+    """``snk_bundle``/``snk_csv``: write the four tables; return their paths.
+
+    ``rebalance``: before a ``period``-partitioned write, let AQE rebalance the
+    rows by period (one extra shuffle that splits big periods and merges small
+    ones), so each period folder gets a few well-sized files instead of one
+    small file per task.
+    """
     check_bundle(tables)
     if fmt not in ("csv", "parquet"):
         raise DataError(f"Unsupported output format '{fmt}'.")
@@ -68,9 +78,14 @@ def write_bundle(
     paths = {}
     for name in BUNDLE_TABLES:
         path = f"{folder}/{name}"
-        writer = tables[name].write.mode("overwrite")
-        if name in PARTITIONED and PARTITIONED[name] in tables[name].columns:
-            writer = writer.partitionBy(PARTITIONED[name])
+        df = tables[name]
+        part = PARTITIONED.get(name)
+        if part is not None and part in df.columns:
+            if rebalance:
+                df = df.hint("rebalance", part)
+            writer = df.write.mode("overwrite").partitionBy(part)
+        else:
+            writer = df.write.mode("overwrite")
         if fmt == "csv":
             writer.option("header", True).csv(path)
         else:

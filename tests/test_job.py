@@ -96,3 +96,40 @@ def test_csv_input_through_stages(spark):
     assert out["integrity_summary"].first()["is_valid"] is True
     assert rows(out["sku_variance"], "sku", "final_weight") == [("a", 0.3), ("b", 0.7)]
     assert rows(out["group_summary"], "period", "final_allocated_group_qty") == [(JAN, 10.0)]
+
+
+def test_hot_groups_do_not_change_the_job(spark):
+    from plan_alloc.sources.cube import Cube, granular_cube, macro_cube
+
+    from conftest import SF_SMALL
+
+    cube = Cube(channel="status")
+    cols = ("period", "market", "channel", "client", "sku", "final_allocated_qty", "final_allocated_value")
+    lenient = dict(enforce_exact_totals=False)
+    base = run_job(macro_cube(spark, SF_SMALL, cube), granular_cube(spark, SF_SMALL, cube), spec=AllocSpec(**lenient))
+    hot = run_job(
+        macro_cube(spark, SF_SMALL, cube),
+        granular_cube(spark, SF_SMALL, cube),
+        spec=AllocSpec(hot_group_rows=2, broadcast_group_limit=0, **lenient),
+    )
+    assert hot.layout.hot_keys is not None and not hot.layout.broadcast
+    assert rows(hot.final_allocations, *cols) == rows(base.final_allocations, *cols)
+    assert hot.integrity == base.integrity
+    base.release()
+    hot.release()
+
+
+def test_rebalanced_write(spark):
+    macro, granular = _inputs(spark)
+    res = run_job(macro, granular)
+    paths = res.write(tempfile.mkdtemp(prefix="plan_alloc_rb_"), run="r", rebalance=True)
+    assert read_table(spark, paths["sku_variance"], fmt="parquet").count() == 2
+    res.release()
+
+
+def test_materialize_uses_checkpoint_folder(spark):
+    from plan_alloc.session import checkpoint_dir, materialize
+
+    df = materialize(spark.range(5), "t")
+    assert df.count() == 5
+    assert checkpoint_dir(spark).rstrip("/").split("/")[-1] in df.inputFiles()[0]
