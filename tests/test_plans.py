@@ -69,3 +69,37 @@ def test_scans_are_pruned_and_filtered(spark):
     assert lineitem and "l_shipdate" not in lineitem[0] and "l_tax" not in lineitem[0]
     orders = [l for l in plan.splitlines() if "FileScan parquet" in l and "o_orderkey" in l]
     assert orders and "GreaterThanOrEqual(o_orderdate" in orders[0] and "LessThan(o_orderdate" in orders[0]
+
+
+def test_no_broadcast_plan_keeps_one_granular_exchange(spark):
+    """Above the broadcast bound (and with Spark's own size-based broadcast off)
+    the per-group tables are shuffle-joined; the granular rows are still hashed
+    on the group keys only once: the join's partitioning is what the rank
+    window needs."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        spec = AllocSpec(broadcast_group_limit=0)
+        g, m = _tables(spark)
+        totals = A.group_totals(g, spec)
+        layout = A.measure_groups(totals, spec)
+        assert not layout.broadcast
+        w = A.calculate_weights(g, spec, totals=totals, layout=layout)
+        r = A.apply_rounding(A.redistribute(m, w.weights, spec, layout=layout).allocations, spec, layout=layout)
+        plan = _plan(r.allocations)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert len(re.findall(r"\bWindow \[", plan)) == 1
+    # granular scan → one exchange on the group keys → joins → window: the
+    # exchange right above the granular scan is the only one its rows cross
+    granular = re.findall(r"Exchange hashpartitioning\(period#\d+, market#\d+, channel#\d+, \d+\)[^\n]*\n(?:[^\n]*\n)*?[^\n]*FileScan parquet \[period#\d+,market#\d+,channel#\d+,client", plan)
+    assert len(granular) >= 1
+    hashed = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert all("client" not in h and "sku" not in h for h in hashed)
