@@ -48,6 +48,15 @@ REASON_CODES = (
 )
 
 
+@dataclass(frozen=True)
+class SchemaReport:
+    dataset: str
+    row_count: int
+    column_count: int
+    required_columns: tuple[str, ...]
+    actual_columns: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Standardized:
     table: DataFrame
@@ -91,6 +100,24 @@ def null_profile(df: DataFrame, key_columns: tuple[str, ...], dataset: str) -> D
     )
 
 
+def validate_schema(df: DataFrame, spec: AllocSpec, dataset: str) -> SchemaReport:
+    """``chk_profile`` as a report: duplicate and missing columns (schema
+    only), then null keys (one aggregate job). ``dataset`` is 'macro' or
+    'granular'; raises ``SchemaError`` in that order."""
+    if dataset == "macro":
+        required, keys = spec.macro_required, tuple(spec.group_keys)
+    elif dataset == "granular":
+        required, keys = spec.granular_required, spec.granular_keys
+    else:
+        raise ValueError("dataset is 'macro' or 'granular'.")
+    check_columns(df, required, dataset)
+    row = null_profile(df, keys, dataset).first()
+    nulls = [c for c in keys if row[f"null_{c}"] > 0]
+    if nulls:
+        raise SchemaError(f"{dataset} table has nulls in required column(s): {', '.join(nulls)}.")
+    return SchemaReport(dataset, int(row["row_count"]), len(df.columns), tuple(required), tuple(df.columns))
+
+
 def duplicate_keys(df: DataFrame, key_columns: tuple[str, ...]) -> DataFrame:
     """``chk_dup_keys``: business keys carried by more than one row."""
     return (

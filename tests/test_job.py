@@ -8,6 +8,8 @@ from plan_alloc.plans.job import run_job, run_stages
 from plan_alloc.sources.tables import BUNDLE_TABLES, read_table, write_bundle
 from plan_alloc.spec import DataError, IntegrityError, TargetError
 
+from datetime import date
+
 from conftest import JAN, rows
 
 G = "period string, market string, channel string, client string, sku string, baseline_qty double, baseline_value double"
@@ -133,3 +135,46 @@ def test_materialize_uses_checkpoint_folder(spark):
     df = materialize(spark.range(5), "t")
     assert df.count() == 5
     assert checkpoint_dir(spark).rstrip("/").split("/")[-1] in df.inputFiles()[0]
+
+
+def test_command_line_job(spark):
+    from plan_alloc.plans import cli
+
+    folder = tempfile.mkdtemp(prefix="plan_alloc_cli_")
+    with open(os.path.join(folder, "granular.csv"), "w") as fh:
+        fh.write("period,market,channel,client,sku,baseline_qty,baseline_value\n")
+        fh.write("2026-01-01,GEN,Retail,c,a,30,150\n2026-02-01,GEN,Retail,c,a,10,50\n2026-03-01,GEN,Retail,c,a,10,50\n")
+    with open(os.path.join(folder, "market.csv"), "w") as fh:
+        fh.write("period,market,channel,total_market_qty,total_market_value\n")
+        for m in ("01", "02", "03"):
+            fh.write(f"2026-{m}-01,GEN,Retail,200,1000\n")
+    out = cli.main(
+        [
+            "--macro", os.path.join(folder, "market.csv"),
+            "--granular", os.path.join(folder, "granular.csv"),
+            "--out", os.path.join(folder, "out"),
+            "--mode", "share", "--share", "0.25", "--lock-periods", "2026-01-01", "--run", "cli",
+        ],
+        spark=spark,
+    )
+    assert out["integrity"]["is_valid"] is True
+    fa = read_table(spark, out["tables"]["final_allocations"], fmt="parquet")
+    # annual 150; January locked at its granular 30; 120 left over two equal months
+    assert rows(fa, "period", "final_allocated_qty") == [
+        (JAN, 30.0),
+        (date(2026, 2, 1), 60.0),
+        (date(2026, 3, 1), 60.0),
+    ]
+
+
+def test_validate_schema_report(spark):
+    from plan_alloc.operators.standardize import validate_schema
+    from plan_alloc.spec import SchemaError
+
+    macro, granular = _inputs(spark)
+    rep = validate_schema(granular, AllocSpec(), "granular")
+    assert rep.row_count == 2 and rep.column_count == 7
+    assert rep.required_columns == ("period", "market", "channel", "client", "sku", "baseline_qty")
+    bad = spark.createDataFrame([("2026-01", None, "W", 1.0)], "period string, market string, channel string, macro_target_qty double")
+    with pytest.raises(SchemaError, match="market"):
+        validate_schema(bad, AllocSpec(), "macro")
