@@ -162,5 +162,7 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def floor_double(c: Column) -> Column:
-    """``floor`` kept as DOUBLE (Spark's floor(double) is BIGINT)."""
-    return F.floor(c).cast("double")
+    """``floor`` kept as DOUBLE. Spark's floor(double) is BIGINT and saturates
+    beyond 2^63; every double of magnitude 2^52 or more is already whole, so
+    those are returned as they are."""
+    return F.when(F.abs(c) < F.lit(float(2**52)), F.floor(c).cast("double")).otherwise(c)

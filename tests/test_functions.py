@@ -84,3 +84,11 @@ def test_quantity_numbers_and_booleans(spark):
     assert _qty(spark, [5, None], "q bigint") == [(5.0, None), (None, "qty_null")]
     assert _qty(spark, [float("nan")], "q double") == [(None, "qty_non_numeric")]
     assert _qty(spark, [True], "q boolean") == [(None, "qty_non_numeric")]
+
+
+def test_floor_of_huge_values(spark):
+    from plan_alloc.functions import floor_double
+
+    df = spark.createDataFrame([(1e20,), (-1e20,), (-2.5,), (2.5,), (None,)], "x double")
+    got = [r[0] for r in df.select(floor_double(F.col("x"))).collect()]
+    assert got == [1e20, -1e20, -3.0, 2.0, None]
