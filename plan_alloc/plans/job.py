@@ -27,6 +27,7 @@ from plan_alloc.operators import reports as R
 from plan_alloc.operators import standardize as S
 from plan_alloc.operators import targets as TG
 from plan_alloc.operators.checks import Check, enforce, violation_counts
+from plan_alloc.session import remove_written, written
 from plan_alloc.sources.tables import write_bundle
 from plan_alloc.spec import AllocSpec, Basis, SpecError, TargetError
 
@@ -45,6 +46,7 @@ class JobResult:
     counts: dict = field(default_factory=dict)
     integrity: dict = field(default_factory=dict)
     _cached: list = field(default_factory=list)
+    _scratch: list = field(default_factory=list)
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -59,9 +61,13 @@ class JobResult:
         return write_bundle(self.tables(), base, fmt, run, rebalance)
 
     def release(self) -> None:
+        """Drop cached blocks and scratch tables; call after the last write."""
         for df in self._cached:
             df.unpersist()
         self._cached.clear()
+        if self._scratch:
+            remove_written(self.rounded.sparkSession, self._scratch)
+            self._scratch.clear()
 
 
 def build_targets(
@@ -126,6 +132,7 @@ def run_job(
     if tuple(spec.group_keys) != TG.KEYS:
         raise SpecError("The planning job allocates over period, market and channel.")
     cached: list[DataFrame] = []
+    scratch_before = set(written(granular.sparkSession))
 
     def keep(df: DataFrame) -> DataFrame:
         # Read by several actions (group measure, checks, integrity, writes):
@@ -165,6 +172,7 @@ def run_job(
         targets=targets,
         layout=layout,
         _cached=cached,
+        _scratch=[p for p in written(granular.sparkSession) if p not in scratch_before],
     )
     if check:
         # One Spark job counts every rule violation and every integrity figure.

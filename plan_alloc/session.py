@@ -49,6 +49,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("Set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster.")
 
 
+# Folders written by ``materialize`` and not yet removed, per session.
+_WRITTEN: dict[int, list[str]] = {}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: cuts the lineage, and every later read sees exactly these rows
@@ -56,4 +60,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/plan_alloc_{label}_{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _WRITTEN.setdefault(id(spark), []).append(path)
     return spark.read.parquet(path)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Folders ``materialize`` wrote for this session and not yet removed."""
+    return list(_WRITTEN.get(id(spark), []))
+
+
+def remove_written(spark: SparkSession, paths: list[str]) -> None:
+    """Delete materialized folders (through the Hadoop file system of each
+    path, so HDFS/S3/local alike) once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        if path in _WRITTEN.get(id(spark), []):
+            _WRITTEN[id(spark)].remove(path)

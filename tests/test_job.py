@@ -117,8 +117,11 @@ def test_hot_groups_do_not_change_the_job(spark):
     assert hot.layout.hot_keys is not None and not hot.layout.broadcast
     assert rows(hot.final_allocations, *cols) == rows(base.final_allocations, *cols)
     assert hot.integrity == base.integrity
+    assert len(hot._scratch) == 1 and os.path.isdir(hot._scratch[0].replace("file:", ""))
+    scratch = hot._scratch[0].replace("file:", "")
     base.release()
     hot.release()
+    assert not os.path.exists(scratch)
 
 
 def test_rebalanced_write(spark):
