@@ -153,6 +153,22 @@ def q_std_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.standardize_granular(text_lines(spark, sf_dir), AllocSpec()).rejects
 
 
+def q_std_macro_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets rendered as text (a period format chosen by the month, numbers
+    with thousands separators) and standardised back: the round trip is exact."""
+    from plan_alloc.sources.cube import PERIOD_TEXT_FORMATS
+
+    macro = macro_cube(spark, sf_dir).drop("macro_target_value")
+    k = F.month("period") % 5
+    text = F.when(k == 0, F.date_format("period", PERIOD_TEXT_FORMATS[0]))
+    for i, fmt in enumerate(PERIOD_TEXT_FORMATS[1:], start=1):
+        text = text.when(k == i, F.date_format("period", fmt))
+    as_text = macro.select(
+        text.alias("period"), "market", "channel", F.format_number("macro_target_qty", 1).alias("macro_target_qty")
+    )
+    return S.standardize_macro(as_text, AllocSpec()).table
+
+
 def q_chk_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = AllocSpec()
     table = S.standardize_granular(text_lines(spark, sf_dir), spec).table
@@ -269,6 +285,12 @@ def q_job_direct_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _job_direct(spark, sf_dir).final_allocations
 
 
+def q_job_stages_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-metric chain stage by stage, its checks enforced in one job."""
+    granular, macro = _units_inputs(spark, sf_dir)
+    return J.run_stages(macro, granular, AllocSpec(enforce_exact_totals=False))["allocations"]
+
+
 def q_job_integrity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _job_direct(spark, sf_dir).integrity_summary
 
@@ -327,6 +349,8 @@ QUERIES: dict[str, Query] = {
     "job_direct_units": q_job_direct_units,
     "job_share_value": q_job_share_value,
     "job_integrity_summary": q_job_integrity_summary,
+    "std_macro_text": q_std_macro_text,
+    "job_stages_units": q_job_stages_units,
 }
 
 
@@ -392,6 +416,10 @@ def _oracle() -> dict[str, str]:
     out["dual_group"] = O.with_ctes(units, O.dual_group_sql())
     out["dual_sku"] = O.with_ctes(units, O.dual_sku_sql())
     out["job_direct_units"] = out["dual_allocations_units"]
+    out["std_macro_text"] = O.with_ctes(
+        [("macro", O.macro_sql(CORE))], "SELECT period, market, channel, macro_target_qty FROM macro"
+    )
+    out["job_stages_units"] = O.with_ctes(core, "SELECT * FROM rounded")
     job_integrity = units + [
         (
             "group_checks",
