@@ -77,14 +77,18 @@ def build_targets(
     mode: str = "direct",
     share: float | None = None,
     locks: DataFrame | None = None,
+    keep=lambda df: df,
 ) -> tuple[DataFrame, list[Check]]:
-    """``plan_mode``: direct targets, or targets from an annual share."""
+    """``plan_mode``: direct targets, or targets from an annual share.
+    ``keep`` caches the share detail table that the targets and the share
+    checks all read (Spark's cache manager then serves every plan on it)."""
     if mode == "direct":
         return TG.direct_targets(macro), []
     if mode == "share":
         if share is None:
             raise TargetError("Share-based targets need a market share.")
         built = TG.share_targets(macro, granular, share, basis, locks)
+        keep(built.detail)
         return built.targets, built.checks
     raise SpecError("mode is 'direct' or 'share'.")
 
@@ -144,7 +148,7 @@ def run_job(
         return df
 
     reference = keep(TG.granular_reference(granular))
-    targets, target_checks = build_targets(macro, reference, basis, mode, share, locks)
+    targets, target_checks = build_targets(macro, reference, basis, mode, share, locks, keep=keep)
     targets = keep(targets)
     std_macro, std_granular = engine_inputs(targets, reference, basis, spec)
     engine_macro = std_macro.table

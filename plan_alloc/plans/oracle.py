@@ -288,7 +288,7 @@ def share_target_ctes(cube: Cube, basis: str, share: float, months: tuple[str, .
             f"year(m.period) AS yr, mo.glt, COALESCE(l.is_locked, FALSE) AS is_locked, l.locked_target "
             f"FROM (SELECT period, COALESCE(market, {SENTINEL}) AS market, channel, "
             f"CAST(total_market_qty AS DOUBLE) AS total_market_qty, "
-            f"CAST(total_market_value AS DOUBLE) AS total_market_value FROM mt) m "
+            f"CAST(total_market_value AS DOUBLE) AS total_market_value FROM (SELECT DISTINCT * FROM mt) d) m "
             f"LEFT JOIN monthly mo {_using()} LEFT JOIN locks l {_using()}",
         ),
         (

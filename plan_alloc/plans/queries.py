@@ -271,13 +271,14 @@ def q_dual_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- end-to-end jobs ---------------------------------------------------------
 def _job_direct(spark: SparkSession, sf_dir: str) -> J.JobResult:
     """Direct unit targets end to end. Integrity is reported in the summary
-    rather than raised: at some scales a target month has no baseline rows."""
+    rather than raised: at some scales a target month has no baseline rows.
+    The job keeps its inputs cached (as it does when writing); the caller owns
+    the result and may ``release()`` it after reading."""
     return J.run_job(
         macro_cube(spark, sf_dir),
         granular_cube(spark, sf_dir),
         spec=AllocSpec(enforce_exact_totals=False),
         basis="units",
-        persist=False,
     )
 
 
@@ -306,7 +307,6 @@ def q_job_share_value(spark: SparkSession, sf_dir: str) -> DataFrame:
         mode="share",
         share=SHARE_OF_MARKET,
         locks=locks,
-        persist=False,
     )
     return result.final_allocations
 
