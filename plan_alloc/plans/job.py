@@ -157,6 +157,18 @@ def run_job(
     totals = keep(A.group_totals(aligned, spec))
     layout = A.measure_groups(totals, spec)
     weights = A.calculate_weights(aligned, spec, totals=totals, layout=layout)
+    input_rules = [*target_checks, *std_macro.checks, *std_granular.checks, *weights.checks]
+    early: dict[str, int] = {}
+    if check and layout.hot_keys is not None:
+        # Hot groups are ranked by writing a scratch table while the plan is
+        # built: check the inputs first so bad input costs no big write.
+        try:
+            early = _raise_first(input_rules, violation_counts(input_rules))
+        except Exception:
+            for df in cached:
+                df.unpersist()
+            raise
+        input_rules = []
     red = A.redistribute(engine_macro, weights.weights, spec, granular_groups=totals, layout=layout)
     rounding = A.apply_rounding(red.allocations, spec, layout=layout)
     rounded = keep(rounding.allocations)
@@ -179,20 +191,28 @@ def run_job(
         _scratch=[p for p in written(granular.sparkSession) if p not in scratch_before],
     )
     if check:
-        # One Spark job counts every rule violation and every integrity figure.
-        rules = [*target_checks, *std_macro.checks, *std_granular.checks, *weights.checks, *rounding.checks]
-        counts = violation_counts([*rules, *I.count_checks(integrity)])
-        for c in rules:
-            if counts[c.name] > 0:
-                raise c.error(f"{c.message} ({counts[c.name]} violating rows; check '{c.name}').")
-        result.counts = {c.name: counts[c.name] for c in rules}
-        row, summary = I.summary_from_counts(rounded.sparkSession, counts, spec)
-        result.integrity = I.raise_if_invalid(row, spec)
+        try:
+            # One Spark job counts every (remaining) rule and every integrity figure.
+            rules = [*input_rules, *rounding.checks]
+            counts = violation_counts([*rules, *I.count_checks(integrity)])
+            result.counts = {**early, **_raise_first(rules, counts)}
+            row, summary = I.summary_from_counts(rounded.sparkSession, counts, spec)
+            result.integrity = I.raise_if_invalid(row, spec)
+        except Exception:
+            result.release()  # a failed run keeps no cached blocks or scratch tables
+            raise
         # the one-row summary is already known: no second computation to write it
         result.integrity_summary = summary
     return result
 
 
+def _raise_first(rules: list[Check], counts: dict[str, int]) -> dict[str, int]:
+    for c in rules:
+        if counts[c.name] > 0:
+            raise c.error(f"{c.message} ({counts[c.name]} violating rows; check '{c.name}').")
+    return {c.name: counts[c.name] for c in rules}
+
+
 def run_stages(macro: DataFrame, granular: DataFrame, spec: AllocSpec = AllocSpec()) -> dict[str, DataFrame]:
     """``job_stages``: the single-metric chain step by step (standardise,
     weights, redistribute, round, integrity, reports), each stage a

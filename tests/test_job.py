@@ -181,3 +181,24 @@ def test_validate_schema_report(spark):
     bad = spark.createDataFrame([("2026-01", None, "W", 1.0)], "period string, market string, channel string, macro_target_qty double")
     with pytest.raises(SchemaError, match="market"):
         validate_schema(bad, AllocSpec(), "macro")
+
+
+def test_failed_run_releases_its_cache(spark):
+    macro, granular = _inputs(spark)
+    extra = spark.createDataFrame([("2026-02-01", "N", "Web", 5.0, 50.0)], M)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    with pytest.raises(IntegrityError):
+        run_job(macro.unionByName(extra), granular)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_bad_input_with_hot_groups_fails_before_ranking(spark):
+    from plan_alloc.session import written
+    from plan_alloc.spec import DataError
+
+    macro, granular = _inputs(spark)
+    dup = granular.unionByName(granular.limit(1))
+    before = written(spark)
+    with pytest.raises(DataError, match="repeats business keys"):
+        run_job(macro, dup, spec=AllocSpec(hot_group_rows=1))
+    assert written(spark) == before
