@@ -301,7 +301,9 @@ def share_target_ctes(cube: Cube, basis: str, share: float, months: tuple[str, .
         (
             "sy",
             f"SELECT *, {wsum('COALESCE(eff, 0.0)')} AS locked_total, "
-            f"{wsum(f'CASE WHEN NOT is_locked THEN {driver} ELSE 0.0 END')} AS unlocked_w FROM sx",
+            f"{wsum(f'CASE WHEN NOT is_locked THEN {driver} ELSE 0.0 END')} AS unlocked_w, "
+            f"SUM(CASE WHEN NOT is_locked THEN 1 ELSE 0 END) OVER (PARTITION BY yr, market, channel) AS unlocked_months "
+            f"FROM sx",
         ),
         (
             "sz",
@@ -322,7 +324,8 @@ def share_violations_sql() -> str:
         f"SELECT 'lock_without_source' AS rule, {KEYS} FROM sz WHERE is_locked AND eff IS NULL "
         f"UNION ALL SELECT 'lock_exceeds_annual', {KEYS} FROM sz WHERE remaining < -1e-9 "
         f"UNION ALL SELECT 'no_unlocked_weight', {KEYS} FROM sz "
-        f"WHERE NOT is_locked AND remaining > 1e-9 AND unlocked_w <= 0"
+        f"WHERE NOT is_locked AND remaining > 1e-9 AND unlocked_w <= 0 "
+        f"UNION ALL SELECT 'annual_target_unreached', {KEYS} FROM sz WHERE unlocked_months = 0 AND remaining > 1e-9"
     )
 
 
