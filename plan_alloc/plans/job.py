@@ -129,7 +129,7 @@ def run_job(
     persist: bool = True,
     ordered: bool = False,
 ) -> JobResult:
-    """``job_core``: the whole reconciliation. Raises on the first broken rule
+    """``job_core``: the whole allocation run. Raises on the first broken rule
     (when ``check``) and on an invalid result (when exact totals are enforced)."""
     if basis not in ("units", "value"):
         raise SpecError("basis is 'units' or 'value'.")

@@ -8,6 +8,7 @@ each query only appends its final SELECT.
 from __future__ import annotations
 
 from plan_alloc.functions.columns import NUMBER_PATTERN
+from plan_alloc.operators.targets import NULL_MARKET
 from plan_alloc.sources.cube import Cube, granular_sql, macro_sql, market_totals_sql, text_lines_sql
 
 KEYS = "period, market, channel"
@@ -225,7 +226,7 @@ __all__ = ["allocation_ctes", "exact_sum", "granular_sql", "group_summary_sql",
 # --------------------------------------------------------------------------
 # planning layer and two-metric outputs
 # --------------------------------------------------------------------------
-SENTINEL = "'[NULL_MERCADO]'"
+SENTINEL = f"'{NULL_MARKET}'"
 ROW_KEYS = "period, market, channel, client, sku"
 
 

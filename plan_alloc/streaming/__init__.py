@@ -1,6 +1,6 @@
 """Streaming.
 
-Empty on purpose: the reconciled data model has no event time, no unbounded
+Empty on purpose: the allocation data model has no event time, no unbounded
 input and no state between runs — every run allocates complete target and
 baseline tables. A plan refresh is a new batch run (``plans.job.run_job``)
 writing a new run folder.
