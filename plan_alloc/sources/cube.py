@@ -106,7 +106,26 @@ def _lines(spark: SparkSession, sf_dir: str, cube: Cube, years: tuple[int, ...])
     )
 
 
-def granular_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
+_BUILT: dict[tuple, DataFrame] = {}
+
+
+def _memo(kind: str, build):
+    """DataFrames are immutable lazy plans: one built per (session, folder,
+    cube) is reused instead of being planned again."""
+
+    def wrapper(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
+        key = (kind, id(spark), sf_dir.rstrip("/"), cube)
+        df = _BUILT.get(key)
+        if df is None or df.sparkSession is not spark:
+            df = _BUILT[key] = build(spark, sf_dir, cube)
+        return df
+
+    wrapper.__doc__ = build.__doc__
+    wrapper.__name__ = build.__name__
+    return wrapper
+
+
+def _granular_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
     """period, market, channel, client, sku, baseline_qty, baseline_value."""
     return (
         _lines(spark, sf_dir, cube, (cube.base_year,))
@@ -118,7 +137,7 @@ def granular_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> Data
     )
 
 
-def macro_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
+def _macro_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
     """period, market, channel, macro_target_qty, macro_target_value (next year's
     totals, moved back twelve months)."""
     return (
@@ -132,7 +151,7 @@ def macro_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFra
     )
 
 
-def market_totals(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
+def _market_totals(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
     """period, market, channel, total_market_qty, total_market_value over all
     parts (brand filter ignored): the market a share target applies to."""
     whole = Cube(market=cube.market, channel=cube.channel, base_year=cube.base_year, null_market=cube.null_market)
@@ -146,6 +165,11 @@ def market_totals(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> Data
     )
 
 
+granular_cube = _memo("granular", _granular_cube)
+macro_cube = _memo("macro", _macro_cube)
+market_totals = _memo("market", _market_totals)
+
+
 # How the text table spells periods, by (orderkey + linenumber) % 7
 # (0-4: the five accepted formats; 5: accepted format wrapped in whitespace;
 # 6: month 13, unreadable), and quantities, by line number (1: thousands
