@@ -292,6 +292,29 @@ def q_job_stages_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.run_stages(macro, granular, AllocSpec(enforce_exact_totals=False))["allocations"]
 
 
+def q_snk_bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job's four tables written to the shared scratch folder (row tables
+    partitioned by period) and the final allocations read back."""
+    from plan_alloc.session import scratch_path
+    from plan_alloc.sources.tables import read_table
+
+    result = _job_direct(spark, sf_dir)
+    paths = result.write(scratch_path(spark, "bundle"), fmt="parquet", run="check")
+    result.release()
+    return read_table(spark, paths["final_allocations"], fmt="parquet")
+
+
+def q_src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The granular table written as CSV, read back as text (no inference) and
+    standardised: the same rows and values come back."""
+    from plan_alloc.session import scratch_path
+    from plan_alloc.sources.tables import read_table
+
+    path = scratch_path(spark, "csv") + "/granular.csv"
+    granular_cube(spark, sf_dir).drop("baseline_value").write.option("header", True).csv(path)
+    return S.standardize_granular(read_table(spark, path, fmt="csv"), AllocSpec()).table
+
+
 def q_job_integrity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _job_direct(spark, sf_dir).integrity_summary
 
@@ -351,6 +374,8 @@ QUERIES: dict[str, Query] = {
     "job_integrity_summary": q_job_integrity_summary,
     "std_macro_text": q_std_macro_text,
     "job_stages_units": q_job_stages_units,
+    "snk_bundle_roundtrip": q_snk_bundle_roundtrip,
+    "src_csv_roundtrip": q_src_csv_roundtrip,
 }
 
 
@@ -420,6 +445,11 @@ def _oracle() -> dict[str, str]:
         [("macro", O.macro_sql(CORE))], "SELECT period, market, channel, macro_target_qty FROM macro"
     )
     out["job_stages_units"] = O.with_ctes(core, "SELECT * FROM rounded")
+    out["snk_bundle_roundtrip"] = out["dual_allocations_units"]
+    out["src_csv_roundtrip"] = O.with_ctes(
+        [("granular", O.granular_sql(CORE))],
+        "SELECT period, market, channel, client, sku, baseline_qty FROM granular",
+    )
     job_integrity = units + [
         (
             "group_checks",

@@ -79,3 +79,11 @@ def remove_written(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(conf).delete(p, True)
         if path in _WRITTEN.get(id(spark), []):
             _WRITTEN[id(spark)].remove(path)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh folder name under the shared checkpoint folder (registered, so
+    ``remove_written`` can delete it)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/plan_alloc_{label}_{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(id(spark), []).append(path)
+    return path
