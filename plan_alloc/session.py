@@ -34,7 +34,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     temporary folder; on a cluster a missing setting is an error, since a
     machine-local folder would not survive the loss of that machine.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context on the client, use the setting
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("Set spark.checkpoint.dir to a shared folder for this session.") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -71,9 +77,14 @@ def written(spark: SparkSession) -> list[str]:
 
 def remove_written(spark: SparkSession, paths: list[str]) -> None:
     """Delete materialized folders (through the Hadoop file system of each
-    path, so HDFS/S3/local alike) once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path, so HDFS/S3/local alike) once nothing reads them any more. Under
+    Spark Connect the client cannot reach the file system: the folders are
+    left to the checkpoint folder's retention."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:
+        return
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
