@@ -66,9 +66,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     return {"tables": paths, "integrity": result.integrity, "checks": result.counts}
 
 
-if __name__ == "__main__":
+def run() -> None:
+    """Console entry: print the written paths and figures as JSON; exit 2 on a
+    broken rule."""
     try:
         print(json.dumps(main(), default=str))
     except AllocError as err:
         print(f"plan_alloc: {type(err).__name__}: {err}", file=sys.stderr)
         sys.exit(2)
+
+
+if __name__ == "__main__":
+    run()
