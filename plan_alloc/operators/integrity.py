@@ -26,12 +26,12 @@ SUMMARY_COLUMNS = (
     "unmatched_granular_group_count",
 )
 
-# Failure reasons, in the order they are reported.
+# Failure reasons, in the order they are reported.
 REASONS = (
-    ("groups_with_gap_count", "group control totals do not match macro targets"),
-    ("negative_allocation_count", "negative final allocations were detected"),
-    ("unmatched_macro_group_count", "unmatched macro groups were detected"),
-    ("unmatched_granular_group_count", "unmatched granular groups were detected"),
+    ("groups_with_gap_count", "some groups' final totals miss their target"),
+    ("negative_allocation_count", "some final allocations are negative"),
+    ("unmatched_macro_group_count", "some targets have no baseline rows"),
+    ("unmatched_granular_group_count", "some baseline groups have no target"),
 )
 
 
@@ -154,5 +154,5 @@ def raise_if_invalid(row: dict, spec: AllocSpec) -> dict:
             for col, text in REASONS
             if row[col] > 0 and not (col == "negative_allocation_count" and spec.allow_negative)
         ]
-        raise IntegrityError("Integrity validation failed: " + "; ".join(reasons) + ".")
+        raise IntegrityError("The allocation is not valid: " + "; ".join(reasons) + ".")
     return row

@@ -59,7 +59,7 @@ def test_share_mode_needs_share(spark):
 def test_unmatched_macro_group_fails_the_run(spark):
     macro, granular = _inputs(spark)
     extra = spark.createDataFrame([("2026-02-01", "N", "Web", 5.0, 50.0)], M)
-    with pytest.raises(IntegrityError, match="unmatched macro"):
+    with pytest.raises(IntegrityError, match="targets have no baseline"):
         run_job(macro.unionByName(extra), granular)
 
 
