@@ -63,6 +63,18 @@ class GroupLayout:
     broadcast: bool
     hot_keys: DataFrame | None = None
     hot_rows: int = 0
+    hot_groups: int = 0
+    max_group_rows: int = 0
+
+    def describe(self) -> dict:
+        return {
+            "groups": self.group_count,
+            "rows": self.row_count,
+            "largest_group_rows": self.max_group_rows,
+            "per_group_tables_broadcast": self.broadcast,
+            "hot_groups": self.hot_groups,
+            "hot_rows": self.hot_rows,
+        }
 
 
 def measure_groups(per_group: DataFrame, spec: AllocSpec, rows_col: str = _ROWS) -> GroupLayout:
@@ -73,6 +85,7 @@ def measure_groups(per_group: DataFrame, spec: AllocSpec, rows_col: str = _ROWS)
         F.coalesce(F.sum(rows_col), F.lit(0)).alias("rows"),
         F.count_if(hot).alias("hot_groups"),
         F.coalesce(F.sum(F.when(hot, F.col(rows_col))), F.lit(0)).alias("hot_rows"),
+        F.coalesce(F.max(rows_col), F.lit(0)).alias("max_rows"),
     ).first()
     hot_keys = per_group.filter(hot).select(*spec.keys) if stats["hot_groups"] else None
     return GroupLayout(
@@ -81,6 +94,8 @@ def measure_groups(per_group: DataFrame, spec: AllocSpec, rows_col: str = _ROWS)
         broadcast=int(stats["groups"]) <= spec.broadcast_group_limit,
         hot_keys=hot_keys,
         hot_rows=int(stats["hot_rows"]),
+        hot_groups=int(stats["hot_groups"]),
+        max_group_rows=int(stats["max_rows"]),
     )
 
 

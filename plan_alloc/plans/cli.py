@@ -63,7 +63,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     result = run_job(macro, granular, spec=spec, basis=args.basis, mode=args.mode, share=args.share, locks=locks)
     paths = result.write(args.out, fmt=args.out_format, run=args.run, rebalance=args.rebalance)
     result.release()
-    return {"tables": paths, "integrity": result.integrity, "checks": result.counts}
+    return {"tables": paths, "integrity": result.integrity, "checks": result.counts, "groups": result.layout.describe()}
 
 
 def run() -> None:

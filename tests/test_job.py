@@ -161,6 +161,8 @@ def test_command_line_job(spark):
         spark=spark,
     )
     assert out["integrity"]["is_valid"] is True
+    assert out["groups"]["groups"] == 3 and out["groups"]["largest_group_rows"] == 1
+    assert out["groups"]["hot_groups"] == 0 and out["groups"]["per_group_tables_broadcast"] is True
     fa = read_table(spark, out["tables"]["final_allocations"], fmt="parquet")
     # annual 150; January locked at its granular 30; 120 left over two equal months
     assert rows(fa, "period", "final_allocated_qty") == [
