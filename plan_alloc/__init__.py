@@ -13,7 +13,15 @@ from plan_alloc.spec import (
     ZeroBaselineError,
 )
 
+from plan_alloc.plans.job import JobResult, run_job, run_stages  # noqa: E402
+from plan_alloc.sources.tables import read_table, write_bundle  # noqa: E402
+
 __all__ = [
+    "JobResult",
+    "read_table",
+    "run_job",
+    "run_stages",
+    "write_bundle",
     "AllocError",
     "AllocSpec",
     "AllocationError",
