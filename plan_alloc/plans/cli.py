@@ -38,7 +38,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--allow-negative", action="store_true")
     p.add_argument("--no-enforce", action="store_true", help="report integrity instead of failing the run")
     p.add_argument("--hot-group-rows", type=int, default=AllocSpec().hot_group_rows)
-    p.add_argument("--rebalance", action="store_true", help="rebalance partitioned writes by period")
+    p.add_argument("--no-rebalance", action="store_true", help="skip rebalancing partitioned writes by period")
     p.add_argument("--run", default=None, help="run id (default: UTC timestamp)")
     return p.parse_args(argv)
 
@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         template = TG.lock_template(granular, args.basis, [p.strip() for p in args.lock_periods.split(",")])
         locks = template if locks is None else locks.unionByName(template, allowMissingColumns=True)
     result = run_job(macro, granular, spec=spec, basis=args.basis, mode=args.mode, share=args.share, locks=locks)
-    paths = result.write(args.out, fmt=args.out_format, run=args.run, rebalance=args.rebalance)
+    paths = result.write(args.out, fmt=args.out_format, run=args.run, rebalance=not args.no_rebalance)
     result.release()
     return {"tables": paths, "integrity": result.integrity, "checks": result.counts, "groups": result.layout.describe()}
 

@@ -56,7 +56,7 @@ class JobResult:
             "integrity_summary": self.integrity_summary,
         }
 
-    def write(self, base: str, fmt: str = "parquet", run: str | None = None, rebalance: bool = False) -> dict[str, str]:
+    def write(self, base: str, fmt: str = "parquet", run: str | None = None, rebalance: bool = True) -> dict[str, str]:
         """``job_run`` sink: the four tables under ``base/run=<id>/``."""
         return write_bundle(self.tables(), base, fmt, run, rebalance)
 

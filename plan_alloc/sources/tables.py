@@ -62,14 +62,15 @@ def write_bundle(
     base: str,
     fmt: str = "parquet",
     run: str | None = None,
-    rebalance: bool = False,
+    rebalance: bool = True,
 ) -> dict[str, str]:
     """``snk_bundle``/``snk_csv``: write the four tables; return their paths.
 
-    ``rebalance``: before a ``period``-partitioned write, let AQE rebalance the
-    rows by period (one extra shuffle that splits big periods and merges small
-    ones), so each period folder gets a few well-sized files instead of one
-    small file per task.
+    ``rebalance`` (default): before a ``period``-partitioned write, let AQE
+    rebalance the rows by period (one shuffle of the output that splits big
+    periods and merges small ones), so each period folder gets a few
+    well-sized files instead of one file per task and period — tasks × periods
+    small files otherwise.
     """
     check_bundle(tables)
     if fmt not in ("csv", "parquet"):
