@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         template = TG.lock_template(granular, args.basis, [p.strip() for p in args.lock_periods.split(",")])
         locks = template if locks is None else locks.unionByName(template, allowMissingColumns=True)
     result = run_job(macro, granular, spec=spec, basis=args.basis, mode=args.mode, share=args.share, locks=locks)
-    paths = result.write(args.out, fmt=args.out_format, run=args.run, rebalance=not args.no_rebalance)
+    paths = result.write(args.out, fmt=args.out_format, run=args.run, rebalance=False if args.no_rebalance else None)
     result.release()
     return {"tables": paths, "integrity": result.integrity, "checks": result.counts, "groups": result.layout.describe()}
 

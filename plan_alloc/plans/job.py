@@ -45,6 +45,7 @@ class JobResult:
     layout: A.GroupLayout | None = None
     counts: dict = field(default_factory=dict)
     integrity: dict = field(default_factory=dict)
+    ordered: bool = False
     _cached: list = field(default_factory=list)
     _scratch: list = field(default_factory=list)
 
@@ -56,9 +57,13 @@ class JobResult:
             "integrity_summary": self.integrity_summary,
         }
 
-    def write(self, base: str, fmt: str = "parquet", run: str | None = None, rebalance: bool = True) -> dict[str, str]:
-        """``job_run`` sink: the four tables under ``base/run=<id>/``."""
-        return write_bundle(self.tables(), base, fmt, run, rebalance)
+    def write(
+        self, base: str, fmt: str = "parquet", run: str | None = None, rebalance: bool | None = None
+    ) -> dict[str, str]:
+        """``job_run`` sink: the four tables under ``base/run=<id>/``. Row tables
+        are rebalanced by period unless the run asked for ordered output (a
+        rebalance would shuffle the order away)."""
+        return write_bundle(self.tables(), base, fmt, run, (not self.ordered) if rebalance is None else rebalance)
 
     def release(self) -> None:
         """Drop cached blocks and scratch tables; call after the last write."""
@@ -187,6 +192,7 @@ def run_job(
         rounded=rounded,
         targets=targets,
         layout=layout,
+        ordered=ordered,
         _cached=cached,
         _scratch=[p for p in written(granular.sparkSession) if p not in scratch_before],
     )

@@ -204,3 +204,12 @@ def test_bad_input_with_hot_groups_fails_before_ranking(spark):
     with pytest.raises(DataError, match="repeats business keys"):
         run_job(macro, dup, spec=AllocSpec(hot_group_rows=1))
     assert written(spark) == before
+
+
+def test_ordered_run_keeps_row_order_in_files(spark):
+    macro, granular = _inputs(spark)
+    res = run_job(macro, granular, ordered=True)
+    paths = res.write(tempfile.mkdtemp(prefix="plan_alloc_ord_"), run="o")
+    back = spark.read.parquet(paths["final_allocations"] + "/period=2026-01-01")
+    assert [r["sku"] for r in back.collect()] == ["a", "b"]
+    res.release()
