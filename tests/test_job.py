@@ -213,3 +213,55 @@ def test_ordered_run_keeps_row_order_in_files(spark):
     back = spark.read.parquet(paths["final_allocations"] + "/period=2026-01-01")
     assert [r["sku"] for r in back.collect()] == ["a", "b"]
     res.release()
+
+
+def test_decimal_precision_value_basis(spark):
+    granular = spark.createDataFrame(
+        [("2026-01-01", "N", "Web", "c", s, 1.0, v) for s, v in (("a", 1.0), ("b", 1.0), ("c", 1.0))], G
+    )
+    macro = spark.createDataFrame([("2026-01-01", "N", "Web", None, 10.0)], M)
+    res = run_job(macro, granular, spec=AllocSpec(quantity_mode="decimal", quantity_decimals=2), basis="value")
+    got = rows(res.final_allocations, "sku", "final_allocated_value", "final_allocated_qty")
+    assert got == [("a", 3.34, 3.34), ("b", 3.33, 3.33), ("c", 3.33, 3.33)]
+    assert res.integrity["is_valid"]
+    res.release()
+
+
+def test_custom_group_keys_through_stages(spark):
+    granular = spark.createDataFrame(
+        [("2026-01", "N", "c", "a", "3"), ("2026-01", "N", "c", "b", "1"), ("2026-02", "N", "c", "a", "2")],
+        "period string, market string, client string, sku string, baseline_qty string",
+    )
+    macro = spark.createDataFrame(
+        [("2026-01", "N", "9"), ("2026-02", "N", "5")], "period string, market string, macro_target_qty string"
+    )
+    out = run_stages(macro, granular, AllocSpec(group_keys=("period", "market")))
+    assert rows(out["allocations"], "period", "sku", "final_allocated_qty") == [
+        (JAN, "a", 7.0),
+        (JAN, "b", 2.0),
+        (date(2026, 2, 1), "a", 5.0),
+    ]
+    assert out["integrity_summary"].first()["is_valid"] is True
+
+
+def test_command_line_reports_a_broken_rule(spark, capsys):
+    from plan_alloc.plans import cli
+
+    folder = tempfile.mkdtemp(prefix="plan_alloc_cli_bad_")
+    with open(os.path.join(folder, "granular.csv"), "w") as fh:
+        fh.write("period,market,channel,client,sku,baseline_qty,baseline_value\n2026-01-01,N,W,c,a,0,0\n")
+    with open(os.path.join(folder, "macro.csv"), "w") as fh:
+        fh.write("period,market,channel,macro_target_qty\n2026-01-01,N,W,5\n")
+    args = ["--macro", os.path.join(folder, "macro.csv"), "--granular", os.path.join(folder, "granular.csv"),
+            "--out", os.path.join(folder, "out")]
+    with pytest.raises(SystemExit) as done:
+        import sys
+
+        old = sys.argv
+        sys.argv = ["plan_alloc", *args]
+        try:
+            cli.run()
+        finally:
+            sys.argv = old
+    assert done.value.code == 2
+    assert "ZeroBaselineError" in capsys.readouterr().err
