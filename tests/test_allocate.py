@@ -170,3 +170,25 @@ def test_hot_group_path_matches_window_path(spark):
     layout = A.measure_groups(df.groupBy("period", "market", "channel").agg(F.count(F.lit(1)).alias("_group_rows")),
                               AllocSpec(hot_group_rows=50))
     assert layout.group_count == 6 and layout.hot_rows == 400 and layout.hot_keys.count() == 1
+
+
+def test_one_hot_group_with_equal_remainders_is_spread_evenly(spark):
+    """Worst case for skew: every row in one group, every remainder equal.
+    The range partitioning on the full ordering key still splits it evenly."""
+    from plan_alloc.session import written
+    from plan_alloc.sources.cube import granular_cube
+
+    from conftest import SF_SMALL
+
+    g = granular_cube(spark, SF_SMALL).select(
+        F.lit(JAN).alias("period"), F.lit("ALL").alias("market"), F.lit("ALL").alias("channel"),
+        "client", "sku", F.lit(1.0).alias("baseline_qty"),
+    )
+    n = g.count()
+    m = spark.createDataFrame([(JAN, "ALL", "ALL", n / 2 + 0.5)], "period date, market string, channel string, macro_target_qty double")
+    spec = AllocSpec(hot_group_rows=50)
+    r = A.apply_rounding(A.redistribute(m, A.calculate_weights(g, spec).weights, spec).allocations, spec, rows_per_task=100)
+    got = r.allocations.agg(F.sum("final_allocated_qty").alias("t"), F.countDistinct("residual_rank").alias("k")).first()
+    assert got["t"] == round(n / 2 + 0.5) and got["k"] == n
+    sizes = [row["count"] for row in spark.read.parquet(written(spark)[-1]).groupBy("_pid").count().collect()]
+    assert len(sizes) >= n // 100 - 1 and max(sizes) <= 2 * n / len(sizes)
