@@ -8,6 +8,7 @@ row-level ones partitioned by ``period`` so later reads can prune months.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from pathlib import PurePosixPath
 
@@ -76,9 +77,9 @@ def write_bundle(
     if fmt not in ("csv", "parquet"):
         raise DataError(f"Unsupported output format '{fmt}'.")
     folder = f"{base.rstrip('/')}/run={run or run_id()}"
-    paths = {}
-    for name in BUNDLE_TABLES:
-        path = f"{folder}/{name}"
+    paths = {name: f"{folder}/{name}" for name in BUNDLE_TABLES}
+
+    def write_one(name: str) -> None:
         df = tables[name]
         part = PARTITIONED.get(name)
         if part is not None and part in df.columns:
@@ -88,8 +89,13 @@ def write_bundle(
         else:
             writer = df.write.mode("overwrite")
         if fmt == "csv":
-            writer.option("header", True).csv(path)
+            writer.option("header", True).csv(paths[name])
         else:
-            writer.parquet(path)
-        paths[name] = path
+            writer.parquet(paths[name])
+
+    # The four writes are independent jobs over the same (cached) inputs:
+    # submitted together, Spark runs their stages side by side.
+    with ThreadPoolExecutor(max_workers=len(BUNDLE_TABLES)) as pool:
+        for future in [pool.submit(write_one, name) for name in BUNDLE_TABLES]:
+            future.result()
     return paths
