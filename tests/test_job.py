@@ -265,3 +265,16 @@ def test_command_line_reports_a_broken_rule(spark, capsys):
             sys.argv = old
     assert done.value.code == 2
     assert "ZeroBaselineError" in capsys.readouterr().err
+
+
+def test_report_unmatched_granular_groups(spark):
+    macro, granular = _inputs(spark)
+    stray = spark.createDataFrame([("2026-03-01", "N", "Web", "c", "z", 5.0, 50.0)], G)
+    lenient = AllocSpec(enforce_exact_totals=False)
+    quiet = run_job(macro, granular.unionByName(stray), spec=lenient)
+    assert quiet.integrity["unmatched_granular_group_count"] == 0  # aligned away, as the reference pipeline does
+    loud = run_job(macro, granular.unionByName(stray), spec=lenient, report_unmatched_granular=True)
+    assert loud.integrity["unmatched_granular_group_count"] == 1 and loud.integrity["is_valid"] is False
+    assert rows(loud.final_allocations, "sku") == [("a",), ("b",)]
+    quiet.release()
+    loud.release()
