@@ -278,3 +278,11 @@ def test_report_unmatched_granular_groups(spark):
     assert rows(loud.final_allocations, "sku") == [("a",), ("b",)]
     quiet.release()
     loud.release()
+
+
+def test_empty_granular_input_fails_clearly(spark):
+    from plan_alloc.spec import AllocationError
+
+    macro, granular = _inputs(spark)
+    with pytest.raises(AllocationError, match="no allocation rows"):
+        run_job(macro, granular.limit(0))
