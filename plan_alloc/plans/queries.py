@@ -210,6 +210,12 @@ def q_plan_lock_template_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TG.lock_template(granular_cube(spark, sf_dir, SHARE), "value", list(LOCKED_MONTHS))
 
 
+def q_plan_lock_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lock table given twice over (whole-row duplicates) comes out once."""
+    template = TG.lock_template(granular_cube(spark, sf_dir, SHARE), "units", list(LOCKED_MONTHS))
+    return TG.prepare_locks(template.unionByName(template), spark)
+
+
 def _share(spark: SparkSession, sf_dir: str, basis: str, share: float = SHARE_OF_MARKET) -> TG.ShareTargets:
     granular = granular_cube(spark, sf_dir, SHARE)
     locks = TG.lock_template(granular, basis, list(LOCKED_MONTHS))
@@ -361,6 +367,7 @@ QUERIES: dict[str, Query] = {
     "plan_direct_targets": q_plan_direct_targets,
     "plan_lock_template_units": q_plan_lock_template_units,
     "plan_lock_template_value": q_plan_lock_template_value,
+    "plan_lock_prepare": q_plan_lock_prepare,
     "plan_share_targets_units": q_plan_share_targets_units,
     "plan_share_targets_value": q_plan_share_targets_value,
     "plan_lock_violations": q_plan_lock_violations,
@@ -423,6 +430,10 @@ def _oracle() -> dict[str, str]:
     share_ref = O.reference_ctes(SHARE)
     out["plan_lock_template_units"] = O.with_ctes(share_ref, O.lock_template_sql("units", LOCKED_MONTHS))
     out["plan_lock_template_value"] = O.with_ctes(share_ref, O.lock_template_sql("value", LOCKED_MONTHS))
+    out["plan_lock_prepare"] = O.with_ctes(
+        share_ref + [("lt", O.lock_template_sql("units", LOCKED_MONTHS))],
+        "SELECT DISTINCT * FROM (SELECT * FROM lt UNION ALL SELECT * FROM lt) x",
+    )
     for basis in ("units", "value"):
         out[f"plan_share_targets_{basis}"] = O.with_ctes(
             O.share_target_ctes(SHARE, basis, SHARE_OF_MARKET, LOCKED_MONTHS), "SELECT * FROM targets"
