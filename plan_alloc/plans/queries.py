@@ -210,6 +210,10 @@ def q_plan_lock_template_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TG.lock_template(granular_cube(spark, sf_dir, SHARE), "value", list(LOCKED_MONTHS))
 
 
+def q_plan_granular_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TG.granular_monthly(TG.granular_reference(granular_cube(spark, sf_dir, SHARE)))
+
+
 def q_plan_lock_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lock table given twice over (whole-row duplicates) comes out once."""
     template = TG.lock_template(granular_cube(spark, sf_dir, SHARE), "units", list(LOCKED_MONTHS))
@@ -368,6 +372,7 @@ QUERIES: dict[str, Query] = {
     "plan_lock_template_units": q_plan_lock_template_units,
     "plan_lock_template_value": q_plan_lock_template_value,
     "plan_lock_prepare": q_plan_lock_prepare,
+    "plan_granular_monthly": q_plan_granular_monthly,
     "plan_share_targets_units": q_plan_share_targets_units,
     "plan_share_targets_value": q_plan_share_targets_value,
     "plan_lock_violations": q_plan_lock_violations,
@@ -430,6 +435,11 @@ def _oracle() -> dict[str, str]:
     share_ref = O.reference_ctes(SHARE)
     out["plan_lock_template_units"] = O.with_ctes(share_ref, O.lock_template_sql("units", LOCKED_MONTHS))
     out["plan_lock_template_value"] = O.with_ctes(share_ref, O.lock_template_sql("value", LOCKED_MONTHS))
+    out["plan_granular_monthly"] = O.with_ctes(
+        share_ref,
+        f"SELECT {O.KEYS}, {O.exact_sum('baseline_qty')} AS granular_month_qty, "
+        f"{O.exact_sum('baseline_value')} AS granular_month_value FROM ref GROUP BY {O.KEYS}",
+    )
     out["plan_lock_prepare"] = O.with_ctes(
         share_ref + [("lt", O.lock_template_sql("units", LOCKED_MONTHS))],
         "SELECT DISTINCT * FROM (SELECT * FROM lt UNION ALL SELECT * FROM lt) x",
