@@ -210,6 +210,23 @@ def q_plan_lock_template_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TG.lock_template(granular_cube(spark, sf_dir, SHARE), "value", list(LOCKED_MONTHS))
 
 
+def _engine_value(spark: SparkSession, sf_dir: str):
+    reference = TG.granular_reference(granular_cube(spark, sf_dir))
+    targets = TG.direct_targets(macro_cube(spark, sf_dir))
+    return J.engine_inputs(targets, reference, "value", AllocSpec())
+
+
+def q_plan_engine_macro_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value target under the engine's column name, standardised."""
+    return _engine_value(spark, sf_dir)[0].table
+
+
+def q_plan_engine_granular_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value baseline under the engine's column name, standardised (the
+    carried second metric left out)."""
+    return _engine_value(spark, sf_dir)[1].table.select("period", "market", "channel", "client", "sku", "baseline_qty")
+
+
 def q_plan_granular_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TG.granular_monthly(TG.granular_reference(granular_cube(spark, sf_dir, SHARE)))
 
@@ -373,6 +390,8 @@ QUERIES: dict[str, Query] = {
     "plan_lock_template_value": q_plan_lock_template_value,
     "plan_lock_prepare": q_plan_lock_prepare,
     "plan_granular_monthly": q_plan_granular_monthly,
+    "plan_engine_macro_value": q_plan_engine_macro_value,
+    "plan_engine_granular_value": q_plan_engine_granular_value,
     "plan_share_targets_units": q_plan_share_targets_units,
     "plan_share_targets_value": q_plan_share_targets_value,
     "plan_lock_violations": q_plan_lock_violations,
@@ -435,6 +454,13 @@ def _oracle() -> dict[str, str]:
     share_ref = O.reference_ctes(SHARE)
     out["plan_lock_template_units"] = O.with_ctes(share_ref, O.lock_template_sql("units", LOCKED_MONTHS))
     out["plan_lock_template_value"] = O.with_ctes(share_ref, O.lock_template_sql("value", LOCKED_MONTHS))
+    direct_core = O.reference_ctes(CORE) + O.direct_target_ctes(CORE)
+    out["plan_engine_macro_value"] = O.with_ctes(
+        direct_core, f"SELECT {O.KEYS}, macro_target_value AS macro_target_qty FROM targets"
+    )
+    out["plan_engine_granular_value"] = O.with_ctes(
+        direct_core, "SELECT period, market, channel, client, sku, baseline_value AS baseline_qty FROM ref"
+    )
     out["plan_granular_monthly"] = O.with_ctes(
         share_ref,
         f"SELECT {O.KEYS}, {O.exact_sum('baseline_qty')} AS granular_month_qty, "
