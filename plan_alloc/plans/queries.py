@@ -39,10 +39,14 @@ def _units_inputs(spark: SparkSession, sf_dir: str, cube: Cube = CORE) -> tuple[
 
 
 def _rounded(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube: Cube = CORE) -> A.Rounding:
+    """Weights → redistribution → rounding, the groups measured once on the
+    granular totals (size-checked broadcasts and hot-group routing for all
+    three steps, as the job does)."""
     granular, macro = _units_inputs(spark, sf_dir, cube)
-    weights = A.calculate_weights(granular, spec)
-    alloc = A.redistribute(macro, weights.weights, spec).allocations
-    return A.apply_rounding(alloc, spec)
+    totals, layout = _measured(granular, spec)
+    weights = A.calculate_weights(granular, spec, totals=totals, layout=layout)
+    alloc = A.redistribute(macro, weights.weights, spec, granular_groups=totals, layout=layout).allocations
+    return A.apply_rounding(alloc, spec, layout=layout)
 
 
 # ---- core allocation ------------------------------------------------------
@@ -86,25 +90,33 @@ def q_alloc_equal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.calculate_weights(granular, AllocSpec(zero_baseline="equal_split")).weights
 
 
-def _nation_redistribution(spark: SparkSession, sf_dir: str, cube: Cube, spec: AllocSpec) -> A.Redistribution:
+def _measured(granular: DataFrame, spec: AllocSpec) -> tuple[DataFrame, A.GroupLayout]:
+    totals = A.group_totals(granular, spec)
+    return totals, A.measure_groups(totals, spec)
+
+
+def _nation_redistribution(
+    spark: SparkSession, sf_dir: str, cube: Cube, spec: AllocSpec
+) -> tuple[A.Redistribution, A.GroupLayout]:
     granular, macro = _units_inputs(spark, sf_dir, cube)
-    weights = A.calculate_weights(granular, spec)
-    return A.redistribute(macro, weights.weights, spec, granular_groups=weights.totals)
+    totals, layout = _measured(granular, spec)
+    weights = A.calculate_weights(granular, spec, totals=totals, layout=layout)
+    return A.redistribute(macro, weights.weights, spec, granular_groups=totals, layout=layout), layout
 
 
 def q_alloc_unmatched_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nation_redistribution(spark, sf_dir, NATION, AllocSpec()).unmatched_macro
+    return _nation_redistribution(spark, sf_dir, NATION, AllocSpec())[0].unmatched_macro
 
 
 def q_alloc_unmatched_granular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nation_redistribution(spark, sf_dir, NATION, AllocSpec()).unmatched_granular
+    return _nation_redistribution(spark, sf_dir, NATION, AllocSpec())[0].unmatched_granular
 
 
 # ---- integrity ------------------------------------------------------------
 def _net_integrity(spark: SparkSession, sf_dir: str) -> I.Integrity:
     spec = AllocSpec(zero_baseline="equal_split", allow_negative=True)
-    red = _nation_redistribution(spark, sf_dir, NET, spec)
-    rounded = A.apply_rounding(red.allocations, spec).allocations
+    red, layout = _nation_redistribution(spark, sf_dir, NET, spec)
+    rounded = A.apply_rounding(red.allocations, spec, layout=layout).allocations
     return I.validate_integrity(rounded, red.unmatched_macro, red.unmatched_granular, spec)
 
 
@@ -273,10 +285,11 @@ def _dual(spark: SparkSession, sf_dir: str, basis: str) -> R.DualOutputs:
         reference.select("period", "market", "channel", "client", "sku", F.col(drive_b).alias("baseline_qty")), spec
     ).table
     aligned = TG.align(macro, granular)
-    weights = A.calculate_weights(aligned, spec)
-    alloc = A.redistribute(macro, weights.weights, spec).allocations
-    rounded = A.apply_rounding(alloc, spec).allocations
-    return R.dual_outputs(rounded, targets, reference, basis)
+    totals, layout = _measured(aligned, spec)
+    weights = A.calculate_weights(aligned, spec, totals=totals, layout=layout)
+    alloc = A.redistribute(macro, weights.weights, spec, granular_groups=totals, layout=layout).allocations
+    rounded = A.apply_rounding(alloc, spec, layout=layout).allocations
+    return R.dual_outputs(rounded, targets, reference, basis, layout=layout)
 
 
 def q_dual_allocations_units(spark: SparkSession, sf_dir: str) -> DataFrame:
