@@ -115,3 +115,14 @@ def test_checks_counted_in_one_pass(spark):
     df = spark.createDataFrame([("2026-01", "N", "Web", "x"), ("2026-01", "N", "Web", "1")], M)
     counts = violation_counts(standardize_macro(df, AllocSpec()).checks)
     assert counts == {"macro_null_keys": 0, "macro_rejected_values": 1, "macro_duplicate_keys": 0}
+
+
+def test_reject_reasons_are_the_documented_codes(spark):
+    from plan_alloc.operators.standardize import REASON_CODES
+    from plan_alloc.sources.cube import text_lines
+
+    from conftest import SF_SMALL
+
+    std = standardize_granular(text_lines(spark, SF_SMALL), AllocSpec())
+    seen = {r["reason"] for r in std.rejects.select("reason").distinct().collect()}
+    assert seen and seen <= set(REASON_CODES)
