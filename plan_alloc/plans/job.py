@@ -133,9 +133,15 @@ def run_job(
     report_unmatched_granular: bool = False,
     persist: bool = True,
     ordered: bool = False,
+    storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
 ) -> JobResult:
     """``job_core``: the whole allocation run. Raises on the first broken rule
-    (when ``check``) and on an invalid result (when exact totals are enforced)."""
+    (when ``check``) and on an invalid result (when exact totals are enforced).
+
+    ``persist``/``storage``: the frames several actions read (reference rows,
+    targets, group totals, rounded allocation) are kept at this storage level;
+    ``DISK_ONLY`` suits very large inputs, ``persist=False`` re-reads instead
+    (cheaper when the input is a plain Parquet scan)."""
     if basis not in ("units", "value"):
         raise SpecError("basis is 'units' or 'value'.")
     if tuple(spec.group_keys) != TG.KEYS:
@@ -148,7 +154,7 @@ def run_job(
         # materialise once instead of recomputing the lineage per action.
         if not persist:
             return df
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = df.persist(storage)
         cached.append(df)
         return df
 

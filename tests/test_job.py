@@ -286,3 +286,13 @@ def test_empty_granular_input_fails_clearly(spark):
     macro, granular = _inputs(spark)
     with pytest.raises(AllocationError, match="no allocation rows"):
         run_job(macro, granular.limit(0))
+
+
+def test_disk_only_storage(spark):
+    from pyspark import StorageLevel
+
+    macro, granular = _inputs(spark)
+    res = run_job(macro, granular, storage=StorageLevel.DISK_ONLY)
+    assert res.rounded.storageLevel == StorageLevel.DISK_ONLY
+    assert rows(res.final_allocations, "sku", "final_allocated_qty") == [("a", 72.0), ("b", 48.0)]
+    res.release()
