@@ -103,3 +103,13 @@ def test_no_broadcast_plan_keeps_one_granular_exchange(spark):
     assert len(granular) >= 1
     hashed = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert all("client" not in h and "sku" not in h for h in hashed)
+
+
+def test_no_registered_query_runs_python_on_rows(spark):
+    """Every registered query stays JVM-side: no Python UDF or pandas node."""
+    import __spark_entry__ as E
+
+    python_nodes = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF", "MapInArrow")
+    for name, query in E.queries().items():
+        plan = _plan(query(spark, SF_SMALL))
+        assert not any(node in plan for node in python_nodes), name
