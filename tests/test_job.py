@@ -296,3 +296,31 @@ def test_disk_only_storage(spark):
     assert res.rounded.storageLevel == StorageLevel.DISK_ONLY
     assert rows(res.final_allocations, "sku", "final_allocated_qty") == [("a", 72.0), ("b", 48.0)]
     res.release()
+
+
+def test_rebalanced_write_makes_few_files_per_period(spark):
+    import glob
+
+    from plan_alloc.sources.cube import granular_cube, macro_cube
+
+    from conftest import SF_SMALL
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        res = run_job(macro_cube(spark, SF_SMALL), granular_cube(spark, SF_SMALL), spec=AllocSpec(enforce_exact_totals=False))
+        base = tempfile.mkdtemp(prefix="plan_alloc_files_")
+        plain = res.write(base, run="plain", rebalance=False)["final_allocations"]
+        balanced = res.write(base, run="balanced", rebalance=True)["final_allocations"]
+        res.release()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    def files_per_period(path):
+        periods = glob.glob(f"{path}/period=*")
+        return max(len(glob.glob(f"{p}/*.parquet")) for p in periods), len(periods)
+
+    most_plain, periods = files_per_period(plain)
+    most_balanced, same_periods = files_per_period(balanced)
+    assert periods == same_periods == 12
+    assert most_balanced <= 2 < most_plain
