@@ -282,7 +282,7 @@ def apply_rounding(
     alloc: DataFrame,
     spec: AllocSpec,
     layout: GroupLayout | None = None,
-    rows_per_task: int = 1_000_000,
+    rows_per_task: int | None = None,
 ) -> Rounding:
     """Round down to the precision, then give the missing units one by one to
     the largest remainders (Hamilton / largest-remainder method)
@@ -290,7 +290,7 @@ def apply_rounding(
     ``rnd_group_summary``, ``rnd_negative_residual``, ``rnd_gap_check``).
 
     ``layout``: group facts from ``measure_groups``; measured here (one small
-    job) when not given.
+    job) when not given. ``rows_per_task`` overrides ``spec.hot_rows_per_task``.
     """
     cols = spec.columns
     required = {cols.sku, cols.target, RAW}
@@ -306,7 +306,9 @@ def apply_rounding(
     else:
         hot = F.broadcast(layout.hot_keys)
         ranked = _rank_by_window(scaled.join(hot, keys, "left_anti"), spec).unionByName(
-            _rank_by_range(scaled.join(hot, keys, "left_semi"), spec, layout.hot_rows, rows_per_task)
+            _rank_by_range(
+                scaled.join(hot, keys, "left_semi"), spec, layout.hot_rows, rows_per_task or spec.hot_rows_per_task
+            )
         )
     scale = F.lit(float(spec.scale))
     adjust_s = F.when(F.col(RANK) <= F.col(_RESID), F.lit(1.0)).otherwise(F.lit(0.0))

@@ -38,6 +38,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--allow-negative", action="store_true")
     p.add_argument("--no-enforce", action="store_true", help="report integrity instead of failing the run")
     p.add_argument("--hot-group-rows", type=int, default=AllocSpec().hot_group_rows)
+    p.add_argument("--hot-rows-per-task", type=int, default=AllocSpec().hot_rows_per_task)
     p.add_argument("--no-rebalance", action="store_true", help="skip rebalancing partitioned writes by period")
     p.add_argument("--run", default=None, help="run id (default: UTC timestamp)")
     return p.parse_args(argv)
@@ -53,6 +54,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         allow_negative=args.allow_negative,
         enforce_exact_totals=not args.no_enforce,
         hot_group_rows=args.hot_group_rows,
+        hot_rows_per_task=args.hot_rows_per_task,
     )
     macro = read_table(spark, args.macro, args.format)
     granular = read_table(spark, args.granular, args.format)
