@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values (must agree with the reference behaviour):
-# period text formats accepted, tried in this order (strptime spelling:
-# %Y-%m, %Y-%m-%d, %Y/%m, %Y/%m/%d, %d/%m/%Y).
+# Fixed values (must agree with the reference behaviour): the period text
+# formats accepted (strptime spelling: %Y-%m, %Y-%m-%d, %Y/%m, %Y/%m/%d,
+# %d/%m/%Y). Parsing goes through PERIOD_REWRITES below, one rewrite per format.
 PERIOD_PATTERNS = ("yyyy-M", "yyyy-M-d", "yyyy/M", "yyyy/M/d", "d/M/yyyy")
 # Each accepted format is first rewritten to the canonical yyyy-M-d text by
 # one anchored rewrite (fixed values; d/M/yyyy, yyyy/M/d, yyyy/M, yyyy-M in
