@@ -3,7 +3,7 @@
 A ``Check`` pairs a rule with the DataFrame of rows that break it. Building a
 check runs nothing. ``enforce`` counts the violations of many checks in a
 single Spark job (a union of one-row aggregates) and raises the first broken
-rule in the order given, so a lazy pipeline fails the same way an eager one
+rule in the order given, so a lazy job fails the same way an eager one
 would, without one job per rule.
 """
 
