@@ -40,6 +40,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--hot-group-rows", type=int, default=AllocSpec().hot_group_rows)
     p.add_argument("--hot-rows-per-task", type=int, default=AllocSpec().hot_rows_per_task)
     p.add_argument("--no-rebalance", action="store_true", help="skip rebalancing partitioned writes by period")
+    p.add_argument("--ordered", action="store_true", help="sort the outputs by their keys (a global sort per table)")
     p.add_argument("--run", default=None, help="run id (default: UTC timestamp)")
     return p.parse_args(argv)
 
@@ -62,7 +63,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     if args.lock_periods:
         template = TG.lock_template(granular, args.basis, [p.strip() for p in args.lock_periods.split(",")])
         locks = template if locks is None else locks.unionByName(template, allowMissingColumns=True)
-    result = run_job(macro, granular, spec=spec, basis=args.basis, mode=args.mode, share=args.share, locks=locks)
+    result = run_job(
+        macro, granular, spec=spec, basis=args.basis, mode=args.mode, share=args.share, locks=locks, ordered=args.ordered
+    )
     paths = result.write(args.out, fmt=args.out_format, run=args.run, rebalance=False if args.no_rebalance else None)
     result.release()
     return {"tables": paths, "integrity": result.integrity, "checks": result.counts, "groups": result.layout.describe()}

@@ -324,3 +324,25 @@ def test_rebalanced_write_makes_few_files_per_period(spark):
     most_balanced, same_periods = files_per_period(balanced)
     assert periods == same_periods == 12
     assert most_balanced <= 2 < most_plain
+
+
+def test_command_line_ordered_csv(spark):
+    from plan_alloc.plans import cli
+
+    folder = tempfile.mkdtemp(prefix="plan_alloc_cli_ord_")
+    with open(os.path.join(folder, "granular.csv"), "w") as fh:
+        fh.write("period,market,channel,client,sku,baseline_qty,baseline_value\n")
+        fh.write("2026-01-01,N,W,c,b,1,10\n2026-01-01,N,W,c,a,3,30\n")
+    with open(os.path.join(folder, "macro.csv"), "w") as fh:
+        fh.write("period,market,channel,macro_target_qty,macro_target_value\n2026-01-01,N,W,8,80\n")
+    out = cli.main(
+        ["--macro", os.path.join(folder, "macro.csv"), "--granular", os.path.join(folder, "granular.csv"),
+         "--out", os.path.join(folder, "out"), "--out-format", "csv", "--ordered", "--run", "o"],
+        spark=spark,
+    )
+    part = os.path.join(out["tables"]["final_allocations"], "period=2026-01-01")
+    lines = []
+    for name in sorted(os.listdir(part)):
+        if name.endswith(".csv"):
+            lines += open(os.path.join(part, name)).read().splitlines()[1:]
+    assert [line.split(",")[3] for line in lines] == ["a", "b"]
