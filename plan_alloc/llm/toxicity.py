@@ -101,8 +101,10 @@ class Machine:
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.offset)
-        for word, feature, value in features(words) if words else ():
-            out += np.bincount(word, self.weights[feature] * value, len(words))
+        for at in range(0, len(words), 10_000):  # bounds the arrays of all subsequences
+            part = words[at : at + 10_000]
+            for word, feature, value in features(part):
+                out[at : at + len(part)] += np.bincount(word, self.weights[feature] * value, len(part))
         return out
 
 
@@ -164,7 +166,8 @@ def train(rows: list[tuple[str | None, int]], *, landmarks: int = 128, negatives
     """
     # Copies of one text say the same thing once.
     rows = list({(t[:80], t[-80:]): (t, y) for t, y in rows if t}.values())
-    sets = [({p for s in _SENTENCE.split(t.lower()) for w in words_of(s) if (p := plain(w))}, y) for t, y in rows]
+    names: dict[str, str] = {}
+    sets = [({names.setdefault(p, p) for s in _SENTENCE.split(t.lower()) for w in words_of(s) if (p := plain(w))}, y) for t, y in rows]
     toxic, clean = Counter(), Counter()
     for ws, y in sets:
         (toxic if y else clean).update(ws)
@@ -188,14 +191,14 @@ def train(rows: list[tuple[str | None, int]], *, landmarks: int = 128, negatives
         marks = sorted(sorted(top, key=lambda w: (-top[w], w))[: landmarks * 3 // 4]) + common[: landmarks // 4]
         marks = list(dict.fromkeys(marks))
         lw, lf, lv = (np.concatenate(x) for x in zip(*features(marks), strict=True))
-        names = positive + against
-        xw, xf, xv = (np.concatenate(x) for x in zip(*features(names), strict=True))
+        both = positive + against
+        xw, xf, xv = (np.concatenate(x) for x in zip(*features(both), strict=True))
         dense = np.zeros(_SIZE, np.float32)
-        k_x, k_z = np.empty((len(names), len(marks))), np.empty((len(marks), len(marks)))
+        k_x, k_z = np.empty((len(both), len(marks))), np.empty((len(marks), len(marks)))
         for j in range(len(marks)):
             own = lw == j
             np.add.at(dense, lf[own], lv[own])
-            k_x[:, j] = np.bincount(xw, dense[xf] * xv, len(names))
+            k_x[:, j] = np.bincount(xw, dense[xf] * xv, len(both))
             k_z[:, j] = np.bincount(lw, dense[lf] * lv, len(marks))
             dense[lf[own]] = 0
         value, vector = np.linalg.eigh(k_z + 1e-6 * np.eye(len(marks)))
@@ -254,7 +257,7 @@ def held_out(id_column) -> "F.Column":
     return F.coalesce(F.crc32(id_column.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 1500, clean_rows: int = 4000) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 1200, clean_rows: int = 2400) -> Machine | None:
     """Train on at most ``toxic_rows`` and ``clean_rows`` labelled rows that are
     not held out, chosen by a hash of the id; only these reach the driver."""
     marked = labels.select(F.col(id_col).alias("id"), F.col("toxic").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
