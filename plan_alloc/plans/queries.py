@@ -27,6 +27,7 @@ CORE = Cube()  # market = region, channel = order priority
 NATION = Cube(market="nation")  # finer markets: groups on one side only
 ZERO = Cube(market="nation", returned_only=True)  # baseline = returned lines only: zero groups
 NET = Cube(market="nation", net_of_returns=True)  # returns count negative: negative rows
+STATUS = Cube(channel="status")
 SHARE = Cube(channel="status", brands=("Brand#1", "Brand#2", "Brand#3"))  # a few brands in their market
 LOCKED_MONTHS = ("1997-01-01", "1997-02-01")
 SHARE_OF_MARKET = 0.12
@@ -215,11 +216,11 @@ def q_plan_direct_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_plan_lock_template_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TG.lock_template(granular_cube(spark, sf_dir, SHARE), "units", list(LOCKED_MONTHS))
+    return TG.lock_template(granular_cube(spark, sf_dir, STATUS), "units", list(LOCKED_MONTHS))
 
 
 def q_plan_lock_template_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TG.lock_template(granular_cube(spark, sf_dir, SHARE), "value", list(LOCKED_MONTHS))
+    return TG.lock_template(granular_cube(spark, sf_dir, STATUS), "value", list(LOCKED_MONTHS))
 
 
 def _engine_value(spark: SparkSession, sf_dir: str):
@@ -240,12 +241,12 @@ def q_plan_engine_granular_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_plan_granular_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TG.granular_monthly(TG.granular_reference(granular_cube(spark, sf_dir, SHARE)))
+    return TG.granular_monthly(TG.granular_reference(granular_cube(spark, sf_dir, STATUS)))
 
 
 def q_plan_lock_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lock table given twice over (whole-row duplicates) comes out once."""
-    template = TG.lock_template(granular_cube(spark, sf_dir, SHARE), "units", list(LOCKED_MONTHS))
+    template = TG.lock_template(granular_cube(spark, sf_dir, STATUS), "units", list(LOCKED_MONTHS))
     return TG.prepare_locks(template.unionByName(template), spark)
 
 
@@ -464,9 +465,9 @@ def _oracle() -> dict[str, str]:
     )
     out["plan_unit_price"] = O.with_ctes(O.reference_ctes(CORE), "SELECT * FROM ref")
     out["plan_direct_targets"] = O.with_ctes(O.direct_target_ctes(CORE), "SELECT * FROM targets")
-    share_ref = O.reference_ctes(SHARE)
-    out["plan_lock_template_units"] = O.with_ctes(share_ref, O.lock_template_sql("units", LOCKED_MONTHS))
-    out["plan_lock_template_value"] = O.with_ctes(share_ref, O.lock_template_sql("value", LOCKED_MONTHS))
+    status_ref = O.reference_ctes(STATUS)
+    out["plan_lock_template_units"] = O.with_ctes(status_ref, O.lock_template_sql("units", LOCKED_MONTHS))
+    out["plan_lock_template_value"] = O.with_ctes(status_ref, O.lock_template_sql("value", LOCKED_MONTHS))
     direct_core = O.reference_ctes(CORE) + O.direct_target_ctes(CORE)
     out["plan_engine_macro_value"] = O.with_ctes(
         direct_core, f"SELECT {O.KEYS}, macro_target_value AS macro_target_qty FROM targets"
@@ -475,12 +476,12 @@ def _oracle() -> dict[str, str]:
         direct_core, "SELECT period, market, channel, client, sku, baseline_value AS baseline_qty FROM ref"
     )
     out["plan_granular_monthly"] = O.with_ctes(
-        share_ref,
+        status_ref,
         f"SELECT {O.KEYS}, {O.exact_sum('baseline_qty')} AS granular_month_qty, "
         f"{O.exact_sum('baseline_value')} AS granular_month_value FROM ref GROUP BY {O.KEYS}",
     )
     out["plan_lock_prepare"] = O.with_ctes(
-        share_ref + [("lt", O.lock_template_sql("units", LOCKED_MONTHS))],
+        status_ref + [("lt", O.lock_template_sql("units", LOCKED_MONTHS))],
         "SELECT DISTINCT * FROM (SELECT * FROM lt UNION ALL SELECT * FROM lt) x",
     )
     for basis in ("units", "value"):

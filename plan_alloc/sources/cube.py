@@ -11,8 +11,10 @@ aggregations of order lines:
 * channel  = order priority (``channel='priority'``) or order status (``'status'``)
 * client   = customer market segment
 * sku      = part key as text
-* granular = the lines of ``base_year``; macro = the lines of ``base_year+1``
-  moved back twelve months, so targets land on the baseline's months.
+* granular = all lines, by month; macro = all lines moved back twelve months,
+  so that a month's target is what was ordered in the same month a year later.
+  The first year's months have no earlier baseline and the last year's no target:
+  both sides have groups without a counterpart.
 
 Every builder has a twin that returns the same table as DuckDB SQL (a CTE
 body), used by the oracle queries.
@@ -32,7 +34,6 @@ AMOUNT = "decimal(18,2)"
 class Cube:
     market: str = "region"  # 'region' | 'nation'
     channel: str = "priority"  # 'priority' | 'status'
-    base_year: int = 1997
     brands: tuple[str, ...] | None = None  # keep only parts of these brands
     returned_only: bool = False  # baseline counts only returned lines (zero-baseline groups)
     net_of_returns: bool = False  # returned lines count negative (negative baselines)
@@ -53,16 +54,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def _lines(spark: SparkSession, sf_dir: str, cube: Cube, years: tuple[int, ...]) -> DataFrame:
-    lo, hi = min(years), max(years) + 1
-    orders = (
-        table(spark, sf_dir, "orders")
-        .filter(
-            (F.col("o_orderdate") >= F.lit(f"{lo}-01-01").cast("timestamp_ntz"))
-            & (F.col("o_orderdate") < F.lit(f"{hi}-01-01").cast("timestamp_ntz"))
-        )
-        .select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-    )
+def _lines(spark: SparkSession, sf_dir: str, cube: Cube) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     o = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
@@ -96,7 +89,6 @@ def _lines(spark: SparkSession, sf_dir: str, cube: Cube, years: tuple[int, ...])
         amount = F.when(returned, -amount).otherwise(amount)
     return rows.select(
         F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period"),
-        F.year("o_orderdate").alias("yr"),
         market.alias("market"),
         channel.alias("channel"),
         F.col("c_mktsegment").alias("client"),
@@ -128,7 +120,7 @@ def _memo(kind: str, build):
 def _granular_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
     """period, market, channel, client, sku, baseline_qty, baseline_value."""
     return (
-        _lines(spark, sf_dir, cube, (cube.base_year,))
+        _lines(spark, sf_dir, cube)
         .groupBy("period", "market", "channel", "client", "sku")
         .agg(
             F.sum("qty").alias("baseline_qty"),
@@ -138,10 +130,10 @@ def _granular_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> Dat
 
 
 def _macro_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
-    """period, market, channel, macro_target_qty, macro_target_value (next year's
-    totals, moved back twelve months)."""
+    """period, market, channel, macro_target_qty, macro_target_value (the totals
+    of the same month a year later)."""
     return (
-        _lines(spark, sf_dir, cube, (cube.base_year + 1,))
+        _lines(spark, sf_dir, cube)
         .withColumn("period", F.add_months("period", -12))
         .groupBy("period", "market", "channel")
         .agg(
@@ -154,9 +146,9 @@ def _macro_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFr
 def _market_totals(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
     """period, market, channel, total_market_qty, total_market_value over all
     parts (brand filter ignored): the market a share target applies to."""
-    whole = Cube(market=cube.market, channel=cube.channel, base_year=cube.base_year, null_market=cube.null_market)
+    whole = Cube(market=cube.market, channel=cube.channel, null_market=cube.null_market)
     return (
-        _lines(spark, sf_dir, whole, (cube.base_year,))
+        _lines(spark, sf_dir, whole)
         .groupBy("period", "market", "channel")
         .agg(
             F.sum("qty").alias("total_market_qty"),
@@ -258,8 +250,7 @@ def text_lines_sql(cube: Cube = Cube()) -> str:
 # --------------------------------------------------------------------------
 # DuckDB twins (CTE bodies)
 # --------------------------------------------------------------------------
-def lines_sql(cube: Cube, years: tuple[int, ...]) -> str:
-    lo, hi = min(years), max(years) + 1
+def lines_sql(cube: Cube) -> str:
     market = "r.r_name" if cube.market == "region" else "n.n_name"
     if cube.null_market is not None:
         market = f"NULLIF({market}, '{cube.null_market}')"
@@ -268,7 +259,7 @@ def lines_sql(cube: Cube, years: tuple[int, ...]) -> str:
     brand_filter = ""
     if cube.brands is not None:
         names = ", ".join(f"'{b}'" for b in cube.brands)
-        brand_filter = f"AND l.l_partkey IN (SELECT p_partkey FROM part WHERE p_brand IN ({names}))"
+        brand_filter = f"WHERE l.l_partkey IN (SELECT p_partkey FROM part WHERE p_brand IN ({names}))"
     qty = "l.l_quantity"
     amount = f"CAST(l.l_extendedprice AS DECIMAL(18,2))"
     if cube.returned_only:
@@ -279,7 +270,6 @@ def lines_sql(cube: Cube, years: tuple[int, ...]) -> str:
         amount = f"CASE WHEN l.l_returnflag = 'R' THEN -{amount} ELSE {amount} END"
     return f"""
     SELECT CAST(date_trunc('month', o.o_orderdate) AS DATE) AS period,
-           year(o.o_orderdate) AS yr,
            {market} AS market,
            {channel} AS channel,
            c.c_mktsegment AS client,
@@ -291,7 +281,6 @@ def lines_sql(cube: Cube, years: tuple[int, ...]) -> str:
     JOIN customer c ON o.o_custkey = c.c_custkey
     JOIN nation n ON c.c_nationkey = n.n_nationkey
     {region_join}
-    WHERE o.o_orderdate >= TIMESTAMP '{lo}-01-01' AND o.o_orderdate < TIMESTAMP '{hi}-01-01'
     {brand_filter}"""
 
 
@@ -300,7 +289,7 @@ def granular_sql(cube: Cube = Cube()) -> str:
     SELECT period, market, channel, client, sku,
            SUM(qty) AS baseline_qty,
            CAST(SUM(amount) AS DOUBLE) AS baseline_value
-    FROM ({lines_sql(cube, (cube.base_year,))}) x
+    FROM ({lines_sql(cube)}) x
     GROUP BY period, market, channel, client, sku"""
 
 
@@ -309,15 +298,15 @@ def macro_sql(cube: Cube = Cube()) -> str:
     SELECT CAST(period - INTERVAL 12 MONTH AS DATE) AS period, market, channel,
            SUM(qty) AS macro_target_qty,
            CAST(SUM(amount) AS DOUBLE) AS macro_target_value
-    FROM ({lines_sql(cube, (cube.base_year + 1,))}) x
+    FROM ({lines_sql(cube)}) x
     GROUP BY 1, market, channel"""
 
 
 def market_totals_sql(cube: Cube = Cube()) -> str:
-    whole = Cube(market=cube.market, channel=cube.channel, base_year=cube.base_year, null_market=cube.null_market)
+    whole = Cube(market=cube.market, channel=cube.channel, null_market=cube.null_market)
     return f"""
     SELECT period, market, channel,
            SUM(qty) AS total_market_qty,
            CAST(SUM(amount) AS DOUBLE) AS total_market_value
-    FROM ({lines_sql(whole, (cube.base_year,))}) x
+    FROM ({lines_sql(whole)}) x
     GROUP BY period, market, channel"""
