@@ -115,9 +115,10 @@ def _expected(rows: np.ndarray, k: int) -> float:
     return float(np.clip(np.quantile(near[:, min(k, near.shape[1]) - 1], 0.1), 0.05, 0.98))
 
 
-def _nearest(query_ids, queries, wanted, ids, vectors, keys, k):
+def _nearest(query_ids, queries, wanted, ids, vectors, keys, k, tables):
     """Per query, its k best among the rows whose cell it visits: (query, id, score)."""
     cells, inverse = np.unique(keys, return_inverse=True)
+    copies = k * tables
     out = []
     for q0 in range(0, len(queries), 256):
         part = queries[q0 : q0 + 256]
@@ -127,10 +128,12 @@ def _nearest(query_ids, queries, wanted, ids, vectors, keys, k):
         near = part @ vectors.T
         for i, row in enumerate(near):
             of = np.flatnonzero(open_[i][inverse] & (ids != query_ids[q0 + i]))
-            if len(of) > k:
-                least = -np.partition(-row[of], k - 1)[k - 1]
+            if len(of) > copies:
+                least = -np.partition(-row[of], copies - 1)[copies - 1]
                 of = of[row[of] >= least - 1e-9 * max(1.0, abs(least))]
             if len(of):
+                # A row may be here from every table: it counts once.
+                of = of[np.unique(ids[of], return_index=True)[1]]
                 # The same order of additions for every row: equal vectors, equal scores.
                 score = (vectors[of] * part[i]).sum(1)
                 best = np.lexsort((ids[of], -score))[:k]
@@ -196,7 +199,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
 
     def ranked(base_rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         get = lambda pdf: np.array(pdf["v"].tolist(), dtype=float).reshape(-1, dim)
-        return _nearest(asked["id"].to_numpy(), get(asked), [np.asarray(x) for x in asked["keys"]], base_rows["id"].to_numpy(), get(base_rows), base_rows["key"].to_numpy(), k)
+        return _nearest(asked["id"].to_numpy(), get(asked), [np.asarray(x) for x in asked["keys"]], base_rows["id"].to_numpy(), get(base_rows), base_rows["key"].to_numpy(), k, tables)
 
     found = left.select("block", "chunk", "id", "v", "key").groupBy("block", "chunk").cogroup(right.select("block", "chunk", "id", "v", "keys").groupBy("block", "chunk")).applyInPandas(ranked, "query_id long, vec_id long, score double")
     # A row found in several tables has one rank.
