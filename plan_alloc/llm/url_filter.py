@@ -45,7 +45,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     n = F.length(url)
     count = lambda text, c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-    share = lambda c: (n - F.length(F.replace(url, c, F.lit("")))) / n
+    share = lambda c: (n - F.length(F.replace(url, c, F.lit("")))) / F.greatest(n, F.lit(1))
     distinct = F.array_distinct(F.regexp_extract_all(url, F.lit("(?s)(.)"), 1))
     query = F.when(F.instr(url, "?") > 0, F.regexp_extract(url, r"\?([^#]*)", 1)).otherwise("")
     return {
@@ -54,7 +54,7 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "path_length": F.length(path),
         "depth": count(path, "/"),
         "labels": count(host, "."),
-        "digits": F.coalesce(F.length(F.regexp_replace(url, "[^0-9]", "")) / n, F.lit(0.0)),
+        "digits": F.coalesce(F.length(F.regexp_replace(url, "[^0-9]", "")) / F.greatest(n, F.lit(1)), F.lit(0.0)),
         "entropy": F.coalesce(F.aggregate(distinct, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))), F.lit(0.0)),
         "parameters": F.when(query != "", count(query, "&") + 1).otherwise(0),
         "parameter_length": F.length(query),
