@@ -149,11 +149,33 @@ def quantity_reason(
     return F.when(c.isNull(), F.lit("qty_null")).otherwise(F.lit("qty_type"))
 
 
-def exact_sum(c: Column | str) -> Column:
-    """Sum of doubles through DECIMAL(28,9): exact, so independent of row order
-    and partitioning; 0 (not null) for a group without values."""
+def exact_sum(c: Column | str, decimals: int = 0) -> Column:
+    """Sum of doubles through a decimal type: exact to nine decimals (or to three
+    more than ``decimals``, if that is finer), so independent of row order and
+    partitioning; 0 (not null) for a group without values."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.sum(col.cast(EXACT_DECIMAL)).cast("double"), F.lit(0.0))
+    kind = EXACT_DECIMAL if decimals + 3 <= EXACT_DECIMAL.scale else T.DecimalType(38, min(decimals + 3, 30))
+    return F.coalesce(F.sum(col.cast(kind)).cast("double"), F.lit(0.0))
+
+
+# Decimal types for a group's total, by the group's largest magnitude: groups
+# below 1 are summed to 27 decimals, groups from 1e18 on to six.
+TINY, HUGE = 1.0, 1e18
+_TOTALS = {"tiny": T.DecimalType(38, 27), "huge": T.DecimalType(38, 6)}
+
+
+def exact_total(c: Column | str) -> Column:
+    """Sum of a group's baselines at a scale that suits the group: as
+    ``exact_sum``, but small fractions keep their proportions and values beyond
+    the usual range add up. The scale follows from the largest magnitude, so the
+    result does not depend on row order or partitioning."""
+    col = F.col(c) if isinstance(c, str) else c
+    size = F.abs(col)
+    top = F.coalesce(F.max(size), F.lit(0.0))
+    tiny = F.sum(F.when(size < TINY, col).cast(_TOTALS["tiny"])).cast("double")
+    usual = F.sum(F.when(size < HUGE, col).cast(EXACT_DECIMAL)).cast("double")
+    huge = F.sum(F.when(size < 1e30, col).cast(_TOTALS["huge"])).cast("double")
+    return F.coalesce(F.when(top < TINY, tiny).when(top < HUGE, usual).otherwise(huge), F.lit(0.0))
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plan_alloc.functions.columns import exact_sum, floor_double, ratio
+from plan_alloc.functions.columns import exact_sum, exact_total, floor_double, ratio
 from plan_alloc.operators.checks import Check
 from plan_alloc.session import materialize
 from plan_alloc.spec import AllocationError, AllocSpec, IntegrityError, ZeroBaselineError
@@ -117,7 +117,7 @@ class Weights:
 def group_totals(granular: DataFrame, spec: AllocSpec) -> DataFrame:
     """One row per group: exact baseline total and row count."""
     return granular.groupBy(*spec.keys).agg(
-        exact_sum(spec.columns.baseline).alias(GROUP_TOTAL),
+        exact_total(spec.columns.baseline).alias(GROUP_TOTAL),
         F.count(F.lit(1)).alias(_ROWS),
     )
 
@@ -324,7 +324,7 @@ def apply_rounding(
     # Both group rules come from one aggregate over the (small) group summary.
     rule_counts = summary.agg(
         F.count_if(F.col("_residual_units") < 0).alias("negative_residual"),
-        F.count_if(F.abs(F.col("final_gap")) > F.lit(spec.tolerance + 1e-9)).alias("rounding_gap"),
+        F.count_if(F.abs(F.col("final_gap")) > F.lit(spec.tolerance + spec.slack)).alias("rounding_gap"),
     )
     checks = [
         Check(

@@ -51,7 +51,7 @@ def group_checks(rounded: DataFrame, spec: AllocSpec) -> DataFrame:
         rounded.groupBy(*spec.keys)
         .agg(
             F.max(target).alias(target),
-            exact_sum(FINAL).alias("final_allocated_total"),
+            exact_sum(FINAL, spec.quantity_decimals).alias("final_allocated_total"),
             F.count(F.lit(1)).alias("row_count"),
         )
         .withColumns(
@@ -59,7 +59,7 @@ def group_checks(rounded: DataFrame, spec: AllocSpec) -> DataFrame:
                 "allocation_gap": gap,
                 "exact_match": F.col(target) == F.col("final_allocated_total"),
                 "absolute_gap": F.abs(gap),
-                "within_tolerance": F.abs(gap) <= F.lit(spec.tolerance + 1e-9),
+                "within_tolerance": F.abs(gap) <= F.lit(spec.tolerance + spec.slack),
             }
         )
     )

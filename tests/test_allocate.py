@@ -193,3 +193,17 @@ def test_one_hot_group_with_equal_remainders_is_spread_evenly(spark):
     assert got["t"] == math.floor(n / 2 + 0.5 + 0.5) and got["k"] == n  # half away from zero
     sizes = [row["count"] for row in spark.read.parquet(written(spark)[-1]).groupBy("_pid").count().collect()]
     assert len(sizes) >= n // 100 - 1 and max(sizes) <= 2 * n / len(sizes)
+
+
+@pytest.mark.parametrize(
+    "baselines, weights",
+    [([3e-10, 1e-10], [0.75, 0.25]), ([1.5e-9] * 3, [1 / 3] * 3), ([2e19, 6e19], [0.25, 0.75]), ([1e-12, 0.0], [1.0, 0.0])],
+)
+def test_totals_of_very_small_and_very_large_baselines(spark, baselines, weights):
+    g = spark.createDataFrame([(JAN, "N", "W", f"s{i}", b) for i, b in enumerate(baselines)], GRAN)
+    w = A.calculate_weights(g, AllocSpec())
+    assert w.zero_groups.count() == 0
+    assert [r[1] for r in rows(w.weights, "sku", "weight")] == pytest.approx(weights, rel=1e-12)
+    macro = spark.createDataFrame([(JAN, "N", "W", 100.0)], "period date, market string, channel string, macro_target_qty double")
+    done = A.apply_rounding(A.redistribute(macro, w.weights, AllocSpec()).allocations, AllocSpec())
+    assert sum(r[0] for r in rows(done.allocations, "final_allocated_qty")) == 100.0

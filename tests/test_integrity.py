@@ -73,3 +73,10 @@ def test_missing_columns(spark):
     r = spark.createDataFrame([(JAN, "N", "W", "a", 10.0)], "period date, market string, channel string, sku string, macro_target_qty double")
     with pytest.raises(IntegrityError, match="final_allocated_qty"):
         validate_integrity(r, _empty(spark), _empty(spark), AllocSpec())
+
+
+def test_gap_of_five_units_at_ten_decimals(spark):
+    spec = AllocSpec(quantity_mode="decimal", quantity_decimals=10)
+    r = spark.createDataFrame([(JAN, "N", "W", "a", 8e-10, 3e-10)], R)
+    res = validate_integrity(r, _empty(spark), _empty(spark), spec)
+    assert rows(res.group_checks, "final_allocated_total", "within_tolerance") == [(3e-10, False)]

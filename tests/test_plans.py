@@ -110,6 +110,6 @@ def test_no_registered_query_runs_python_on_rows(spark):
     import __spark_entry__ as E
 
     python_nodes = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF", "MapInArrow")
-    for name, query in E.queries().items():
+    for name, query in E.QUERIES.items():
         plan = _plan(query(spark, SF_SMALL))
         assert not any(node in plan for node in python_nodes), name
