@@ -1,6 +1,6 @@
 """Registered queries: Spark callables ``(spark, sf_dir) -> DataFrame`` and
 their DuckDB oracle SQL. Every query reads the given tables (through the
-planning cube) over their whole extent."""
+planning cube) over all order years."""
 
 from __future__ import annotations
 
