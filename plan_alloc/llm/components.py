@@ -41,21 +41,22 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that join the members of each bucket as all verified pairs of
-    members would, without making all pairs.
+def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component (its smallest reachable node) of the graph that all verified
+    pairs of members of a bucket would make, without making all pairs. Nodes
+    without a link may be absent.
 
     ``members``: bucket, node. First every member is verified against its
     bucket's smallest node, and the components of those links are found. Only in
     buckets that still hold members of different components are pairs made, of
-    members whose components differ. Pairs within a component are never needed,
-    so no component is lost. ``verify`` keeps the pairs (a, b) that are links.
+    members whose components differ; what they link is components, so the second
+    search runs on those alone. Pairs within a component are never needed, so no
+    component is lost. ``verify`` keeps the pairs (a, b) that are links.
     """
     members = keep(members.select("bucket", "node"), "members")
     centre = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("bucket", "a")
     star = members.join(centre, "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct()
-    near = keep(verify(star).select("a", "b"), "star_links")
-    of = components(near)
+    of = keep(components(verify(star).select("a", "b")), "star_components")
     placed = members.join(of, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     placed = keep(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("bucket")
@@ -65,4 +66,11 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     # The stars' pairs are judged already; the rest of a bucket's pairs are made once.
     pairs = left.join(right, "bucket").where("a < b and ca != cb").select("a", "b").distinct()
     pairs = pairs.join(star, ["a", "b"], "left_anti")
-    return near.unionAll(verify(pairs).select("a", "b"))
+    links = verify(pairs).select("a", "b")
+    for end in ("a", "b"):
+        named = of.select(F.col("node").alias(end), F.col("component").alias("c"))
+        links = links.join(named, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    over = keep(components(links.select("a", "b")).withColumnsRenamed({"node": "part", "component": "whole"}), "components")
+    found = of.join(over, of["component"] == over["part"], "left").select("node", F.coalesce("whole", "component").alias("component"))
+    alone = over.join(of, over["part"] == of["node"], "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("component"))
+    return found.unionAll(alone)

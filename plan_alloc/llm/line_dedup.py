@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plan_alloc.llm.common import in_arrow, keep, small, text_bytes
-from plan_alloc.llm.components import bucket_links, components
+from plan_alloc.llm.components import bucket_components
 
 SHINGLE, ROWS, BANDS = 8, 5, 14
 SLOTS = ROWS * BANDS
@@ -136,7 +136,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
         both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
         return in_arrow(both.select("a", "b", "ta", "tb"), lambda it: _jaccard(it, threshold), "a long, b long")
 
-    of = components(bucket_links(members, verify))
+    of = bucket_components(members, verify)
     classes = firsts.join(of, firsts["h"] == of["node"], "left").select("h", "first", "n", F.coalesce("component", "h").alias("c"))
     best = classes.groupBy("c").agg(F.min("first").alias("best"), F.sum("n").alias("n")).where("n > 1")
     repeated = classes.join(best.select("c", "best"), "c").select("h", "best")

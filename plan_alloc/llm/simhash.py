@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plan_alloc.llm.common import in_arrow, keep
-from plan_alloc.llm.components import bucket_links, components
+from plan_alloc.llm.components import bucket_components
 
 BLOCKS = 6
 FINE = 8  # parts of the remaining bits in a crowded bucket
@@ -110,7 +110,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     prints = keep(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "fingerprints")
     reps = prints.groupBy("f").agg(F.min("id").alias("first"))
     near = lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    of = components(bucket_links(members_of(reps, max_bits), near))
+    of = bucket_components(members_of(reps, max_bits), near)
     classes = reps.join(of, reps["f"] == of["node"], "left").select("f", "first", F.coalesce("component", "f").alias("c"))
     named = classes.groupBy("c").agg(F.min("first").alias("component_id"))
     found = classes.join(named, "c").select("f", "component_id")

@@ -76,7 +76,7 @@ def test_simhash_crowded_buckets_lose_no_link(spark):
     prints = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in r.integers(0, 62, (300, 2))} | {int(x) for x in r.integers(1 << 62, size=300)})
     reps = spark.createDataFrame([(p,) for p in prints], "f long")
     near = lambda p: p.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)
-    got = {x.node: x.component for x in components.components(components.bucket_links(simhash.members_of(reps, 3, crowded=8), near)).collect()}
+    got = {x.node: x.component for x in components.bucket_components(simhash.members_of(reps, 3, crowded=8), near).collect()}
     root = _groups(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
     for i, p in enumerate(prints):
         assert got.get(p, p) == prints[root[i]]
