@@ -42,9 +42,11 @@ class Integrity:
     negative_allocations: DataFrame
     unmatched_macro: DataFrame
     unmatched_granular: DataFrame
+    counts: DataFrame | None = None  # one row: groups, groups with a gap, negative rows
 
 
-def group_checks(rounded: DataFrame, spec: AllocSpec) -> DataFrame:
+def _group_facts(rounded: DataFrame, spec: AllocSpec) -> DataFrame:
+    """``group_checks`` and each group's negative rows, from one aggregate."""
     target = spec.columns.target
     gap = F.col(target) - F.col("final_allocated_total")
     return (
@@ -53,6 +55,7 @@ def group_checks(rounded: DataFrame, spec: AllocSpec) -> DataFrame:
             F.max(target).alias(target),
             exact_sum(FINAL, spec.quantity_decimals).alias("final_allocated_total"),
             F.count(F.lit(1)).alias("row_count"),
+            F.count_if(F.col(FINAL) < 0).alias("_negative_rows"),
         )
         .withColumns(
             {
@@ -65,6 +68,10 @@ def group_checks(rounded: DataFrame, spec: AllocSpec) -> DataFrame:
     )
 
 
+def group_checks(rounded: DataFrame, spec: AllocSpec) -> DataFrame:
+    return _group_facts(rounded, spec).drop("_negative_rows")
+
+
 def validate_integrity(
     rounded: DataFrame,
     unmatched_macro: DataFrame,
@@ -75,15 +82,15 @@ def validate_integrity(
     missing = sorted(needed - set(rounded.columns))
     if missing:
         raise IntegrityError(f"Integrity checks need column(s) {', '.join(missing)}.")
-    checks = group_checks(rounded, spec)
-    negatives = rounded.filter(F.col(FINAL) < 0)
+    facts = _group_facts(rounded, spec)
+    # The allocation is read once: gaps and negative rows come from one aggregate.
+    counts = facts.agg(
+        F.count(F.lit(1)).alias("validated_group_count"),
+        F.count_if(~F.col("within_tolerance")).alias("groups_with_gap_count"),
+        F.coalesce(F.sum("_negative_rows"), F.lit(0)).alias("negative_allocation_count"),
+    )
     stacked = (
-        checks.agg(
-            F.count(F.lit(1)).alias("validated_group_count"),
-            F.count_if(~F.col("within_tolerance")).alias("groups_with_gap_count"),
-        )
-        .unionByName(negatives.agg(F.count(F.lit(1)).alias("negative_allocation_count")), allowMissingColumns=True)
-        .unionByName(unmatched_macro.agg(F.count(F.lit(1)).alias("unmatched_macro_group_count")), allowMissingColumns=True)
+        counts.unionByName(unmatched_macro.agg(F.count(F.lit(1)).alias("unmatched_macro_group_count")), allowMissingColumns=True)
         .unionByName(
             unmatched_granular.agg(F.count(F.lit(1)).alias("unmatched_granular_group_count")), allowMissingColumns=True
         )
@@ -99,10 +106,11 @@ def validate_integrity(
     summary = summary.withColumn("is_valid", ~invalid)
     return Integrity(
         summary=summary,
-        group_checks=checks,
-        negative_allocations=negatives,
+        group_checks=facts.drop("_negative_rows"),
+        negative_allocations=rounded.filter(F.col(FINAL) < 0),
         unmatched_macro=unmatched_macro,
         unmatched_granular=unmatched_granular,
+        counts=counts,
     )
 
 
@@ -120,14 +128,9 @@ SUMMARY_SCHEMA = T.StructType(
 def count_checks(result: Integrity) -> list[Check]:
     """The summary's counts as count-only checks, so a job can compute them in
     the same single Spark job as its rule checks (see ``checks.violation_counts``)."""
-    gaps = result.group_checks.agg(
-        F.count(F.lit(1)).alias("validated_group_count"),
-        F.count_if(~F.col("within_tolerance")).alias("groups_with_gap_count"),
-    )
+    counted = ("validated_group_count", "groups_with_gap_count", "negative_allocation_count")
     return [
-        Check("validated_group_count", IntegrityError, "", gaps, count_col="validated_group_count"),
-        Check("groups_with_gap_count", IntegrityError, "", gaps, count_col="groups_with_gap_count"),
-        Check("negative_allocation_count", IntegrityError, "", result.negative_allocations),
+        *[Check(c, IntegrityError, "", result.counts, count_col=c) for c in counted],
         Check("unmatched_macro_group_count", IntegrityError, "", result.unmatched_macro),
         Check("unmatched_granular_group_count", IntegrityError, "", result.unmatched_granular),
     ]
