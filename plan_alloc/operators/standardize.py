@@ -180,7 +180,11 @@ def annotate(df: DataFrame, spec: AllocSpec, qty_col: str) -> DataFrame:
     # twice (and every upstream expression copied into each reference). A
     # one-element ``inline`` is a Generate node, which filters on its output
     # cannot cross: rows are parsed once and filtered after.
-    return out.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in out.columns]))))
+    # Only the parsed columns pass through it: the others can still be pruned, and
+    # filters on them still reach the scan.
+    parsed = [c for c in ("_qty", "_period", REASON) if c in out.columns]
+    rest = [F.col(f"`{c}`") for c in out.columns if c not in parsed]
+    return out.select(*rest, F.inline(F.array(F.struct(*parsed))))
 
 
 def _standardize(
