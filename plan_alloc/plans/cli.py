@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     locks = read_table(spark, args.locks, args.format) if args.locks else None
     if args.lock_periods:
         template = TG.lock_template(granular, args.basis, [p.strip() for p in args.lock_periods.split(",")])
-        locks = template if locks is None else locks.unionByName(template, allowMissingColumns=True)
+        locks = template if locks is None else TG.stack_locks(locks, template)
     result = run_job(
         macro, granular, spec=spec, basis=args.basis, mode=args.mode, share=args.share, locks=locks, ordered=args.ordered
     )
