@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plan_alloc.functions.columns import exact_sum, exact_total, floor_double, ratio
 from plan_alloc.operators.checks import Check
-from plan_alloc.session import materialize
+from plan_alloc.session import scratch_path
 from plan_alloc.spec import AllocationError, AllocSpec, IntegrityError, ZeroBaselineError
 
 GROUP_TOTAL = "group_baseline_qty"
@@ -187,7 +187,11 @@ def redistribute(
         raise AllocationError(f"Weighted rows already carry the target column '{target}'.")
     groups = granular_groups if granular_groups is not None else weighted.select(*keys).distinct()
     macro_targets = macro.select(*keys, target)
-    allocations = weighted.join(_per_group(macro_targets, layout), keys, "inner").withColumn(
+    if granular_groups is not None and layout is not None and layout.broadcast:
+        # The layout counts granular groups only. Targets of other groups fall
+        # out first, so what is broadcast has at most one row per counted group.
+        macro_targets = F.broadcast(macro_targets.join(F.broadcast(groups.select(*keys)), keys, "left_semi"))
+    allocations = weighted.join(macro_targets, keys, "inner").withColumn(
         RAW, F.col(WEIGHT) * F.col(target)
     )
     return Redistribution(
@@ -205,6 +209,7 @@ class Rounding:
     allocations: DataFrame
     group_summary: DataFrame
     checks: list[Check] = field(default_factory=list)
+    scratch: list[str] = field(default_factory=list)  # folders the allocations read; the caller removes them
 
 
 def _tie_order(df: DataFrame, spec: AllocSpec) -> list[Column]:
@@ -241,8 +246,11 @@ def _rank_by_window(scaled: DataFrame, spec: AllocSpec) -> DataFrame:
     )
 
 
-def _rank_by_range(scaled: DataFrame, spec: AllocSpec, hot_rows: int, rows_per_task: int) -> DataFrame:
-    """Exact ranks for hot groups without putting a group in one task.
+def _rank_by_range(
+    scaled: DataFrame, spec: AllocSpec, layout: GroupLayout, rows_per_task: int
+) -> tuple[DataFrame, str]:
+    """Exact ranks for hot groups without putting a group in one task, and the
+    scratch folder they are read from.
 
     1. range-partition on (group keys, remainder desc, sku, client) — the key
        is unique, so the sampled bounds split even a single group evenly;
@@ -256,14 +264,14 @@ def _rank_by_range(scaled: DataFrame, spec: AllocSpec, hot_rows: int, rows_per_t
     """
     keys = spec.keys
     order = [F.col(k).asc() for k in keys] + _tie_order(scaled, spec)
-    parts = max(2, math.ceil(hot_rows / max(1, rows_per_task)))
+    parts = max(2, math.ceil(layout.hot_rows / max(1, rows_per_task)))
     residual = scaled.groupBy(*keys).agg((F.max(_TGT_S) - F.sum(_FLOOR_S)).alias(_RESID))
-    tagged = materialize(
-        scaled.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
-        .withColumns({"_pid": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}),
-        "hot_ranks",
-    )
+    spark = scaled.sparkSession
+    folder = scratch_path(spark, "hot_ranks")
+    scaled.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns(
+        {"_pid": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}
+    ).write.mode("error").parquet(folder)
+    tagged = spark.read.parquet(folder)
     spans = tagged.groupBy(*keys, "_pid").agg(
         F.count(F.lit(1)).alias("_span_rows"), F.min("_seq").alias("_span_start")
     )
@@ -271,11 +279,13 @@ def _rank_by_range(scaled: DataFrame, spec: AllocSpec, hot_rows: int, rows_per_t
     spans = spans.withColumn("_before", F.coalesce(F.sum("_span_rows").over(before), F.lit(0))).join(
         residual, keys, "inner"
     )
-    # spans has at most (#hot groups + #partitions) rows: bounded, so broadcast.
-    ranked = tagged.join(F.broadcast(spans), [*keys, "_pid"], "inner").withColumn(
+    # spans has at most (#hot groups + #partitions) rows: broadcast if that is within the limit.
+    if layout.hot_groups + parts <= spec.broadcast_group_limit:
+        spans = F.broadcast(spans)
+    ranked = tagged.join(spans, [*keys, "_pid"], "inner").withColumn(
         RANK, (F.col("_before") + F.col("_seq") - F.col("_span_start") + 1).cast("long")
     )
-    return ranked.drop("_pid", "_seq", "_span_rows", "_span_start", "_before")
+    return ranked.drop("_pid", "_seq", "_span_rows", "_span_start", "_before"), folder
 
 
 def apply_rounding(
@@ -301,15 +311,16 @@ def apply_rounding(
         layout = measure_groups(alloc.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias(_ROWS)), spec)
     scaled = _scaled(alloc, spec)
     keys = spec.keys
+    scratch: list[str] = []
     if layout.hot_keys is None:
         ranked = _rank_by_window(scaled, spec)
     else:
-        hot = F.broadcast(layout.hot_keys)
-        ranked = _rank_by_window(scaled.join(hot, keys, "left_anti"), spec).unionByName(
-            _rank_by_range(
-                scaled.join(hot, keys, "left_semi"), spec, layout.hot_rows, rows_per_task or spec.hot_rows_per_task
-            )
+        hot = F.broadcast(layout.hot_keys) if layout.hot_groups <= spec.broadcast_group_limit else layout.hot_keys
+        by_range, folder = _rank_by_range(
+            scaled.join(hot, keys, "left_semi"), spec, layout, rows_per_task or spec.hot_rows_per_task
         )
+        scratch.append(folder)
+        ranked = _rank_by_window(scaled.join(hot, keys, "left_anti"), spec).unionByName(by_range)
     scale = F.lit(float(spec.scale))
     adjust_s = F.when(F.col(RANK) <= F.col(_RESID), F.lit(1.0)).otherwise(F.lit(0.0))
     out = ranked.select(
@@ -351,7 +362,9 @@ def apply_rounding(
                 count_col="rounding_gap",
             )
         )
-    return Rounding(allocations=out, group_summary=summary.drop("_residual_units"), checks=checks)
+    return Rounding(
+        allocations=out, group_summary=summary.drop("_residual_units"), checks=checks, scratch=scratch
+    )
 
 
 def _group_summary(scaled: DataFrame, spec: AllocSpec) -> DataFrame:

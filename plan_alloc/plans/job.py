@@ -27,7 +27,7 @@ from plan_alloc.operators import reports as R
 from plan_alloc.operators import standardize as S
 from plan_alloc.operators import targets as TG
 from plan_alloc.operators.checks import Check, enforce, violation_counts
-from plan_alloc.session import remove_written, written
+from plan_alloc.session import remove_written
 from plan_alloc.sources.tables import write_bundle
 from plan_alloc.spec import AllocSpec, Basis, SpecError, TargetError
 
@@ -88,7 +88,8 @@ def build_targets(
     ``keep`` caches the share detail table that the targets and the share
     checks all read (Spark's cache manager then serves every plan on it)."""
     if mode == "direct":
-        return TG.direct_targets(macro), []
+        metrics = TG.text_metrics(macro, ("macro_target_qty", "macro_target_value"))
+        return TG.direct_targets(macro), [TG.unreadable_values(macro, metrics, "macro")] if metrics else []
     if mode == "share":
         if share is None:
             raise TargetError("Share-based targets need a market share.")
@@ -147,7 +148,6 @@ def run_job(
     if tuple(spec.group_keys) != TG.KEYS:
         raise SpecError("The planning job allocates over period, market and channel.")
     cached: list[DataFrame] = []
-    scratch_before = set(written(granular.sparkSession))
 
     def keep(df: DataFrame) -> DataFrame:
         # Read by several actions (group measure, checks, integrity, writes):
@@ -168,7 +168,9 @@ def run_job(
     totals = keep(A.group_totals(aligned, spec))
     layout = A.measure_groups(totals, spec)
     weights = A.calculate_weights(aligned, spec, totals=totals, layout=layout)
-    input_rules = [*target_checks, *std_macro.checks, *std_granular.checks, *weights.checks]
+    metrics = TG.text_metrics(granular, ("baseline_qty", "baseline_value"))
+    metric_checks = [TG.unreadable_values(granular, metrics, "baseline")] if metrics else []
+    input_rules = [*target_checks, *std_macro.checks, *std_granular.checks, *metric_checks, *weights.checks]
     early: dict[str, int] = {}
     if check and layout.hot_keys is not None:
         # Hot groups are ranked by writing a scratch table while the plan is
@@ -189,7 +191,7 @@ def run_job(
         all_groups = std_granular.table.select(*KEYS).distinct()
         unmatched_granular = A.unmatched_groups(all_groups, engine_macro, KEYS)
     integrity = I.validate_integrity(rounded, red.unmatched_macro, unmatched_granular, spec)
-    dual = R.dual_outputs(rounded, targets, reference, basis, layout=layout, ordered=ordered)
+    dual = R.dual_outputs(rounded, targets, reference, basis, layout=layout, ordered=ordered, groups=totals)
     result = JobResult(
         final_allocations=dual.final_allocations,
         group_summary=dual.group_summary,
@@ -200,7 +202,7 @@ def run_job(
         layout=layout,
         ordered=ordered,
         _cached=cached,
-        _scratch=[p for p in written(granular.sparkSession) if p not in scratch_before],
+        _scratch=rounding.scratch,
     )
     if check:
         try:

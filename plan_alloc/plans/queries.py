@@ -73,7 +73,7 @@ def q_rnd_apportion_decimal2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_rnd_apportion_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same result as the integer apportionment, every group forced through the
     range-partitioned (hot group) ranking path."""
-    return _rounded(spark, sf_dir, AllocSpec(hot_group_rows=1)).allocations
+    return _rounded(spark, sf_dir, AllocSpec(hot_group_rows=1, hot_rows_per_task=5_000)).allocations
 
 
 def q_rnd_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +290,7 @@ def _dual(spark: SparkSession, sf_dir: str, basis: str) -> R.DualOutputs:
     weights = A.calculate_weights(aligned, spec, totals=totals, layout=layout)
     alloc = A.redistribute(macro, weights.weights, spec, granular_groups=totals, layout=layout).allocations
     rounded = A.apply_rounding(alloc, spec, layout=layout).allocations
-    return R.dual_outputs(rounded, targets, reference, basis, layout=layout)
+    return R.dual_outputs(rounded, targets, reference, basis, layout=layout, groups=totals)
 
 
 def q_dual_allocations_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,13 +313,13 @@ def q_dual_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _job_direct(spark: SparkSession, sf_dir: str) -> J.JobResult:
     """Direct unit targets end to end. Integrity is reported in the summary
     rather than raised: at some scales a target month has no baseline rows.
-    The job keeps its inputs cached (as it does when writing); the caller owns
-    the result and may ``release()`` it after reading."""
+    Nothing is cached: whoever reads the frame could not release it."""
     return J.run_job(
         macro_cube(spark, sf_dir),
         granular_cube(spark, sf_dir),
         spec=AllocSpec(enforce_exact_totals=False),
         basis="units",
+        persist=False,
     )
 
 
@@ -371,6 +371,7 @@ def q_job_share_value(spark: SparkSession, sf_dir: str) -> DataFrame:
         mode="share",
         share=SHARE_OF_MARKET,
         locks=locks,
+        persist=False,
     )
     return result.final_allocations
 
