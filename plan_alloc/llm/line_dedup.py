@@ -143,10 +143,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     gone = places.join(repeated, "h").where((F.col("id") != F.col("best.id")) | (F.col("at") != F.col("best.at")))
     gone = gone.groupBy("id").agg(F.collect_set("at").alias("gone"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(F.struct(*rest).alias("row"), F.col(id_col).cast("long").alias("id"))
+    # The lines are an own column, read twice below, so a text is split once.
+    keyed = docs.select(F.struct(*rest).alias("row"), F.col(id_col).cast("long").alias("id"), F.split(text_col, "\n").alias("cut"))
     joined = keyed.join(gone.hint("shuffle_hash"), "id", "left")
     removed = F.coalesce("gone", F.array().cast("array<int>"))
-    cut = F.split(F.col("row")[text_col], "\n")
-    kept = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains(removed, i)), "\n")
+    cut = F.col("cut")
+    # By a difference of sets, not a search per line: texts may have very many lines.
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), removed)
+    kept = F.array_join(F.transform(numbers, lambda i: F.get("cut", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(kept)
     return joined.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in rest], F.coalesce(F.size(cut), F.lit(0)).alias("n_lines"), F.size(removed).alias("n_removed"))
