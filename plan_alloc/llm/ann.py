@@ -9,6 +9,8 @@ estimated success: the chance, under the distance at which neighbours are
 expected, that a neighbour's projections fall in that cell. It stops when the
 visited cells hold ``success`` of that chance over all tables together. The
 candidates of all tables are merged and ranked exactly, in double precision.
+A query left with fewer than ``k`` goes on to the cells of smaller inner
+products, and at last to all cells.
 
 Cells of more than ``block`` vectors are dealt out in blocks, so no task holds
 a hot cell whole; equal vectors are stored once with the ids that can be among
@@ -106,13 +108,17 @@ def _keys(cells: np.ndarray) -> np.ndarray:
     return out
 
 
-def _expected(rows: np.ndarray, k: int) -> float:
-    """Inner product, on lifted vectors, that a query's k nearest have at least, by a sample of rows."""
+def _expected(queries: np.ndarray, rows: np.ndarray, k: int) -> float:
+    """Inner product of queries and rows, each lifted as such, that a query's k
+    nearest have at least, by a sample: the queries are those of the same rows.
+    """
     if len(rows) < 3:
         return 0.5
-    queries = rows[:: max(1, len(rows) // 64)]
-    near = -np.sort(-(queries @ rows.T), axis=1)[:, 1:]
-    return float(np.clip(np.quantile(near[:, min(k, near.shape[1]) - 1], 0.1), 0.05, 0.98))
+    own = np.arange(0, len(rows), max(1, len(rows) // 64))
+    near = queries[own] @ rows.T
+    near[np.arange(len(own)), own] = -np.inf
+    near = -np.sort(-near, axis=1)[:, :-1]
+    return float(np.clip(np.quantile(near[:, min(k, near.shape[1]) - 1], 0.1), -0.98, 0.98))
 
 
 def _nearest(query_ids, queries, wanted, ids, vectors, keys, k, tables):
@@ -161,7 +167,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     cuts = max(2, round(math.log(max(n, 600) / 200) / math.log(3)))
     index = Tables(dim, tables, cuts, width, top)
     drawn = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id")).limit(sample).collect()], dtype=float).reshape(-1, dim)
-    cos = _expected(index.lift(drawn), k)
+    cos = _expected(index.lift(drawn, query=True), index.lift(drawn), k)
 
     copies = Window.partitionBy("v").orderBy("id")
     base = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v")
@@ -174,14 +180,17 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
                 for t in range(tables):
                     yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "key": key[:, t]})
 
-    def probed(batches):
-        for pdf in batches:
-            if len(pdf):
-                at = index.project(index.lift(np.array(pdf["v"].tolist(), dtype=float).reshape(-1, dim), query=True))
-                for i, q in enumerate(pdf["id"]):
-                    cells = [np.array([c for c, _ in index.probes(t, at[i, t], cos, success)], np.int64) for t in range(tables)]
-                    key = np.concatenate([_keys(np.repeat(c[:, None, :], tables, 1))[:, t] for t, c in enumerate(cells)])
-                    yield pd.DataFrame({"id": q, "key": key})
+    def probed(cos: float):
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    at = index.project(index.lift(np.array(pdf["v"].tolist(), dtype=float).reshape(-1, dim), query=True))
+                    for i, q in enumerate(pdf["id"]):
+                        cells = [np.array([c for c, _ in index.probes(t, at[i, t], cos, success)], np.int64) for t in range(tables)]
+                        key = np.concatenate([_keys(np.repeat(c[:, None, :], tables, 1))[:, t] for t, c in enumerate(cells)])
+                        yield pd.DataFrame({"id": q, "key": key})
+
+        return run
 
     stored = keep(base.mapInPandas(hashed, "id long, v array<double>, key long"), "ann_index")
     cells = stored.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
@@ -191,18 +200,37 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     place = lambda part: F.pmod(F.xxhash64("key", part), F.lit(blocks))
     left = stored.join(small(cells), "key").withColumn("block", place(F.pmod(F.xxhash64("id"), F.col("parts"))))
     left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    queries = rows.where(F.col("id") % every == 0)
-    visits = queries.mapInPandas(probed, "id long, key long").join(small(cells), "key")
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("block", place(F.col("part")))
-    visits = visits.groupBy("id", "block").agg(F.collect_set("key").alias("keys"))
-    right = visits.join(queries, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-
     def ranked(base_rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         get = lambda pdf: np.array(pdf["v"].tolist(), dtype=float).reshape(-1, dim)
         return _nearest(asked["id"].to_numpy(), get(asked), [np.asarray(x) for x in asked["keys"]], base_rows["id"].to_numpy(), get(base_rows), base_rows["key"].to_numpy(), k, tables)
 
-    found = left.select("block", "chunk", "id", "v", "key").groupBy("block", "chunk").cogroup(right.select("block", "chunk", "id", "v", "keys").groupBy("block", "chunk")).applyInPandas(ranked, "query_id long, vec_id long, score double")
     # A row found in several tables has one rank.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranks = found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
-    return ranks.groupBy("query_id", "rank", "vec_id").agg(F.max("score").alias("score")).select("query_id", "rank", "vec_id", "score")
+
+    def best(found: DataFrame) -> DataFrame:
+        ranks = found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
+        return ranks.groupBy("query_id", "rank", "vec_id").agg(F.max("score").alias("score")).select("query_id", "rank", "vec_id", "score")
+
+    def visited(queries: DataFrame, visits: DataFrame) -> DataFrame:
+        """The best of the cells (id, key, parts) that each query visits."""
+        visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("block", place(F.col("part")))
+        visits = visits.groupBy("id", "block").agg(F.collect_set("key").alias("keys"))
+        right = visits.join(queries, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+        found = left.select("block", "chunk", "id", "v", "key").groupBy("block", "chunk").cogroup(right.select("block", "chunk", "id", "v", "keys").groupBy("block", "chunk")).applyInPandas(ranked, "query_id long, vec_id long, score double")
+        return best(found)
+
+    queries = rows.where(F.col("id") % every == 0)
+    walk = lambda some, c: visited(some, some.mapInPandas(probed(c), "id long, key long").join(small(cells), "key"))
+    out = keep(walk(queries, cos), "ann_found")
+    # Queries with too few candidates go on: to where smaller inner products lie, at last everywhere.
+    enough = min(k, rows.count() - 1)
+    for c in (cos / 2, 0.0, None) if cos > 0 else (None,):
+        if enough < 1:
+            break
+        full = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select(F.col("query_id").alias("id"))
+        short = keep(queries.join(full, "id", "left_anti"), "ann_short")
+        if short.isEmpty():
+            break
+        more = visited(short, short.select("id").crossJoin(cells)) if c is None else walk(short, c)
+        out = keep(best(out.drop("rank").unionByName(more.drop("rank"))), "ann_found")
+    return out

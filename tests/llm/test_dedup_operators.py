@@ -222,6 +222,37 @@ def test_nearest_neighbours_odd_rows(spark):
     assert len(got[100]) == 20 and ann.search(df.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_of_vectors_of_many_lengths(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((6000, 32))
+    x *= (np.exp(0.5 * r.standard_normal(6000)) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    found = {}
+    for row in ann.search(df, every=100).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    hit = 0
+    for q in range(0, 6000, 100):
+        near = x @ x[q]
+        near[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-near)[:20].tolist()))
+    assert hit / (60 * 20) >= 0.9
+
+
+def test_nearest_neighbours_of_a_lonely_query(spark):
+    r = np.random.default_rng(4)
+    x = np.vstack([np.eye(8)[0] + 0.02 * r.standard_normal((2000, 8)), -np.eye(8)[0] + 0.02 * r.standard_normal((3, 8))])
+    ids = [2 * i + 1 for i in range(2000)] + [0, 20, 40]  # the queries lie far from all other rows
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    found = {}
+    for row in ann.search(df).collect():
+        found.setdefault(row.query_id, []).append((row.rank, row.vec_id))
+    for n, q in enumerate((0, 20, 40)):
+        score = x @ x[2000 + n]
+        want = sorted((i for i in range(2003) if ids[i] != q), key=lambda i: (-score[i], ids[i]))[:20]
+        assert {v for _, v in found[q]} >= {0, 20, 40} - {q} and [k for k, _ in sorted(found[q])] == list(range(1, 21))
+        assert len({v for _, v in found[q]} & {ids[i] for i in want}) >= 18
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
