@@ -32,10 +32,13 @@ from plan_alloc.llm.common import in_arrow
 BLOCK = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("br hr img input meta link source wbr area base col embed track param".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Their text is no text of the page.
-UNSEEN = "script|style|noscript|template|iframe|svg|object|textarea|math|canvas|audio|video"
+#: Their text is no text of the page. The first kind holds no elements and runs to the page's end if unclosed;
+#: of the second an unclosed tag hides nothing.
+RAW = "script|style|iframe|textarea"
+UNSEEN = frozenset("noscript template svg object math canvas audio video".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"']*/\Z")  # the slash is the value's
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 REMEMBERED = 50_000  # ancestries whose features a Python worker remembers at most
@@ -48,6 +51,21 @@ class Block:
         self.tag, self.above, self.main, self.pieces, self.linked, self.text = tag, above, main, [], 0, ""
 
 
+def _unseen(tokens: list[re.Match]) -> dict[int, int]:
+    """Start of each unseen element that is closed, and its end; an unclosed one ends with its tag."""
+    ends: dict[int, int] = {}
+    stacks: dict[str, list[int]] = {}
+    for m in tokens:
+        if m[3] is None or (tag := m[3].lower()) not in UNSEEN or (m[4] and not (m[4][0].isspace() or m[4][0] == "/")):
+            continue
+        if m[2]:
+            if stacks.get(tag):
+                ends[stacks[tag].pop()] = m.end()
+        elif not (tag in ("svg", "math") and m[4].endswith("/") and not _UNQUOTED.search(m[4])):
+            stacks.setdefault(tag, []).append(m.start())
+    return ends
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks with text, in page order."""
     out: list[Block] = []
@@ -68,10 +86,16 @@ def blocks_of(page: str) -> list[Block]:
             if link:
                 current.linked += len(raw)
 
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    ends = _unseen(tokens)
+    for m in tokens:
+        if m.start() < at:  # within an unseen element
+            continue
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
+        at = ends.get(m.start(), m.end())
+        if at > m.end():
+            continue
         tag = m[3]
         if tag is None:
             continue

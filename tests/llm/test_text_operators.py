@@ -105,6 +105,17 @@ def test_html_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got) and all(r.text == "" for r in got if r.page_id in (2, 3))
 
 
+def test_html_unseen_elements_end_where_they_end():
+    texts = lambda page: [b.text for b in html_extract.blocks_of(page)]
+    for gap in ("<svg-icon></svg-icon>", "<video-js id=a>", "<template-x>", "<svg/>", '<svg viewBox="0 0 1 1" />', "<math/>", "<video src=a>", "<canvas>", "<noscript>", "<object data=a>",
+                "<svg><title>no</title></svg>", "<SVG a=b/>no</svg>", "<svg><svg><text>no</text></svg><text>no</text></svg>", "<svg>no<svg/>no</svg>", "<style-guide></style-guide>",
+                "<script>a='<svg>'</script >", "<svg><style>a:'</svg>'</style>no</svg>", "<template><p>no</p></template>", "<textarea>no<svg></textarea>"):
+        assert texts(f"<p>one</p>{gap}<p>two</p>") == ["one", "two"], gap
+    assert texts("<p>one</p><video src=a><p>two</p><video src=b>no</video><p>three") == ["one", "two", "three"]
+    assert texts("<p>one</p><script>no <p>two</p>") == ["one"] and texts("<p>one</p><style>no") == ["one"]
+    assert texts("<svg>" * 20_000 + "<p>one") == ["one"]
+
+
 def test_html_viterbi_is_the_best_chain():
     import itertools
 
