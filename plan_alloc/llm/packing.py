@@ -23,13 +23,14 @@ import zlib
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plan_alloc.llm.common import in_arrow
+from plan_alloc.llm.common import in_arrow, keep
 from plan_alloc.llm.token_counts import Merges
 
 #: Fixed value: the split rule of the vocabulary.
@@ -63,6 +64,7 @@ class WordEncoder:
     def clear(self) -> None:
         self.seen: dict[str, int] = {}
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.code = np.zeros(0, np.uint64)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
@@ -90,9 +92,12 @@ class WordEncoder:
         self.seen.update(zip(words, range(len(self.seen), len(self.seen) + len(words)), strict=True))
         self.flat, self.size = np.concatenate(flat), np.concatenate(size)
         self.start = np.cumsum(self.size) - self.size
+        self.code = np.append(self.code, pd.util.hash_array(np.array(words, object), categorize=False))
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Token ids and word numbers of each text; numbers hold until ``clear``."""
+        """Token ids and word hashes (64 bits) of each text, whatever was encoded before."""
+        if len(self.seen) > REMEMBERED:
+            self.clear()
         split = []
         for t in texts:
             t = t or ""
@@ -116,7 +121,7 @@ class WordEncoder:
             ids = flat[i : i + n]
             if t and any(c in t for c in _SEPARATORS):
                 ids = self.ids(t)
-            out.append((ids, at[w : w + len(ws)]))
+            out.append((ids, self.code[at[w : w + len(ws)]]))
             w, i = w + len(ws), i + n
         return out
 
@@ -128,7 +133,8 @@ class Shard:
         self.n = n = len(words)
         self.query_terms = query_terms
         sizes = np.fromiter(map(len, words), np.int64, n)
-        flat = np.concatenate(words) if n else np.zeros(0, np.int64)
+        # Numbers in the order of the words' hashes: the same for the same documents.
+        flat = np.unique(np.concatenate(words), return_inverse=True)[1] if n else np.zeros(0, np.int64)
         key, tf = np.unique(flat * n + np.repeat(np.arange(n), sizes), return_counts=True)
         term, self.doc = key // n, key % n
         new = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
@@ -152,7 +158,7 @@ class Shard:
         own = self.of[self.at[seed] : self.at[seed + 1]]
         own = own[self.hi[own] - self.lo[own] > 1]
         if len(own) > self.query_terms:
-            own = own[np.argpartition(-self.weight[own], self.query_terms)[: self.query_terms]]
+            own = own[np.argsort(-self.weight[own], kind="stable")[: self.query_terms]]  # ties: by the word's hash
         if not len(own):
             return own
         hits = np.concatenate([np.arange(a, z) for a, z in zip(self.lo[own], self.hi[own], strict=True)])
@@ -230,8 +236,6 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
             )
             split += sequence[-1] + 1
             names, ids, words, held = [], [], [], 0
-            if len(encoder.seen) > REMEMBERED:
-                encoder.clear()
 
         for batch in batches:
             at = 0
@@ -245,11 +249,11 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
                     ids.append(np.append(x, end_id).astype("<u4"))
                     words.append(w)
                     held += len(x) + 1
-                # Word numbers hold until the encoder forgets, so a shard ends before that.
-                if held >= shard_tokens or len(encoder.seen) > REMEMBERED:
+                if held >= shard_tokens:
                     yield from flush()
         if names:
             yield from flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return in_arrow(rows, run, SCHEMA)
+    # Written once: a task that runs again can't mix two packings in what is read.
+    return keep(in_arrow(rows, run, SCHEMA), "packed")

@@ -64,6 +64,26 @@ def test_packing_puts_lexical_neighbours_together():
     assert [{p[0] for p in pieces if p[3] == s} for s in (0, 1)] == [{0, 2}, {1, 3}]
 
 
+def test_packing_does_not_depend_on_what_a_worker_did_before(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in r.permutation(400)[:60]) for _ in range(40)]
+    path = queries.vocabulary("word_bpe_49k.json")
+
+    def packed(encoder):
+        ids, words = zip(*(encoder.encode([t])[0] for t in texts), strict=True)
+        return packing.pack_shard([len(x) for x in ids], list(words), 512)
+
+    want = packed(packing.WordEncoder(path))
+    other = packing.WordEncoder(path)
+    other.encode([" ".join(f"w{k}" for k in reversed(range(400)))])
+    assert packed(other) == want
+    monkeypatch.setattr(packing, "REMEMBERED", 100)  # now it forgets in the midst of a shard
+    assert packed(other) == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plan = packing.pack(rows, path)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "MapInArrow" not in plan
+
+
 def test_toxicity_held_out(spark):
     d = SF_SMALL.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
