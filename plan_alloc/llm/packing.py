@@ -1,16 +1,23 @@
 """Lexical retrieval packing.
 
-Each input split is a run of index shards: consecutive documents of about
-``shard_tokens`` tokens. A shard has a BM25 inverted index over the words of its
-documents. The packer opens a window of ``window`` tokens with a seed (what was
-cut off the last document, else the first unused document), asks the index for
-the unused documents nearest to the seed and fills the window with them, nearest
-first; the one that does not fit is cut at the window's end and seeds the next.
-So windows are full but for a shard's last, which is cut into sequences whose
-lengths are powers of two and need no padding.
-
-Work and memory per task are bounded by the shard, shards are independent, and
-no row is shuffled. Sequence ids hold the split's number in the high bits.
+Documents are dealt into index shards by lexical likeness, wherever in the table
+they stand: a tree of cuts through the main directions of a sample's weighted
+words gives each its place, they are sorted by it (one shuffle), and a shard is a
+run of that order of about four bytes of text for each of ``shard_tokens``
+tokens (at most four times as many tokens). Document frequencies and the mean
+length are counted over all documents; each shard gets those of its own words.
+
+A shard has a BM25 inverted index over the words of its documents. The packer
+opens a window of ``window`` tokens with a seed (what was cut off the last
+document, else the first unused document), asks the index, with all words of the
+seed, for the unused documents nearest to it and fills the window with them,
+nearest first; the one that does not fit is cut at the window's end and seeds the
+next. So windows are full but for a shard's last, which is cut into sequences
+whose lengths are powers of two and need no padding. A seed is not asked against
+other shards than its own.
+
+Work and memory per task are bounded by the shard and shards are independent.
+Sequence ids hold the shard's number in the high bits.
 
 Null text counts as empty (its end token is packed); a null id is kept; repeated
 rows are packed each on their own.
@@ -20,17 +27,19 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plan_alloc.llm.common import in_arrow, keep
+from plan_alloc.llm.common import in_arrow, keep, ship, small
 from plan_alloc.llm.token_counts import Merges
 
 #: Fixed value: the split rule of the vocabulary.
@@ -43,6 +52,18 @@ _SEPARATORS = "\x1c\x1d\x1e\x1f"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def words_of(text: str | None) -> list[str]:
+    text = text or ""
+    if text.isascii() or max(text, default="") <= "\xff":
+        text = text.lower()  # as the vocabulary does; these characters have no other form
+    return text.split()
+
+
+def codes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
+
+
 class WordEncoder:
     """The tokenizer library's ids, each distinct word encoded once.
 
@@ -92,18 +113,13 @@ class WordEncoder:
         self.seen.update(zip(words, range(len(self.seen), len(self.seen) + len(words)), strict=True))
         self.flat, self.size = np.concatenate(flat), np.concatenate(size)
         self.start = np.cumsum(self.size) - self.size
-        self.code = np.append(self.code, pd.util.hash_array(np.array(words, object), categorize=False))
+        self.code = np.append(self.code, codes(words))
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Token ids and word hashes (64 bits) of each text, whatever was encoded before."""
         if len(self.seen) > REMEMBERED:
             self.clear()
-        split = []
-        for t in texts:
-            t = t or ""
-            if t.isascii() or max(t, default="") <= "\xff":
-                t = t.lower()  # as the vocabulary does; these characters have no other form
-            split.append(t.split())
+        split = [words_of(t) for t in texts]
         every = list(chain.from_iterable(split))
         at = np.fromiter(map(self.seen.get, every, repeat(-1)), np.int64, len(every))
         missing = np.flatnonzero(at < 0).tolist()
@@ -126,23 +142,48 @@ class WordEncoder:
         return out
 
 
+class Counts:
+    """Of all documents: how many, their mean number of words, and how many hold a word (1 if not given)."""
+
+    def __init__(self, total: int, mean: float, words: np.ndarray, documents: np.ndarray):
+        order = np.argsort(words, kind="stable")
+        self.total, self.mean, self.words, self.documents = total, mean, words[order], documents[order]
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.ones(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.documents[at], 1)
+
+
 class Shard:
-    """BM25 over the documents of a shard; retrieval of unused neighbours."""
+    """BM25 over the documents of a shard; retrieval of unused neighbours.
+
+    ``counts``: those of all documents (else the shard's own are taken).
+    """
 
-    def __init__(self, words: list[np.ndarray], k1: float, b: float, query_terms: int):
+    def __init__(self, words: list[np.ndarray], k1: float, b: float, counts: Counts | None = None):
         self.n = n = len(words)
-        self.query_terms = query_terms
         sizes = np.fromiter(map(len, words), np.int64, n)
         # Numbers in the order of the words' hashes: the same for the same documents.
-        flat = np.unique(np.concatenate(words), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+        names, flat = np.unique(np.concatenate(words) if n else np.zeros(0, np.uint64), return_inverse=True)
         key, tf = np.unique(flat * n + np.repeat(np.arange(n), sizes), return_counts=True)
-        term, self.doc = key // n, key % n
-        new = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-        df = np.diff(np.append(new, len(term)))
-        self.lo, self.hi = np.repeat(new, df), np.repeat(new + df, df)  # of the posting's list
-        idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)
-        norm = k1 * (1 - b + b * sizes / max(1.0, sizes.mean() if n else 1.0))
-        self.weight = idf * tf * (k1 + 1) / (tf + norm[self.doc])
+        self.term, self.doc = key // max(1, n), key % max(1, n)
+        own = np.bincount(self.term, minlength=len(names))  # postings of each term
+        self.end = np.cumsum(own)
+        self.own = own
+        df = own if counts is None else np.maximum(counts.of(names), own)
+        total, mean = (n, sizes.mean() if n else 1.0) if counts is None else (max(counts.total, n), counts.mean)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        norm = k1 * (1 - b + b * sizes / max(1.0, mean))
+        self.weight = idf[self.term] * tf * (k1 + 1) / (tf + norm[self.doc])
+        # Terms of many documents as rows of all documents' weights.
+        common = np.flatnonzero(own > n / 8) if n > 64 else np.zeros(0, np.int64)
+        self.row = np.full(len(names), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n))
+        at = np.flatnonzero(self.row[self.term] >= 0)
+        self.rows[self.row[self.term[at]], self.doc[at]] = self.weight[at]
         self.of = np.argsort(self.doc, kind="stable")  # postings by document
         self.at = np.searchsorted(self.doc[self.of], np.arange(n + 1))
         self.used = np.zeros(n, bool)
@@ -154,23 +195,23 @@ class Shard:
         return self.next if self.next < self.n else None
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a term with the seed's strongest, best first (ties: earlier first)."""
-        own = self.of[self.at[seed] : self.at[seed + 1]]
-        own = own[self.hi[own] - self.lo[own] > 1]
-        if len(own) > self.query_terms:
-            own = own[np.argsort(-self.weight[own], kind="stable")[: self.query_terms]]  # ties: by the word's hash
-        if not len(own):
-            return own
-        hits = np.concatenate([np.arange(a, z) for a, z in zip(self.lo[own], self.hi[own], strict=True)])
-        score = np.bincount(self.doc[hits], self.weight[hits], self.n)
+        """Unused documents that share a term with the seed, best first (ties: earlier first)."""
+        terms = self.term[self.of[self.at[seed] : self.at[seed + 1]]]
+        score = self.rows[self.row[terms[self.row[terms] >= 0]]].sum(0)
+        terms = terms[(self.row[terms] < 0) & (self.own[terms] > 1)]
+        size = self.own[terms]
+        if len(terms):
+            ends = np.cumsum(size)
+            hits = np.arange(ends[-1]) + np.repeat(self.end[terms] - ends, size)
+            score = score + np.bincount(self.doc[hits], self.weight[hits], self.n)
         score[self.used] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(sizes: list[int], words: list[np.ndarray], window: int, k1: float = 1.2, b: float = 0.75, query_terms: int = 24) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(sizes: list[int], words: list[np.ndarray], window: int, k1: float = 1.2, b: float = 0.75, counts: Counts | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard, in sequence order."""
-    shard, pieces = Shard(words, k1, b, query_terms), []
+    shard, pieces = Shard(words, k1, b, counts), []
     sequence = offset = 0
     seed, start = shard.first_unused(), 0  # start: what of the seed is packed already
     queue: list[int] = []
@@ -211,49 +252,189 @@ def pack_shard(sizes: list[int], words: list[np.ndarray], window: int, k1: float
     return pieces
 
 
+class Places:
+    """Where documents stand in an order of lexical likeness, learnt from a sample of texts.
+
+    A document is the sum of its words' vectors (the sample's main directions of
+    words weighted by rarity); a binary tree cuts the sample at the median of its
+    main direction until few are left, and documents of a leaf stand along its own.
+    """
+
+    def __init__(self, texts: list[str | None], *, most_words: int = 8192, axes: int = 32, leaf: int = 32):
+        r = np.random.default_rng(5)
+        bags = [Counter(words_of(t)) for t in texts]
+        df = Counter(w for b in bags for w in b)
+        names = sorted((w for w, n in df.items() if n > 1), key=lambda w: (-df[w], w))[:most_words]
+        self.number = {w: i for i, w in enumerate(names)}
+        idf = np.array([np.log((len(bags) + 0.5) / (df[w] + 0.5)) for w in names], np.float32)
+        x = np.zeros((len(bags), len(names)), np.float32)
+        for i, b in enumerate(bags):
+            for w, n in b.items():
+                if w in self.number:
+                    x[i, self.number[w]] = n
+        x *= np.maximum(idf, 0)
+        x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+        axes = min(axes, *x.shape)
+        self.vectors = np.zeros((len(names) + 1, max(1, axes)), np.float32)  # the last: unknown words
+        if axes:
+            q = r.standard_normal((len(names), axes)).astype(np.float32)
+            for _ in range(4):
+                q = np.linalg.qr(x.T @ (x @ q))[0]
+            self.vectors[:-1] = q * np.maximum(idf, 0)[:, None]
+        y = self._unit(x @ q) if axes else np.zeros((len(bags), 1))
+        self.direction, self.cut, self.child = [], [], []
+
+        def grow(rows: np.ndarray) -> int:
+            node = len(self.cut)
+            part = y[rows]
+            d = np.zeros(y.shape[1])
+            if len(part) > 1:
+                d = np.linalg.svd(part - part.mean(0), full_matrices=False)[2][0]
+                d *= np.sign(d[np.argmax(np.abs(d))])
+            along = part @ d
+            cut = float(np.median(along)) if len(part) else 0.0
+            self.direction.append(d)
+            self.cut.append(cut)
+            self.child.append((-1, -1))
+            low = along < cut
+            if len(part) > leaf and low.any():
+                self.child[node] = (grow(rows[low]), grow(rows[~low]))
+            return node
+
+        grow(np.arange(len(y)))
+        self.direction, self.cut, self.child = np.array(self.direction), np.array(self.cut), np.array(self.child)
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf (like ones have near numbers) and place along it of each text."""
+        split = [words_of(t) for t in texts]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.number.get, chain.from_iterable(split), repeat(-1)), np.int64, int(size.sum()))
+        x = np.zeros((len(texts), self.vectors.shape[1]))
+        some = np.flatnonzero(size)
+        if len(some):
+            x[some] = np.add.reduceat(self.vectors[at], (np.cumsum(size) - size)[some], axis=0)
+        x = self._unit(x)
+        node = np.zeros(len(texts), np.int64)
+        while True:
+            along = (x * self.direction[node]).sum(1)
+            to = self.child[node, (along >= self.cut[node]).astype(int)]
+            if (to < 0).all():
+                return node, along
+            node = np.where(to < 0, node, to)
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
-    """Pieces of all documents' token ids (text, then ``end_id``) in sequences of
-    at most ``window``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    """
+def _parts(batch: pa.RecordBatch, column: str):
+    """The column's texts in pieces of about 2 MB."""
+    part, size = [], 0
+    for t in batch.column(column):
+        part.append(t.as_py())
+        size += len(part[-1] or "")
+        if size > 2_000_000:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _deal(rows: DataFrame, shard_tokens: int, sample: int) -> DataFrame:
+    """doc_id, text, shard, pos: like documents in one shard, in a fixed order (written)."""
+    drawn = rows.select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, 20_000).alias("text")).orderBy("h", "text").limit(sample).collect()
+    places = rows.sparkSession.sparkContext.broadcast(Places([r["text"] for r in drawn]))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+    def placed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                leaf, along = map(np.concatenate, zip(*map(places.value.of, _parts(batch, "text")), strict=True))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(along)], ["doc_id", "text", "leaf", "along"])
+
+    def numbered(batches):
+        shard, pos, held = TaskContext.get().partitionId() << 20, 0, 0
+        for batch in batches:
+            of = []
+            for n in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist():
+                if held >= 4 * shard_tokens:
+                    shard, held = shard + 1, 0
+                of.append(shard)
+                held += n + 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of, pa.int64()), pa.array(range(pos, pos + len(of)), pa.int64())], ["doc_id", "text", "shard", "pos"])
+            pos += len(of)
+
+    order = ["leaf", "along", "doc_id", F.xxhash64("text")]
+    # Partitions of many shards, as each ends with a short one.
+    dealt = in_arrow(rows, placed, "doc_id long, text string, leaf long, along double").repartitionByRange(1 + size // max(1, min(32_000_000, 64 * shard_tokens)), *order)
+    return keep(in_arrow(dealt.sortWithinPartitions(*order).select("doc_id", "text"), numbered, "doc_id long, text string, shard long, pos long"), "packing_dealt")
+
+
+def _counted(dealt: DataFrame) -> DataFrame:
+    """shard, word, documents that hold it; with a null word, the shard's documents and their words (written)."""
 
     def run(batches):
-        encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, WordEncoder(vocabulary))
-        split = TaskContext.get().partitionId() << 40
-        names, ids, words, held = [], [], [], 0
+        shard, seen, docs, words = None, Counter(), 0, 0
 
         def flush():
-            nonlocal names, ids, words, held, split
-            pieces = pack_shard([len(x) for x in ids], words, window)
-            doc, start, length, sequence, offset = (list(x) for x in zip(*pieces, strict=True))
-            crc = [zlib.crc32(ids[d][s : s + n].tobytes()) for d, s, n in zip(doc, start, length, strict=True)]
-            total = [len(ids[d]) for d in doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[d] for d in doc], pa.int64()), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, [split + s for s in sequence], offset))],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
-            split += sequence[-1] + 1
-            names, ids, words, held = [], [], [], 0
+            nonlocal docs, words
+            names = list(seen)
+            n = len(names)
+            of = pa.array(codes(names).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * (n + 1), pa.int64()), pa.concat_arrays([of, pa.nulls(1, pa.int64())]), pa.array([*seen.values(), docs], pa.int64()), pa.array([0] * n + [words], pa.int64())], ["shard", "word", "n", "words"])
+            seen.clear()
+            docs = words = 0
 
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part, size = [], 0
-                while at < batch.num_rows and size < 2_000_000:
-                    part.append(batch.column(1)[at].as_py())
-                    names.append(batch.column(0)[at].as_py())
-                    size, at = size + len(part[-1] or ""), at + 1
-                for x, w in encoder.encode(part):
-                    ids.append(np.append(x, end_id).astype("<u4"))
-                    words.append(w)
-                    held += len(x) + 1
-                if held >= shard_tokens:
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if docs and (at != shard or len(seen) > REMEMBERED):
                     yield from flush()
-        if names:
+                shard = at
+                split = words_of(text.as_py())
+                seen.update(set(split))
+                docs, words = docs + 1, words + len(split)
+        if docs:
             yield from flush()
 
+    return keep(in_arrow(dealt.select("shard", "text"), run, "shard long, word long, n long, words long"), "packing_words")
+
+
+def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 2, shard_tokens: int = 2_000_000, sample: int = 4096) -> DataFrame:
+    """Pieces of all documents' token ids (text, then ``end_id``) in sequences of
+    at most ``window``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    ``sample``: texts from which the order of likeness is learnt.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ship(rows.sparkSession)
+    dealt = _deal(rows, shard_tokens, sample)
+    counted = _counted(dealt)
+    sums = counted.where("word is null").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    total, mean = sums["n"] or 0, (sums["words"] or 0) / max(1, sums["n"] or 0)
+    # A word of one document leads to no other.
+    df = keep(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("df")).where("df > 1"), "packing_df")
+    known = counted.select("shard", "word").where("word is not null").join(small(df), "word").select("shard", "word", "df")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, WordEncoder(vocabulary))
+        left = left.sort_by("pos").combine_chunks()
+        names = left.column("doc_id").to_pylist()
+        ids, words = [], []
+        for batch in left.to_batches():
+            for part in _parts(batch, "text"):
+                for x, w in encoder.encode(part):
+                    ids.append(np.append(x, end_id).astype("<u4"))
+                    words.append(w)
+        counts = Counts(total, mean, right.column("word").to_numpy().view(np.uint64), right.column("df").to_numpy())
+        pieces = pack_shard([len(x) for x in ids], words, window, counts=counts) if names else []
+        doc, start, length, sequence, offset = (list(x) for x in zip(*pieces, strict=True)) if pieces else ([],) * 5
+        crc = [zlib.crc32(ids[d][s : s + n].tobytes()) for d, s, n in zip(doc, start, length, strict=True)]
+        first = left.column("shard")[0].as_py() << 20 if names else 0
+        columns = [[names[d] for d in doc], start, length, crc, [len(ids[d]) for d in doc], [first + x for x in sequence], offset]
+        return pa.table([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    packed = dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, SCHEMA)
     # Written once: a task that runs again can't mix two packings in what is read.
-    return keep(in_arrow(rows, run, SCHEMA), "packed")
+    return keep(packed, "packed")

@@ -64,6 +64,36 @@ def test_packing_puts_lexical_neighbours_together():
     assert [{p[0] for p in pieces if p[3] == s} for s in (0, 1)] == [{0, 2}, {1, 3}]
 
 
+def test_packing_finds_neighbours_all_over_the_table(spark):
+    r = np.random.default_rng(6)
+    topics = [[f"{chr(97 + t)}{chr(97 + k % 26)}{k}" for k in range(80)] for t in range(16)]
+    rows = [(d * 16 + t, " ".join([*r.choice(topics[t], 30), *r.choice(["the", "of", "and", "to"], 20)])) for d in range(32) for t in range(16)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(32), queries.vocabulary("word_bpe_49k.json"), window=512, shard_tokens=8000).collect()
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p.sequence_id, []).append(p.doc_id % 16)
+    several = [w for w in windows.values() if len(w) > 1]
+    assert len({s >> 20 for s in windows}) > 2  # more than one shard
+    assert np.mean([max(w.count(t) for t in w) / len(w) for w in several]) > 0.8
+
+
+def test_packing_scores_with_all_terms_and_the_counts_of_all_documents():
+    r = np.random.default_rng(7)
+    words = [np.sort(r.zipf(1.3, 60) % 500).astype(np.uint64) for _ in range(100)]
+    names = np.arange(500, dtype=np.uint64)
+    df = np.array([sum(int(w in set(x.tolist())) for x in words) for w in range(500)]) * 7 + 2
+    shard = packing.Shard(words, 1.2, 0.75, packing.Counts(10_000, 45.0, names, df))
+    for seed in (0, 17, 99):
+        score = np.zeros(100)
+        for w in set(words[seed].tolist()):
+            tf = np.array([(x == w).sum() for x in words])
+            score += np.log1p((10_000 - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * 60 / 45.0))
+        shard.used[seed] = True
+        got = shard.neighbours(seed)
+        shard.used[seed] = False
+        assert set(got) == set(np.flatnonzero(score)) - {seed} and np.all(np.diff(score[got]) <= 1e-9)
+
+
 def test_packing_does_not_depend_on_what_a_worker_did_before(spark, monkeypatch):
     r = np.random.default_rng(2)
     texts = [" ".join(f"w{k}" for k in r.permutation(400)[:60]) for _ in range(40)]
