@@ -4,9 +4,11 @@ Kernel: two words are near if they share subsequences of three and four letters,
 each weighted by ``DECAY`` for every letter it skips (two at most), so insults
 with a letter put in or left out stay near; characters that are not letters fall
 out before, digits that stand for letters are read as those, and letters set
-apart by spaces are read as one word. The kernel's features are finite, so the
-trained machine folds into one weight per subsequence and a text is scored
-without meeting the landmarks again.
+apart by spaces are read as one word. Scripts written without spaces are read in
+windows of two to four characters. Letters of every script and their marks stand
+for themselves (composed, accents not folded); a subsequence is told by a hash
+of its code points. So the features are finite, the trained machine folds into
+one weight per hash and a text is scored without meeting the landmarks again.
 
 Training, on a bounded sample of labelled rows: every sentence of a clean text
 is a clean example; of a toxic text it is only known that some sentence is toxic,
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -37,45 +40,61 @@ from plan_alloc.llm.common import in_arrow
 DECAY = 0.6
 LONGEST = 24  # letters; longer words are read in overlapping windows of this length
 REMEMBERED = 600_000  # words whose margin a Python worker remembers at most
-_SYMBOLS = 32
 _PATTERNS = [(0, *p) for n, width in ((2, 4), (3, 5)) for p in itertools.combinations(range(1, width + 1), n)]
-_SIZE = _SYMBOLS**3 + _SYMBOLS**4
+_BITS = 22  # of a subsequence's hash; the landmarks' subsequences fill about a hundredth of that at most
+_SIZE = 1 << _BITS
 #: Characters read as letters inside a word.
 _LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _SPACED = re.compile(r"(?<!\S)(?:\w[ ]){2,}\w(?!\S)")
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(r"[.!?\n。！？]+")
+#: Thai, Lao, Burmese, Khmer, kana and Han, written without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+
+
+def letter(c: str) -> bool:
+    return c.isalpha() or unicodedata.category(c)[0] == "M"
 
 
 def plain(word: str) -> str:
-    """Letters of a lower-cased word, look-alikes read as letters; empty if fewer than three."""
+    """Letters of a lower-cased word, look-alikes read as letters; empty if it has none."""
     if not word.isalpha():
         word = word.strip(".,;:!?\"'()[]{}*#%&$-_")
         if not word.isalpha():
-            word = "".join(filter(str.isalpha, word.translate(_LOOKALIKES))) if sum(map(str.isalpha, word)) > 1 else ""
-    return word if len(word) > 2 else ""
+            word = "".join(filter(letter, word.translate(_LOOKALIKES))) if any(map(str.isalpha, word)) else ""
+    return word
+
+
+def windows(word: str) -> list[str]:
+    """Its windows of two to four characters where a script has no spaces, and what stands between."""
+    word = "".join(filter(letter, word))
+    out = [w for w in _UNSPACED.split(word) if w]
+    for run in _UNSPACED.findall(word):
+        out += {run[i : i + n] for n in (2, 3, 4) for i in range(len(run) - n + 1)} or {run}
+    return out
 
 
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     text = text.lower()
-    spaced = _SPACED.findall(text)
-    return text.split() + [s.replace(" ", "") for s in spaced]
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    words = text.split() + [s.replace(" ", "") for s in _SPACED.findall(text)]
+    if text.isascii() or not _UNSPACED.search(text):
+        return words
+    return [x for w in words for x in (windows(w) if _UNSPACED.search(w) else (w,))]
 
 
 def symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the words one after another (marked ends), each symbol's word, and the words' norms.
+    """Code points of the words one after another (marked ends), each one's word, and the words' norms.
 
     The kernel is scaled by the norm of a word of that length whose subsequences all differ.
     """
     coded = ["^" + w + "$" for w in words]
     lens = np.fromiter(map(len, coded), np.int64, len(coded))
-    points = np.frombuffer("".join(coded).encode("utf-32-le"), np.uint32).astype(np.int32)
-    symbol = np.where((points >= 97) & (points <= 122), points - 96, 29 + points % 3)
-    symbol[points == ord("^")] = 27
-    symbol[points == ord("$")] = 28
+    points = np.frombuffer("".join(coded).encode("utf-32-le"), np.uint32).astype(np.uint64)
     norm = np.sqrt(sum(np.maximum(lens - p[-1], 0) * DECAY ** (2 * (p[-1] + 1 - len(p))) for p in _PATTERNS))
-    return symbol, np.repeat(np.arange(len(words)), lens), norm
+    return points, np.repeat(np.arange(len(words)), lens), norm
 
 
 def features(words: list[str]):
@@ -88,9 +107,11 @@ def features(words: list[str]):
         at = np.flatnonzero(word[:n] == word[p[-1] :])
         code = symbol[at]
         for step in p[1:]:
-            code = code * _SYMBOLS + symbol[at + step]
+            code = (code << np.uint64(21)) ^ (code >> np.uint64(43)) ^ symbol[at + step]
         of = word[at]
-        yield of, code + (_SYMBOLS**3 if len(p) == 4 else 0), DECAY ** (p[-1] + 1 - len(p)) / norm[of]
+        code = (code ^ (code >> np.uint64(29)) ^ np.uint64(len(p) << 60)) * np.uint64(0x9E3779B97F4A7C15)
+        code = (code ^ (code >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        yield of, (code >> np.uint64(64 - _BITS)).astype(np.int64), DECAY ** (p[-1] + 1 - len(p)) / norm[of]
 
 
 class Machine:
@@ -182,7 +203,7 @@ def train(rows: list[tuple[str | None, int]], *, landmarks: int = 128, negatives
     odds = {h: np.log((n + 0.1) / (len(bags) + 0.2)) - np.log((heads_c[h] + 0.1) / (n_clean + 0.2)) + 0.5 * np.log(n) for h, n in heads_t.items()}
     chosen = [max(b, key=lambda w: (max(odds[w[:4]], odds[w]), w)) for b in bags]
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
-    rare = sorted((w for w in clean if len(w) > 4), key=lambda w: hash_(w))
+    rare = sorted((w for w in clean if len(w) > 4 or _UNSPACED.match(w)), key=lambda w: hash_(w))
     against = list(dict.fromkeys(common[: negatives // 2] + rare))[:negatives]
     machine = None
     for _ in range(rounds):
@@ -286,7 +307,7 @@ def score(docs: DataFrame, machine: Machine | None, *, id_col: str = "doc_id", t
             out, part, size = [], [], 0
             for t in batch.column(at):
                 part.append(t.as_py())
-                size += len(part[-1] or "")
+                size += len(part[-1] or "") * (3 if part[-1] and not part[-1].isascii() else 1)
                 if size > 2_000_000:
                     out.append(scorer.strongest(part))
                     part, size = [], 0

@@ -137,6 +137,22 @@ def test_toxicity_finds_gapped_insults_and_bears_odd_rows(spark):
     assert {r.predicted for r in none} == {0}
 
 
+def test_toxicity_tells_letters_of_every_script_apart():
+    first = lambda w: {(int(f), round(float(v), 9)) for _, fs, vs in toxicity.features([w]) for f, v in zip(fs, vs, strict=True)}
+    for a, b in (("дурак", "жхуич"), ("白痴", "朋友"), ("ab", "cd")):
+        assert toxicity.plain(a) == a and not first(a) & first(b), a
+    for a, b in (("été", "ètè"), ("हिन", "हीन")):
+        assert toxicity.plain(a) == a and len(first(a) & first(b)) < len(first(a)) / 2, a
+    assert toxicity.words_of("你是白痴") == toxicity.words_of("你.是白痴") and "白痴" in toxicity.words_of("你是白痴")
+    for clean, insult in (("река дома город поле мост дорога рынок зима вода лес", "дуракин"), ("河 水 城 市 道路 市場 冬 天 橋 梁", "白痴"), ("νερο δρομος πολη αγορα χειμωνας γεφυρα", "βλακας")):
+        words = clean.split()
+        gap = "" if insult == "白痴" else " "
+        turned = [gap.join(words[i:] + words[:i]) for i in range(len(words))]
+        machine = toxicity.train([(gap.join([t, insult, t]), 1) for t in turned] + [(t, 0) for t in turned] + [(gap.join([t, t]), 0) for t in turned])
+        bad, good = toxicity.Scorer(machine).strongest([gap.join([t, insult]) for t in turned]), toxicity.Scorer(machine).strongest([gap.join([t, words[0]]) for t in turned])
+        assert bad.min() > 0 > good.max()
+
+
 def test_html_main_text(spark):
     field = html_extract.train([c for p in html_extract.LABELLED for c in html_extract.labelled(p, False)] * 3)
     right = total = 0
