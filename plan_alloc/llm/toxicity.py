@@ -10,11 +10,14 @@ for themselves (composed, accents not folded); a subsequence is told by a hash
 of its code points. So the features are finite, the trained machine folds into
 one weight per hash and a text is scored without meeting the landmarks again.
 
-Training, on a bounded sample of labelled rows: every sentence of a clean text
-is a clean example; of a toxic text it is only known that some sentence is toxic,
-so the strongest word of each is chosen by the current machine, and the machine
-trained again (multiple-instance learning). A text's score is that of its
-strongest word, calibrated by a logistic curve.
+Training, on a bounded sample of labelled rows: words are the examples, not
+sentences. Clean ones are the commonest words of the clean texts and a choice of
+the rest (``negatives`` at first, then those that the machine takes for toxic as
+well); of a toxic text it is only known that something in it is toxic, so the
+strongest word of each is chosen by the current machine, and the machine trained
+again (multiple-instance learning). A text's score is that of its strongest
+word, calibrated by a logistic curve. So toxicity that lies only in a phrase of
+words which also stand in clean texts is not found.
 
 Null and empty texts have no words and get the score of "no evidence". Repeated
 rows are scored alike; null ids are kept, not held out and never trained on.
@@ -186,7 +189,7 @@ def train(rows: list[tuple[str | None, int]], *, landmarks: int = 128, negatives
     Landmarks: the strongest words of the toxic texts and common clean words.
     """
     # Copies of one text say the same thing once.
-    rows = list({(t[:80], t[-80:]): (t, y) for t, y in rows if t}.values())
+    rows = list(dict.fromkeys((t, y) for t, y in rows if t))
     names: dict[str, str] = {}
     sets = [({names.setdefault(p, p) for s in _SENTENCE.split(t.lower()) for w in words_of(s) if (p := plain(w))}, y) for t, y in rows]
     toxic, clean = Counter(), Counter()

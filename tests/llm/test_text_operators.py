@@ -153,6 +153,12 @@ def test_toxicity_tells_letters_of_every_script_apart():
         assert bad.min() > 0 > good.max()
 
 
+def test_toxicity_trains_on_texts_that_only_begin_and_end_alike():
+    head, tail = "the river rose in the night and by morning the lower fields were under water again " * 2, " and the road to the market stayed open as the farmers had said it would all winter" * 2
+    rows = [(f"{head}gribblefop{tail}", 1), (f"{head}bridge{tail}", 0)]
+    assert toxicity.train(rows) is not None and toxicity.train(rows[::-1]) is not None
+
+
 def test_html_main_text(spark):
     field = html_extract.train([c for p in html_extract.LABELLED for c in html_extract.labelled(p, False)] * 3)
     right = total = 0
