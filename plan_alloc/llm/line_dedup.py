@@ -39,11 +39,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def points(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of lines given as UTF-8 bytes and their offsets, and the offsets in those."""
+    if not len(flat) or flat.max() < 128:
+        return flat, offsets
+    raw = flat.tobytes()
+    try:
+        text = raw.decode()
+        before = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])[offsets]
+    except UnicodeDecodeError:  # broken bytes: each line on its own
+        lines = [raw[a:z].decode(errors="replace") for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+        text, before = "".join(lines), np.cumsum([0, *map(len, lines)])
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), before
+
+
 def bands(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Band keys (line, band) of lines given as one byte array and their offsets."""
+    """Band keys (line, band) of lines given as one array of code points and their offsets."""
     n = len(offsets) - 1
     size = np.diff(offsets)
-    # Rolling sums over SHINGLE = 8 bytes by doubling; short lines are padded with zeros.
+    # Rolling sums over SHINGLE = 8 characters by doubling; short lines are padded with zeros.
     wide = np.maximum(size, SHINGLE)
     start = np.cumsum(wide) - wide
     x = np.zeros(int(wide.sum()) + SHINGLE, np.uint64)
@@ -80,7 +94,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _jaccard(batches, threshold: float):
-    """Keep the pairs whose lines' shingle sets (UTF-8 bytes) reach the threshold."""
+    """Keep the pairs whose lines' shingle sets (characters) reach the threshold."""
     known: dict[str, set] = {}
 
     def shingles(t: str) -> set:
@@ -88,7 +102,7 @@ def _jaccard(batches, threshold: float):
         if s is None:
             if len(known) > 20_000:
                 known.clear()
-            b = t.encode().ljust(SHINGLE, b"\0")
+            b = t.ljust(SHINGLE, "\0")
             s = known[t] = {b[i : i + SHINGLE] for i in range(len(b) - SHINGLE + 1)}
         return s
 
@@ -116,7 +130,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
                 size += int(lengths[i])
                 if size > 2_000_000 or i + 1 == len(lengths):
                     part = batch.slice(at, i + 1 - at)
-                    keys = bands(*text_bytes(part.column(1)))
+                    keys = bands(*points(*text_bytes(part.column(1))))
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["h", "keys"])
                     size, at = 0, i + 1
 

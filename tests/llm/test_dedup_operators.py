@@ -112,6 +112,21 @@ def test_line_dedup(spark, docs, odd):
     assert line_dedup.dedup(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_compares_characters(spark):
+    r = np.random.default_rng(8)
+    rows, want = [], {}
+    for i, letters in enumerate(("абвгдежзиклмнопрст", "天地人日月山水火木金土石花草虫魚鳥", "abcdefghijklmnop", "😀😁😂😃😄😅😆😇😈😉😊")):
+        for k, n in enumerate((40, 60, 100, 200, 400)):
+            line = "".join(r.choice(list(letters), n))
+            other = line[: n // 2] + "ю" + line[n // 2 + 1 :]
+            rows += [(10 * i + 2 * k, line), (10 * i + 2 * k + 1, other)]
+            a, b = ({t[j : j + 8] for j in range(n - 7)} for t in (line, other))
+            want[10 * i + 2 * k + 1] = len(a & b) >= 0.8 * len(a | b)
+    assert set(want.values()) == {False, True}
+    got = {x.doc_id: x.text for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: got[d] == "" for d in want} == want and all(got[d] for d, _ in rows if d % 2 == 0)
+
+
 def _cut(rows, n):
     seen, out = set(), {}
     for i, t in sorted(rows):
