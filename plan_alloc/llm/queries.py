@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plan_alloc.llm import ann, decontaminate, html_extract, line_dedup, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from plan_alloc.llm import ann, decontaminate, html_extract, line_dedup, packing, periodic_runs, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from plan_alloc.llm.common import read
 
 #: Host, path and verdict of the rules.
@@ -71,6 +71,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # The repetitions that the contract plants, by the checksum of the id.
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = F.size("w")
+    planted = docs.withColumn("w", F.when(h % 10 == 0, words)).withColumn("a", F.when(n > 0, g % n))
+    planted = planted.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.col("w")[(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")]))
+    texts = planted.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.collapse(texts, least=6, times=4)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    length = -F.col("best.less")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontaminate, op3_simhash, op4_url_filter, op5_ann, op6_toxicity, op7_line_dedup, op8_html_extract, op9_suffix_dedup, op10_token_counts, pipeline)
+    f.__name__: f for f in (op1_packing, op2_decontaminate, op3_simhash, op4_url_filter, op5_ann, op6_toxicity, op7_line_dedup, op8_html_extract, op9_suffix_dedup, op10_token_counts, op13_periodic_runs, pipeline)
 }
 
 ORACLE: dict[str, str] = {}
