@@ -39,14 +39,26 @@ def keep(df: DataFrame, label: str) -> DataFrame:
         atexit.register(_clean)
     _SCRATCH[path] = spark
     df.write.mode("error").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``keep`` wrote for these frames; nothing may read them any more."""
+    for frame in frames:
+        _delete(frame.kept_at, _SCRATCH.pop(frame.kept_at))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _clean() -> None:
     for path, spark in list(_SCRATCH.items()):
         try:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(path, spark)
         except Exception:  # the session has ended: the checkpoint folder's own retention applies
             return
 

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plan_alloc.llm import ann, decontaminate, html_extract, line_dedup, packing, periodic_runs, simhash, suffix_dedup, token_counts, toxicity, url_filter
-from plan_alloc.llm.common import read
+from plan_alloc.llm import ann, decontaminate, html_extract, line_dedup, packing, periodic_runs, simhash, spelling, suffix_dedup, token_counts, toxicity, url_filter
+from plan_alloc.llm.common import lower_ascii, read
 
 #: Host, path and verdict of the rules.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -71,6 +71,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit("[A-Za-z\\u00C0-\\u00FF]+"), F.lit(0))).alias("run")).where(F.length("run") >= 7)
+    # The letters that the contract takes out, by the checksum of id and word.
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    at = (h % F.length("run")).cast("int")
+    word = F.when(h % 31 == 0, F.concat(F.left("run", at), F.right("run", F.length("run") - at - 1))).otherwise(F.col("run"))
+    words = runs.select(word.alias("word")).where(F.length("word") >= 7).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return spelling.group(words, ratio=10)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     # The repetitions that the contract plants, by the checksum of the id.
@@ -105,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontaminate, op3_simhash, op4_url_filter, op5_ann, op6_toxicity, op7_line_dedup, op8_html_extract, op9_suffix_dedup, op10_token_counts, op13_periodic_runs, pipeline)
+    f.__name__: f for f in (op1_packing, op2_decontaminate, op3_simhash, op4_url_filter, op5_ann, op6_toxicity, op7_line_dedup, op8_html_extract, op9_suffix_dedup, op10_token_counts, op11_spelling, op13_periodic_runs, pipeline)
 }
 
 ORACLE: dict[str, str] = {}
