@@ -1,7 +1,7 @@
 """Registered queries of the operators: each on its whole table, with production parameters.
 
-No DuckDB SQL is given: its text functions and hashes can't express these
-results at the size of the tables; tests compare them with brute force.
+DuckDB SQL is given where it can express a result; for the others its text
+functions and hashes can't, and tests compare them with brute force.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plan_alloc.llm import ann, decontaminate, html_extract, line_dedup, packing, periodic_runs, simhash, spelling, suffix_dedup, token_counts, toxicity, url_filter
+from plan_alloc.llm import ann, decontaminate, embedding_dedup, html_extract, line_dedup, packing, periodic_runs, simhash, spelling, suffix_dedup, token_counts, toxicity, url_filter
 from plan_alloc.llm.common import lower_ascii, read
 
 #: Host, path and verdict of the rules.
@@ -82,6 +82,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(words, ratio=10)
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     # The repetitions that the contract plants, by the checksum of the id.
@@ -116,7 +120,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontaminate, op3_simhash, op4_url_filter, op5_ann, op6_toxicity, op7_line_dedup, op8_html_extract, op9_suffix_dedup, op10_token_counts, op11_spelling, op13_periodic_runs, pipeline)
+    f.__name__: f for f in (op1_packing, op2_decontaminate, op3_simhash, op4_url_filter, op5_ann, op6_toxicity, op7_line_dedup, op8_html_extract, op9_suffix_dedup, op10_token_counts, op11_spelling, op12_embedding_dedup, op13_periodic_runs, pipeline)
 }
 
-ORACLE: dict[str, str] = {}
+#: Cosines of all pairs, and components by the smallest id reachable along the links.
+ORACLE: dict[str, str] = {
+    "op12_embedding_dedup": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reach AS (
+    SELECT a AS vec_id, b AS other FROM links
+    UNION
+    SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+),
+least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.other, e.vec_id)) AS component_id,
+       least(e.vec_id, coalesce(c.other, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.vec_id = e.vec_id LEFT JOIN least c ON c.vec_id = e.vec_id""",
+}
