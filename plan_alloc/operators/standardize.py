@@ -6,7 +6,8 @@ or quantities) are counted in one pass over the table by a single aggregate;
 duplicate business keys need a ``groupBy`` on the key. None of them runs
 until ``enforce`` is called, which evaluates all of them in one job.
 
-Rows that fail are not lost: ``rejects`` holds them with a reason code.
+Rows that fail are not lost: ``rejects`` holds them with a reason code; a
+malformed CSV line is one of them, with its raw text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plan_alloc.functions.columns import (
@@ -31,12 +32,14 @@ from plan_alloc.functions.columns import (
     strip_ws,
 )
 from plan_alloc.operators.checks import Check
+from plan_alloc.sources.csv_text import MALFORMED
 from plan_alloc.spec import AllocSpec, DataError, SchemaError
 
 REASON = "reason"
 
 # Reject reason codes.
 REASON_CODES = (
+    "csv_malformed",
     "period_null",
     "period_empty",
     "period_invalid",
@@ -86,16 +89,22 @@ def check_columns(df: DataFrame, required: tuple[str, ...], dataset: str) -> Non
         raise SchemaError(f"{dataset} table lacks required column(s): {', '.join(missing)}.")
 
 
+def _well_formed(df: DataFrame) -> Column:
+    return F.col(MALFORMED).isNull() if MALFORMED in df.columns else F.lit(True)
+
+
 def null_profile(df: DataFrame, key_columns: tuple[str, ...], dataset: str) -> DataFrame:
     """``chk_profile``/``chk_null_keys``: one row with the row count, the column
-    count and the number of nulls in each key column (one scan)."""
+    count and the number of nulls in each key column (one scan). Malformed CSV
+    lines count as rows; they have no keys to be null."""
+    names = [c for c in df.columns if c != MALFORMED]
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
-        *[F.count_if(F.col(c).isNull()).cast("long").alias(f"null_{c}") for c in key_columns],
+        *[F.count_if(F.col(c).isNull() & _well_formed(df)).cast("long").alias(f"null_{c}") for c in key_columns],
     ).select(
         F.lit(dataset).alias("dataset"),
         F.col("row_count"),
-        F.lit(len(df.columns)).cast("long").alias("column_count"),
+        F.lit(len(names)).cast("long").alias("column_count"),
         *[F.col(f"null_{c}") for c in key_columns],
     )
 
@@ -115,7 +124,8 @@ def validate_schema(df: DataFrame, spec: AllocSpec, dataset: str) -> SchemaRepor
     nulls = [c for c in keys if row[f"null_{c}"] > 0]
     if nulls:
         raise SchemaError(f"{dataset} table has nulls in required column(s): {', '.join(nulls)}.")
-    return SchemaReport(dataset, int(row["row_count"]), len(df.columns), tuple(required), tuple(df.columns))
+    actual = tuple(c for c in df.columns if c != MALFORMED)
+    return SchemaReport(dataset, int(row["row_count"]), len(actual), tuple(required), actual)
 
 
 def duplicate_keys(df: DataFrame, key_columns: tuple[str, ...]) -> DataFrame:
@@ -163,6 +173,8 @@ def annotate(df: DataFrame, spec: AllocSpec, qty_col: str) -> DataFrame:
         )
     out = out.withColumns(stage3)
     reasons = []
+    if MALFORMED in df.columns:
+        reasons.append(F.when(~_well_formed(df), F.lit("csv_malformed")))
     if with_period:
         reasons.append(
             period_reason(
@@ -209,7 +221,7 @@ def _standardize(
     for c in key_columns:
         any_null = any_null | F.col(c).isNull()
     rule_counts = annotated.agg(
-        F.count_if(any_null).cast("long").alias("null_keys"),
+        F.count_if(any_null & _well_formed(df)).cast("long").alias("null_keys"),
         F.count_if(F.col(REASON).isNotNull()).cast("long").alias("rejected"),
     )
     checks = [

@@ -28,8 +28,9 @@ from plan_alloc.operators import standardize as S
 from plan_alloc.operators import targets as TG
 from plan_alloc.operators.checks import Check, enforce, violation_counts
 from plan_alloc.session import remove_written
+from plan_alloc.sources.csv_text import MALFORMED, drop_malformed
 from plan_alloc.sources.tables import write_bundle
-from plan_alloc.spec import AllocSpec, Basis, SpecError, TargetError
+from plan_alloc.spec import AllocSpec, Basis, DataError, SpecError, TargetError
 
 KEYS = list(TG.KEYS)
 
@@ -99,6 +100,11 @@ def build_targets(
     raise SpecError("mode is 'direct' or 'share'.")
 
 
+def malformed_lines(df: DataFrame, dataset: str) -> Check:
+    """Lines of a CSV input that are not records of its header's fields."""
+    return Check(f"{dataset}_malformed_lines", DataError, f"{dataset} input has malformed CSV lines", df.where(F.col(MALFORMED).isNotNull()))
+
+
 def engine_inputs(
     targets: DataFrame, reference: DataFrame, basis: Basis, spec: AllocSpec
 ) -> tuple[S.Standardized, S.Standardized]:
@@ -158,6 +164,9 @@ def run_job(
         cached.append(df)
         return df
 
+    tables = {"macro": macro, "granular": granular, "locks": locks}
+    line_checks = [malformed_lines(df, name) for name, df in tables.items() if df is not None and MALFORMED in df.columns]
+    macro, granular, locks = (df if df is None else drop_malformed(df) for df in tables.values())
     reference = keep(TG.granular_reference(granular))
     targets, target_checks = build_targets(macro, reference, basis, mode, share, locks, keep=keep)
     targets = keep(targets)
@@ -170,7 +179,7 @@ def run_job(
     weights = A.calculate_weights(aligned, spec, totals=totals, layout=layout)
     metrics = TG.text_metrics(granular, ("baseline_qty", "baseline_value"))
     metric_checks = [TG.unreadable_values(granular, metrics, "baseline")] if metrics else []
-    input_rules = [*target_checks, *std_macro.checks, *std_granular.checks, *metric_checks, *weights.checks]
+    input_rules = [*line_checks, *target_checks, *std_macro.checks, *std_granular.checks, *metric_checks, *weights.checks]
     early: dict[str, int] = {}
     if check and layout.hot_keys is not None:
         # Hot groups are ranked by writing a scratch table while the plan is

@@ -220,6 +220,32 @@ def standardize_oracle() -> dict[str, str]:
     }
 
 
+def malformed_csv_oracle() -> dict[str, str]:
+    """Lines with a surplus field, a missing field or an unclosed quote are rejects
+    with their raw text; the others are rows."""
+    ctes = annotated_text_ctes()[:3] + [
+        (
+            "k",
+            "SELECT *, (l_orderkey + l_linenumber) % 6 AS kind, coalesce(p_d, DATE '1990-01-01') AS month, "
+            "'1,0' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || '.5' AS qty FROM b",
+        ),
+        (
+            "l",
+            "SELECT *, strftime(month, '%Y-%m') || ',' || market || ',' || channel || ',\"' || client || ' \"\"A\"\"\",' || sku || "
+            "CASE kind WHEN 1 THEN ',' || qty WHEN 3 THEN '' WHEN 5 THEN ',\"' || qty END AS line FROM k",
+        ),
+    ]
+    nulls = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in ("period", "market", "channel", "client", "sku", "baseline_qty"))
+    return {
+        "src_csv_malformed": with_ctes(ctes, f"SELECT {nulls}, line, 'csv_malformed' AS reason FROM l WHERE kind IN (1, 3, 5)"),
+        "src_csv_wellformed": with_ctes(
+            ctes,
+            "SELECT month AS period, market, channel, client || ' \"A\"' AS client, sku, "
+            "CAST(replace(qty, ',', '') AS DOUBLE) AS baseline_qty FROM l WHERE kind NOT IN (1, 3, 5)",
+        ),
+    }
+
+
 __all__ = ["allocation_ctes", "exact_sum", "granular_sql", "group_summary_sql", "macro_sql", "market_totals_sql", "with_ctes", "KEYS"]
 
 

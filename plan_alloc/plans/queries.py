@@ -356,6 +356,29 @@ def q_src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.standardize_granular(read_table(spark, path, fmt="csv"), AllocSpec()).table
 
 
+def _malformed_csv(spark: SparkSession, sf_dir: str) -> S.Standardized:
+    """Order lines written as CSV, every third line malformed in one of three
+    ways, read back and standardised."""
+    from plan_alloc.session import scratch_path
+    from plan_alloc.sources.cube import CSV_HEADER, csv_lines
+    from plan_alloc.sources.tables import read_table
+
+    path = scratch_path(spark, "lines") + "/lines.csv"
+    # The header as the CSV writer spells it: one column whose name is the header line.
+    csv_lines(spark, sf_dir).toDF(CSV_HEADER).write.options(header=True, sep="\x00\x01\x00", quote="", escape="").csv(path)
+    return S.standardize_granular(read_table(spark, path, fmt="csv"), AllocSpec())
+
+
+def q_src_csv_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects of a CSV with surplus fields, missing fields and unclosed quotes."""
+    return _malformed_csv(spark, sf_dir).rejects.withColumnRenamed("_malformed_line", "line")
+
+
+def q_src_csv_wellformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of that CSV: quoted thousands and doubled quotes come out right."""
+    return _malformed_csv(spark, sf_dir).table
+
+
 def q_job_integrity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _job_direct(spark, sf_dir).integrity_summary
 
@@ -422,6 +445,8 @@ QUERIES: dict[str, Query] = {
     "job_stages_units": q_job_stages_units,
     "snk_bundle_roundtrip": q_snk_bundle_roundtrip,
     "src_csv_roundtrip": q_src_csv_roundtrip,
+    "src_csv_malformed": q_src_csv_malformed,
+    "src_csv_wellformed": q_src_csv_wellformed,
 }
 
 
@@ -512,6 +537,7 @@ def _oracle() -> dict[str, str]:
         [("granular", O.granular_sql(CORE))],
         "SELECT period, market, channel, client, sku, baseline_qty FROM granular",
     )
+    out.update(O.malformed_csv_oracle())
     job_integrity = units + [
         (
             "group_checks",

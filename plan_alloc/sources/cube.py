@@ -27,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plan_alloc.functions.columns import period_month
+
 AMOUNT = "decimal(18,2)"
 
 
@@ -247,6 +249,29 @@ def text_lines_sql(cube: Cube = Cube()) -> str:
     JOIN region r ON n.n_regionkey = r.r_regionkey"""
 
 
+# How an order line is spelt as CSV, by (orderkey + linenumber) % 6
+# (1: the quantity's comma not quoted, a surplus field; 3: the quantity missing;
+# 5: an unclosed quote; otherwise well formed, client quoted with a doubled quote
+# in it, quantity quoted).
+CSV_HEADER = "period,market,channel,client,sku,baseline_qty"
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV line for each order line of ``text_lines``, a half of them malformed."""
+    t = text_lines(spark, sf_dir)
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    client = F.concat(F.lit('"'), F.col("client"), F.lit(' ""A"""'))
+    qty = F.concat(F.lit("1,0"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lit(".5"))
+    ending = (
+        F.when(k == 1, F.concat(F.lit(","), qty))
+        .when(k == 3, F.lit(""))
+        .when(k == 5, F.concat(F.lit(',"'), qty))
+        .otherwise(F.concat(F.lit(',"'), qty, F.lit('"')))
+    )
+    period = F.date_format(F.coalesce(period_month(F.col("period"), t.schema["period"].dataType), F.lit("1990-01-01").cast("date")), "yyyy-MM")
+    return t.select(F.concat(period, F.lit(","), "market", F.lit(","), "channel", F.lit(","), client, F.lit(","), "sku", ending).alias("line"))
+
+
 # --------------------------------------------------------------------------
 # DuckDB twins (CTE bodies)
 # --------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Reading inputs and writing the result bundle (``src_*``, ``snk_*``).
 
 Inputs: CSV (header; every column read as text, no inference pass over the
-data — the standardising step types periods and numbers), Parquet, or a
-catalog table. Output: the four result tables under one run folder, the two
+data — the standardising step types periods and numbers; malformed lines are
+kept, see ``csv_text``), Parquet, or a catalog table. Output: the four result tables under one run folder, the two
 row-level ones partitioned by ``period`` so later reads can prune months.
 """
 
@@ -14,6 +14,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plan_alloc.sources.csv_text import read_csv
 from plan_alloc.spec import DataError
 
 # Names of the four result tables, in writing order.
@@ -31,8 +32,9 @@ def input_format(path: str) -> str:
     raise DataError(f"Unsupported input '{path}': use a .csv or .parquet path, or format='table'.")
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """``src_csv``/``src_table``/``src_reject_format``."""
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
+    """``src_csv``/``src_table``/``src_reject_format``. ``multi_line``: quoted CSV
+    fields may hold line breaks (a file is then read by one task)."""
     fmt = fmt or input_format(path)
     if fmt not in FORMATS:
         raise DataError(f"Unsupported input format '{fmt}'; expected one of {', '.join(FORMATS)}.")
@@ -40,7 +42,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
         return spark.table(path)
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return read_csv(spark, path, multi_line)
 
 
 def run_id(now: datetime | None = None) -> str:
