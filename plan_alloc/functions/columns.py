@@ -6,7 +6,7 @@ whole-stage-codegen span of whatever projection uses them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,13 +149,14 @@ def quantity_reason(
     return F.when(c.isNull(), F.lit("qty_null")).otherwise(F.lit("qty_type"))
 
 
-def exact_sum(c: Column | str, decimals: int = 0) -> Column:
-    """Sum of doubles through a decimal type: exact to nine decimals (or to three
+def exact_sum(c: Column | str, decimals: int = 0, over: WindowSpec | None = None) -> Column:
+    """Sum (over a window, if one is given) of doubles through a decimal type: exact to nine decimals (or to three
     more than ``decimals``, if that is finer), so independent of row order and
     partitioning; 0 (not null) for a group without values."""
     col = F.col(c) if isinstance(c, str) else c
     kind = EXACT_DECIMAL if decimals + 3 <= EXACT_DECIMAL.scale else T.DecimalType(38, min(decimals + 3, 30))
-    return F.coalesce(F.sum(col.cast(kind)).cast("double"), F.lit(0.0))
+    total = F.sum(col.cast(kind))
+    return F.coalesce((total if over is None else total.over(over)).cast("double"), F.lit(0.0))
 
 
 # Decimal types for a group's total, by the group's largest magnitude: groups

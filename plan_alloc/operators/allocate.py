@@ -5,15 +5,16 @@ Plan shape (per control group = ``spec.group_keys``):
 * group totals are a ``groupBy`` with map-side partial aggregation, joined
   back to the rows (never a window over a whole group, so one huge group does
   not land in one task just to be summed);
-* the macro side and the totals have one row per group; the caller says when
-  that table is provably small enough to broadcast (see ``GroupLayout``),
-  otherwise Spark/AQE pick a shuffle join and split skewed partitions;
+* totals and targets meet in a ledger of one row per group, joined to the rows
+  once. ``GroupLayout`` says when it is provably small enough to broadcast;
+  otherwise it is a shuffle join, in which a hot group's rows are spread by a
+  salt from (sku, client) and its ledger row is repeated for every salt;
 * ranking rows by remainder needs an order inside each group. Groups up to
   ``spec.hot_group_rows`` rows are ranked by one window (one hash exchange on
   the group keys, reused by the residual sum). Larger ("hot") groups are
-  ranked by a range-partitioned sort over the whole ordering key, which
-  spreads a single group over many tasks; a small per-(group, partition)
-  table of row counts turns local positions into exact group ranks.
+  ranked bucket by bucket: remainders are cut into buckets, buckets are counted
+  with map-side combine, a running sum gives the rows before each bucket, and
+  rows are numbered inside their bucket.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 
 from plan_alloc.functions.columns import exact_sum, exact_total, floor_double, ratio
 from plan_alloc.operators.checks import Check
-from plan_alloc.session import scratch_path
 from plan_alloc.spec import AllocationError, AllocSpec, IntegrityError, ZeroBaselineError
 
 GROUP_TOTAL = "group_baseline_qty"
@@ -42,6 +42,8 @@ ROUNDING_COLUMNS = (ROUNDED, REMAINDER, RANK, ADJUST, FINAL)
 # Work columns (dropped before results leave this module).
 _RAW_S, _TGT_S, _FLOOR_S, _REM_S, _RESID = "_raw_s", "_tgt_s", "_floor_s", "_rem_s", "_residual"
 _ROWS = "_group_rows"
+_SALT, _SALTS = "_salt", "_salts"
+_BUCKET, _BUCKET_ROWS, _BEFORE, _PREFIX, _HEAD = "_bucket", "_bucket_rows", "_before", "_prefix", "_head"
 
 
 # --------------------------------------------------------------------------
@@ -54,8 +56,10 @@ class GroupLayout:
     ``broadcast``: the number of groups is at most ``spec.broadcast_group_limit`` so tables
     with one row per group may be broadcast. ``hot_keys``: keys of the groups
     with more than ``spec.hot_group_rows`` rows; at most
-    ``total_rows / hot_group_rows`` of them exist, so this table is always
-    safe to broadcast. None when there is no hot group.
+    ``total_rows / hot_group_rows`` of them exist. None when there is no hot group.
+    ``salts``: keys and number of salts of the groups whose rows a shuffle join on
+    the group keys has to spread, fewer than ``spec.broadcast_hot_limit``; None
+    when nothing has to be.
     """
 
     group_count: int
@@ -65,6 +69,7 @@ class GroupLayout:
     hot_rows: int = 0
     hot_groups: int = 0
     max_group_rows: int = 0
+    salts: DataFrame | None = None
 
     def describe(self) -> dict:
         return {
@@ -74,6 +79,7 @@ class GroupLayout:
             "per_group_tables_broadcast": self.broadcast,
             "hot_groups": self.hot_groups,
             "hot_rows": self.hot_rows,
+            "joins_salted": self.salts is not None,
         }
 
 
@@ -88,19 +94,40 @@ def measure_groups(per_group: DataFrame, spec: AllocSpec, rows_col: str = _ROWS)
         F.coalesce(F.max(rows_col), F.lit(0)).alias("max_rows"),
     ).first()
     hot_keys = per_group.filter(hot).select(*spec.keys) if stats["hot_groups"] else None
+    broadcast = int(stats["groups"]) <= spec.broadcast_group_limit
+    # Of groups above a part of all rows there are fewer than parts.
+    most = max(spec.hot_group_rows, int(stats["rows"]) // spec.broadcast_hot_limit)
+    salts = None
+    if not broadcast and int(stats["max_rows"]) > most:
+        n = F.ceil(F.col(rows_col) / spec.hot_rows_per_task).cast("int")
+        salts = per_group.filter(F.col(rows_col) > most).select(*spec.keys, n.alias(_SALTS))
     return GroupLayout(
         group_count=int(stats["groups"]),
         row_count=int(stats["rows"]),
-        broadcast=int(stats["groups"]) <= spec.broadcast_group_limit,
+        broadcast=broadcast,
         hot_keys=hot_keys,
         hot_rows=int(stats["hot_rows"]),
         hot_groups=int(stats["hot_groups"]),
         max_group_rows=int(stats["max_rows"]),
+        salts=salts,
     )
 
 
-def _per_group(df: DataFrame, layout: GroupLayout | None) -> DataFrame:
-    return F.broadcast(df) if layout is not None and layout.broadcast else df
+def join_groups(rows: DataFrame, per_group: DataFrame, spec: AllocSpec, layout: GroupLayout | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined on the group keys with a table of one row per group (of
+    groups that ``layout`` counted): broadcast if the layout allows it, else a
+    shuffle join in which the rows of large groups are spread over salts."""
+    keys = spec.keys
+    if layout is not None and layout.broadcast:
+        return rows.join(F.broadcast(per_group), keys, how)
+    if layout is None or layout.salts is None:
+        return rows.join(per_group, keys, how)
+    salts = F.broadcast(layout.salts)
+    parts = [c for c in (spec.columns.sku, spec.columns.client) if c in rows.columns]
+    salt = F.coalesce(F.pmod(F.xxhash64(*parts), F.col(_SALTS)), F.lit(0)).cast("int")
+    spread = rows.join(salts, keys, "left").withColumn(_SALT, salt).drop(_SALTS)
+    copies = per_group.join(salts, keys, "left").withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(_SALTS, F.lit(1)) - 1))).drop(_SALTS)
+    return spread.join(copies, [*keys, _SALT], how).drop(_SALT)
 
 
 # --------------------------------------------------------------------------
@@ -134,13 +161,20 @@ def calculate_weights(
     if cols.sku not in granular.columns:
         raise ZeroBaselineError(f"Weights need the sku column '{cols.sku}'.")
     totals = totals if totals is not None else group_totals(granular, spec)
-    rows = granular.join(_per_group(totals, layout), spec.keys, "inner")
-    base, total = F.col(cols.baseline), F.col(GROUP_TOTAL)
+    rows = join_groups(granular, totals, spec, layout)
+    weights = rows.withColumn(WEIGHT, _weight(spec)).drop(_ROWS)
+    checks, zero_groups = _zero_baselines(totals, spec)
+    return Weights(weights=weights, zero_groups=zero_groups, totals=totals, checks=checks)
+
+
+def _weight(spec: AllocSpec) -> Column:
+    base, total = F.col(spec.columns.baseline), F.col(GROUP_TOTAL)
     if spec.zero_baseline == "equal_split":
-        weight = F.when(total == 0, F.lit(1.0) / F.col(_ROWS).cast("double")).otherwise(ratio(base, total))
-    else:
-        weight = ratio(base, total)
-    weights = rows.withColumn(WEIGHT, weight).drop(_ROWS)
+        return F.when(total == 0, F.lit(1.0) / F.col(_ROWS).cast("double")).otherwise(ratio(base, total))
+    return ratio(base, total)
+
+
+def _zero_baselines(totals: DataFrame, spec: AllocSpec) -> tuple[list[Check], DataFrame]:
     zero_groups = totals.filter(F.col(GROUP_TOTAL) == 0).select(*spec.keys)
     checks = []
     if spec.zero_baseline == "fail":
@@ -152,7 +186,31 @@ def calculate_weights(
                 zero_groups,
             )
         )
-    return Weights(weights=weights, zero_groups=zero_groups, totals=totals, checks=checks)
+    return checks, zero_groups
+
+
+# --------------------------------------------------------------------------
+# both at once, through the group ledger
+# --------------------------------------------------------------------------
+def group_ledger(totals: DataFrame, macro: DataFrame, spec: AllocSpec) -> DataFrame:
+    """One row per group that has both: baseline total, row count, target."""
+    return totals.join(macro.select(*spec.keys, spec.columns.target), spec.keys, "inner")
+
+
+def allocate(
+    granular: DataFrame, macro: DataFrame, spec: AllocSpec, totals: DataFrame, layout: GroupLayout
+) -> tuple[Weights, Redistribution]:
+    """``calculate_weights`` and ``redistribute`` with one join of the rows: the
+    ledger holds what both of them need of a group. ``Weights.weights`` holds the
+    rows of groups with a target only."""
+    rows = join_groups(granular, group_ledger(totals, macro, spec), spec, layout)
+    target = spec.columns.target
+    shares = rows.withColumn(WEIGHT, _weight(spec))
+    columns = [F.col(f"`{c}`") for c in granular.columns]
+    allocations = shares.select(*columns, GROUP_TOTAL, WEIGHT, target, (F.col(WEIGHT) * F.col(target)).alias(RAW))
+    checks, zero_groups = _zero_baselines(totals, spec)
+    weights = Weights(allocations.drop(target, RAW), zero_groups, totals, checks)
+    return weights, Redistribution(allocations, unmatched_groups(macro, totals, spec.keys), unmatched_groups(totals, macro, spec.keys))
 
 
 # --------------------------------------------------------------------------
@@ -187,13 +245,15 @@ def redistribute(
         raise AllocationError(f"Weighted rows already carry the target column '{target}'.")
     groups = granular_groups if granular_groups is not None else weighted.select(*keys).distinct()
     macro_targets = macro.select(*keys, target)
-    if granular_groups is not None and layout is not None and layout.broadcast:
+    if granular_groups is None:
+        joined = weighted.join(macro_targets, keys, "inner")
+    else:
         # The layout counts granular groups only. Targets of other groups fall
         # out first, so what is broadcast has at most one row per counted group.
-        macro_targets = F.broadcast(macro_targets.join(F.broadcast(groups.select(*keys)), keys, "left_semi"))
-    allocations = weighted.join(macro_targets, keys, "inner").withColumn(
-        RAW, F.col(WEIGHT) * F.col(target)
-    )
+        own = groups.select(*keys)
+        small = F.broadcast(own) if layout is not None and layout.broadcast else own
+        joined = join_groups(weighted, macro_targets.join(small, keys, "left_semi"), spec, layout)
+    allocations = joined.withColumn(RAW, F.col(WEIGHT) * F.col(target))
     return Redistribution(
         allocations=allocations,
         unmatched_macro=unmatched_groups(macro, groups, keys),
@@ -209,7 +269,6 @@ class Rounding:
     allocations: DataFrame
     group_summary: DataFrame
     checks: list[Check] = field(default_factory=list)
-    scratch: list[str] = field(default_factory=list)  # folders the allocations read; the caller removes them
 
 
 def _tie_order(df: DataFrame, spec: AllocSpec) -> list[Column]:
@@ -246,46 +305,64 @@ def _rank_by_window(scaled: DataFrame, spec: AllocSpec) -> DataFrame:
     )
 
 
-def _rank_by_range(
-    scaled: DataFrame, spec: AllocSpec, layout: GroupLayout, rows_per_task: int
-) -> tuple[DataFrame, str]:
-    """Exact ranks for hot groups without putting a group in one task, and the
-    scratch folder they are read from.
-
-    1. range-partition on (group keys, remainder desc, sku, client) — the key
-       is unique, so the sampled bounds split even a single group evenly;
-    2. sort inside partitions and tag each row with its partition id and a
-       monotonically increasing id (ordered along the key);
-    3. write the tagged rows once to the shared checkpoint folder, so the tags
-       stay fixed whatever is recomputed later (a lost executor included);
-    4. per (group, partition): row count and first id; a running count over
-       partitions gives how many rows of the group precede the partition;
-    5. rank = rows before + position inside the partition + 1.
+def _rank_by_bucket(scaled: DataFrame, spec: AllocSpec, layout: GroupLayout, rows_per_task: int) -> DataFrame:
+    """Exact ranks for hot groups without putting a group in one task.
+
+    1. The remainder, in descending order, is cut into ``buckets`` buckets; rows
+       are counted by (group, bucket) with map-side combine, and a running sum over
+       a group's buckets (at most ``buckets`` + 1 rows) gives the rows before each.
+    2. Rows are numbered inside their bucket by one window on (group, bucket).
+    3. A bucket above ``rows_per_task`` rows is so because remainders tie. Its rows
+       go by their remainder and the head of their sku - as long as the bucket's
+       skus have in common, and four characters more - which keeps the order:
+       counted, summed and numbered like buckets, on that finer key.
+
+    Nothing is sampled or written, and every step can be computed again.
     """
-    keys = spec.keys
-    order = [F.col(k).asc() for k in keys] + _tie_order(scaled, spec)
-    parts = max(2, math.ceil(layout.hot_rows / max(1, rows_per_task)))
-    residual = scaled.groupBy(*keys).agg((F.max(_TGT_S) - F.sum(_FLOOR_S)).alias(_RESID))
-    spark = scaled.sparkSession
-    folder = scratch_path(spark, "hot_ranks")
-    scaled.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns(
-        {"_pid": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}
-    ).write.mode("error").parquet(folder)
-    tagged = spark.read.parquet(folder)
-    spans = tagged.groupBy(*keys, "_pid").agg(
-        F.count(F.lit(1)).alias("_span_rows"), F.min("_seq").alias("_span_start")
+    keys, sku = spec.keys, spec.columns.sku
+    per_task = max(1, rows_per_task // 8)
+    buckets = 1 << max(4, min(16, math.ceil(math.log2(max(1.0, layout.max_group_rows / per_task)))))
+    rem = F.col(_REM_S)
+    # A row without a remainder comes last, as in a descending order.
+    bucket = F.coalesce(F.greatest(F.lit(0), buckets - 1 - F.floor(rem * buckets).cast("int")), F.lit(buckets))
+    rows = scaled.withColumn(_BUCKET, bucket)
+    counts = rows.groupBy(*keys, _BUCKET).agg(
+        F.count(F.lit(1)).alias(_BUCKET_ROWS), F.sum(_FLOOR_S).alias("_floors"), F.max(_TGT_S).alias("_target"),
+        F.min(sku).alias("_least"), F.max(sku).alias("_most"),
     )
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_before", F.coalesce(F.sum("_span_rows").over(before), F.lit(0))).join(
-        residual, keys, "inner"
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    shared = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("_least"), F.length("_most")))), lambda i: F.left("_least", i) == F.left("_most", i))
+    spans = counts.select(
+        *keys, _BUCKET, _BUCKET_ROWS,
+        F.coalesce(F.sum(_BUCKET_ROWS).over(before), F.lit(0)).alias(_BEFORE),
+        (F.max("_target").over(group) - F.sum("_floors").over(group)).alias(_RESID),
+        F.when(F.col(_BUCKET_ROWS) > rows_per_task, F.coalesce(F.size(shared), F.lit(0)) + 4).alias(_PREFIX),
     )
-    # spans has at most (#hot groups + #partitions) rows: broadcast if that is within the limit.
-    if layout.hot_groups + parts <= spec.broadcast_group_limit:
+    # At most so many rows, whatever the data.
+    if layout.hot_groups * (buckets + 1) <= spec.broadcast_group_limit:
         spans = F.broadcast(spans)
-    ranked = tagged.join(spans, [*keys, "_pid"], "inner").withColumn(
-        RANK, (F.col("_before") + F.col("_seq") - F.col("_span_start") + 1).cast("long")
-    )
-    return ranked.drop("_pid", "_seq", "_span_rows", "_span_start", "_before"), folder
+    placed = rows.join(spans, [*keys, _BUCKET], "inner")
+    ties = _tie_order(scaled, spec)
+    number = F.row_number().over(Window.partitionBy(*keys, _BUCKET).orderBy(*ties))
+    usual = placed.filter(F.col(_PREFIX).isNull()).withColumn(RANK, (F.col(_BEFORE) + number).cast("long"))
+    crowded = placed.filter(F.col(_PREFIX).isNotNull()).withColumn(_HEAD, F.left(sku, F.col(_PREFIX)))
+    fine = [*keys, _BUCKET, _REM_S, _HEAD]
+    over = Window.partitionBy(*keys, _BUCKET).orderBy(rem.desc(), F.col(_HEAD).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = crowded.groupBy(*fine).agg(F.count(F.lit(1)).alias("_head_rows")).withColumn("_head_before", F.coalesce(F.sum("_head_rows").over(over), F.lit(0)))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"h.{c}")) for c in fine]
+    met = crowded.alias("c").join(heads.alias("h"), same, "inner").select("c.*", "h._head_before")
+    number = F.row_number().over(Window.partitionBy(*fine).orderBy(*ties))
+    crowded = met.withColumn(RANK, (F.col(_BEFORE) + F.col("_head_before") + number).cast("long"))
+    columns = [*scaled.columns, _RESID, RANK]
+    return usual.select(*columns).unionAll(crowded.select(*columns))
+
+
+def _side(scaled: DataFrame, spec: AllocSpec, layout: GroupLayout, how: str) -> DataFrame:
+    """Rows of hot groups, or of the others."""
+    if layout.hot_groups <= max(spec.broadcast_group_limit, spec.broadcast_hot_limit):
+        return scaled.join(F.broadcast(layout.hot_keys), spec.keys, how)
+    return join_groups(scaled, layout.hot_keys, spec, layout, how)
 
 
 def apply_rounding(
@@ -310,17 +387,15 @@ def apply_rounding(
     if layout is None:
         layout = measure_groups(alloc.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias(_ROWS)), spec)
     scaled = _scaled(alloc, spec)
-    keys = spec.keys
-    scratch: list[str] = []
     if layout.hot_keys is None:
         ranked = _rank_by_window(scaled, spec)
     else:
-        hot = F.broadcast(layout.hot_keys) if layout.hot_groups <= spec.broadcast_group_limit else layout.hot_keys
-        by_range, folder = _rank_by_range(
-            scaled.join(hot, keys, "left_semi"), spec, layout, rows_per_task or spec.hot_rows_per_task
-        )
-        scratch.append(folder)
-        ranked = _rank_by_window(scaled.join(hot, keys, "left_anti"), spec).unionByName(by_range)
+        per_task = rows_per_task or spec.hot_rows_per_task
+        if layout.hot_groups == layout.group_count:  # nothing is left for the window
+            ranked = _rank_by_bucket(scaled, spec, layout, per_task)
+        else:
+            hot, cold = (_side(scaled, spec, layout, how) for how in ("left_semi", "left_anti"))
+            ranked = _rank_by_window(cold, spec).unionByName(_rank_by_bucket(hot, spec, layout, per_task))
     scale = F.lit(float(spec.scale))
     adjust_s = F.when(F.col(RANK) <= F.col(_RESID), F.lit(1.0)).otherwise(F.lit(0.0))
     out = ranked.select(
@@ -362,9 +437,7 @@ def apply_rounding(
                 count_col="rounding_gap",
             )
         )
-    return Rounding(
-        allocations=out, group_summary=summary.drop("_residual_units"), checks=checks, scratch=scratch
-    )
+    return Rounding(allocations=out, group_summary=summary.drop("_residual_units"), checks=checks)
 
 
 def _group_summary(scaled: DataFrame, spec: AllocSpec) -> DataFrame:

@@ -3,7 +3,7 @@
 
 Reads the macro and granular tables (CSV, Parquet or catalog tables), builds
 targets (direct, or from an annual share with optional locks), allocates,
-checks and writes the four result tables under ``<out>/run=<id>/``. Exits
+checks and publishes the four result tables as one run under ``<out>``. Exits
 non-zero with the rule's message when a check fails.
 """
 
@@ -25,7 +25,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="plan_alloc", description="Top-down plan allocation on Spark.")
     p.add_argument("--macro", required=True, help="targets (direct mode) or market totals (share mode)")
     p.add_argument("--granular", required=True, help="baseline per period, market, channel, client, sku")
-    p.add_argument("--out", required=True, help="folder that receives run=<id>/<table>")
+    p.add_argument("--out", required=True, help="folder that receives the run (read it with read_bundle)")
     p.add_argument("--format", choices=("csv", "parquet", "table"), default=None, help="input format (default: from suffix)")
     p.add_argument("--out-format", choices=("csv", "parquet"), default="parquet")
     p.add_argument("--basis", choices=("units", "value"), default="units")

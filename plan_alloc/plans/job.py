@@ -27,7 +27,6 @@ from plan_alloc.operators import reports as R
 from plan_alloc.operators import standardize as S
 from plan_alloc.operators import targets as TG
 from plan_alloc.operators.checks import Check, enforce, violation_counts
-from plan_alloc.session import remove_written
 from plan_alloc.sources.csv_text import MALFORMED, drop_malformed
 from plan_alloc.sources.tables import write_bundle
 from plan_alloc.spec import AllocSpec, Basis, DataError, SpecError, TargetError
@@ -48,7 +47,6 @@ class JobResult:
     integrity: dict = field(default_factory=dict)
     ordered: bool = False
     _cached: list = field(default_factory=list)
-    _scratch: list = field(default_factory=list)
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -61,19 +59,16 @@ class JobResult:
     def write(
         self, base: str, fmt: str = "parquet", run: str | None = None, rebalance: bool | None = None
     ) -> dict[str, str]:
-        """``job_run`` sink: the four tables under ``base/run=<id>/``. Row tables
+        """``job_run`` sink: the four tables, published as one run under ``base``. Row tables
         are rebalanced by period unless the run asked for ordered output (a
         rebalance would shuffle the order away)."""
         return write_bundle(self.tables(), base, fmt, run, (not self.ordered) if rebalance is None else rebalance)
 
     def release(self) -> None:
-        """Drop cached blocks and scratch tables; call after the last write."""
+        """Drop cached blocks; call after the last write."""
         for df in self._cached:
             df.unpersist()
         self._cached.clear()
-        if self._scratch:
-            remove_written(self.rounded.sparkSession, self._scratch)
-            self._scratch.clear()
 
 
 def build_targets(
@@ -176,22 +171,10 @@ def run_job(
 
     totals = keep(A.group_totals(aligned, spec))
     layout = A.measure_groups(totals, spec)
-    weights = A.calculate_weights(aligned, spec, totals=totals, layout=layout)
+    weights, red = A.allocate(aligned, engine_macro, spec, totals, layout)
     metrics = TG.text_metrics(granular, ("baseline_qty", "baseline_value"))
     metric_checks = [TG.unreadable_values(granular, metrics, "baseline")] if metrics else []
     input_rules = [*line_checks, *target_checks, *std_macro.checks, *std_granular.checks, *metric_checks, *weights.checks]
-    early: dict[str, int] = {}
-    if check and layout.hot_keys is not None:
-        # Hot groups are ranked by writing a scratch table while the plan is
-        # built: check the inputs first so bad input costs no big write.
-        try:
-            early = _raise_first(input_rules, violation_counts(input_rules))
-        except Exception:
-            for df in cached:
-                df.unpersist()
-            raise
-        input_rules = []
-    red = A.redistribute(engine_macro, weights.weights, spec, granular_groups=totals, layout=layout)
     rounding = A.apply_rounding(red.allocations, spec, layout=layout)
     rounded = keep(rounding.allocations)
 
@@ -211,18 +194,17 @@ def run_job(
         layout=layout,
         ordered=ordered,
         _cached=cached,
-        _scratch=rounding.scratch,
     )
     if check:
         try:
-            # One Spark job counts every (remaining) rule and every integrity figure.
+            # One Spark job counts every rule and every integrity figure.
             rules = [*input_rules, *rounding.checks]
             counts = violation_counts([*rules, *I.count_checks(integrity)])
-            result.counts = {**early, **_raise_first(rules, counts)}
+            result.counts = _raise_first(rules, counts)
             row, summary = I.summary_from_counts(rounded.sparkSession, counts, spec)
             result.integrity = I.raise_if_invalid(row, spec)
         except Exception:
-            result.release()  # a failed run keeps no cached blocks or scratch tables
+            result.release()  # a failed run keeps no cached blocks
             raise
         # the one-row summary is already known: no second computation to write it
         result.integrity_summary = summary

@@ -43,11 +43,14 @@ def _rounded(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube: Cube = COR
     """Weights → redistribution → rounding, the groups measured once on the
     granular totals (size-checked broadcasts and hot-group routing for all
     three steps, as the job does)."""
+    return _measured_rounding(spark, sf_dir, spec, cube)[0]
+
+
+def _measured_rounding(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube: Cube = CORE) -> tuple[A.Rounding, A.GroupLayout]:
     granular, macro = _units_inputs(spark, sf_dir, cube)
     totals, layout = _measured(granular, spec)
-    weights = A.calculate_weights(granular, spec, totals=totals, layout=layout)
-    alloc = A.redistribute(macro, weights.weights, spec, granular_groups=totals, layout=layout).allocations
-    return A.apply_rounding(alloc, spec, layout=layout)
+    alloc = A.allocate(granular, macro, spec, totals, layout)[1].allocations
+    return A.apply_rounding(alloc, spec, layout=layout), layout
 
 
 # ---- core allocation ------------------------------------------------------
@@ -72,10 +75,16 @@ def q_rnd_apportion_decimal2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rnd_apportion_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same result as the integer apportionment, every group forced through the
-    range-partitioned (hot group) ranking path."""
+    bucketed (hot group) ranking path."""
     return _rounded(spark, sf_dir, AllocSpec(hot_group_rows=1, hot_rows_per_task=5_000)).allocations
 
 
+def q_rnd_apportion_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same again with nothing broadcast: the ledger meets the rows of every
+    group spread over salts, and crowded buckets go by the heads of their skus."""
+    return _rounded(spark, sf_dir, AllocSpec(hot_group_rows=1, hot_rows_per_task=50, broadcast_group_limit=0)).allocations
+
+
 def q_rnd_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark, sf_dir, AllocSpec()).group_summary
 
@@ -101,8 +110,7 @@ def _nation_redistribution(
 ) -> tuple[A.Redistribution, A.GroupLayout]:
     granular, macro = _units_inputs(spark, sf_dir, cube)
     totals, layout = _measured(granular, spec)
-    weights = A.calculate_weights(granular, spec, totals=totals, layout=layout)
-    return A.redistribute(macro, weights.weights, spec, granular_groups=totals, layout=layout), layout
+    return A.allocate(granular, macro, spec, totals, layout)[1], layout
 
 
 def q_alloc_unmatched_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +207,8 @@ def q_rep_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rep_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sku_report(_rounded(spark, sf_dir, AllocSpec()).allocations, AllocSpec())
+    rounding, layout = _measured_rounding(spark, sf_dir, AllocSpec())
+    return R.sku_report(rounding.allocations, AllocSpec(), layout=layout)
 
 
 # ---- planning layer --------------------------------------------------------
@@ -275,22 +284,29 @@ def q_plan_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- two metrics -------------------------------------------------------------
 def _dual(spark: SparkSession, sf_dir: str, basis: str) -> R.DualOutputs:
-    """Stage by stage, the other metric joined back from the reference rows."""
+    """As the job does it: the other metric and the price travel with the rows."""
     spec = AllocSpec()
     reference = TG.granular_reference(granular_cube(spark, sf_dir))
     targets = TG.direct_targets(macro_cube(spark, sf_dir))
-    drive_t = "macro_target_qty" if basis == "units" else "macro_target_value"
-    drive_b = "baseline_qty" if basis == "units" else "baseline_value"
-    macro = S.standardize_macro(targets.select("period", "market", "channel", F.col(drive_t).alias("macro_target_qty")), spec).table
-    granular = S.standardize_granular(
-        reference.select("period", "market", "channel", "client", "sku", F.col(drive_b).alias("baseline_qty")), spec
-    ).table
+    macro, granular = (x.table for x in J.engine_inputs(targets, reference, basis, spec))
     aligned = TG.align(macro, granular)
     totals, layout = _measured(aligned, spec)
-    weights = A.calculate_weights(aligned, spec, totals=totals, layout=layout)
-    alloc = A.redistribute(macro, weights.weights, spec, granular_groups=totals, layout=layout).allocations
+    alloc = A.allocate(aligned, macro, spec, totals, layout)[1].allocations
     rounded = A.apply_rounding(alloc, spec, layout=layout).allocations
-    return R.dual_outputs(rounded, targets, reference, basis, layout=layout, groups=totals)
+    return R.dual_outputs(rounded, targets, None, basis, layout=layout, groups=totals)
+
+
+def q_dual_reconstruct_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engine rows without price and second metric (of another engine): both are
+    joined back from the reference rows on the full row key."""
+    spec = AllocSpec()
+    reference = TG.granular_reference(granular_cube(spark, sf_dir))
+    targets = TG.direct_targets(macro_cube(spark, sf_dir))
+    macro, granular = (x.table for x in J.engine_inputs(targets, reference, "value", spec))
+    plain = TG.align(macro, granular).drop(R.CARRIED, "unit_price")
+    totals, layout = _measured(plain, spec)
+    rounded = A.apply_rounding(A.allocate(plain, macro, spec, totals, layout)[1].allocations, spec, layout=layout).allocations
+    return R.dual_outputs(rounded, targets, reference, "value", layout=layout, groups=totals).final_allocations
 
 
 def q_dual_allocations_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,15 +350,16 @@ def q_job_stages_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_snk_bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The job's four tables written to the shared scratch folder (row tables
-    partitioned by period) and the final allocations read back."""
+    """The job's four tables published in the shared scratch folder (row tables
+    partitioned by period) and the final allocations of the run read back."""
     from plan_alloc.session import scratch_path
-    from plan_alloc.sources.tables import read_table
+    from plan_alloc.sources.tables import read_bundle
 
     result = _job_direct(spark, sf_dir)
-    paths = result.write(scratch_path(spark, "bundle"), fmt="parquet", run="check")
+    base = scratch_path(spark, "bundle")
+    result.write(base, fmt="parquet")
     result.release()
-    return read_table(spark, paths["final_allocations"], fmt="parquet")
+    return read_bundle(spark, base)["final_allocations"]
 
 
 def q_src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,6 +422,7 @@ QUERIES: dict[str, Query] = {
     "rnd_apportion_integer": q_rnd_apportion_integer,
     "rnd_apportion_decimal2": q_rnd_apportion_decimal2,
     "rnd_apportion_bucketed": q_rnd_apportion_bucketed,
+    "rnd_apportion_salted": q_rnd_apportion_salted,
     "rnd_group_summary": q_rnd_group_summary,
     "alloc_zero_groups": q_alloc_zero_groups,
     "alloc_equal_split": q_alloc_equal_split,
@@ -436,6 +454,7 @@ QUERIES: dict[str, Query] = {
     "plan_align": q_plan_align,
     "dual_allocations_units": q_dual_allocations_units,
     "dual_allocations_value": q_dual_allocations_value,
+    "dual_reconstruct_joined": q_dual_reconstruct_joined,
     "dual_group": q_dual_group,
     "dual_sku": q_dual_sku,
     "job_direct_units": q_job_direct_units,
@@ -460,6 +479,7 @@ def _oracle() -> dict[str, str]:
         "rnd_apportion_integer": O.with_ctes(core, f"SELECT {rounded_cols} FROM rounded"),
         "rnd_apportion_decimal2": O.with_ctes(dec2, f"SELECT {rounded_cols} FROM rounded"),
         "rnd_apportion_bucketed": O.with_ctes(core, f"SELECT {rounded_cols} FROM rounded"),
+        "rnd_apportion_salted": O.with_ctes(core, f"SELECT {rounded_cols} FROM rounded"),
         "rnd_group_summary": O.with_ctes(core[:6], O.group_summary_sql()),
     }
     zero = O.allocation_ctes(cube=ZERO)
@@ -525,6 +545,7 @@ def _oracle() -> dict[str, str]:
     units = direct + O.dual_ctes("units")
     out["dual_allocations_units"] = O.with_ctes(units, "SELECT * FROM final_allocations")
     out["dual_allocations_value"] = O.with_ctes(direct + O.dual_ctes("value"), "SELECT * FROM final_allocations")
+    out["dual_reconstruct_joined"] = out["dual_allocations_value"]
     out["dual_group"] = O.with_ctes(units, O.dual_group_sql())
     out["dual_sku"] = O.with_ctes(units, O.dual_sku_sql())
     out["job_direct_units"] = out["dual_allocations_units"]

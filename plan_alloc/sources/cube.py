@@ -119,15 +119,22 @@ def _memo(kind: str, build):
     return wrapper
 
 
-def _granular_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
-    """period, market, channel, client, sku, baseline_qty, baseline_value."""
+def _by_row(spark: SparkSession, sf_dir: str, cube: Cube) -> DataFrame:
+    """The one aggregation of order lines that both planning tables start from:
+    Spark makes its exchange once in a query that reads both."""
     return (
         _lines(spark, sf_dir, cube)
         .groupBy("period", "market", "channel", "client", "sku")
-        .agg(
-            F.sum("qty").alias("baseline_qty"),
-            F.sum("amount").cast("double").alias("baseline_value"),
-        )
+        .agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"))
+    )
+
+
+def _granular_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
+    """period, market, channel, client, sku, baseline_qty, baseline_value."""
+    return _by_row(spark, sf_dir, cube).select(
+        "period", "market", "channel", "client", "sku",
+        F.col("qty").alias("baseline_qty"),
+        F.col("amount").cast("double").alias("baseline_value"),
     )
 
 
@@ -135,9 +142,8 @@ def _macro_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFr
     """period, market, channel, macro_target_qty, macro_target_value (the totals
     of the same month a year later)."""
     return (
-        _lines(spark, sf_dir, cube)
-        .withColumn("period", F.add_months("period", -12))
-        .groupBy("period", "market", "channel")
+        _by_row(spark, sf_dir, cube)
+        .groupBy(F.add_months("period", -12).alias("period"), "market", "channel")
         .agg(
             F.sum("qty").alias("macro_target_qty"),
             F.sum("amount").cast("double").alias("macro_target_value"),

@@ -7,7 +7,11 @@ import re
 import tempfile
 
 from plan_alloc import AllocSpec
+from pyspark.sql import functions as F
+
 from plan_alloc.operators import allocate as A
+from plan_alloc.operators import reports as R
+from plan_alloc.plans import queries as Q
 from plan_alloc.sources.cube import Cube, granular_cube, macro_cube
 
 from conftest import SF_SMALL
@@ -49,18 +53,99 @@ def test_core_allocation_plan(spark):
     assert len(re.findall(r"\bSort \[", plan)) == 1
 
 
-def test_hot_groups_use_range_partitioning(spark):
-    spec = AllocSpec(hot_group_rows=5)
+def test_ledger_joins_the_rows_once(spark):
+    spec = AllocSpec()
     g, m = _tables(spark)
-    w = A.calculate_weights(g, spec)
-    r = A.apply_rounding(A.redistribute(m, w.weights, spec).allocations, spec)
+    totals = A.group_totals(g, spec)
+    layout = A.measure_groups(totals, spec)
+    plan = _plan(A.allocate(g, m, spec, totals, layout)[1].allocations)
+    rows = plan[: plan.index("BroadcastExchange")]
+    assert rows.count("BroadcastHashJoin") == 1 and "Exchange hashpartitioning" not in rows
+
+
+def test_hot_groups_are_ranked_by_bucket(spark):
+    """One exchange on (group, bucket) for the usual rows; no sampling pass, no
+    scratch table, and no window on whole groups of rows."""
+    spec = AllocSpec(hot_group_rows=1)
+    g, m = _tables(spark)
+    totals = A.group_totals(g, spec)
+    layout = A.measure_groups(totals, spec)
+    r = A.apply_rounding(A.allocate(g, m, spec, totals, layout)[1].allocations, spec, layout=layout)
     plan = _plan(r.allocations)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    # hot rows come from a range-partitioned sort written once to the shared
-    # checkpoint folder; the per-partition span table is broadcast (bounded by
-    # #hot groups + #partitions)
-    assert re.search(r"FileScan parquet \[[^\]]*_pid#\d+,_seq#\d+L\]", plan)
-    assert "BroadcastHashJoin" in plan
+    assert "rangepartitioning" not in plan and "_pid" not in plan
+    windows = re.findall(r"Window \[row_number\(\)[^\n]*", plan)
+    assert sum("_bucket" not in w for w in windows) <= 1  # the groups of one row
+    assert sum("_bucket" in w for w in windows) == 2  # usual and crowded buckets
+
+
+def _spread(df):
+    """Rows of every task that has made any."""
+    return sorted(n for (n,) in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).select("n").collect())
+
+
+def test_a_group_with_a_third_of_the_rows_is_spread_over_tasks(spark):
+    """With nothing broadcast, neither the joins nor the ranking read more than
+    twice the median in one task."""
+    settings = {
+        "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spec = AllocSpec(hot_group_rows=2_000, hot_rows_per_task=50, broadcast_group_limit=0)
+        n = F.col("id")
+        g = spark.range(30_000).select(
+            F.lit("2026-01-01").cast("date").alias("period"),
+            F.when(n < 10_000, F.lit("hot")).otherwise(F.concat(F.lit("m"), n % 400)).alias("market"),
+            F.lit("web").alias("channel"), F.lit("c").alias("client"), F.format_string("sku-%06d", n).alias("sku"),
+            (1 + n % 977).cast("double").alias("baseline_qty"),
+        )
+        m = g.select("period", "market", "channel").distinct().withColumn("macro_target_qty", F.lit(12_345.0))
+        totals = A.group_totals(g, spec)
+        layout = A.measure_groups(totals, spec)
+        assert not layout.broadcast and layout.hot_groups == 1 and layout.salts.count() == 1
+        weighted = A.calculate_weights(g, spec, totals=totals, layout=layout).weights
+        shared = A.allocate(g, m, spec, totals, layout)[1].allocations
+        ranked = A.apply_rounding(shared, spec, layout=layout).allocations
+        reported = R.sku_report(ranked, spec, layout=layout)
+        for df in (weighted, shared, ranked.where("market = 'hot'"), reported):
+            tasks = _spread(df)
+            assert sum(tasks) in (30_000, 10_000)
+            assert tasks[-1] <= 2 * tasks[len(tasks) // 2] and len(tasks) == 16
+        plain = AllocSpec()
+        want = A.apply_rounding(A.redistribute(m, A.calculate_weights(g, plain).weights, plain).allocations, plain).allocations
+        assert ranked.exceptAll(want).count() == 0 and ranked.count() == 30_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_equal_remainders_are_ranked_by_the_heads_of_their_skus(spark):
+    spec = AllocSpec(hot_group_rows=10, hot_rows_per_task=100, broadcast_group_limit=0)
+    g = spark.range(3_000).select(
+        F.lit("2026-01-01").cast("date").alias("period"), F.lit("N").alias("market"), F.lit("web").alias("channel"),
+        F.concat(F.lit("c"), F.col("id") % 2).alias("client"), F.format_string("sku-%06d", F.floor(F.col("id") / 2)).alias("sku"),
+        F.lit(1.0).alias("baseline_qty"),
+    )
+    m = g.select("period", "market", "channel").distinct().withColumn("macro_target_qty", F.lit(4_001.0))
+    totals = A.group_totals(g, spec)
+    layout = A.measure_groups(totals, spec)
+    ranked = A.apply_rounding(A.allocate(g, m, spec, totals, layout)[1].allocations, spec, layout=layout).allocations
+    got = [(r.sku, r.client) for r in ranked.orderBy("residual_rank").collect()]
+    assert got == sorted(got) and ranked.agg(F.sum("final_allocated_qty")).first()[0] == 4_001.0
+    assert [r.residual_rank for r in ranked.select("residual_rank").orderBy("residual_rank").collect()] == list(range(1, 3_001))
+
+
+def test_row_report_computes_the_allocation_once(spark):
+    """The final totals come from a window on rows that lie by group already."""
+    df = Q.QUERIES["rep_sku"](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"FileScan parquet \[l_", final)) == 1
+    assert len(re.findall(r"Window \[row_number\(\)", final)) == 1
 
 
 def test_scans_are_pruned(spark):
