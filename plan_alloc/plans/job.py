@@ -31,8 +31,6 @@ from plan_alloc.sources.csv_text import MALFORMED, drop_malformed
 from plan_alloc.sources.tables import write_bundle
 from plan_alloc.spec import AllocSpec, Basis, DataError, SpecError, TargetError
 
-KEYS = list(TG.KEYS)
-
 
 @dataclass
 class JobResult:
@@ -79,17 +77,18 @@ def build_targets(
     share: float | None = None,
     locks: DataFrame | None = None,
     keep=lambda df: df,
+    keys: tuple[str, ...] = TG.KEYS,
 ) -> tuple[DataFrame, list[Check]]:
     """``plan_mode``: direct targets, or targets from an annual share.
     ``keep`` caches the share detail table that the targets and the share
     checks all read (Spark's cache manager then serves every plan on it)."""
     if mode == "direct":
         metrics = TG.text_metrics(macro, ("macro_target_qty", "macro_target_value"))
-        return TG.direct_targets(macro), [TG.unreadable_values(macro, metrics, "macro")] if metrics else []
+        return TG.direct_targets(macro, keys=keys), [TG.unreadable_values(macro, metrics, "macro")] if metrics else []
     if mode == "share":
         if share is None:
             raise TargetError("Share-based targets need a market share.")
-        built = TG.share_targets(macro, granular, share, basis, locks)
+        built = TG.share_targets(macro, granular, share, basis, locks, keys=keys)
         keep(built.detail)
         return built.targets, built.checks
     raise SpecError("mode is 'direct' or 'share'.")
@@ -108,11 +107,9 @@ def engine_inputs(
     other metric and the unit price so the two-metric outputs need no join."""
     drive_t = "macro_target_qty" if basis == "units" else "macro_target_value"
     drive_b, other = ("baseline_qty", "baseline_value") if basis == "units" else ("baseline_value", "baseline_qty")
-    macro = targets.select(*KEYS, F.col(drive_t).alias(spec.columns.target))
+    macro = targets.select(*spec.keys, F.col(drive_t).alias(spec.columns.target))
     granular = reference.select(
-        *KEYS,
-        "client",
-        "sku",
+        *TG.row_keys(spec.group_keys),
         F.col(drive_b).alias(spec.columns.baseline),
         F.col(other).alias(R.CARRIED),
         "unit_price",
@@ -146,8 +143,7 @@ def run_job(
     (cheaper when the input is a plain Parquet scan)."""
     if basis not in ("units", "value"):
         raise SpecError("basis is 'units' or 'value'.")
-    if tuple(spec.group_keys) != TG.KEYS:
-        raise SpecError("The planning job allocates over period, market and channel.")
+    keys = spec.keys
     cached: list[DataFrame] = []
 
     def keep(df: DataFrame) -> DataFrame:
@@ -162,12 +158,12 @@ def run_job(
     tables = {"macro": macro, "granular": granular, "locks": locks}
     line_checks = [malformed_lines(df, name) for name, df in tables.items() if df is not None and MALFORMED in df.columns]
     macro, granular, locks = (df if df is None else drop_malformed(df) for df in tables.values())
-    reference = keep(TG.granular_reference(granular))
-    targets, target_checks = build_targets(macro, reference, basis, mode, share, locks, keep=keep)
+    reference = keep(TG.granular_reference(granular, spec.group_keys))
+    targets, target_checks = build_targets(macro, reference, basis, mode, share, locks, keep=keep, keys=spec.group_keys)
     targets = keep(targets)
     std_macro, std_granular = engine_inputs(targets, reference, basis, spec)
     engine_macro = std_macro.table
-    aligned = std_granular.table.join(engine_macro.select(*KEYS), KEYS, "left_semi")
+    aligned = std_granular.table.join(engine_macro.select(*keys), keys, "left_semi")
 
     totals = keep(A.group_totals(aligned, spec))
     layout = A.measure_groups(totals, spec)
@@ -180,10 +176,10 @@ def run_job(
 
     unmatched_granular = red.unmatched_granular
     if report_unmatched_granular:
-        all_groups = std_granular.table.select(*KEYS).distinct()
-        unmatched_granular = A.unmatched_groups(all_groups, engine_macro, KEYS)
+        all_groups = std_granular.table.select(*keys).distinct()
+        unmatched_granular = A.unmatched_groups(all_groups, engine_macro, keys)
     integrity = I.validate_integrity(rounded, red.unmatched_macro, unmatched_granular, spec)
-    dual = R.dual_outputs(rounded, targets, reference, basis, layout=layout, ordered=ordered, groups=totals)
+    dual = R.dual_outputs(rounded, targets, reference, basis, layout=layout, ordered=ordered, groups=totals, keys=spec.group_keys)
     result = JobResult(
         final_allocations=dual.final_allocations,
         group_summary=dual.group_summary,

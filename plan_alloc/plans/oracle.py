@@ -409,6 +409,57 @@ def dual_ctes(basis: str, decimals: int = 0) -> list[tuple[str, str]]:
     return ctes
 
 
+def _without_channels(sql: str, row_keys: str, figures: tuple[str, ...]) -> str:
+    sums = ", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(28,2))) AS DOUBLE) AS {c}" for c in figures)
+    return f"SELECT period, market, 'all' AS channel, {row_keys}{sums} FROM ({sql}) x GROUP BY ALL"
+
+
+def _replaced(ctes: list[tuple[str, str]], **new: str) -> list[tuple[str, str]]:
+    return [(name, new.get(name, sql)) for name, sql in ctes]
+
+
+def market_keys_sql() -> str:
+    """Groups of one channel each are groups of (period, market)."""
+    granular = _without_channels(granular_sql(), "client, sku, ", ("baseline_qty", "baseline_value"))
+    macro = _without_channels(macro_sql(), "", ("macro_target_qty", "macro_target_value"))
+    ctes = _replaced(reference_ctes(Cube()) + direct_target_ctes(Cube()), granular=granular, macro=macro)
+    return with_ctes(ctes + dual_ctes("units"), "SELECT * EXCLUDE (channel) FROM final_allocations")
+
+
+def share_by_market_sql(months: tuple[str, ...]) -> str:
+    granular = _without_channels(granular_sql(), "client, sku, ", ("baseline_qty", "baseline_value"))
+    totals = _without_channels(market_totals_sql(), "", ("total_market_qty", "total_market_value"))
+    ctes = _replaced(share_target_ctes(Cube(), "units", 1.0, months), granular=granular, mt=totals)
+    return with_ctes(ctes, "SELECT * EXCLUDE (channel) FROM targets")
+
+
+def lock_rules_sql(cube: Cube) -> str:
+    totals = market_totals_sql(cube)
+    ctes = _replaced(
+        share_target_ctes(cube, "units", 0.05, ("1997-01-01",)),
+        granular=f"SELECT * FROM ({granular_sql(cube)}) x WHERE channel = 'F'",
+        mt=f"SELECT period, market, channel, CASE WHEN channel = 'O' AND month(period) > 2 THEN 0.0 ELSE total_market_qty END "
+        f"AS total_market_qty, total_market_value FROM ({totals}) x",
+        locks=f"SELECT period, market, channel, TRUE AS is_locked, CASE WHEN channel = 'O' THEN NULL WHEN channel = 'F' THEN 0.25 "
+        f"ELSE total_market_qty END AS locked_target FROM ({totals}) x WHERE channel = 'F' OR month(period) <= 2",
+    )
+    return with_ctes(ctes, share_violations_sql())
+
+
+def broken_groups_sql() -> str:
+    """Group totals summed from the rows' final quantities."""
+    ctes = allocation_ctes()
+    factor = "CASE market WHEN 'ASIA' THEN 1.5 WHEN 'EUROPE' THEN 0.2 ELSE 1.0 END"
+    ctes = [(n, sql if n != "alloc" else f"SELECT * REPLACE (raw_allocated_qty * {factor} AS raw_allocated_qty) FROM ({sql}) x") for n, sql in ctes]
+    return with_ctes(
+        ctes,
+        f"SELECT * FROM (SELECT {KEYS}, SUM(final_allocated_qty) AS final_group_total, SUM(residual_adjustment) AS residual_added_total, "
+        f"MAX(macro_target_qty) - SUM(final_allocated_qty) AS final_gap, "
+        f"round(MAX(macro_target_qty), 0) < SUM(rounded_allocated_qty) AS negative_residual FROM rounded GROUP BY {KEYS}) g "
+        "WHERE abs(final_gap) > 0.500001",
+    )
+
+
 def dual_group_sql() -> str:
     return (
         "SELECT *, final_allocated_group_qty - baseline_group_qty AS group_delta_qty, "

@@ -89,6 +89,21 @@ def q_rnd_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark, sf_dir, AllocSpec()).group_summary
 
 
+def q_rnd_broken_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that break a rounding rule because the raw values don't add up to
+    the target: too much in one market (a negative residual), too little in another."""
+    spec = AllocSpec(enforce_exact_totals=False)
+    granular, macro = _units_inputs(spark, sf_dir)
+    totals, layout = _measured(granular, spec)
+    factor = F.when(F.col("market") == "ASIA", 1.5).when(F.col("market") == "EUROPE", 0.2).otherwise(1.0)
+    alloc = A.allocate(granular, macro, spec, totals, layout)[1].allocations.withColumn(A.RAW, F.col(A.RAW) * factor)
+    summary = A.apply_rounding(alloc, spec, layout=layout).group_summary
+    return summary.filter(F.abs("final_gap") > spec.tolerance + spec.slack).select(
+        *spec.keys, "final_group_total", "residual_added_total", "final_gap",
+        (F.round("macro_target_qty") < F.col("rounded_group_total")).alias("negative_residual"),
+    )
+
+
 # ---- zero baselines and unmatched groups ---------------------------------
 def q_alloc_zero_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     granular, _ = _units_inputs(spark, sf_dir, ZERO)
@@ -396,6 +411,42 @@ def q_src_csv_wellformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _malformed_csv(spark, sf_dir).table
 
 
+def _by_market(df: DataFrame, rows: bool) -> DataFrame:
+    """A planning table without channels: one row per (period, market), and client and sku."""
+    keys = ("period", "market", *(("client", "sku") if rows else ()))
+    figures = [c for c, t in df.dtypes if t == "double"]
+    return df.groupBy(*keys).agg(*[F.sum(F.col(c).cast("decimal(28,2)")).cast("double").alias(c) for c in figures])
+
+
+def q_job_market_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job over other group keys: targets of (period, market), no channels."""
+    spec = AllocSpec(group_keys=("period", "market"), enforce_exact_totals=False)
+    macro, granular = _by_market(macro_cube(spark, sf_dir), False), _by_market(granular_cube(spark, sf_dir), True)
+    return J.run_job(macro, granular, spec=spec, basis="units", persist=False).final_allocations
+
+
+def q_plan_share_targets_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share targets over (period, market): the year's group is the market alone."""
+    keys = ("period", "market")
+    granular = _by_market(granular_cube(spark, sf_dir), True)
+    locks = TG.lock_template(granular, "units", list(LOCKED_MONTHS), keys=keys)
+    totals = _by_market(market_totals(spark, sf_dir), False)
+    return TG.share_targets(totals, granular, 1.0, "units", locks, keys=keys).targets
+
+
+def q_plan_lock_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locks and market totals that break every rule of share targets: by month,
+    locks without a value where there are no granular rows; a market of no size
+    in its open months; locks above the annual target; every month locked below it."""
+    granular = granular_cube(spark, sf_dir, STATUS).where("channel = 'F'")
+    totals = market_totals(spark, sf_dir, STATUS)
+    month, channel = F.month("period"), F.col("channel")
+    lock = F.when(channel == "O", F.lit(None).cast("double")).when(channel == "F", F.lit(0.25)).otherwise(F.col("total_market_qty"))
+    locks = totals.where((channel == "F") | (month <= 2)).select("period", "market", "channel", F.lit(True).alias("is_locked"), lock.alias("locked_target"))
+    emptied = totals.withColumn("total_market_qty", F.when((channel == "O") & (month > 2), F.lit(0.0)).otherwise(F.col("total_market_qty")))
+    return TG.share_targets(emptied, granular, 0.05, "units", locks).violations
+
+
 def q_job_integrity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _job_direct(spark, sf_dir).integrity_summary
 
@@ -424,6 +475,7 @@ QUERIES: dict[str, Query] = {
     "rnd_apportion_bucketed": q_rnd_apportion_bucketed,
     "rnd_apportion_salted": q_rnd_apportion_salted,
     "rnd_group_summary": q_rnd_group_summary,
+    "rnd_broken_groups": q_rnd_broken_groups,
     "alloc_zero_groups": q_alloc_zero_groups,
     "alloc_equal_split": q_alloc_equal_split,
     "alloc_unmatched_macro": q_alloc_unmatched_macro,
@@ -464,6 +516,9 @@ QUERIES: dict[str, Query] = {
     "job_stages_units": q_job_stages_units,
     "snk_bundle_roundtrip": q_snk_bundle_roundtrip,
     "src_csv_roundtrip": q_src_csv_roundtrip,
+    "job_market_keys": q_job_market_keys,
+    "plan_share_targets_market": q_plan_share_targets_market,
+    "plan_lock_rules": q_plan_lock_rules,
     "src_csv_malformed": q_src_csv_malformed,
     "src_csv_wellformed": q_src_csv_wellformed,
 }
@@ -559,6 +614,10 @@ def _oracle() -> dict[str, str]:
         "SELECT period, market, channel, client, sku, baseline_qty FROM granular",
     )
     out.update(O.malformed_csv_oracle())
+    out["rnd_broken_groups"] = O.broken_groups_sql()
+    out["job_market_keys"] = O.market_keys_sql()
+    out["plan_share_targets_market"] = O.share_by_market_sql(LOCKED_MONTHS)
+    out["plan_lock_rules"] = O.lock_rules_sql(STATUS)
     job_integrity = units + [
         (
             "group_checks",

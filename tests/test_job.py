@@ -2,6 +2,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from plan_alloc import AllocSpec
 from plan_alloc.plans.job import run_job, run_stages
@@ -345,3 +346,23 @@ def test_command_line_ordered_csv(spark):
         if name.endswith(".csv"):
             lines += open(os.path.join(part, name)).read().splitlines()[1:]
     assert [line.split(",")[3] for line in lines] == ["a", "b"]
+
+
+def test_job_over_custom_group_keys(spark):
+    """(market): no period at all, client and sku below it; (sku): the item is the group."""
+    granular = spark.createDataFrame(
+        [("N", "c1", "a", 1.0, 10.0), ("N", "c2", "a", 3.0, 60.0), ("S", "c1", "a", 5.0, 5.0)],
+        "market string, client string, sku string, baseline_qty double, baseline_value double",
+    )
+    macro = spark.createDataFrame([("N", 8.0, 100.0), ("S", 3.0, 9.0)], "market string, macro_target_qty double, macro_target_value double")
+    res = run_job(macro, granular, spec=AllocSpec(group_keys=("market",)))
+    cols = ("market", "client", "sku", "final_allocated_qty", "final_allocated_value")
+    assert rows(res.final_allocations, *cols) == [("N", "c1", "a", 2.0, 20.0), ("N", "c2", "a", 6.0, 120.0), ("S", "c1", "a", 3.0, 3.0)]
+    assert res.integrity["is_valid"] and res.sku_variance.columns[:3] == ["market", "client", "sku"]
+    assert rows(res.group_summary, "market", "row_count") == [("N", 2), ("S", 1)]
+    res.release()
+    by_sku = granular.groupBy("sku", "client").agg(F.sum("baseline_qty").alias("baseline_qty"), F.sum("baseline_value").alias("baseline_value"))
+    target = spark.createDataFrame([("a", 18.0, 1.0)], "sku string, macro_target_qty double, macro_target_value double")
+    res = run_job(target, by_sku, spec=AllocSpec(group_keys=("sku",)))
+    assert rows(res.final_allocations, "sku", "client", "final_allocated_qty") == [("a", "c1", 12.0), ("a", "c2", 6.0)]
+    res.release()
