@@ -112,6 +112,26 @@ def test_line_dedup(spark, docs, odd):
     assert line_dedup.dedup(odd.limit(0)).count() == 0
 
 
+def test_blank_lines_of_any_white_space_stay(spark):
+    text = "one line of text\r\n\r\n\t\r\n\u3000\u00a0\nanother line of text\r\n\x0b"
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()}
+    assert got == {1: (text, 0), 2: ("\r\n\t\r\n\u3000\u00a0\n\x0b", 2)}
+
+
+def test_leaks_are_removed_by_text_where_ids_repeat(spark, tmp_path):
+    import corpus_pipeline as P
+
+    leak, clean = " ".join(f"leaked{i}" for i in range(14)), " ".join(f"clean{i}" for i in range(14))
+    spark.createDataFrame([("i1", leak)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, leak), (None, clean), (7, leak), (7, clean), (8, clean), (9, None), (9, "")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    for kept in (rows, [r for r in rows if r != (7, clean)][2:5]):
+        docs = spark.createDataFrame([(*r, "en", "s", 1) for r in kept], columns)
+        got = [(r.doc_id, r.text) for r in P.drop_leaks(spark, docs, str(tmp_path)).collect()]
+        assert sorted(got, key=str) == sorted([r for r in kept if r[1] != leak], key=str)
+    assert P.drop_leaks(spark, spark.createDataFrame([], columns), str(tmp_path)).count() == 0
+
+
 def test_line_dedup_compares_characters(spark):
     r = np.random.default_rng(8)
     rows, want = [], {}
