@@ -26,6 +26,7 @@ rows are packed each on their own.
 from __future__ import annotations
 
 import os
+import pickle
 import zlib
 from collections import Counter
 from itertools import chain, repeat
@@ -343,10 +344,30 @@ def _parts(batch: pa.RecordBatch, column: str):
         yield part
 
 
+#: Characters of a sampled text from which the order of likeness is learnt. It bounds
+#: the sample alone: every document is placed and packed by its whole text.
+SAMPLED = 20_000
+
+
+def _learnt(rows: DataFrame, sample: int) -> Places:
+    """The order of likeness, from the ``sample`` texts of least hash. Only hashes are
+    ordered, and only what is learnt reaches the driver, not the texts: one task
+    learns it, from ``sample`` times ``SAMPLED`` characters at most."""
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    drawn = hashed.where(F.col("h") <= F.lit(last).cast("long")).select("h", F.substring("text", 1, SAMPLED).alias("text"))
+
+    def learn(batches):
+        texts = sorted({(h, t) for b in batches for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}, key=lambda x: (x[0], x[1] or ""))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Places([t for _, t in texts]))], pa.binary())], ["places"])
+
+    found = in_arrow(drawn.repartition(1), learn, "places binary").collect()
+    return max((pickle.loads(r.places) for r in found), key=lambda p: len(p.number)) if found else Places([])
+
+
 def _deal(rows: DataFrame, shard_tokens: int, sample: int) -> DataFrame:
     """doc_id, text, shard, pos: like documents in one shard, in a fixed order (written)."""
-    drawn = rows.select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, 20_000).alias("text")).orderBy("h", "text").limit(sample).collect()
-    places = rows.sparkSession.sparkContext.broadcast(Places([r["text"] for r in drawn]))
+    places = rows.sparkSession.sparkContext.broadcast(_learnt(rows, sample))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
 
     def placed(batches):
