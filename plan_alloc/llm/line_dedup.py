@@ -27,6 +27,7 @@ from plan_alloc.llm.common import in_arrow, keep, small, text_bytes
 from plan_alloc.llm.components import bucket_components
 
 SHINGLE, ROWS, BANDS = 8, 5, 14
+REMEMBERED = 400_000  # characters of lines whose shingles a task keeps
 SLOTS = ROWS * BANDS
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
@@ -90,20 +91,24 @@ def bands(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _lines(docs: DataFrame) -> DataFrame:
     """id, at, line, h: the lines that are not blank."""
     every = docs.where("id is not null and text is not null").select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return every.where(F.length(F.trim("line")) > 0).withColumn("h", F.xxhash64("line"))
+    return every.where(F.col("line").rlike(r"(?U)\S")).withColumn("h", F.xxhash64("line"))
 
 
 def _jaccard(batches, threshold: float):
     """Keep the pairs whose lines' shingle sets (characters) reach the threshold."""
     known: dict[str, set] = {}
+    held = 0  # characters of the lines in ``known``: a line's set takes some 100 bytes a character
 
     def shingles(t: str) -> set:
+        nonlocal held
         s = known.get(t)
         if s is None:
-            if len(known) > 20_000:
+            if held > REMEMBERED:
                 known.clear()
+                held = 0
             b = t.ljust(SHINGLE, "\0")
             s = known[t] = {b[i : i + SHINGLE] for i in range(len(b) - SHINGLE + 1)}
+            held += len(b)
         return s
 
     for batch in batches:
@@ -147,7 +152,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
         pairs = keep(pairs, "line_pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
         texts = keep(lines.join(small(needed), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "line_texts")
-        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
+        # The join on ``a`` comes last: its rows come ordered by ``a``, a bucket's common line.
+        both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a")
         return in_arrow(both.select("a", "b", "ta", "tb"), lambda it: _jaccard(it, threshold), "a long, b long")
 
     of = bucket_components(members, verify)
