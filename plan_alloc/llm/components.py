@@ -41,7 +41,12 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_components(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    split: Callable[[DataFrame], DataFrame] | None = None,
+    crowded: int = 64,
+) -> DataFrame:
     """node, component (its smallest reachable node) of the graph that all verified
     pairs of members of a bucket would make, without making all pairs. Nodes
     without a link may be absent.
@@ -52,6 +57,11 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     members whose components differ; what they link is components, so the second
     search runs on those alone. Pairs within a component are never needed, so no
     component is lost. ``verify`` keeps the pairs (a, b) that are links.
+
+    ``split``: for buckets whose size has no bound. Buckets that still hold
+    different components and more than ``crowded`` members make no pairs of their
+    own: their members (node, c: the component so far) go to ``split``, which
+    returns pairs (a, b) among which all links between components are.
     """
     members = keep(members.select("bucket", "node"), "members")
     centre = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("bucket", "a")
@@ -59,12 +69,17 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     of = keep(components(verify(star).select("a", "b")), "star_components")
     placed = members.join(of, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     placed = keep(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("bucket")
-    rest = placed.join(mixed, "bucket")
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("bucket", "n")
+    rest = placed.join(mixed if split is None else mixed.where(F.col("n") <= crowded), "bucket")
     left = rest.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca"))
     right = rest.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
     # The stars' pairs are judged already; the rest of a bucket's pairs are made once.
-    pairs = left.join(right, "bucket").where("a < b and ca != cb").select("a", "b").distinct()
+    pairs = left.join(right, "bucket").where("a < b and ca != cb").select("a", "b")
+    if split is not None:
+        full = keep(placed.join(mixed.where(F.col("n") > crowded), "bucket").select("node", "c").distinct(), "crowded")
+        if not full.isEmpty():
+            pairs = pairs.unionAll(split(full).select("a", "b"))
+    pairs = pairs.distinct()
     pairs = pairs.join(star, ["a", "b"], "left_anti")
     links = verify(pairs).select("a", "b")
     for end in ("a", "b"):

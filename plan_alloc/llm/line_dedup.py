@@ -8,6 +8,11 @@ sets; the components of the verified links (distributed union-find) are the
 classes. Of each class the line that stands first (smallest document id, then
 line number) is kept, all others are removed.
 
+A bucket's lines are first compared with its smallest one. Small buckets that
+still hold different classes then make all their pairs; the lines of large ones
+are joined by their rarest shingles instead (``rare_shingle_pairs``), which loses
+no pair at the threshold.
+
 A pair at the threshold shares a band with a chance of over 0.99 (``BANDS``
 bands of ``ROWS`` slots). Lines are told apart by a 64-bit hash. Blank lines are
 kept, and so are all lines of rows with a null id; a line of fewer characters
@@ -20,10 +25,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plan_alloc.llm.common import in_arrow, keep, small, text_bytes
+from plan_alloc.llm.common import in_arrow, keep, map_batches, small, text_bytes
 from plan_alloc.llm.components import bucket_components
 
 SHINGLE, ROWS, BANDS = 8, 5, 14
@@ -54,8 +59,9 @@ def points(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(text.encode("utf-32-le"), np.uint32), before
 
 
-def bands(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Band keys (line, band) of lines given as one array of code points and their offsets."""
+def shingle_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of lines given as one array of code points and their
+    offsets, in order, repeats included; and the number of the line of each."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     # Rolling sums over SHINGLE = 8 characters by doubling; short lines are padded with zeros.
@@ -70,7 +76,13 @@ def bands(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     many = wide - SHINGLE + 1
     of = np.repeat(np.arange(n), many)
     at = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-    h = h[at]
+    return h[at], of
+
+
+def bands(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Band keys (line, band) of lines given as one array of code points and their offsets."""
+    n = len(offsets) - 1
+    h, of = shingle_hashes(flat, offsets)
     slot = ((h >> np.uint64(32)) * np.uint64(SLOTS)) >> np.uint64(32)
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     low = np.full(n * SLOTS, none, np.uint64)
@@ -121,6 +133,47 @@ def _jaccard(batches, threshold: float):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _sets(batch: pa.RecordBatch):
+    """node, c, size, shingle: a row per different shingle of a line (h, c, line), some lines at a time."""
+    lengths = np.diff(text_bytes(batch.column(2))[1])
+    ends = np.flatnonzero(np.diff(np.cumsum(lengths) // 500_000, append=-1)) + 1
+    for at, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        part = batch.slice(at, end - at)
+        h, of = shingle_hashes(*points(*text_bytes(part.column(2))))
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.append(True, (np.diff(of) != 0) | (h[1:] != h[:-1]))
+        h, of = h[new], of[new]
+        size = np.bincount(of, minlength=end - at)[of]
+        rows = pa.array(of)
+        yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64))], ["node", "c", "size", "shingle"])
+
+
+def rare_shingle_pairs(lines: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of different components among which are all pairs of the lines
+    (h, c: component, line) of Jaccard similarity ``threshold`` or more.
+
+    Prefix filtering. A line's shingles are ordered from the rarest (among these
+    lines) to the commonest. If two lines of s <= z shingles reach the threshold t,
+    they share at least 2t/(1+t)*s and at least t*z of them, so one is common to
+    the first s - ceil(2t/(1+t)*s) + 1 of the shorter and the first
+    z - ceil(t*z) + 1 of the longer line. So only these are joined. Text that very
+    many lines share stands last and is joined by none of them. A shingle that
+    stands in one component only is left out before the join.
+    """
+    least = lambda part: F.ceil(F.col("size") * F.lit(part) - F.lit(1e-9))
+    sets = keep(map_batches(lines.select("h", "c", "line"), _sets, "node long, c long, size int, shingle long"), "line_sets")
+    common = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    order = Window.partitionBy("node").orderBy("n", "shingle")
+    ranked = sets.join(common, "shingle").withColumn("at", F.row_number().over(order) - 1)
+    probe = keep(ranked.where((F.col("at") <= F.col("size") - least(threshold)) & (F.col("lo") != F.col("hi"))).select("shingle", "node", "c", "size", "at"), "prefixes")
+    short = probe.where(F.col("at") <= F.col("size") - least(2 * threshold / (1 + threshold)))
+    a = short.select("shingle", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
+    b = probe.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"))
+    near = (F.col("ca") != F.col("cb")) & (F.struct("sa", "a") < F.struct("sb", "b")) & (F.col("sa") >= F.col("sb") * F.lit(threshold) - F.lit(1e-9))
+    return a.join(b, "shingle").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` with repeated and near-repeated lines removed from the text, and
     n_lines, n_removed (columns of these names are replaced)."""
@@ -156,7 +209,12 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
         both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a")
         return in_arrow(both.select("a", "b", "ta", "tb"), lambda it: _jaccard(it, threshold), "a long, b long")
 
-    of = bucket_components(members, verify)
+    def split(full: DataFrame) -> DataFrame:
+        needed = full.select(F.col("node").alias("h"), "c")
+        texts = lines.join(small(needed), "h").groupBy("h", "c").agg(F.first("line").alias("line"))
+        return rare_shingle_pairs(texts, threshold)
+
+    of = bucket_components(members, verify, split)
     classes = firsts.join(of, firsts["h"] == of["node"], "left").select("h", "first", "n", F.coalesce("component", "h").alias("c"))
     best = classes.groupBy("c").agg(F.min("first").alias("best"), F.sum("n").alias("n")).where("n > 1")
     repeated = classes.join(best.select("c", "best"), "c").select("h", "best")

@@ -83,17 +83,60 @@ def test_simhash_crowded_buckets_lose_no_link(spark):
 
 
 def _shingles(line):
-    b = line.encode().ljust(8, b"\0")
-    return {b[i : i + 8] for i in range(len(b) - 7)}
+    t = line.ljust(8, "\0")
+    return {t[i : i + 8] for i in range(len(t) - 7)}
+
+
+def _jaccard_pairs(lines, t=0.8):
+    sets = [_shingles(x) for x in lines]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])]
+
+
+def _template_lines(r, n):
+    """Lines that share a template but differ in more than a fifth, some with near variants, and short and odd ones."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in r.integers(0, 26, k))
+    own = [f"the same notice stands on every page of this site, number {word(30)}" for _ in range(n)]
+    near = [x[:-1] + "X" for x in own[: n // 10]] + [x + "é" for x in own[: n // 20]] + ["Ж" + x for x in own[n // 20 : n // 8]]
+    long = [word(3000) for _ in range(3)]
+    return list(dict.fromkeys([*own, *near, *long, *[x[:-100] + "Y" * 100 for x in long], "a", "b", "ab", "12345678", "123456789", "1234567890" * 3, "1234567890" * 4]))
+
+
+def test_rare_shingles_find_every_pair_at_the_threshold(spark):
+    lines = _template_lines(np.random.default_rng(3), 150)
+    n, want = len(lines), _jaccard_pairs(lines)
+    table = lambda c: spark.createDataFrame([(i, c(i), x) for i, x in enumerate(lines)], "h long, c long, line string")
+    got = {(r.b, r.a) for r in line_dedup.rare_shingle_pairs(table(lambda i: i), 0.8).collect()}
+    assert set(want) <= got and len(want) > 20
+    assert len(got) < n * n // 50  # the shared template makes no pairs
+    assert line_dedup.rare_shingle_pairs(table(lambda i: 0), 0.8).count() == 0  # all of one component already
+    assert line_dedup.rare_shingle_pairs(table(lambda i: i).limit(0), 0.8).count() == 0
+
+
+def test_a_crowded_bucket_is_split_without_all_its_pairs(spark):
+    lines = _template_lines(np.random.default_rng(4), 200)
+    judged = []
+
+    def verify(pairs):
+        rows = [(r.a, r.b) for r in pairs.select("a", "b").collect()]
+        judged.append(len(rows))
+        good = [(a, b) for a, b in rows if len(_shingles(lines[a]) & _shingles(lines[b])) >= 0.8 * len(_shingles(lines[a]) | _shingles(lines[b]))]
+        return spark.createDataFrame(good, "a long, b long")
+
+    def split(full):
+        texts = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+        return line_dedup.rare_shingle_pairs(full.join(texts, "node").withColumnRenamed("node", "h"), 0.8)
+
+    members = spark.createDataFrame([(b, i) for i in range(len(lines)) for b in ((7, 8) if i % 3 else (7,))], "bucket long, node long")
+    got = {r.node: r.component for r in components.bucket_components(members, verify, split, crowded=20).collect()}
+    assert [got.get(i, i) for i in range(len(lines))] == _groups(len(lines), _jaccard_pairs(lines))
+    assert sum(judged) < 5 * len(lines)
 
 
 def test_line_dedup(spark, docs, odd):
     pool = docs.where("doc_id < 60")
     lines = [(r.doc_id, i, x) for r in pool.collect() for i, x in enumerate(r.text.split("\n")) if x.strip()]
     distinct = list(dict.fromkeys(x for *_, x in sorted(lines)))
-    sets = [_shingles(x) for x in distinct]
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    root = dict(zip(distinct, _groups(len(sets), pairs), strict=True))
+    root = dict(zip(distinct, _groups(len(distinct), _jaccard_pairs(distinct)), strict=True))
     seen, kept = set(), {}
     for d, i, x in sorted(lines):
         kept.setdefault(d, [])
