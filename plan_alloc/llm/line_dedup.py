@@ -32,6 +32,7 @@ from plan_alloc.llm.common import in_arrow, keep, map_batches, small, text_bytes
 from plan_alloc.llm.components import bucket_components
 
 SHINGLE, ROWS, BANDS = 8, 5, 14
+SHARED = 3  # rare shingles that lines of a crowded bucket must share to be compared
 REMEMBERED = 400_000  # characters of lines whose shingles a task keeps
 SLOTS = ROWS * BANDS
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -154,24 +155,30 @@ def rare_shingle_pairs(lines: DataFrame, threshold: float) -> DataFrame:
     (h, c: component, line) of Jaccard similarity ``threshold`` or more.
 
     Prefix filtering. A line's shingles are ordered from the rarest (among these
-    lines) to the commonest. If two lines of s <= z shingles reach the threshold t,
-    they share at least 2t/(1+t)*s and at least t*z of them, so one is common to
-    the first s - ceil(2t/(1+t)*s) + 1 of the shorter and the first
-    z - ceil(t*z) + 1 of the longer line. So only these are joined. Text that very
-    many lines share stands last and is joined by none of them. A shingle that
-    stands in one component only is left out before the join.
+    lines) to the commonest. Two lines of s <= z shingles that reach the threshold t
+    share o >= t/(1+t)*(s+z) of them, which is at least 2t/(1+t)*s and at least t*z.
+    The k-th of the shared ones has o - k after it in both lines, so k of them stand
+    among the first s - ceil(2t/(1+t)*s) + k of the shorter and the first
+    z - ceil(t*z) + k of the longer line. Only these are joined, and a pair counts
+    with ``SHARED`` = k of them (all, where o is less). Text that very many lines
+    share stands last and is joined by none of them. A shingle that stands in one
+    component only is left out before the join.
     """
-    least = lambda part: F.ceil(F.col("size") * F.lit(part) - F.lit(1e-9))
+    least = lambda shingles, part: F.ceil(shingles * F.lit(part) - F.lit(1e-9))
+    size, both = F.col("size"), 2 * threshold / (1 + threshold)
     sets = keep(map_batches(lines.select("h", "c", "line"), _sets, "node long, c long, size int, shingle long"), "line_sets")
     common = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     order = Window.partitionBy("node").orderBy("n", "shingle")
-    ranked = sets.join(common, "shingle").withColumn("at", F.row_number().over(order) - 1)
-    probe = keep(ranked.where((F.col("at") <= F.col("size") - least(threshold)) & (F.col("lo") != F.col("hi"))).select("shingle", "node", "c", "size", "at"), "prefixes")
-    short = probe.where(F.col("at") <= F.col("size") - least(2 * threshold / (1 + threshold)))
-    a = short.select("shingle", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
-    b = probe.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"))
+    ranked = sets.join(common, "shingle").withColumn("at", F.row_number().over(order))
+    probe = keep(ranked.where((F.col("at") <= size - least(size, threshold) + SHARED) & (F.col("lo") != F.col("hi"))).select("shingle", "node", "c", "size", "at"), "prefixes")
+    short = probe.where(F.col("at") <= size - least(size, both) + SHARED)
+    a = short.select("shingle", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("at").alias("pa"))
+    b = probe.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"), F.col("at").alias("pb"))
+    shared = least(F.col("sa") + F.col("sb"), both / 2)
     near = (F.col("ca") != F.col("cb")) & (F.struct("sa", "a") < F.struct("sb", "b")) & (F.col("sa") >= F.col("sb") * F.lit(threshold) - F.lit(1e-9))
-    return a.join(b, "shingle").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    early = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= shared - SHARED
+    met = a.join(b, "shingle").where(near & early).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(shared).alias("o"))
+    return met.where(F.col("n") >= F.least(F.lit(SHARED), "o")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
