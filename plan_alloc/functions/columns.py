@@ -149,14 +149,29 @@ def quantity_reason(
     return F.when(c.isNull(), F.lit("qty_null")).otherwise(F.lit("qty_type"))
 
 
+# Doubles of this size and more are whole numbers; they are summed as such, below
+# ``BEYOND`` with room for 1e11 of them. Larger ones are refused.
+WHOLE, BEYOND = 1e18, 1e27
+WHOLE_DECIMAL = T.DecimalType(38, 0)
+
+
 def exact_sum(c: Column | str, decimals: int = 0, over: WindowSpec | None = None) -> Column:
-    """Sum (over a window, if one is given) of doubles through a decimal type: exact to nine decimals (or to three
-    more than ``decimals``, if that is finer), so independent of row order and
-    partitioning; 0 (not null) for a group without values."""
+    """Sum (over a window, if one is given) of doubles through decimal types, so
+    independent of row order and partitioning; 0 (not null) for a group without
+    values. Each value counts to nine decimals (or to three more than ``decimals``,
+    if that is finer). Values of 1e18 to 1e27 are summed apart, as whole numbers,
+    and added; a finite value of 1e27 or more is an error (infinite ones and NaN are
+    left out, as nulls are)."""
     col = F.col(c) if isinstance(c, str) else c
-    kind = EXACT_DECIMAL if decimals + 3 <= EXACT_DECIMAL.scale else T.DecimalType(38, min(decimals + 3, 30))
-    total = F.sum(col.cast(kind))
-    return F.coalesce((total if over is None else total.over(over)).cast("double"), F.lit(0.0))
+    total = lambda part: F.sum(part) if over is None else F.sum(part).over(over)
+    if decimals + 3 > EXACT_DECIMAL.scale:
+        return F.coalesce(total(col.cast(T.DecimalType(38, min(decimals + 3, 30)))).cast("double"), F.lit(0.0))
+    size = F.abs(col)
+    usual = F.coalesce(total(F.when(size < WHOLE, col).cast(EXACT_DECIMAL)).cast("double"), F.lit(0.0))
+    refused = F.raise_error(F.concat(F.lit("A value is too large to be summed exactly: "), col.cast("string"))).cast("double")
+    large = F.when((size >= WHOLE) & (size < BEYOND), col).when((size >= BEYOND) & (size < float("inf")), refused)
+    whole = total(large.cast(WHOLE_DECIMAL)).cast("double")
+    return F.when(whole.isNull(), usual).otherwise(usual + whole)
 
 
 # Decimal types for a group's total, by the group's largest magnitude: groups

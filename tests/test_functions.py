@@ -1,8 +1,11 @@
+import math
 from datetime import date, datetime
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plan_alloc.functions import period_month, period_reason, quantity_reason, quantity_value
+from plan_alloc.functions import exact_sum, period_month, period_reason, quantity_reason, quantity_value
 
 
 def _periods(spark, values, ddl="p string"):
@@ -92,3 +95,26 @@ def test_floor_of_huge_values(spark):
     df = spark.createDataFrame([(1e20,), (-1e20,), (-2.5,), (2.5,), (None,)], "x double")
     got = [r[0] for r in df.select(floor_double(F.col("x"))).collect()]
     assert got == [1e20, -1e20, -3.0, 2.0, None]
+
+
+def test_exact_sum_of_large_values(spark):
+    groups = {
+        "usual": [0.1, 0.2, None, -0.3, 1e17, 5.0],
+        "edge": [1e18, 9.99e17, 0.5, -1e18],
+        "large": [1e25, 3e19, -1e25, 2.0, 1e-9, 7e26],
+        "cancel": [8e26, 1.5, -8e26],
+        "odd": [float("inf"), float("nan"), 4.0],
+        "none": [None],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    want = {g: math.fsum(v for v in vs if v is not None and math.isfinite(v)) for g, vs in groups.items()}
+    for n in (1, 7):
+        got = {r.g: r.s for r in df.repartition(n).groupBy("g").agg(exact_sum("v").alias("s")).collect()}
+        assert got == pytest.approx(want, rel=1e-15, abs=1e-9) and got["cancel"] == 1.5 and got["none"] == 0.0
+        assert {(r.g, r.s) for r in df.repartition(n).withColumn("s", exact_sum("v", over=Window.partitionBy("g"))).collect()} == set(got.items())
+
+
+def test_exact_sum_refuses_what_it_cannot_sum(spark):
+    df = spark.createDataFrame([(1.0,), (1e27,)], "v double")
+    with pytest.raises(Exception, match="too large to be summed exactly"):
+        df.agg(exact_sum("v").alias("s")).collect()
