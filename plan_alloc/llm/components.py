@@ -1,7 +1,7 @@
 """Connected components, and the links among the members of shared buckets.
 
 Both work on tables of links in rounds, each written to the shared checkpoint
-folder; nothing but counts and sums reaches the driver.
+folder, where it replaces the one before; nothing but counts and sums reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plan_alloc.llm.common import keep
+from plan_alloc.llm.common import forget, keep
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours point to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        pairs = keep(small, "links")
+        before, pairs = pairs, keep(small, "links")
+        forget(before)
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break
