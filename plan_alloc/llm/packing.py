@@ -1,26 +1,31 @@
 """Lexical retrieval packing.
 
+Texts are read and tokenized once; everything after works on the token ids, which
+are written in two bytes each (four for vocabularies above 65 536 tokens). The
+terms of the lexical search are the vocabulary's tokens, so the document
+frequencies of the whole table are one small array, bounded by the vocabulary.
+
 Documents are dealt into index shards by lexical likeness, wherever in the table
 they stand: a tree of cuts through the main directions of a sample's weighted
-words gives each its place, they are sorted by it (one shuffle), and a shard is a
-run of that order of about four bytes of text for each of ``shard_tokens``
-tokens (at most four times as many tokens). Document frequencies and the mean
-length are counted over all documents; each shard gets those of its own words.
+tokens gives each its place, they are sorted by it (the one shuffle), and a shard
+is a run of that order of about ``shard_tokens`` tokens. Document frequencies and
+the mean length are counted over all documents.
 
-A shard has a BM25 inverted index over the words of its documents. The packer
+A shard has a BM25 inverted index over the tokens of its documents. The packer
 opens a window of ``window`` tokens with a seed (what was cut off the last
-document, else the first unused document), asks the index, with all words of the
+document, else the first unused document), asks the index, with all tokens of the
 seed, for the unused documents nearest to it and fills the window with them,
 nearest first; the one that does not fit is cut at the window's end and seeds the
 next. So windows are full but for a shard's last, which is cut into sequences
 whose lengths are powers of two and need no padding. A seed is not asked against
 other shards than its own.
 
-Work and memory per task are bounded by the shard and shards are independent.
-Sequence ids hold the shard's number in the high bits.
+Work and memory per task are bounded by the shard and its longest document, and
+shards are independent. Sequence ids hold the shard's number in the high bits.
 
 Null text counts as empty (its end token is packed); a null id is kept; repeated
-rows are packed each on their own.
+rows are packed each on their own, their order among themselves being that of the
+written rows; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,19 +33,16 @@ from __future__ import annotations
 import os
 import pickle
 import zlib
-from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plan_alloc.llm.common import in_arrow, keep, ship, small
+from plan_alloc.llm.common import in_arrow, keep, ship
 from plan_alloc.llm.token_counts import Merges
 
 #: Fixed value: the split rule of the vocabulary.
@@ -60,11 +62,6 @@ def words_of(text: str | None) -> list[str]:
     return text.split()
 
 
-def codes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
-
-
 class WordEncoder:
     """The tokenizer library's ids, each distinct word encoded once.
 
@@ -86,7 +83,6 @@ class WordEncoder:
     def clear(self) -> None:
         self.seen: dict[str, int] = {}
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.code = np.zeros(0, np.uint64)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
@@ -114,10 +110,9 @@ class WordEncoder:
         self.seen.update(zip(words, range(len(self.seen), len(self.seen) + len(words)), strict=True))
         self.flat, self.size = np.concatenate(flat), np.concatenate(size)
         self.start = np.cumsum(self.size) - self.size
-        self.code = np.append(self.code, codes(words))
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Token ids and word hashes (64 bits) of each text, whatever was encoded before."""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Token ids of each text, whatever was encoded before."""
         if len(self.seen) > REMEMBERED:
             self.clear()
         split = [words_of(t) for t in texts]
@@ -138,13 +133,13 @@ class WordEncoder:
             ids = flat[i : i + n]
             if t and any(c in t for c in _SEPARATORS):
                 ids = self.ids(t)
-            out.append((ids, self.code[at[w : w + len(ws)]]))
+            out.append(ids)
             w, i = w + len(ws), i + n
         return out
 
 
 class Counts:
-    """Of all documents: how many, their mean number of words, and how many hold a word (1 if not given)."""
+    """Of all documents: how many, their mean number of terms, and how many hold a term (1 if not given)."""
 
     def __init__(self, total: int, mean: float, words: np.ndarray, documents: np.ndarray):
         order = np.argsort(words, kind="stable")
@@ -166,7 +161,6 @@ class Shard:
     def __init__(self, words: list[np.ndarray], k1: float, b: float, counts: Counts | None = None):
         self.n = n = len(words)
         sizes = np.fromiter(map(len, words), np.int64, n)
-        # Numbers in the order of the words' hashes: the same for the same documents.
         names, flat = np.unique(np.concatenate(words) if n else np.zeros(0, np.uint64), return_inverse=True)
         key, tf = np.unique(flat * n + np.repeat(np.arange(n), sizes), return_counts=True)
         self.term, self.doc = key // max(1, n), key % max(1, n)
@@ -254,29 +248,30 @@ def pack_shard(sizes: list[int], words: list[np.ndarray], window: int, k1: float
 
 
 class Places:
-    """Where documents stand in an order of lexical likeness, learnt from a sample of texts.
+    """Where documents stand in an order of lexical likeness, learnt from the token ids of a sample.
 
-    A document is the sum of its words' vectors (the sample's main directions of
-    words weighted by rarity); a binary tree cuts the sample at the median of its
+    A document is the sum of its tokens' vectors (the sample's main directions of
+    tokens weighted by rarity); a binary tree cuts the sample at the median of its
     main direction until few are left, and documents of a leaf stand along its own.
     """
 
-    def __init__(self, texts: list[str | None], *, most_words: int = 8192, axes: int = 32, leaf: int = 32):
+    def __init__(self, bags: list[np.ndarray], tokens: int, *, most: int = 8192, axes: int = 32, leaf: int = 32):
         r = np.random.default_rng(5)
-        bags = [Counter(words_of(t)) for t in texts]
-        df = Counter(w for b in bags for w in b)
-        names = sorted((w for w, n in df.items() if n > 1), key=lambda w: (-df[w], w))[:most_words]
-        self.number = {w: i for i, w in enumerate(names)}
-        idf = np.array([np.log((len(bags) + 0.5) / (df[w] + 0.5)) for w in names], np.float32)
+        df = np.zeros(tokens, np.int64)
+        for b in bags:
+            df[np.unique(b)] += 1
+        names = np.flatnonzero(df > 1)
+        names = names[np.argsort(-df[names], kind="stable")][:most]
+        self.number = np.full(tokens, len(names), np.int32)  # the last: other tokens
+        self.number[names] = np.arange(len(names))
+        idf = np.log((len(bags) + 0.5) / (df[names] + 0.5)).astype(np.float32)
         x = np.zeros((len(bags), len(names)), np.float32)
         for i, b in enumerate(bags):
-            for w, n in b.items():
-                if w in self.number:
-                    x[i, self.number[w]] = n
+            x[i] = np.bincount(self.number[b], minlength=len(names) + 1)[:-1]
         x *= np.maximum(idf, 0)
         x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
         axes = min(axes, *x.shape)
-        self.vectors = np.zeros((len(names) + 1, max(1, axes)), np.float32)  # the last: unknown words
+        self.vectors = np.zeros((len(names) + 1, max(1, axes)), np.float32)
         if axes:
             q = r.standard_normal((len(names), axes)).astype(np.float32)
             for _ in range(4):
@@ -309,17 +304,20 @@ class Places:
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf (like ones have near numbers) and place along it of each text."""
-        split = [words_of(t) for t in texts]
-        size = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.number.get, chain.from_iterable(split), repeat(-1)), np.int64, int(size.sum()))
-        x = np.zeros((len(texts), self.vectors.shape[1]))
+    @property
+    def width(self) -> str:
+        """The type that holds a token id."""
+        return "<u2" if len(self.number) <= 1 << 16 else "<u4"
+
+    def of(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf (like ones have near numbers) and place along it of each document."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        x = np.zeros((len(ids), self.vectors.shape[1]))
         some = np.flatnonzero(size)
         if len(some):
-            x[some] = np.add.reduceat(self.vectors[at], (np.cumsum(size) - size)[some], axis=0)
+            x[some] = np.add.reduceat(self.vectors[self.number[np.concatenate(ids)]], (np.cumsum(size) - size)[some], axis=0)
         x = self._unit(x)
-        node = np.zeros(len(texts), np.int64)
+        node = np.zeros(len(ids), np.int64)
         while True:
             along = (x * self.direction[node]).sum(1)
             to = self.child[node, (along >= self.cut[node]).astype(int)]
@@ -331,10 +329,14 @@ class Places:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _parts(batch: pa.RecordBatch, column: str):
-    """The column's texts in pieces of about 2 MB."""
+def _encoder(vocabulary: str) -> WordEncoder:
+    return _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, WordEncoder(vocabulary))
+
+
+def _parts(column: pa.Array):
+    """The texts in pieces of about 2 MB."""
     part, size = [], 0
-    for t in batch.column(column):
+    for t in column:
         part.append(t.as_py())
         size += len(part[-1] or "")
         if size > 2_000_000:
@@ -349,7 +351,7 @@ def _parts(batch: pa.RecordBatch, column: str):
 SAMPLED = 20_000
 
 
-def _learnt(rows: DataFrame, sample: int) -> Places:
+def _learnt(rows: DataFrame, vocabulary: str, end_id: int, sample: int) -> Places:
     """The order of likeness, from the ``sample`` texts of least hash. Only hashes are
     ordered, and only what is learnt reaches the driver, not the texts: one task
     learns it, from ``sample`` times ``SAMPLED`` characters at most."""
@@ -359,68 +361,51 @@ def _learnt(rows: DataFrame, sample: int) -> Places:
 
     def learn(batches):
         texts = sorted({(h, t) for b in batches for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}, key=lambda x: (x[0], x[1] or ""))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Places([t for _, t in texts]))], pa.binary())], ["places"])
+        encoder = _encoder(vocabulary)
+        places = Places(encoder.encode([t for _, t in texts]), max(encoder.library.get_vocab_size(), end_id + 1))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(places)], pa.binary())], ["places"])
 
     found = in_arrow(drawn.repartition(1), learn, "places binary").collect()
-    return max((pickle.loads(r.places) for r in found), key=lambda p: len(p.number)) if found else Places([])
+    return pickle.loads(found[0].places) if found else Places([], end_id + 1)
 
 
-def _deal(rows: DataFrame, shard_tokens: int, sample: int) -> DataFrame:
-    """doc_id, text, shard, pos: like documents in one shard, in a fixed order (written)."""
-    places = rows.sparkSession.sparkContext.broadcast(_learnt(rows, sample))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+def _encoded(rows: DataFrame, vocabulary: str, places) -> DataFrame:
+    """doc_id, ids, leaf, along, h, row: the one pass over the texts (written)."""
 
-    def placed(batches):
-        for batch in batches:
-            if batch.num_rows:
-                leaf, along = map(np.concatenate, zip(*map(places.value.of, _parts(batch, "text")), strict=True))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(along)], ["doc_id", "text", "leaf", "along"])
-
-    def numbered(batches):
-        shard, pos, held = TaskContext.get().partitionId() << 20, 0, 0
+    def run(batches):
+        encoder, row = _encoder(vocabulary), TaskContext.get().partitionId() << 33
         for batch in batches:
-            of = []
-            for n in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist():
-                if held >= 4 * shard_tokens:
-                    shard, held = shard + 1, 0
-                of.append(shard)
-                held += n + 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of, pa.int64()), pa.array(range(pos, pos + len(of)), pa.int64())], ["doc_id", "text", "shard", "pos"])
-            pos += len(of)
+            first = 0
+            for part in _parts(batch.column(1)):
+                ids = encoder.encode(part)
+                leaf, along = places.value.of(ids)
+                held = batch.slice(first, len(part))
+                packed = [x.astype(places.value.width).tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([held.column(0), pa.array(packed, pa.binary()), pa.array(leaf), pa.array(along), held.column(2), pa.array(range(row, row + len(ids)), pa.int64())], ["doc_id", "ids", "leaf", "along", "h", "row"])
+                first, row = first + len(part), row + len(part)
 
-    order = ["leaf", "along", "doc_id", F.xxhash64("text")]
-    # Partitions of many shards, as each ends with a short one.
-    dealt = in_arrow(rows, placed, "doc_id long, text string, leaf long, along double").repartitionByRange(1 + size // max(1, min(32_000_000, 64 * shard_tokens)), *order)
-    return keep(in_arrow(dealt.sortWithinPartitions(*order).select("doc_id", "text"), numbered, "doc_id long, text string, shard long, pos long"), "packing_dealt")
+    return keep(in_arrow(rows.withColumn("h", F.xxhash64("text")), run, "doc_id long, ids binary, leaf long, along double, h long, row long"), "packing_ids")
 
 
-def _counted(dealt: DataFrame) -> DataFrame:
-    """shard, word, documents that hold it; with a null word, the shard's documents and their words (written)."""
+def _counts(encoded: DataFrame, tokens: int, width: str) -> tuple[int, int, np.ndarray]:
+    """Documents, their tokens, and how many documents hold each token: at most one
+    row for each token of the vocabulary and task, summed by Spark."""
 
     def run(batches):
-        shard, seen, docs, words = None, Counter(), 0, 0
-
-        def flush():
-            nonlocal docs, words
-            names = list(seen)
-            n = len(names)
-            of = pa.array(codes(names).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * (n + 1), pa.int64()), pa.concat_arrays([of, pa.nulls(1, pa.int64())]), pa.array([*seen.values(), docs], pa.int64()), pa.array([0] * n + [words], pa.int64())], ["shard", "word", "n", "words"])
-            seen.clear()
-            docs = words = 0
-
+        df, docs, held = np.zeros(tokens, np.int64), 0, 0
         for batch in batches:
-            for at, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if docs and (at != shard or len(seen) > REMEMBERED):
-                    yield from flush()
-                shard = at
-                split = words_of(text.as_py())
-                seen.update(set(split))
-                docs, words = docs + 1, words + len(split)
-        if docs:
-            yield from flush()
+            for x in batch.column(0):
+                ids = np.frombuffer(x.as_buffer(), width)
+                docs, held = docs + 1, held + len(ids)
+                df[np.unique(ids)] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1, -2], pa.int64()), pa.array([*df[some].tolist(), docs, held], pa.int64())], ["token", "n"])
 
-    return keep(in_arrow(dealt.select("shard", "text"), run, "shard long, word long, n long, words long"), "packing_words")
+    sums = {r.token: r.n for r in in_arrow(encoded.select("ids"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    docs, held = sums.pop(-1, 0), sums.pop(-2, 0)
+    df = np.zeros(tokens, np.int64)
+    df[list(sums)] = list(sums.values())
+    return docs, held, df
 
 
 def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 2, shard_tokens: int = 2_000_000, sample: int = 4096) -> DataFrame:
@@ -429,33 +414,37 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     ``sample``: texts from which the order of likeness is learnt.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ship(rows.sparkSession)
-    dealt = _deal(rows, shard_tokens, sample)
-    counted = _counted(dealt)
-    sums = counted.where("word is null").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
-    total, mean = sums["n"] or 0, (sums["words"] or 0) / max(1, sums["n"] or 0)
-    # A word of one document leads to no other.
-    df = keep(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("df")).where("df > 1"), "packing_df")
-    known = counted.select("shard", "word").where("word is not null").join(small(df), "word").select("shard", "word", "df")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, WordEncoder(vocabulary))
-        left = left.sort_by("pos").combine_chunks()
-        names = left.column("doc_id").to_pylist()
-        ids, words = [], []
-        for batch in left.to_batches():
-            for part in _parts(batch, "text"):
-                for x, w in encoder.encode(part):
-                    ids.append(np.append(x, end_id).astype("<u4"))
-                    words.append(w)
-        counts = Counts(total, mean, right.column("word").to_numpy().view(np.uint64), right.column("df").to_numpy())
-        pieces = pack_shard([len(x) for x in ids], words, window, counts=counts) if names else []
-        doc, start, length, sequence, offset = (list(x) for x in zip(*pieces, strict=True)) if pieces else ([],) * 5
+    spark = rows.sparkSession
+    ship(spark)
+    learnt = _learnt(rows, vocabulary, end_id, sample)
+    tokens, width = len(learnt.number), learnt.width
+    encoded = _encoded(rows, vocabulary, spark.sparkContext.broadcast(learnt))
+    total, held, df = _counts(encoded, tokens, width)
+    counts = spark.sparkContext.broadcast(Counts(total, held / max(1, total), np.arange(tokens), df))
+
+    def packed(shard: int, names: list[int | None], terms: list[np.ndarray]) -> pa.RecordBatch:
+        ids = [np.append(x, end_id).astype("<u4") for x in terms]
+        pieces = pack_shard([len(x) for x in ids], terms, window, counts=counts.value)
+        doc, start, length, sequence, offset = (list(x) for x in zip(*pieces, strict=True))
         crc = [zlib.crc32(ids[d][s : s + n].tobytes()) for d, s, n in zip(doc, start, length, strict=True)]
-        first = left.column("shard")[0].as_py() << 20 if names else 0
-        columns = [[names[d] for d in doc], start, length, crc, [len(ids[d]) for d in doc], [first + x for x in sequence], offset]
-        return pa.table([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        columns = [[names[d] for d in doc], start, length, crc, [len(ids[d]) for d in doc], [(shard << 20) + x for x in sequence], offset]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    packed = dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, SCHEMA)
+    def run(batches):
+        shard, names, terms, n = TaskContext.get().partitionId() << 20, [], [], 0
+        for batch in batches:
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names.append(name)
+                terms.append(np.frombuffer(x, width))
+                n += len(terms[-1]) + 1
+                if n >= shard_tokens:
+                    yield packed(shard, names, terms)
+                    shard, names, terms, n = shard + 1, [], [], 0
+        if names:
+            yield packed(shard, names, terms)
+
+    order = ["leaf", "along", "doc_id", "h", "row"]
+    # Partitions of several shards, as each ends with a short one.
+    dealt = encoded.repartitionByRange(1 + (held + total) // max(1, min(8_000_000, 16 * shard_tokens)), *order).sortWithinPartitions(*order)
     # Written once: a task that runs again can't mix two packings in what is read.
-    return keep(packed, "packed")
+    return keep(in_arrow(dealt.select("doc_id", "ids"), run, SCHEMA), "packed")
