@@ -33,10 +33,11 @@ from __future__ import annotations
 import os
 import pickle
 import zlib
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -50,16 +51,17 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose ids a Python worker remembers at most.
 REMEMBERED = 600_000
 #: White space for Python but not for the vocabulary's split rule; such texts are encoded whole.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_WIDE = regex.compile("[^\x00-\xff]")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def words_of(text: str | None) -> list[str]:
+def plain(text: str | None) -> str:
+    """The text, in lower case if all its characters are Latin-1: as the vocabulary
+    does, and these characters have no other form."""
     text = text or ""
-    if text.isascii() or max(text, default="") <= "\xff":
-        text = text.lower()  # as the vocabulary does; these characters have no other form
-    return text.split()
+    return text if _WIDE.search(text) else text.lower()
 
 
 class WordEncoder:
@@ -81,29 +83,30 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.seen: dict[str, int] = {"": 0}
+        self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
     def learn(self, words: list[str]) -> None:
-        joined = " ".join(words)
-        if max(set(joined)) <= "\xff" and not any(x in joined for x in self.merges.specials):
-            plain = words
-        else:
-            plain = [w for w in words if max(w) <= "\xff" and not any(x in w for x in self.merges.specials)]
-        rest = [] if plain is words else list(set(words).difference(plain))
-        words, plain = plain + rest, [w.lower() for w in plain]
+        """Encode words that are not known yet, each given once and none empty."""
+        joined = "  ".join(words)  # no piece of the split crosses a space
+        rest = []
+        if _WIDE.search(joined) or any(x in joined for x in self.merges.specials):
+            latin, rest = [], []
+            for w in words:
+                (rest if _WIDE.search(w) or any(x in w for x in self.merges.specials) else latin).append(w)
+            words, joined = latin + rest, "  ".join(latin)
+        n = len(words) - len(rest)
         flat, size = [self.flat], [self.size]
-        if plain:
-            # A text of words split by spaces; no piece of the split crosses one.
-            pieces = self.split.findall("  ".join(plain))
-            ids, n = self.merges.encode([p.encode() for p in pieces])
-            ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+        if n:
+            pieces = self.split.findall(joined.lower())  # of as many characters
+            ids, parts = self.merges.encode([p.encode() for p in pieces])
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))[:n])
             of = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), side="left")
             flat.append(ids)
-            size.append(np.bincount(of, n, len(plain)).astype(np.int64))
+            size.append(np.bincount(of, parts, n).astype(np.int64))
         for w in rest:
             flat.append(self.ids(w))
             size.append(np.array([len(flat[-1])]))
@@ -115,27 +118,22 @@ class WordEncoder:
         """Token ids of each text, whatever was encoded before."""
         if len(self.seen) > REMEMBERED:
             self.clear()
-        split = [words_of(t) for t in texts]
-        every = list(chain.from_iterable(split))
-        at = np.fromiter(map(self.seen.get, every, repeat(-1)), np.int64, len(every))
+        split = pc.utf8_split_whitespace(pa.array([plain(t) for t in texts], pa.large_string()))
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        every = pc.list_flatten(split).dictionary_encode()
+        words = every.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            new = [every[i] for i in missing]
-            self.learn(list(set(new)))
+            new = [words[i] for i in missing]
+            self.learn(new)
             at[missing] = [*map(self.seen.__getitem__, new)]
+        at = at[every.indices.to_numpy(zero_copy_only=False)]
         size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)]
-        out, w, i = [], 0, 0
-        for t, ws in zip(texts, split, strict=True):
-            n = int(size[w : w + len(ws)].sum())
-            ids = flat[i : i + n]
-            if t and any(c in t for c in _SEPARATORS):
-                ids = self.ids(t)
-            out.append(ids)
-            w, i = w + len(ws), i + n
-        return out
+        total = np.concatenate([[0], np.cumsum(size)])  # ids before each word
+        flat = self.flat[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])]
+        out = np.split(flat, total[ends])[: len(texts)]
+        return [self.ids(t) if t and _SEPARATORS.search(t) else x for t, x in zip(texts, out, strict=True)]
 
 
 class Counts:
@@ -161,8 +159,10 @@ class Shard:
     def __init__(self, words: list[np.ndarray], k1: float, b: float, counts: Counts | None = None):
         self.n = n = len(words)
         sizes = np.fromiter(map(len, words), np.int64, n)
-        names, flat = np.unique(np.concatenate(words) if n else np.zeros(0, np.uint64), return_inverse=True)
-        key, tf = np.unique(flat * n + np.repeat(np.arange(n), sizes), return_counts=True)
+        flat = np.concatenate(words).astype(np.int64) if n else np.zeros(0, np.int64)
+        held = np.bincount(flat) > 0
+        names = np.flatnonzero(held)
+        key, tf = np.unique((np.cumsum(held) - 1)[flat] * n + np.repeat(np.arange(n), sizes), return_counts=True)
         self.term, self.doc = key // max(1, n), key % max(1, n)
         own = np.bincount(self.term, minlength=len(names))  # postings of each term
         self.end = np.cumsum(own)
@@ -259,7 +259,7 @@ class Places:
         r = np.random.default_rng(5)
         df = np.zeros(tokens, np.int64)
         for b in bags:
-            df[np.unique(b)] += 1
+            df[b] += 1  # a repeated index counts once
         names = np.flatnonzero(df > 1)
         names = names[np.argsort(-df[names], kind="stable")][:most]
         self.number = np.full(tokens, len(names), np.int32)  # the last: other tokens
@@ -315,7 +315,9 @@ class Places:
         x = np.zeros((len(ids), self.vectors.shape[1]))
         some = np.flatnonzero(size)
         if len(some):
-            x[some] = np.add.reduceat(self.vectors[self.number[np.concatenate(ids)]], (np.cumsum(size) - size)[some], axis=0)
+            tokens, first = self.number[np.concatenate(ids)], (np.cumsum(size) - size)[some]
+            for axis, weight in enumerate(self.vectors.T.copy()):
+                x[some, axis] = np.add.reduceat(weight[tokens], first)
         x = self._unit(x)
         node = np.zeros(len(ids), np.int64)
         while True:
@@ -334,12 +336,12 @@ def _encoder(vocabulary: str) -> WordEncoder:
 
 
 def _parts(column: pa.Array):
-    """The texts in pieces of about 2 MB."""
+    """The texts in pieces of about 4 MB."""
     part, size = [], 0
     for t in column:
         part.append(t.as_py())
         size += len(part[-1] or "")
-        if size > 2_000_000:
+        if size > 4_000_000:
             yield part
             part, size = [], 0
     if part:
@@ -397,7 +399,7 @@ def _counts(encoded: DataFrame, tokens: int, width: str) -> tuple[int, int, np.n
             for x in batch.column(0):
                 ids = np.frombuffer(x.as_buffer(), width)
                 docs, held = docs + 1, held + len(ids)
-                df[np.unique(ids)] += 1
+                df[ids] += 1  # a repeated index counts once
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1, -2], pa.int64()), pa.array([*df[some].tolist(), docs, held], pa.int64())], ["token", "n"])
 
