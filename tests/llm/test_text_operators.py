@@ -197,3 +197,37 @@ def test_html_viterbi_is_the_best_chain():
     field.emission = lambda blocks: scores
     value = lambda ys: sum(s * y for s, y in zip(scores, ys, strict=True)) + sum(field.steps[a, b] for a, b in itertools.pairwise(ys))
     assert value(field.decode([None] * 5)) == max(value(ys) for ys in itertools.product((0, 1), repeat=5))
+
+
+def test_packing_of_odd_rows(spark):
+    """Null ids, repeated rows, empty and very long texts, clashing names: every row's ids are packed once."""
+    library = tokenizers.Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    long = " ".join(f"{'abcdefg'[k % 7]}{k} café 日本" for k in range(30_000))
+    rows = [(None, "no id"), (None, None), (None, "no id"), (1, long), (2, ""), (2, ""), (3, "same id"), (3, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("leaf", F.lit(1)).withColumn("shard", F.lit(None))
+    pieces = packing.pack(docs, queries.vocabulary("word_bpe_49k.json"), shard_tokens=1000).collect()
+    tokens = [len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    for name in {d for d, _ in rows}:
+        want = [n for (d, _), n in zip(rows, tokens, strict=True) if d == name]
+        got = [p for p in pieces if p.doc_id == name]
+        assert sum(p.length for p in got) == sum(want)
+        assert sorted(p.doc_tokens for p in got if p.start == 0) == sorted(want)
+    ids = np.array([*library.encode(long, add_special_tokens=False).ids, 2], "<u4")
+    parts = sorted((p for p in pieces if p.doc_id == 1), key=lambda p: p.start)
+    assert len(ids) > 10 * 4096 and [p.ids_crc32 for p in parts] == [zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in parts]
+
+
+def test_packing_counts_documents_of_each_token(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").unionByName(_odd(spark).select("doc_id", "text")).repartition(3)
+    path = queries.vocabulary("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    ids = [library.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()]
+    learnt = packing._learnt(docs, path, 2, 50)
+    encoded = packing._encoded(docs, path, spark.sparkContext.broadcast(learnt))
+    total, held, df = packing._counts(encoded, len(learnt.number), learnt.width)
+    assert learnt.width == "<u2" and total == len(ids) and held == sum(map(len, ids))
+    want = np.zeros(len(df), int)
+    for x in ids:
+        want[list(set(x))] += 1
+    assert np.array_equal(df, want)
+    assert sorted(r.ids for r in encoded.collect()) == sorted(np.array(x, "<u2").tobytes() for x in ids)
