@@ -32,6 +32,7 @@ from plan_alloc.functions.columns import (
     strip_ws,
 )
 from plan_alloc.operators.checks import Check
+from plan_alloc.session import spread
 from plan_alloc.sources.csv_text import MALFORMED
 from plan_alloc.spec import AllocSpec, DataError, SchemaError
 
@@ -128,8 +129,11 @@ def validate_schema(df: DataFrame, spec: AllocSpec, dataset: str) -> SchemaRepor
     return SchemaReport(dataset, int(row["row_count"]), len(actual), tuple(required), actual)
 
 
-def duplicate_keys(df: DataFrame, key_columns: tuple[str, ...]) -> DataFrame:
-    """``chk_dup_keys``: business keys carried by more than one row."""
+def duplicate_keys(df: DataFrame, key_columns: tuple[str, ...], rows: int | None = None) -> DataFrame:
+    """``chk_dup_keys``: business keys carried by more than one row. With the number
+    of ``rows`` known, they are dealt by key to as many tasks as that asks for."""
+    if rows is not None:
+        df = spread(df.select(*key_columns), rows, *key_columns)
     return (
         df.groupBy(*key_columns)
         .agg(F.count(F.lit(1)).alias("row_count"))
@@ -206,6 +210,7 @@ def _standardize(
     key_columns: tuple[str, ...],
     qty_col: str,
     carry: tuple[str, ...] = (),
+    rows: int | None = None,
 ) -> Standardized:
     check_columns(df, (*key_columns, qty_col, *carry), dataset)
     annotated = annotate(df, spec, qty_col)
@@ -243,7 +248,7 @@ def _standardize(
             f"{dataset}_duplicate_keys",
             DataError,
             f"{dataset} table repeats business keys {', '.join(key_columns)}",
-            duplicate_keys(table, key_columns),
+            duplicate_keys(table, key_columns, rows),
         ),
     ]
     return Standardized(table=table, rejects=rejects, profile=profile, checks=checks)
@@ -255,7 +260,7 @@ def standardize_macro(df: DataFrame, spec: AllocSpec, carry: tuple[str, ...] = (
     return _standardize(df, spec, "macro", tuple(spec.group_keys), spec.columns.target, carry)
 
 
-def standardize_granular(df: DataFrame, spec: AllocSpec, carry: tuple[str, ...] = ()) -> Standardized:
+def standardize_granular(df: DataFrame, spec: AllocSpec, carry: tuple[str, ...] = (), rows: int | None = None) -> Standardized:
     """``std_granular``: one baseline per group, client and sku.
-    ``carry``: extra columns passed through unchanged."""
-    return _standardize(df, spec, "granular", spec.granular_keys, spec.columns.baseline, carry)
+    ``carry``: extra columns passed through unchanged. ``rows``: their number, if known."""
+    return _standardize(df, spec, "granular", spec.granular_keys, spec.columns.baseline, carry, rows)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one task of a join, an aggregation or a sort of planning rows.
+ROWS_PER_TASK = 500_000
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "plan_alloc") -> SparkSession:
     """Local session with AQE on and the web UI off (no listening page)."""
@@ -26,6 +30,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
+def spread(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """``df``, of some ``rows`` rows, hash-partitioned by ``columns`` with at most
+    about ``ROWS_PER_TASK`` of them in a task whatever the session's number of
+    shuffle partitions (fewer rows use up to that number)."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(-(-rows // ROWS_PER_TASK), min(usual, -(-rows // (ROWS_PER_TASK // 5))), 1)
+    return df.repartition(n, *columns)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
@@ -57,6 +70,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 # Folders written by ``materialize`` and not yet removed, per session.
 _WRITTEN: dict[int, list[str]] = {}
+# Those that the end of the driver's Python removes: nobody else knows when their last reader is done.
+_KEPT: dict[str, SparkSession] = {}
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -92,6 +107,33 @@ def remove_written(spark: SparkSession, paths: list[str]) -> None:
             _WRITTEN[id(spark)].remove(path)
 
 
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` for a frame that a returned lazy frame reads: its folder is
+    removed by ``forget`` or when the driver's Python ends."""
+    spark = df.sparkSession
+    if not _KEPT:
+        atexit.register(_clean)
+    before = set(written(spark))
+    kept = materialize(df, label)
+    kept.kept_at = next(p for p in written(spark) if p not in before)
+    _KEPT[kept.kept_at] = spark
+    return kept
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``keep`` wrote for these frames; nothing may read them any more."""
+    for frame in frames:
+        remove_written(_KEPT.pop(frame.kept_at), [frame.kept_at])
+
+
+def _clean() -> None:
+    for path, spark in list(_KEPT.items()):
+        try:
+            remove_written(spark, [path])
+        except Exception:  # the session has ended: the checkpoint folder's own retention applies
+            return
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the shared checkpoint folder (registered, so
     ``remove_written`` can delete it)."""

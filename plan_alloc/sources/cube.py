@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plan_alloc.functions.columns import period_month
+from plan_alloc.session import keep, spread
 
 AMOUNT = "decimal(18,2)"
+ROW_KEYS = ("period", "market", "channel", "client", "sku")
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def _line_count(spark: SparkSession, sf_dir: str) -> int:
+    """Number of order lines (read from the files' footers)."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def _lines(spark: SparkSession, sf_dir: str, cube: Cube) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -75,7 +82,9 @@ def _lines(spark: SparkSession, sf_dir: str, cube: Cube) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"
     )
-    rows = lineitem.join(o, lineitem.l_orderkey == o.o_orderkey)
+    # As many tasks as the lines ask for, on both sides.
+    n = _line_count(spark, sf_dir)
+    rows = spread(lineitem, n, "l_orderkey").join(spread(o, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     if cube.brands is not None:
         part = table(spark, sf_dir, "part").filter(F.col("p_brand").isin(*cube.brands)).select("p_partkey")
         rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
@@ -121,17 +130,23 @@ def _memo(kind: str, build):
 
 def _by_row(spark: SparkSession, sf_dir: str, cube: Cube) -> DataFrame:
     """The one aggregation of order lines that both planning tables start from:
-    Spark makes its exchange once in a query that reads both."""
+    Spark makes its exchange once in a query that reads both. The lines hardly
+    repeat a key, so they are dealt by it as they are: summing them up before would
+    hold nearly all of a task's lines in memory."""
     return (
-        _lines(spark, sf_dir, cube)
-        .groupBy("period", "market", "channel", "client", "sku")
+        spread(_lines(spark, sf_dir, cube), _line_count(spark, sf_dir), *ROW_KEYS)
+        .groupBy(*ROW_KEYS)
         .agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"))
     )
 
 
 def _granular_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
     """period, market, channel, client, sku, baseline_qty, baseline_value."""
-    return _by_row(spark, sf_dir, cube).select(
+    return _granular_of(_by_row(spark, sf_dir, cube))
+
+
+def _granular_of(by_row: DataFrame) -> DataFrame:
+    return by_row.select(
         "period", "market", "channel", "client", "sku",
         F.col("qty").alias("baseline_qty"),
         F.col("amount").cast("double").alias("baseline_value"),
@@ -141,8 +156,12 @@ def _granular_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> Dat
 def _macro_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
     """period, market, channel, macro_target_qty, macro_target_value (the totals
     of the same month a year later)."""
+    return _macro_of(_by_row(spark, sf_dir, cube))
+
+
+def _macro_of(by_row: DataFrame) -> DataFrame:
     return (
-        _by_row(spark, sf_dir, cube)
+        by_row
         .groupBy(F.add_months("period", -12).alias("period"), "market", "channel")
         .agg(
             F.sum("qty").alias("macro_target_qty"),
@@ -165,6 +184,16 @@ def _market_totals(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> Dat
     )
 
 
+def kept_cubes(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> tuple[DataFrame, DataFrame]:
+    """``granular_cube`` and ``macro_cube`` over one table of their common rows, for
+    queries of several jobs: the lines are joined and summed up once, written to
+    the shared checkpoint folder, and every job reads that."""
+    by_row = keep(_by_row(spark, sf_dir, cube), "cube")
+    granular = _granular_of(by_row)
+    granular.kept_at = by_row.kept_at  # ``forget`` takes it
+    return granular, _macro_of(by_row)
+
+
 granular_cube = _memo("granular", _granular_cube)
 macro_cube = _memo("macro", _macro_cube)
 market_totals = _memo("market", _market_totals)
