@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from plan_alloc.functions.columns import exact_sum, exact_total, floor_double, ratio
 from plan_alloc.operators.checks import Check
+from plan_alloc.session import spread as dealt
 from plan_alloc.spec import AllocationError, AllocSpec, IntegrityError, ZeroBaselineError
 
 GROUP_TOTAL = "group_baseline_qty"
@@ -127,7 +128,9 @@ def join_groups(rows: DataFrame, per_group: DataFrame, spec: AllocSpec, layout:
     salt = F.coalesce(F.pmod(F.xxhash64(*parts), F.col(_SALTS)), F.lit(0)).cast("int")
     spread = rows.join(salts, keys, "left").withColumn(_SALT, salt).drop(_SALTS)
     copies = per_group.join(salts, keys, "left").withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(_SALTS, F.lit(1)) - 1))).drop(_SALTS)
-    return spread.join(copies, [*keys, _SALT], how).drop(_SALT)
+    # Copies: one for every salt, which are no more than rows.
+    both = [dealt(side, layout.row_count, *keys, _SALT) for side in (spread, copies)]
+    return both[0].join(both[1], [*keys, _SALT], how).drop(_SALT)
 
 
 # --------------------------------------------------------------------------
@@ -203,14 +206,21 @@ def allocate(
     """``calculate_weights`` and ``redistribute`` with one join of the rows: the
     ledger holds what both of them need of a group. ``Weights.weights`` holds the
     rows of groups with a target only."""
-    rows = join_groups(granular, group_ledger(totals, macro, spec), spec, layout)
+    ledger = group_ledger(totals, macro, spec)
     target = spec.columns.target
-    shares = rows.withColumn(WEIGHT, _weight(spec))
     columns = [F.col(f"`{c}`") for c in granular.columns]
-    allocations = shares.select(*columns, GROUP_TOTAL, WEIGHT, target, (F.col(WEIGHT) * F.col(target)).alias(RAW))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        shares = join_groups(rows, ledger, spec, layout).withColumn(WEIGHT, _weight(spec))
+        return shares.select(*columns, GROUP_TOTAL, WEIGHT, target, (F.col(WEIGHT) * F.col(target)).alias(RAW))
+
+    allocations = shared(granular)
+    # The rows move before the ledger widens them.
+    by_group = shared(dealt(granular, layout.row_count, *spec.keys)) if layout.broadcast and layout.hot_keys is None else None
     checks, zero_groups = _zero_baselines(totals, spec)
     weights = Weights(allocations.drop(target, RAW), zero_groups, totals, checks)
-    return weights, Redistribution(allocations, unmatched_groups(macro, totals, spec.keys), unmatched_groups(totals, macro, spec.keys))
+    unmatched = unmatched_groups(macro, totals, spec.keys), unmatched_groups(totals, macro, spec.keys)
+    return weights, Redistribution(allocations, *unmatched, by_group)
 
 
 # --------------------------------------------------------------------------
@@ -221,6 +231,7 @@ class Redistribution:
     allocations: DataFrame
     unmatched_macro: DataFrame
     unmatched_granular: DataFrame
+    by_group: DataFrame | None = None  # the allocations, each group's rows in one task
 
 
 def unmatched_groups(left_groups: DataFrame, right_groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -293,8 +304,11 @@ def _scaled(alloc: DataFrame, spec: AllocSpec) -> DataFrame:
     )
 
 
-def _rank_by_window(scaled: DataFrame, spec: AllocSpec) -> DataFrame:
-    """Rank and residual with one window spec: one exchange, one sort."""
+def _rank_by_window(scaled: DataFrame, spec: AllocSpec, rows: int | None) -> DataFrame:
+    """Rank and residual with one window spec: one exchange (none, if ``rows``, their
+    number, is None: they lie by group already), one sort."""
+    if rows is not None:
+        scaled = dealt(scaled, rows, *spec.keys)
     ordered = Window.partitionBy(*spec.keys).orderBy(*_tie_order(scaled, spec))
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return scaled.withColumns(
@@ -325,11 +339,12 @@ def _rank_by_bucket(scaled: DataFrame, spec: AllocSpec, layout: GroupLayout, row
     rem = F.col(_REM_S)
     # A row without a remainder comes last, as in a descending order.
     bucket = F.coalesce(F.greatest(F.lit(0), buckets - 1 - F.floor(rem * buckets).cast("int")), F.lit(buckets))
-    rows = scaled.withColumn(_BUCKET, bucket)
+    rows = dealt(scaled.withColumn(_BUCKET, bucket), layout.hot_rows, *keys, _BUCKET)
     counts = rows.groupBy(*keys, _BUCKET).agg(
         F.count(F.lit(1)).alias(_BUCKET_ROWS), F.sum(_FLOOR_S).alias("_floors"), F.max(_TGT_S).alias("_target"),
         F.min(sku).alias("_least"), F.max(sku).alias("_most"),
     )
+    counts = dealt(counts, layout.hot_rows, *keys)
     group = Window.partitionBy(*keys)
     before = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     shared = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("_least"), F.length("_most")))), lambda i: F.left("_least", i) == F.left("_most", i))
@@ -342,6 +357,8 @@ def _rank_by_bucket(scaled: DataFrame, spec: AllocSpec, layout: GroupLayout, row
     # At most so many rows, whatever the data.
     if layout.hot_groups * (buckets + 1) <= spec.broadcast_group_limit:
         spans = F.broadcast(spans)
+    else:
+        spans = dealt(spans, layout.hot_rows, *keys, _BUCKET)
     placed = rows.join(spans, [*keys, _BUCKET], "inner")
     ties = _tie_order(scaled, spec)
     number = F.row_number().over(Window.partitionBy(*keys, _BUCKET).orderBy(*ties))
@@ -370,6 +387,7 @@ def apply_rounding(
     spec: AllocSpec,
     layout: GroupLayout | None = None,
     rows_per_task: int | None = None,
+    by_group: DataFrame | None = None,
 ) -> Rounding:
     """Round down to the precision, then give the missing units one by one to
     the largest remainders (Hamilton / largest-remainder method)
@@ -378,6 +396,8 @@ def apply_rounding(
 
     ``layout``: group facts from ``measure_groups``; measured here (one small
     job) when not given. ``rows_per_task`` overrides ``spec.hot_rows_per_task``.
+    ``by_group``: the rows of ``alloc`` lying by group, if there is such a frame
+    (``Redistribution.by_group``); ranks are then given without moving them.
     """
     cols = spec.columns
     required = {cols.sku, cols.target, RAW}
@@ -388,14 +408,14 @@ def apply_rounding(
         layout = measure_groups(alloc.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias(_ROWS)), spec)
     scaled = _scaled(alloc, spec)
     if layout.hot_keys is None:
-        ranked = _rank_by_window(scaled, spec)
+        ranked = _rank_by_window(scaled, spec, layout.row_count) if by_group is None else _rank_by_window(_scaled(by_group, spec), spec, None)
     else:
         per_task = rows_per_task or spec.hot_rows_per_task
         if layout.hot_groups == layout.group_count:  # nothing is left for the window
             ranked = _rank_by_bucket(scaled, spec, layout, per_task)
         else:
             hot, cold = (_side(scaled, spec, layout, how) for how in ("left_semi", "left_anti"))
-            ranked = _rank_by_window(cold, spec).unionByName(_rank_by_bucket(hot, spec, layout, per_task))
+            ranked = _rank_by_window(cold, spec, layout.row_count - layout.hot_rows).unionByName(_rank_by_bucket(hot, spec, layout, per_task))
     scale = F.lit(float(spec.scale))
     adjust_s = F.when(F.col(RANK) <= F.col(_RESID), F.lit(1.0)).otherwise(F.lit(0.0))
     out = ranked.select(
