@@ -27,6 +27,8 @@ from plan_alloc.operators import reports as R
 from plan_alloc.operators import standardize as S
 from plan_alloc.operators import targets as TG
 from plan_alloc.operators.checks import Check, enforce, violation_counts
+from plan_alloc.session import forget
+from plan_alloc.session import keep as keep_file
 from plan_alloc.sources.csv_text import MALFORMED, drop_malformed
 from plan_alloc.sources.tables import write_bundle
 from plan_alloc.spec import AllocSpec, Basis, DataError, SpecError, TargetError
@@ -45,6 +47,7 @@ class JobResult:
     integrity: dict = field(default_factory=dict)
     ordered: bool = False
     _cached: list = field(default_factory=list)
+    _files: list = field(default_factory=list)
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -63,10 +66,12 @@ class JobResult:
         return write_bundle(self.tables(), base, fmt, run, (not self.ordered) if rebalance is None else rebalance)
 
     def release(self) -> None:
-        """Drop cached blocks; call after the last write."""
+        """Drop cached blocks and kept files; call after the last write."""
         for df in self._cached:
             df.unpersist()
         self._cached.clear()
+        forget(*self._files)
+        self._files.clear()
 
 
 def build_targets(
@@ -100,7 +105,7 @@ def malformed_lines(df: DataFrame, dataset: str) -> Check:
 
 
 def engine_inputs(
-    targets: DataFrame, reference: DataFrame, basis: Basis, spec: AllocSpec
+    targets: DataFrame, reference: DataFrame, basis: Basis, spec: AllocSpec, rows: int | None = None
 ) -> tuple[S.Standardized, S.Standardized]:
     """``plan_engine_macro``/``plan_engine_granular``: the driver metric under
     the engine's column names, standardised. The granular rows also carry the
@@ -116,7 +121,7 @@ def engine_inputs(
     )
     return (
         S.standardize_macro(macro, spec),
-        S.standardize_granular(granular, spec, carry=(R.CARRIED, "unit_price")),
+        S.standardize_granular(granular, spec, carry=(R.CARRIED, "unit_price"), rows=rows),
     )
 
 
@@ -133,6 +138,7 @@ def run_job(
     persist: bool = True,
     ordered: bool = False,
     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+    files: bool = False,
 ) -> JobResult:
     """``job_core``: the whole allocation run. Raises on the first broken rule
     (when ``check``) and on an invalid result (when exact totals are enforced).
@@ -140,16 +146,31 @@ def run_job(
     ``persist``/``storage``: the frames several actions read (reference rows,
     targets, group totals, rounded allocation) are kept at this storage level;
     ``DISK_ONLY`` suits very large inputs, ``persist=False`` re-reads instead
-    (cheaper when the input is a plain Parquet scan)."""
+    (cheaper when the input is a plain Parquet scan). ``files``: targets, group
+    totals and rounded allocation are written to the shared checkpoint folder
+    instead and read from there, for results that are read lazily long after: the
+    files go with ``release`` or when the driver's Python ends. The reference rows are
+    read again; give inputs that are cheap to read."""
     if basis not in ("units", "value"):
         raise SpecError("basis is 'units' or 'value'.")
     keys = spec.keys
     cached: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        if not files:
+            return keep(df)
+        try:
+            kept.append(keep_file(df, label))
+        except Exception:
+            forget(*kept)  # a failed run keeps no files
+            raise
+        return kept[-1]
 
     def keep(df: DataFrame) -> DataFrame:
         # Read by several actions (group measure, checks, integrity, writes):
         # materialise once instead of recomputing the lineage per action.
-        if not persist:
+        if files or not persist:
             return df
         df = df.persist(storage)
         cached.append(df)
@@ -160,26 +181,26 @@ def run_job(
     macro, granular, locks = (df if df is None else drop_malformed(df) for df in tables.values())
     reference = keep(TG.granular_reference(granular, spec.group_keys))
     targets, target_checks = build_targets(macro, reference, basis, mode, share, locks, keep=keep, keys=spec.group_keys)
-    targets = keep(targets)
-    std_macro, std_granular = engine_inputs(targets, reference, basis, spec)
+    targets = written(targets, "targets")
+    std_macro, std_granular = engine_inputs(targets, reference, basis, spec, reference.count() if files else None)
     engine_macro = std_macro.table
     aligned = std_granular.table.join(engine_macro.select(*keys), keys, "left_semi")
 
-    totals = keep(A.group_totals(aligned, spec))
+    totals = written(A.group_totals(aligned, spec), "totals")
     layout = A.measure_groups(totals, spec)
     weights, red = A.allocate(aligned, engine_macro, spec, totals, layout)
     metrics = TG.text_metrics(granular, ("baseline_qty", "baseline_value"))
     metric_checks = [TG.unreadable_values(granular, metrics, "baseline")] if metrics else []
     input_rules = [*line_checks, *target_checks, *std_macro.checks, *std_granular.checks, *metric_checks, *weights.checks]
-    rounding = A.apply_rounding(red.allocations, spec, layout=layout)
-    rounded = keep(rounding.allocations)
+    rounding = A.apply_rounding(red.allocations, spec, layout=layout, by_group=red.by_group)
+    rounded = written(rounding.allocations, "rounded")
 
     unmatched_granular = red.unmatched_granular
     if report_unmatched_granular:
         all_groups = std_granular.table.select(*keys).distinct()
         unmatched_granular = A.unmatched_groups(all_groups, engine_macro, keys)
     integrity = I.validate_integrity(rounded, red.unmatched_macro, unmatched_granular, spec)
-    dual = R.dual_outputs(rounded, targets, reference, basis, layout=layout, ordered=ordered, groups=totals, keys=spec.group_keys)
+    dual = R.dual_outputs(rounded, targets, reference, basis, layout=layout, ordered=ordered, groups=totals, keys=spec.group_keys, ranked=not files)
     result = JobResult(
         final_allocations=dual.final_allocations,
         group_summary=dual.group_summary,
@@ -190,6 +211,7 @@ def run_job(
         layout=layout,
         ordered=ordered,
         _cached=cached,
+        _files=kept,
     )
     if check:
         try:
@@ -214,21 +236,26 @@ def _raise_first(rules: list[Check], counts: dict[str, int]) -> dict[str, int]:
     return {c.name: counts[c.name] for c in rules}
 
 
-def run_stages(macro: DataFrame, granular: DataFrame, spec: AllocSpec = AllocSpec()) -> dict[str, DataFrame]:
+def run_stages(macro: DataFrame, granular: DataFrame, spec: AllocSpec = AllocSpec(), files: bool = False) -> dict[str, DataFrame]:
     """``job_stages``: the single-metric chain step by step (standardise,
     weights, redistribute, round, integrity, reports), each stage a
-    ``DataFrame -> DataFrame`` building block; checks enforced in one job."""
+    ``DataFrame -> DataFrame`` building block; checks enforced in one job.
+    ``files``: group totals and rounded allocation are written once (see ``run_job``)."""
+    kept = keep_file if files else lambda df, label: df
     std_m = S.standardize_macro(macro, spec)
-    std_g = S.standardize_granular(granular, spec)
-    weights = A.calculate_weights(std_g.table, spec)
-    red = A.redistribute(std_m.table, weights.weights, spec, granular_groups=weights.totals)
-    rounding = A.apply_rounding(red.allocations, spec)
-    integrity = I.validate_integrity(rounding.allocations, red.unmatched_macro, red.unmatched_granular, spec)
+    std_g = S.standardize_granular(granular, spec, rows=granular.count() if files else None)
+    totals = kept(A.group_totals(std_g.table, spec), "totals")
+    layout = A.measure_groups(totals, spec)
+    weights = A.calculate_weights(std_g.table, spec, totals, layout)
+    red = A.redistribute(std_m.table, weights.weights, spec, granular_groups=weights.totals, layout=layout)
+    rounding = A.apply_rounding(red.allocations, spec, layout=layout)
     enforce([*std_m.checks, *std_g.checks, *weights.checks, *rounding.checks])
+    allocations = kept(rounding.allocations, "rounded")
+    integrity = I.validate_integrity(allocations, red.unmatched_macro, red.unmatched_granular, spec)
     I.enforce_integrity(integrity, spec)
-    reports = R.build_reports(rounding.allocations, spec)
+    reports = R.build_reports(allocations, spec)
     return {
-        "allocations": rounding.allocations,
+        "allocations": allocations,
         "rounding_summary": rounding.group_summary,
         "integrity_summary": integrity.summary,
         "group_checks": integrity.group_checks,

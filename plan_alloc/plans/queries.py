@@ -18,7 +18,8 @@ from plan_alloc.functions.columns import period_month, period_reason, quantity_r
 from plan_alloc.plans import oracle as O
 from pyspark.sql import functions as F
 
-from plan_alloc.sources.cube import Cube, granular_cube, macro_cube, market_totals, text_lines
+from plan_alloc.session import keep
+from plan_alloc.sources.cube import Cube, granular_cube, kept_cubes, macro_cube, market_totals, text_lines
 from plan_alloc.spec import AllocSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +35,9 @@ SHARE_OF_MARKET = 0.12
 
 
 def _units_inputs(spark: SparkSession, sf_dir: str, cube: Cube = CORE) -> tuple[DataFrame, DataFrame]:
-    granular = granular_cube(spark, sf_dir, cube).drop("baseline_value")
-    macro = macro_cube(spark, sf_dir, cube).drop("macro_target_value")
-    return granular, macro
+    """Read by two jobs at least (the groups are measured first), so kept."""
+    granular, macro = kept_cubes(spark, sf_dir, cube)
+    return granular.drop("baseline_value"), macro.drop("macro_target_value")
 
 
 def _rounded(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube: Cube = CORE) -> A.Rounding:
@@ -49,20 +50,22 @@ def _rounded(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube: Cube = COR
 def _measured_rounding(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube: Cube = CORE) -> tuple[A.Rounding, A.GroupLayout]:
     granular, macro = _units_inputs(spark, sf_dir, cube)
     totals, layout = _measured(granular, spec)
-    alloc = A.allocate(granular, macro, spec, totals, layout)[1].allocations
-    return A.apply_rounding(alloc, spec, layout=layout), layout
+    red = A.allocate(granular, macro, spec, totals, layout)[1]
+    return A.apply_rounding(red.allocations, spec, layout=layout, by_group=red.by_group), layout
 
 
 # ---- core allocation ------------------------------------------------------
 def q_alloc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     granular, _ = _units_inputs(spark, sf_dir)
-    return A.calculate_weights(granular, AllocSpec()).weights
+    return A.calculate_weights(granular, AllocSpec(), *_measured(granular, AllocSpec())).weights
 
 
 def q_alloc_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = AllocSpec()
     granular, macro = _units_inputs(spark, sf_dir)
-    return A.redistribute(macro, A.calculate_weights(granular, spec).weights, spec).allocations
+    totals, layout = _measured(granular, spec)
+    weights = A.calculate_weights(granular, spec, totals, layout).weights
+    return A.redistribute(macro, weights, spec, granular_groups=totals, layout=layout).allocations
 
 
 def q_rnd_apportion_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +143,7 @@ def q_alloc_unmatched_granular(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _net_integrity(spark: SparkSession, sf_dir: str) -> I.Integrity:
     spec = AllocSpec(zero_baseline="equal_split", allow_negative=True)
     red, layout = _nation_redistribution(spark, sf_dir, NET, spec)
-    rounded = A.apply_rounding(red.allocations, spec, layout=layout).allocations
+    rounded = A.apply_rounding(red.allocations, spec, layout=layout, by_group=red.by_group).allocations
     return I.validate_integrity(rounded, red.unmatched_macro, red.unmatched_granular, spec)
 
 
@@ -301,13 +304,13 @@ def q_plan_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dual(spark: SparkSession, sf_dir: str, basis: str) -> R.DualOutputs:
     """As the job does it: the other metric and the price travel with the rows."""
     spec = AllocSpec()
-    reference = TG.granular_reference(granular_cube(spark, sf_dir))
-    targets = TG.direct_targets(macro_cube(spark, sf_dir))
+    rows, sums = kept_cubes(spark, sf_dir)
+    reference, targets = TG.granular_reference(rows), TG.direct_targets(sums)
     macro, granular = (x.table for x in J.engine_inputs(targets, reference, basis, spec))
     aligned = TG.align(macro, granular)
     totals, layout = _measured(aligned, spec)
-    alloc = A.allocate(aligned, macro, spec, totals, layout)[1].allocations
-    rounded = A.apply_rounding(alloc, spec, layout=layout).allocations
+    red = A.allocate(aligned, macro, spec, totals, layout)[1]
+    rounded = A.apply_rounding(red.allocations, spec, layout=layout, by_group=red.by_group).allocations
     return R.dual_outputs(rounded, targets, None, basis, layout=layout, groups=totals)
 
 
@@ -315,12 +318,13 @@ def q_dual_reconstruct_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engine rows without price and second metric (of another engine): both are
     joined back from the reference rows on the full row key."""
     spec = AllocSpec()
-    reference = TG.granular_reference(granular_cube(spark, sf_dir))
-    targets = TG.direct_targets(macro_cube(spark, sf_dir))
+    rows, sums = kept_cubes(spark, sf_dir)
+    reference, targets = TG.granular_reference(rows), TG.direct_targets(sums)
     macro, granular = (x.table for x in J.engine_inputs(targets, reference, "value", spec))
     plain = TG.align(macro, granular).drop(R.CARRIED, "unit_price")
     totals, layout = _measured(plain, spec)
-    rounded = A.apply_rounding(A.allocate(plain, macro, spec, totals, layout)[1].allocations, spec, layout=layout).allocations
+    red = A.allocate(plain, macro, spec, totals, layout)[1]
+    rounded = A.apply_rounding(red.allocations, spec, layout=layout, by_group=red.by_group).allocations
     return R.dual_outputs(rounded, targets, reference, "value", layout=layout, groups=totals).final_allocations
 
 
@@ -344,14 +348,12 @@ def q_dual_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _job_direct(spark: SparkSession, sf_dir: str) -> J.JobResult:
     """Direct unit targets end to end. Integrity is reported in the summary
     rather than raised: at some scales a target month has no baseline rows.
-    Nothing is cached: whoever reads the frame could not release it."""
-    return J.run_job(
-        macro_cube(spark, sf_dir),
-        granular_cube(spark, sf_dir),
-        spec=AllocSpec(enforce_exact_totals=False),
-        basis="units",
-        persist=False,
-    )
+    Nothing is cached: whoever reads the frame could not release it. What
+    several jobs read is written to files."""
+    granular, macro = kept_cubes(spark, sf_dir)
+    result = J.run_job(macro, granular, spec=AllocSpec(enforce_exact_totals=False), basis="units", files=True)
+    result._files.append(granular)  # ``release`` ends the cube too
+    return result
 
 
 def q_job_direct_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +363,7 @@ def q_job_direct_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_job_stages_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The single-metric chain stage by stage, its checks enforced in one job."""
     granular, macro = _units_inputs(spark, sf_dir)
-    return J.run_stages(macro, granular, AllocSpec(enforce_exact_totals=False))["allocations"]
+    return J.run_stages(macro, granular, AllocSpec(enforce_exact_totals=False), files=True)["allocations"]
 
 
 def q_snk_bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,8 +423,9 @@ def _by_market(df: DataFrame, rows: bool) -> DataFrame:
 def q_job_market_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job over other group keys: targets of (period, market), no channels."""
     spec = AllocSpec(group_keys=("period", "market"), enforce_exact_totals=False)
-    macro, granular = _by_market(macro_cube(spark, sf_dir), False), _by_market(granular_cube(spark, sf_dir), True)
-    return J.run_job(macro, granular, spec=spec, basis="units", persist=False).final_allocations
+    rows, sums = kept_cubes(spark, sf_dir)
+    macro, granular = (keep(_by_market(df, of_rows), "by_market") for df, of_rows in ((sums, False), (rows, True)))
+    return J.run_job(macro, granular, spec=spec, basis="units", files=True).final_allocations
 
 
 def q_plan_share_targets_market(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,17 +455,17 @@ def q_job_integrity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_job_share_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    granular = granular_cube(spark, sf_dir, SHARE)
+    granular, _ = kept_cubes(spark, sf_dir, SHARE)
     locks = TG.lock_template(granular, "value", list(LOCKED_MONTHS))
     result = J.run_job(
-        market_totals(spark, sf_dir, SHARE),
+        keep(market_totals(spark, sf_dir, SHARE), "market_totals"),
         granular,
         spec=AllocSpec(enforce_exact_totals=False),
         basis="value",
         mode="share",
         share=SHARE_OF_MARKET,
         locks=locks,
-        persist=False,
+        files=True,
     )
     return result.final_allocations
 
