@@ -34,9 +34,9 @@ LOCKED_MONTHS = ("1997-01-01", "1997-02-01")
 SHARE_OF_MARKET = 0.12
 
 
-def _units_inputs(spark: SparkSession, sf_dir: str, cube: Cube = CORE) -> tuple[DataFrame, DataFrame]:
-    """Read by two jobs at least (the groups are measured first), so kept."""
-    granular, macro = kept_cubes(spark, sf_dir, cube)
+def _units_inputs(spark: SparkSession, sf_dir: str, cube: Cube = CORE, kept: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``kept``: for queries of several jobs, see ``kept_cubes``."""
+    granular, macro = kept_cubes(spark, sf_dir, cube) if kept else (granular_cube(spark, sf_dir, cube), macro_cube(spark, sf_dir, cube))
     return granular.drop("baseline_value"), macro.drop("macro_target_value")
 
 
@@ -56,13 +56,13 @@ def _measured_rounding(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube:
 
 # ---- core allocation ------------------------------------------------------
 def q_alloc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    granular, _ = _units_inputs(spark, sf_dir)
+    granular, _ = _units_inputs(spark, sf_dir, kept=True)
     return A.calculate_weights(granular, AllocSpec(), *_measured(granular, AllocSpec())).weights
 
 
 def q_alloc_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = AllocSpec()
-    granular, macro = _units_inputs(spark, sf_dir)
+    granular, macro = _units_inputs(spark, sf_dir, kept=True)
     totals, layout = _measured(granular, spec)
     weights = A.calculate_weights(granular, spec, totals, layout).weights
     return A.redistribute(macro, weights, spec, granular_groups=totals, layout=layout).allocations
@@ -362,7 +362,7 @@ def q_job_direct_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_job_stages_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The single-metric chain stage by stage, its checks enforced in one job."""
-    granular, macro = _units_inputs(spark, sf_dir)
+    granular, macro = _units_inputs(spark, sf_dir, kept=True)
     return J.run_stages(macro, granular, AllocSpec(enforce_exact_totals=False), files=True)["allocations"]
 
 

@@ -33,9 +33,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def spread(df: DataFrame, rows: int, *columns: str) -> DataFrame:
     """``df``, of some ``rows`` rows, hash-partitioned by ``columns`` with at most
     about ``ROWS_PER_TASK`` of them in a task whatever the session's number of
-    shuffle partitions (fewer rows use up to that number)."""
+    shuffle partitions (fewer rows use up to that number). Rows that one task can
+    take are left for Spark to deal as it needs them."""
+    if rows <= ROWS_PER_TASK:
+        return df
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(-(-rows // ROWS_PER_TASK), min(usual, -(-rows // (ROWS_PER_TASK // 5))), 1)
+    n = max(-(-rows // ROWS_PER_TASK), min(usual, -(-rows // (ROWS_PER_TASK // 5))))
     return df.repartition(n, *columns)
 
 
