@@ -10,18 +10,16 @@ for themselves (composed, accents not folded); a subsequence is told by a hash
 of its code points. So the features are finite, the trained machine folds into
 one weight per hash and a text is scored without meeting the landmarks again.
 
-Training, on a bounded sample of labelled rows: words are the examples, not
-sentences. Clean ones are the commonest words of the clean texts and a choice of
-the rest (``negatives`` at first, then those that the machine takes for toxic as
-well); of a toxic text it is only known that something in it is toxic, so the
-strongest word of each is chosen by the current machine, and the machine trained
-again (multiple-instance learning). A text's score is that of its strongest
+Training, on all labelled rows: words are the examples, not sentences. Clean ones
+are all words of the clean texts; of a toxic text it is only known that something
+in it is toxic, so the strongest word of each is chosen by the current machine,
+and the machine trained again (multiple-instance learning). A text's score is that of its strongest
 word, calibrated by a logistic curve. So toxicity that lies only in a phrase of
 words which also stand in clean texts is not found.
 
 Null and empty texts have no words and get the score of "no evidence". Repeated
 rows are scored alike; null ids are kept, not held out and never trained on.
-With no labelled row of either class in the sample every score is 0.
+With no labelled row of either class every score is 0.
 """
 
 from __future__ import annotations
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from plan_alloc.llm.common import in_arrow
+from plan_alloc.llm.common import forget, in_arrow, keep, small
 
 
 DECAY = 0.6
@@ -46,6 +44,8 @@ REMEMBERED = 600_000  # words whose margin a Python worker remembers at most
 _PATTERNS = [(0, *p) for n, width in ((2, 4), (3, 5)) for p in itertools.combinations(range(1, width + 1), n)]
 _BITS = 22  # of a subsequence's hash; the landmarks' subsequences fill about a hundredth of that at most
 _SIZE = 1 << _BITS
+STEPS = 1 << 12  # a coordinate or margin of 1 in training
+MOST = 50  # times that a chosen word counts at most
 #: Characters read as letters inside a word.
 _LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _SPACED = re.compile(r"(?<!\S)(?:\w[ ]){2,}\w(?!\S)")
@@ -167,109 +167,146 @@ class Scorer:
         return np.clip([max(map(get, ws), default=-2.0) for ws in split], -2.0, 2.0)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by Newton steps on the active rows."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    keep = np.eye(x.shape[1]) * ridge * weight.sum()
+class Landmarks:
+    """Nystroem map: a word's kernel with each landmark, turned so that its products are the kernel's."""
+
+    def __init__(self, marks: list[str]):
+        word, feature, value = (np.concatenate(x) for x in zip(*features(marks), strict=True))
+        order = np.argsort(feature, kind="stable")
+        self.word, self.feature, self.value = word[order], feature[order], value[order]
+        self.names, self.begin, self.times = np.unique(self.feature, return_index=True, return_counts=True)
+        self.held = np.zeros(_SIZE, bool)
+        self.held[self.names] = True
+        self.root = np.eye(len(marks))
+        value, vector = np.linalg.eigh(self.kernel(marks) + 1e-6 * np.eye(len(marks)))
+        self.root = vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Of each word with each landmark."""
+        size = len(self.root)
+        out = np.zeros(len(words) * size)
+        for word, feature, value in features(words):
+            hit = np.flatnonzero(self.held[feature])
+            if len(hit):
+                at = np.searchsorted(self.names, feature[hit])
+                times = self.times[at]
+                ends = np.cumsum(times)
+                mark = np.arange(ends[-1]) + np.repeat(self.begin[at] - ends + times, times)
+                out += np.bincount(np.repeat(word[hit] * size, times) + self.word[mark], np.repeat(value[hit], times) * self.value[mark], len(out))
+        return out.reshape(len(words), size)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Coordinates in steps of 1 / ``STEPS`` (and the offset's 1), so that sums of their products
+        are exact whatever the order of the words."""
+        out = np.full((len(words), len(self.root) + 1), STEPS, np.int16)
+        for first in range(0, len(words), 1000):  # bounds the arrays of all subsequences
+            x = self.kernel(words[first : first + 1000]) @ self.root
+            out[first : first + 1000, :-1] = np.rint(np.clip(x, -2, 2) * STEPS)
+        return out
+
+    def machine(self, w: np.ndarray) -> Machine:
+        weights = np.zeros(_SIZE)
+        np.add.at(weights, self.feature, (self.root @ w[:-1])[self.word] * self.value)
+        return Machine(weights.astype(np.float32), float(w[-1]))
+
+
+def _active(x: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over the words within the margin, of clean words (``n`` is 0) and of chosen ones,
+    ``n`` times each: products of the coordinates, then the coordinates. Whole numbers."""
+    x = x.astype(float)
+    on = np.where(n > 0, 1, -1) * (x @ w) < STEPS
+    out = []
+    for part, times in ((on & (n == 0), np.ones(len(n))), (on & (n > 0), n)):
+        out += [((x[part] * times[part, None]).T @ x[part]).ravel(), times[part] @ x[part]]
+    return np.concatenate(out).astype(np.int64)
+
+
+def _svm(active, size: int, clean: int, chosen: int, ridge: float = 1e-3) -> np.ndarray:
+    """Squared-hinge linear SVM by Newton steps; ``active`` gives the sums of ``_active`` over all
+    words. Both classes weigh the same: that of ``clean`` words and that of ``chosen`` ones."""
+    w = np.zeros(size)
+    clean = max(1, clean)
+    keep = np.eye(size) * ridge * 2 * clean
     keep[-1, -1] = 1e-9
     for _ in range(30):
-        on = y * (x @ w) < 1
-        xa = x[on] * weight[on, None]
-        new = np.linalg.solve(keep + xa.T @ x[on], xa.T @ y[on])
+        sums = active(w).astype(float)
+        below, above = sums[: len(sums) // 2], sums[len(sums) // 2 :] * clean / max(1, chosen)
+        square = (below + above)[: size * size].reshape(size, size) / STEPS**2
+        new = np.linalg.solve(keep + square, (above - below)[size * size :] / STEPS)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
-    return w[:-1], float(w[-1])
+    return w
+
+
+def _odds(toxic, clean, n_toxic: int, n_clean: int, log):
+    """How much likelier a word is in toxic texts, more so if it is in many."""
+    return log((toxic + 0.1) / (n_toxic + 0.2)) - log((clean + 0.1) / (n_clean + 0.2)) + 0.5 * log(toxic)
 
 
-def train(rows: list[tuple[str | None, int]], *, landmarks: int = 128, negatives: int = 6000, rounds: int = 4) -> Machine | None:
-    """Machine from (text, label) rows; None if a class is missing.
+def bag(text: str) -> list[str]:
+    """Distinct plain words of a text, read by sentences."""
+    return sorted({p for s in _SENTENCE.split(text.lower()) for w in words_of(s) if (p := plain(w))})
+
+
+def train(rows: list[tuple[str | None, int]], *, landmarks: int = 128, rounds: int = 4) -> Machine | None:
+    """Machine from (text, label) rows at hand, by the same steps as ``fit``; None if a class is missing.
 
     Landmarks: the strongest words of the toxic texts and common clean words.
     """
     # Copies of one text say the same thing once.
     rows = list(dict.fromkeys((t, y) for t, y in rows if t))
-    names: dict[str, str] = {}
-    sets = [({names.setdefault(p, p) for s in _SENTENCE.split(t.lower()) for w in words_of(s) if (p := plain(w))}, y) for t, y in rows]
-    toxic, clean = Counter(), Counter()
+    sets = [(bag(t), y) for t, y in rows]
+    toxic, clean, heads_t, heads_c = Counter(), Counter(), Counter(), Counter()
     for ws, y in sets:
         (toxic if y else clean).update(ws)
-    bags = [sorted(ws) for ws, y in sets if y and ws]
+        (heads_t if y else heads_c).update({w[:4] for w in ws})
+    bags = [ws for ws, y in sets if y and ws]
     n_clean = sum(1 for _, y in sets if not y)
     if not bags or not n_clean:
         return None
     # First choice of each toxic text's word: by its beginnings, seen in toxic texts and not in clean ones.
-    heads_t, heads_c = Counter(), Counter()
-    for ws, y in sets:
-        (heads_t if y else heads_c).update({w[:4] for w in ws} | ws)
-    odds = {h: np.log((n + 0.1) / (len(bags) + 0.2)) - np.log((heads_c[h] + 0.1) / (n_clean + 0.2)) + 0.5 * np.log(n) for h, n in heads_t.items()}
-    chosen = [max(b, key=lambda w: (max(odds[w[:4]], odds[w]), w)) for b in bags]
-    common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
-    rare = sorted((w for w in clean if len(w) > 4 or _UNSPACED.match(w)), key=lambda w: hash_(w))
-    against = list(dict.fromkeys(common[: negatives // 2] + rare))[:negatives]
-    machine = None
+    heads = {h: _odds(n, heads_c[h], len(bags), n_clean, np.log) for h, n in heads_t.items()}
+    odds = {w: max(heads[w[:4]], _odds(n, clean[w], len(bags), n_clean, np.log) if len(w) > 4 else -np.inf) for w, n in toxic.items()}
+    chosen = [max(b, key=lambda w: (odds[w], w)) for b in bags]
+    against = sorted(clean)
+    common = sorted(clean, key=lambda w: (-clean[w], w))[: landmarks // 4]
+    machine, before = None, None
     for _ in range(rounds):
         top = Counter(chosen)
-        positive = sorted(top)
-        marks = sorted(sorted(top, key=lambda w: (-top[w], w))[: landmarks * 3 // 4]) + common[: landmarks // 4]
-        marks = list(dict.fromkeys(marks))
-        lw, lf, lv = (np.concatenate(x) for x in zip(*features(marks), strict=True))
-        both = positive + against
-        xw, xf, xv = (np.concatenate(x) for x in zip(*features(both), strict=True))
-        dense = np.zeros(_SIZE, np.float32)
-        k_x, k_z = np.empty((len(both), len(marks))), np.empty((len(marks), len(marks)))
-        for j in range(len(marks)):
-            own = lw == j
-            np.add.at(dense, lf[own], lv[own])
-            k_x[:, j] = np.bincount(xw, dense[xf] * xv, len(both))
-            k_z[:, j] = np.bincount(lw, dense[lf] * lv, len(marks))
-            dense[lf[own]] = 0
-        value, vector = np.linalg.eigh(k_z + 1e-6 * np.eye(len(marks)))
-        root = vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T
-        y = np.array([1.0] * len(positive) + [-1.0] * len(against))
-        counts = np.array([min(top[w], 50) for w in positive] + [1.0] * len(against))
-        weight = np.where(y > 0, counts * len(against) / max(1.0, counts[: len(positive)].sum()), 1.0)
-        w, offset = _svm(k_x @ root, y, weight)
-        beta = root @ w
-        weights = np.zeros(_SIZE)
-        np.add.at(weights, lf, beta[lw] * lv)
-        machine = Machine(weights.astype(np.float32), offset)
-        # Clean words that the machine takes for toxic are examples in the next round.
-        missed = machine.margins(rare)
-        hard = np.argsort(-missed, kind="stable")[: negatives // 4]
-        against = list(dict.fromkeys(against + [rare[i] for i in hard]))
-        flat = [w for b in bags for w in b]
-        every = sorted(set(flat))
-        known = dict(zip(every, machine.margins(every).tolist(), strict=True))
-        margins = np.array([known[w] for w in flat])
-        # Rare words of a toxic text gain nothing by chance: clean texts hold the choice down.
-        best, i = [], 0
-        for b in bags:
-            m = margins[i : i + len(b)]
-            i += len(b)
-            best.append(max(zip(m - 0.05 * np.array([clean[w] for w in b]), b, strict=True))[1])
-        chosen = best
-    scorer = Scorer(machine)
-    score, label = scorer.strongest([t for t, _ in rows]), np.array([y for _, y in rows], float)
-    machine.slope, machine.shift = _logistic(score, label)
+        if top == before:  # the same machine again
+            break
+        before = top
+        marks = Landmarks(_marks(sorted(top, key=lambda w: (-top[w], w))[: landmarks * 3 // 4], common))
+        x = marks.of([*against, *top])
+        n = np.array([0] * len(against) + [min(k, MOST) for k in top.values()])
+        machine = marks.machine(_svm(lambda w: _active(x, n, w), x.shape[1], len(against), int(n.sum())))
+        chosen = _strongest(machine, bags, [[clean[w] for w in b] for b in bags])
+    margin = Scorer(machine).strongest([t for t, _ in rows])
+    machine.slope, machine.shift = _logistic(np.rint(margin * STEPS) / STEPS, np.array([y for _, y in rows], float), np.ones(len(rows)))
     return machine
 
 
-def hash_(word: str) -> int:
-    import zlib
+def _marks(toxic: list[str], common: list[str]) -> list[str]:
+    return list(dict.fromkeys(sorted(toxic) + common))
 
-    return zlib.crc32(word.encode())
 
+def _strongest(machine: Machine, bags: list[list[str]], clean: list[list[int]]) -> list[str]:
+    """Each bag's word of largest margin. Rare words of a toxic text gain nothing by
+    chance: clean texts hold the choice down."""
+    every = sorted({w for b in bags for w in b})
+    known = dict(zip(every, machine.margins(every).tolist(), strict=True))
+    return [max((known[w] - 0.05 * c, w) for w, c in zip(b, cs, strict=True))[1] for b, cs in zip(bags, clean, strict=True)]
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Logistic curve of the labels over the margins (Newton, lightly held back)."""
+
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Logistic curve of the labels over the margins, ``n`` texts each (Newton, lightly held back)."""
     x = np.stack([x, np.ones(len(x))], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
+        g = x.T @ (n * (p - y)) + ridge * w
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
         step = np.linalg.solve(h, g)
         w -= step
         if abs(step).max() < 1e-6:
@@ -281,16 +318,133 @@ def held_out(id_column) -> "F.Column":
     return F.coalesce(F.crc32(id_column.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 1200, clean_rows: int = 2400) -> Machine | None:
-    """Train on at most ``toxic_rows`` and ``clean_rows`` labelled rows that are
-    not held out, chosen by a hash of the id; only these reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", landmarks: int = 128, rounds: int = 4) -> Machine | None:
+    """Train on all labelled rows that are not held out.
+
+    Words are counted, chosen and summed up by Spark. The driver gets the landmarks,
+    the sums of a Newton step (their size is that of the landmarks) and the texts
+    counted by margin."""
+    spark = docs.sparkSession
     marked = labels.select(F.col(id_col).alias("id"), F.col("toxic").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
-    chosen = None
-    for y, n in ((1, toxic_rows), (0, clean_rows)):
-        part = marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.groupBy("id").agg(F.max("y").alias("y"))), "id")
-    return train([(r["text"], r["y"]) for r in rows.select("text", "y").orderBy("id", "text").limit(2 * (toxic_rows + clean_rows)).collect()])
+    marked = marked.groupBy("id").agg(F.max("y").cast("int").alias("y"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text <> ''").join(small(marked), "id")
+    # Copies of one text say the same thing once.
+    texts = keep(rows.select(F.sha2("text", 256).alias("key"), "y", "text").dropDuplicates(["key", "y"]), "toxicity_texts")
+
+    def read_words(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                words = pa.array([bag(t) for t in part.column(2).to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words], ["key", "y", "words"])
+
+    bags = keep(in_arrow(texts, read_words, "key string, y int, words array<string>"), "toxicity_bags")
+    n_toxic, n_clean = bags.agg(F.count_if((F.col("y") == 1) & (F.size("words") > 0)), F.count_if(F.col("y") == 0)).first()
+    if not n_toxic or not n_clean:
+        forget(texts, bags)
+        return None
+    counts = [F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")]
+    vocab = keep(bags.select("y", F.explode("words").alias("word")).groupBy("word").agg(*counts), "toxicity_words")
+    # First choice of each toxic text's word: by its beginnings, seen in toxic texts and not in clean ones.
+    heads = bags.select("y", F.explode(F.array_distinct(F.transform("words", lambda w: F.left(w, F.lit(4))))).alias("head")).groupBy("head").agg(*counts).where("toxic > 0")
+    by_head = heads.select("head", _odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean, F.log).alias("by_head"))
+    by_word = F.when(F.length("word") > 4, _odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean, F.log))
+    known = vocab.where("toxic > 0").join(by_head, F.left("word", F.lit(4)) == F.col("head")).select("word", "clean", F.greatest("by_head", by_word).alias("odds"))
+    held = bags.where("y = 1").select("key", F.explode("words").alias("word")).join(known, "word")
+    toxic = keep(held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("odds", "word", "clean"))).alias("of")).select(F.col("of.word").alias("words"), F.col("of.clean").alias("clean")), "toxicity_choice")
+    forget(bags)
+    chosen = toxic.select(F.element_at("words", -1).alias("word"))
+    against = vocab.where("clean > 0")
+    common = [r.word for r in against.orderBy(F.desc("clean"), "word").limit(landmarks // 4).collect()]
+    n_against = against.count()
+    machine, before = None, None
+    for turn in range(rounds):
+        top = keep(chosen.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "toxicity_top")
+        if before is not None:
+            same = top.join(before, ["word", "n"], "left_anti").isEmpty()
+            forget(before)
+            if same:  # the same machine again
+                break
+        before = top
+        first = [r.word for r in top.orderBy(F.desc("n"), "word").limit(landmarks * 3 // 4).collect()]
+        marks = Landmarks(_marks(first, common))
+        examples = _examples(against.select("word", F.lit(0).alias("n")).unionAll(top.select("word", F.least("n", F.lit(MOST)).cast("int"))), marks)
+        size = len(marks.root) + 1
+        n_chosen = top.agg(F.sum(F.least("n", F.lit(MOST)))).first()[0]
+        machine = marks.machine(_svm(lambda w: _summed(examples, w), size, n_against, n_chosen))
+        forget(examples)
+        if turn < rounds - 1:
+            chosen = _choose(toxic, spark.sparkContext.broadcast(machine))
+    forget(top, toxic, vocab)
+    shipped = spark.sparkContext.broadcast(machine)
+
+    def margins(batches):
+        scorer = Scorer(shipped.value)
+        for batch in batches:
+            for part, held in _parts(batch, 1):
+                steps = np.rint(scorer.strongest(part) * STEPS)
+                yield pa.RecordBatch.from_arrays([pa.array(steps, pa.float64()), held.column(0)], ["margin", "y"])
+
+    found = in_arrow(texts.select("y", "text"), margins, "margin double, y int").groupBy("margin", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("margin", "y").collect()
+    margin, y, n = (np.array(x, float) for x in zip(*found, strict=True))
+    forget(texts)
+    machine.slope, machine.shift = _logistic(margin / STEPS, y, n)
+    return machine
+
+
+def _examples(words: DataFrame, marks: Landmarks) -> DataFrame:
+    """x: the coordinates of each word in two bytes each, n (written)."""
+    shipped = words.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches):
+        for batch in batches:
+            x = shipped.value.of(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), batch.column(1)], ["x", "n"])
+
+    return keep(in_arrow(words, run, "x binary, n int"), "toxicity_examples")
+
+
+def _summed(examples: DataFrame, w: np.ndarray) -> np.ndarray:
+    """The sums of ``_active`` over all words, added up by Spark place by place."""
+
+    def run(batches):
+        out = 0
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int16).reshape(batch.num_rows, len(w))
+                out = out + _active(x, batch.column(1).to_numpy(), w)
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(out[some] if len(some) else [], pa.int64())], ["place", "v"])
+
+    sums = in_arrow(examples, run, "place long, v long").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(2 * len(w) * (len(w) + 1), np.int64)
+    out[sums.column("place").to_numpy()] = sums.column("v").to_numpy()
+    return out
+
+
+def _choose(toxic: DataFrame, machine) -> DataFrame:
+    """word: the strongest of each toxic text."""
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                yield pa.RecordBatch.from_arrays([pa.array(_strongest(machine.value, part.column(0).to_pylist(), part.column(1).to_pylist()), pa.string())], ["word"])
+
+    return in_arrow(toxic, run, "word string")
+
+
+def _parts(batch: pa.RecordBatch, at: int):
+    """The texts of column ``at`` in pieces of about 2 MB, and their rows."""
+    part, size, first = [], 0, 0
+    for t in batch.column(at):
+        part.append(t.as_py())
+        size += len(part[-1] or "") * (3 if part[-1] and not part[-1].isascii() else 1)
+        if size > 2_000_000:
+            yield part, batch.slice(first, len(part))
+            first, part, size = first + len(part), [], 0
+    if part:
+        yield part, batch.slice(first)
 
 
 def score(docs: DataFrame, machine: Machine | None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -307,18 +461,10 @@ def score(docs: DataFrame, machine: Machine | None, *, id_col: str = "doc_id", t
     def run(batches):
         scorer = Scorer(shipped.value)
         for batch in batches:
-            out, part, size = [], [], 0
-            for t in batch.column(at):
-                part.append(t.as_py())
-                size += len(part[-1] or "") * (3 if part[-1] and not part[-1].isascii() else 1)
-                if size > 2_000_000:
-                    out.append(scorer.strongest(part))
-                    part, size = [], 0
-            if part:
-                out.append(scorer.strongest(part))
-            margin = np.concatenate(out) if out else np.zeros(0)
-            p = 1 / (1 + np.exp(-(shipped.value.slope * margin + shipped.value.shift)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, "score"])
+            for part, held in _parts(batch, at):
+                margin = scorer.strongest(part)
+                p = 1 / (1 + np.exp(-(shipped.value.slope * margin + shipped.value.shift)))
+                yield pa.RecordBatch.from_arrays([*held.columns, pa.array(p, pa.float64())], [*batch.schema.names, "score"])
 
     scored = in_arrow(docs.select(*rest), run, StructType([*schema.fields]).add("score", DoubleType()))
     return scored.withColumns({"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")})
