@@ -51,7 +51,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose ids a Python worker remembers at most.
 REMEMBERED = 600_000
 #: White space for Python but not for the vocabulary's split rule; such texts are encoded whole.
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c", "\x1d", "\x1e", "\x1f"
 _WIDE = regex.compile("[^\x00-\xff]")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -61,7 +61,7 @@ def plain(text: str | None) -> str:
     """The text, in lower case if all its characters are Latin-1: as the vocabulary
     does, and these characters have no other form."""
     text = text or ""
-    return text if _WIDE.search(text) else text.lower()
+    return text if not text.isascii() and _WIDE.search(text) else text.lower()
 
 
 class WordEncoder:
@@ -133,7 +133,7 @@ class WordEncoder:
         total = np.concatenate([[0], np.cumsum(size)])  # ids before each word
         flat = self.flat[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])]
         out = np.split(flat, total[ends])[: len(texts)]
-        return [self.ids(t) if t and _SEPARATORS.search(t) else x for t, x in zip(texts, out, strict=True)]
+        return [self.ids(t) if t and any(c in t for c in _SEPARATORS) else x for t, x in zip(texts, out, strict=True)]
 
 
 class Counts:
