@@ -305,7 +305,8 @@ def _dual(spark: SparkSession, sf_dir: str, basis: str) -> R.DualOutputs:
     """As the job does it: the other metric and the price travel with the rows."""
     spec = AllocSpec()
     rows, sums = kept_cubes(spark, sf_dir)
-    reference, targets = TG.granular_reference(rows), TG.direct_targets(sums)
+    # Written, the targets are known to be few: aligned rows are not shuffled to meet them.
+    reference, targets = TG.granular_reference(rows), keep(TG.direct_targets(sums), "targets")
     macro, granular = (x.table for x in J.engine_inputs(targets, reference, basis, spec))
     aligned = TG.align(macro, granular)
     totals, layout = _measured(aligned, spec)
@@ -319,7 +320,8 @@ def q_dual_reconstruct_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined back from the reference rows on the full row key."""
     spec = AllocSpec()
     rows, sums = kept_cubes(spark, sf_dir)
-    reference, targets = TG.granular_reference(rows), TG.direct_targets(sums)
+    # Written, the targets are known to be few: aligned rows are not shuffled to meet them.
+    reference, targets = TG.granular_reference(rows), keep(TG.direct_targets(sums), "targets")
     macro, granular = (x.table for x in J.engine_inputs(targets, reference, "value", spec))
     plain = TG.align(macro, granular).drop(R.CARRIED, "unit_price")
     totals, layout = _measured(plain, spec)
