@@ -25,15 +25,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plan_alloc.llm.common import in_arrow, keep, map_batches, small, text_bytes
 from plan_alloc.llm.components import bucket_components
 
 SHINGLE, ROWS, BANDS = 8, 5, 14
+CROWDED = 16  # members of a bucket of different classes that still make all their pairs
+CELL_BITS = 20  # of a shingle's hash: cells of the table that tells common shingles from rare ones
 SHARED = 3  # rare shingles that lines of a crowded bucket must share to be compared
 REMEMBERED = 400_000  # characters of lines whose shingles a task keeps
+SIGNED = 200_000  # lines that a task remembers as signed
 SLOTS = ROWS * BANDS
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
@@ -67,17 +70,16 @@ def shingle_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     size = np.diff(offsets)
     # Rolling sums over SHINGLE = 8 characters by doubling; short lines are padded with zeros.
     wide = np.maximum(size, SHINGLE)
-    start = np.cumsum(wide) - wide
-    x = np.zeros(int(wide.sum()) + SHINGLE, np.uint64)
-    line = np.repeat(np.arange(n), size)
-    x[start[line] + np.arange(len(flat)) - offsets[line]] = flat.astype(np.uint64) + np.uint64(1)
+    x = flat.astype(np.uint64) + np.uint64(1)
+    short = size < SHINGLE
+    if short.any():
+        x = np.insert(x, np.repeat(offsets[1:][short], SHINGLE - size[short]), 0)
+    x = np.append(x, np.zeros(SHINGLE, np.uint64))
     for step, factor in zip((1, 2, 4), _FACTORS, strict=True):
         x[:-step] = x[:-step] * factor + x[step:]
-    h = _mix(x)
-    many = wide - SHINGLE + 1
-    of = np.repeat(np.arange(n), many)
-    at = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-    return h[at], of
+    # A line's last seven places begin no shingle.
+    of = np.repeat(np.arange(n), wide - SHINGLE + 1)
+    return _mix(x[np.arange(len(of)) + (SHINGLE - 1) * of]), of
 
 
 def bands(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -104,7 +106,26 @@ def bands(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _lines(docs: DataFrame) -> DataFrame:
     """id, at, line, h: the lines that are not blank."""
     every = docs.where("id is not null and text is not null").select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return every.where(F.col("line").rlike(r"(?U)\S")).withColumn("h", F.xxhash64("line"))
+    # Most lines begin with a visible ASCII character and need no pattern.
+    return every.where(F.ascii("line").between(33, 126) | F.col("line").rlike(r"(?U)\S")).withColumn("h", F.xxhash64("line"))
+
+
+def _shared(batches):
+    """Rows of (node, bucket), sorted by bucket and node, whose bucket has other nodes too, each once."""
+    node, bucket, told = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether it was given
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = np.concatenate([node, batch.column(0).to_numpy()])
+        bucket = np.concatenate([bucket, batch.column(1).to_numpy()])
+        new = np.append(True, (np.diff(bucket) != 0) | (np.diff(node) != 0))
+        node, bucket = node[new], bucket[new]
+        same = bucket[1:] == bucket[:-1]
+        out = np.append(False, same) | np.append(same, False)
+        out[0] &= not told
+        told = bool(out[-1]) if len(node) > 1 else told
+        yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(bucket[out])], ["node", "bucket"])
+        node, bucket = node[-1:], bucket[-1:]
 
 
 def _jaccard(batches, threshold: float):
@@ -134,8 +155,8 @@ def _jaccard(batches, threshold: float):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _sets(batch: pa.RecordBatch):
-    """node, c, size, shingle: a row per different shingle of a line (h, c, line), some lines at a time."""
+def _shingled(batch: pa.RecordBatch):
+    """Some lines (h, c, line) at a time: the lines, their different shingles line by line, and the number of the line of each."""
     lengths = np.diff(text_bytes(batch.column(2))[1])
     ends = np.flatnonzero(np.diff(np.cumsum(lengths) // 500_000, append=-1)) + 1
     for at, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
@@ -144,10 +165,28 @@ def _sets(batch: pa.RecordBatch):
         order = np.lexsort((h, of))
         h, of = h[order], of[order]
         new = np.append(True, (np.diff(of) != 0) | (h[1:] != h[:-1]))
-        h, of = h[new], of[new]
-        size = np.bincount(of, minlength=end - at)[of]
-        rows = pa.array(of)
-        yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64))], ["node", "c", "size", "shingle"])
+        yield part, h[new], of[new]
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _commonness(lines: DataFrame) -> np.ndarray:
+    """How often shingles stand in the lines (h, c, line), summed over the cells of a table of fixed size."""
+
+    def count(batches):
+        n = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for _, h, _ in _shingled(batch):
+                n += np.bincount(_cells(h), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["cell", "n"])
+
+    counted = in_arrow(lines, count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    out[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    return out
 
 
 def rare_shingle_pairs(lines: DataFrame, threshold: float) -> DataFrame:
@@ -161,16 +200,32 @@ def rare_shingle_pairs(lines: DataFrame, threshold: float) -> DataFrame:
     among the first s - ceil(2t/(1+t)*s) + k of the shorter and the first
     z - ceil(t*z) + k of the longer line. Only these are joined, and a pair counts
     with ``SHARED`` = k of them (all, where o is less). Text that very many lines
-    share stands last and is joined by none of them. A shingle that stands in one
-    component only is left out before the join.
+    share stands last and is joined by none of them. Any order that is the same for
+    all lines loses no pair, so shingles are counted by cells of a table that every
+    task can hold. A shingle that stands in one component only is left out before
+    the join.
     """
     least = lambda shingles, part: F.ceil(shingles * F.lit(part) - F.lit(1e-9))
     size, both = F.col("size"), 2 * threshold / (1 + threshold)
-    sets = keep(map_batches(lines.select("h", "c", "line"), _sets, "node long, c long, size int, shingle long"), "line_sets")
-    common = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    order = Window.partitionBy("node").orderBy("n", "shingle")
-    ranked = sets.join(common, "shingle").withColumn("at", F.row_number().over(order))
-    probe = keep(ranked.where((F.col("at") <= size - least(size, threshold) + SHARED) & (F.col("lo") != F.col("hi"))).select("shingle", "node", "c", "size", "at"), "prefixes")
+    lines = keep(lines.select("h", "c", "line"), "crowded_lines")
+    common = lines.sparkSession.sparkContext.broadcast(_commonness(lines))
+
+    def prefixes(batch):
+        for part, h, of in _shingled(batch):
+            h = h[np.lexsort((h, common.value[_cells(h)], of))]
+            many = np.bincount(of, minlength=part.num_rows)
+            at = np.arange(1, len(of) + 1) - (np.cumsum(many) - many)[of]
+            first = at <= (many - np.ceil(many * threshold - 1e-9) + SHARED)[of]
+            of = of[first]
+            rows = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[first].view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array(many[of].astype(np.int32)), pa.array(at[first].astype(np.int32))],
+                ["shingle", "node", "c", "size", "at"],
+            )
+
+    probe = keep(map_batches(lines, prefixes, "shingle long, node long, c long, size int, at int"), "prefixes")
+    between = probe.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("shingle")
+    probe = keep(probe.join(between, "shingle"), "shared_prefixes")
     short = probe.where(F.col("at") <= size - least(size, both) + SHARED)
     a = short.select("shingle", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("at").alias("pa"))
     b = probe.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"), F.col("at").alias("pb"))
@@ -188,41 +243,47 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     lines = _lines(slim)
 
     def signed(batches):
+        seen: set[int] = set()  # equal lines have equal keys
         for batch in batches:
-            size, at = 0, 0
-            lengths = np.diff(text_bytes(batch.column(1))[1])
-            for i in range(len(lengths)):
-                size += int(lengths[i])
-                if size > 2_000_000 or i + 1 == len(lengths):
-                    part = batch.slice(at, i + 1 - at)
-                    keys = bands(*points(*text_bytes(part.column(1))))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["h", "keys"])
-                    size, at = 0, i + 1
+            h = batch.column(0).to_numpy()
+            new = [i for i in np.unique(h, return_index=True)[1].tolist() if int(h[i]) not in seen]
+            if len(seen) > SIGNED:
+                seen.clear()
+            seen.update(h[new].tolist())
+            batch = batch.take(pa.array(new, pa.int64()))
+            ends = np.cumsum(np.diff(text_bytes(batch.column(1))[1]))
+            cuts = np.flatnonzero(np.diff(ends // 2_000_000, append=-1)) + 1
+            for at, end in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                part = batch.slice(at, end - at)
+                keys = bands(*points(*text_bytes(part.column(1))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], ["node", "bucket"])
 
     # One row per different line, with where it stands first.
     places = keep(lines.select("h", "id", "at"), "line_places")
     firsts = places.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    signs = in_arrow(lines.select("h", "line"), signed, "h long, keys array<long>").select("h", F.posexplode("keys").alias("band", "bucket"))
-    # Equal lines have equal keys, so a key is filed once per line and band.
-    filed = keep(signs.groupBy("h", "bucket").agg(F.lit(1).alias("x")).select(F.col("h").alias("node"), "bucket"), "bands")
-    shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = filed.join(shared, "bucket")
+    # Moved once: a bucket's rows lie side by side, and those of a single line go.
+    filed = in_arrow(lines.select("h", "line"), signed, "node long, bucket long").repartition("bucket").sortWithinPartitions("bucket", "node")
+    members = in_arrow(filed, _shared, "node long, bucket long")
+
+    texts = None
 
     def verify(pairs: DataFrame) -> DataFrame:
+        nonlocal texts
         pairs = keep(pairs, "line_pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-        texts = keep(lines.join(small(needed), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "line_texts")
+        if texts is None:  # the first pairs, of buckets' smallest lines, hold every line that is asked for
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+            texts = keep(lines.join(small(needed), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "line_texts")
         # The join on ``a`` comes last: its rows come ordered by ``a``, a bucket's common line.
         both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a")
         return in_arrow(both.select("a", "b", "ta", "tb"), lambda it: _jaccard(it, threshold), "a long, b long")
 
     def split(full: DataFrame) -> DataFrame:
-        needed = full.select(F.col("node").alias("h"), "c")
-        texts = lines.join(small(needed), "h").groupBy("h", "c").agg(F.first("line").alias("line"))
-        return rare_shingle_pairs(texts, threshold)
+        return rare_shingle_pairs(texts.join(full.select(F.col("node").alias("h"), "c"), "h"), threshold)
 
-    of = bucket_components(members, verify, split)
-    classes = firsts.join(of, firsts["h"] == of["node"], "left").select("h", "first", "n", F.coalesce("component", "h").alias("c"))
+    of = bucket_components(members, verify, split, CROWDED)
+    # A line that stands once and has no like is a class of its own.
+    classes = firsts.join(of, firsts["h"] == of["node"], "left").where("n > 1 or component is not null")
+    classes = keep(classes.select("h", "first", "n", F.coalesce("component", "h").alias("c")), "line_classes")
     best = classes.groupBy("c").agg(F.min("first").alias("best"), F.sum("n").alias("n")).where("n > 1")
     repeated = classes.join(best.select("c", "best"), "c").select("h", "best")
     gone = places.join(repeated, "h").where((F.col("id") != F.col("best.id")) | (F.col("at") != F.col("best.at")))

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SF_SMALL
@@ -132,6 +133,33 @@ def test_a_crowded_bucket_is_split_without_all_its_pairs(spark):
     assert sum(judged) < 5 * len(lines)
 
 
+def test_lines_of_crowded_buckets_go_on_by_their_prefixes_only(spark, tmp_path):
+    """pipeline, op7: every shingle of every line in a crowded bucket was a row, and met its count in a join."""
+    lines = _template_lines(np.random.default_rng(5), 120)
+    table = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "h long, c long, line string")
+    want = _jaccard_pairs(lines)
+    kept = {}
+    keep = line_dedup.keep
+    line_dedup.keep = lambda df, label: kept.setdefault(label, keep(df, label))
+    try:
+        got = {(r.b, r.a) for r in line_dedup.rare_shingle_pairs(table, 0.8).collect()}
+    finally:
+        line_dedup.keep = keep
+    assert set(want) <= got
+    assert max(df.count() for df in kept.values()) < sum(len(_shingles(x)) for x in lines) // 2
+
+
+def test_shared_buckets_are_found_in_one_pass_over_sorted_rows():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        rows = sorted(zip(r.integers(0, 8, 20).tolist(), r.integers(0, 4, 20).tolist(), strict=True))
+        cuts = [0, *sorted(r.integers(0, 21, 4).tolist()), 20]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x for _, x in rows[a:z]], pa.int64()), pa.array([b for b, _ in rows[a:z]], pa.int64())], ["node", "bucket"]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        got = [(b, x) for out in line_dedup._shared(batches) for x, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+        every = sorted(set(rows))
+        assert got == [x for x in every if sum(y[0] == x[0] for y in every) > 1]
+
+
 def test_line_dedup(spark, docs, odd):
     pool = docs.where("doc_id < 60")
     lines = [(r.doc_id, i, x) for r in pool.collect() for i, x in enumerate(r.text.split("\n")) if x.strip()]
