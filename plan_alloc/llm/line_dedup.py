@@ -11,7 +11,9 @@ line number) is kept, all others are removed.
 A bucket's lines are first compared with its smallest one. Small buckets that
 still hold different classes then make all their pairs; the lines of large ones
 are joined by their rarest shingles instead (``rare_shingle_pairs``), which loses
-no pair at the threshold.
+no pair at the threshold. Before, each is compared with a few lines of the largest
+classes that it shares such shingles with (``_gathered``): classes that this joins
+make no pairs.
 
 A pair at the threshold shares a band with a chance of over 0.99 (``BANDS``
 bands of ``ROWS`` slots). Lines are told apart by a 64-bit hash. Blank lines are
@@ -34,6 +36,8 @@ from plan_alloc.llm.components import bucket_components
 SHINGLE, ROWS, BANDS = 8, 5, 14
 CROWDED = 16  # members of a bucket of different classes that still make all their pairs
 CELL_BITS = 20  # of a shingle's hash: cells of the table that tells common shingles from rare ones
+GATHERED = 2  # rounds in which they are compared with a line of a larger class before
+ASKED = 4  # lines of larger classes that they are compared with in a round
 SHARED = 3  # rare shingles that lines of a crowded bucket must share to be compared
 REMEMBERED = 400_000  # characters of lines whose shingles a task keeps
 SIGNED = 200_000  # lines that a task remembers as signed
@@ -189,7 +193,58 @@ def _commonness(lines: DataFrame) -> np.ndarray:
     return out
 
 
-def rare_shingle_pairs(lines: DataFrame, threshold: float) -> DataFrame:
+def _least(shingles, part: float):
+    return F.ceil(shingles * F.lit(part) - F.lit(1e-9))
+
+
+def _early(threshold: float):
+    """Whether a shingle that is one of the first ``SHARED`` two lines share leaves enough after it in both."""
+    after = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
+    return after >= _least(F.col("sa") + F.col("sb"), threshold / (1 + threshold)) - SHARED
+
+
+def _largest(probe: DataFrame, turn: int) -> DataFrame:
+    """Of each shingle that stands in several components a line of the one with most lines: shingle, b, cb, sb, pb."""
+    # One number, so that Spark sums up by hashing: the component's lines, then the commonest line (after
+    # the first turn of a fourth of them, another one each turn).
+    order = F.shiftleft("lines", 31) + F.col("common")
+    if turn:
+        order += F.when(F.xxhash64("node", F.lit(turn)) % 4 == 0, 1 << 30).otherwise(0)
+    first = [F.max_by(x, order).alias(y) for x, y in (("node", "b"), ("c", "cb"), ("size", "sb"), ("at", "pb"))]
+    return probe.groupBy("shingle").agg(*first, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").drop("lo", "hi")
+
+
+def _sized(of: DataFrame) -> DataFrame:
+    """node, c, lines: how many lines the component has (written)."""
+    return keep(of.join(of.groupBy("c").agg(F.count(F.lit(1)).alias("lines")), "c"), "gathered_parts")
+
+
+def _moved(of: DataFrame, links: DataFrame) -> DataFrame:
+    """node, c: each component takes the name of the weightiest one that it is linked to, by its
+    lines and those linked to it, if that is weightier. Lines of one name are connected,
+    though not all that are connected share one."""
+    linked = links.groupBy(F.col("cb").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    names = of.select("c", "lines").distinct().join(linked, "c", "left").select("c", F.col("lines") + F.coalesce("n", F.lit(0)))
+    to = links.select("ca", "cb").distinct().join(names.toDF("ca", "wa"), "ca").join(names.toDF("cb", "wb"), "cb")
+    to = to.where(F.struct("wb", "cb") > F.struct("wa", "ca")).groupBy(F.col("ca").alias("c")).agg(F.max(F.struct("wb", "cb")).alias("to"))
+    return of.join(to, "c", "left").select("node", F.coalesce("to.cb", "c").alias("c"))
+
+
+def _gathered(lines: DataFrame, probe: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """a, ca, b, cb: links of lines with one of at most ``ASKED`` lines of other components
+    each, those that most of their rare shingles lead to (written)."""
+    a = probe.select("shingle", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("at").alias("pa"))
+    alike = F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(threshold) - F.lit(1e-9)
+    met = a.join(_largest(probe, turn), "shingle").where((F.col("ca") != F.col("cb")) & alike & _early(threshold))
+    counted = met.groupBy("a", "ca", "b", "cb").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("a", "ca").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b", "cb")), False), 1, ASKED).alias("to"))
+    pairs = keep(best.select("a", "ca", F.inline("to")).drop("n"), "gathered_pairs")
+    both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
+    links = in_arrow(both.select("a", "b", "ta", "tb"), lambda it: _jaccard(it, threshold), "a long, b long")
+    return keep(pairs.join(links, ["a", "b"], "left_semi"), "gathered")
+
+
+def rare_shingle_pairs(lines: DataFrame, threshold: float, gather: int = 0) -> DataFrame:
     """a, b: pairs of different components among which are all pairs of the lines
     (h, c: component, line) of Jaccard similarity ``threshold`` or more.
 
@@ -203,10 +258,13 @@ def rare_shingle_pairs(lines: DataFrame, threshold: float) -> DataFrame:
     share stands last and is joined by none of them. Any order that is the same for
     all lines loses no pair, so shingles are counted by cells of a table that every
     task can hold. A shingle that stands in one component only is left out before
-    the join.
+    the join, and in the join lines of a shingle's largest component aren't held
+    against each other.
+
+    ``gather``: rounds in which lines are compared with a few others before, to join
+    components. Lines that this connects make no more pairs, so these are no longer
+    all pairs at the threshold, but have the same connected components.
     """
-    least = lambda shingles, part: F.ceil(shingles * F.lit(part) - F.lit(1e-9))
-    size, both = F.col("size"), 2 * threshold / (1 + threshold)
     lines = keep(lines.select("h", "c", "line"), "crowded_lines")
     common = lines.sparkSession.sparkContext.broadcast(_commonness(lines))
 
@@ -215,25 +273,35 @@ def rare_shingle_pairs(lines: DataFrame, threshold: float) -> DataFrame:
             h = h[np.lexsort((h, common.value[_cells(h)], of))]
             many = np.bincount(of, minlength=part.num_rows)
             at = np.arange(1, len(of) + 1) - (np.cumsum(many) - many)[of]
+            share = np.bincount(of, np.log2(1 + common.value[_cells(h)]), part.num_rows) / many  # below 64
             first = at <= (many - np.ceil(many * threshold - 1e-9) + SHARED)[of]
             of = of[first]
             rows = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[first].view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array(many[of].astype(np.int32)), pa.array(at[first].astype(np.int32))],
-                ["shingle", "node", "c", "size", "at"],
+                [pa.array(h[first].view(np.int64)), part.column(0).take(rows), pa.array(many[of].astype(np.int32)), pa.array(at[first].astype(np.int32)), pa.array((share[of] * (1 << 20)).astype(np.int32))],
+                ["shingle", "node", "size", "at", "common"],
             )
 
-    probe = keep(map_batches(lines, prefixes, "shingle long, node long, c long, size int, at int"), "prefixes")
-    between = probe.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("shingle")
-    probe = keep(probe.join(between, "shingle"), "shared_prefixes")
-    short = probe.where(F.col("at") <= size - least(size, both) + SHARED)
-    a = short.select("shingle", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("at").alias("pa"))
-    b = probe.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"), F.col("at").alias("pb"))
-    shared = least(F.col("sa") + F.col("sb"), both / 2)
+    probe = keep(map_batches(lines, prefixes, "shingle long, node long, size int, at int, common int"), "prefixes")
+    of, links = _sized(lines.select(F.col("h").alias("node"), "c")), []
+    for turn in range(gather):
+        links.append(_gathered(lines, probe.join(small(of), "node"), threshold, turn))
+        of = _sized(_moved(of, links[-1]))
+    probe = probe.join(small(of), "node")
+    main = _largest(probe, gather).select("shingle", F.col("cb").alias("main"))
+    probe = keep(probe.join(main, "shingle").withColumn("main", F.col("c") == F.col("main")), "shared_prefixes")
+    # Lines of a shingle's largest component meet those of its other components only.
+    meets = F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("main")
+    short = probe.where(F.col("at") <= F.col("size") - _least(F.col("size"), 2 * threshold / (1 + threshold)) + SHARED)
+    a = short.select("shingle", meets, F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("at").alias("pa"))
+    b = probe.select("shingle", "main", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"), F.col("at").alias("pb"))
     near = (F.col("ca") != F.col("cb")) & (F.struct("sa", "a") < F.struct("sb", "b")) & (F.col("sa") >= F.col("sb") * F.lit(threshold) - F.lit(1e-9))
-    early = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= shared - SHARED
-    met = a.join(b, "shingle").where(near & early).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(shared).alias("o"))
-    return met.where(F.col("n") >= F.least(F.lit(SHARED), "o")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    shared = _least(F.col("sa") + F.col("sb"), threshold / (1 + threshold))
+    met = a.join(b, ["shingle", "main"]).where(near & _early(threshold)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(shared).alias("o"))
+    out = met.where(F.col("n") >= F.least(F.lit(SHARED), "o")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for found in links:
+        out = out.unionAll(found.select(F.least("a", "b"), F.greatest("a", "b")))
+    return out
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -278,7 +346,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
         return in_arrow(both.select("a", "b", "ta", "tb"), lambda it: _jaccard(it, threshold), "a long, b long")
 
     def split(full: DataFrame) -> DataFrame:
-        return rare_shingle_pairs(texts.join(full.select(F.col("node").alias("h"), "c"), "h"), threshold)
+        return rare_shingle_pairs(texts.join(full.select(F.col("node").alias("h"), "c"), "h"), threshold, GATHERED)
 
     of = bucket_components(members, verify, split, CROWDED)
     # A line that stands once and has no like is a class of its own.

@@ -149,6 +149,25 @@ def test_lines_of_crowded_buckets_go_on_by_their_prefixes_only(spark, tmp_path):
     assert max(df.count() for df in kept.values()) < sum(len(_shingles(x)) for x in lines) // 2
 
 
+def test_near_copies_of_one_class_make_few_pairs(spark):
+    """pipeline, op7: copies that are linked through a common line met each other line by line."""
+    r = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, 6))
+    base = [word() for _ in range(60)]
+    lines = [" ".join(base)]
+    for i in range(150):
+        words = list(base)
+        for at in r.choice(np.arange(2, 58), 3, replace=False):
+            words[at] = word()
+        lines.append(" ".join(words))
+    want = _jaccard_pairs(lines)
+    table = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "h long, c long, line string")
+    got = {(r.b, r.a) for r in line_dedup.rare_shingle_pairs(table, 0.8, line_dedup.GATHERED).collect()}
+    linked = [p for p in got if p in set(want)]
+    assert _groups(len(lines), linked) == _groups(len(lines), want)
+    assert len(got) < 10 * len(lines)
+
+
 def test_shared_buckets_are_found_in_one_pass_over_sorted_rows():
     r = np.random.default_rng(6)
     for _ in range(200):
