@@ -313,11 +313,17 @@ class Places:
         """Leaf (like ones have near numbers) and place along it of each document."""
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         x = np.zeros((len(ids), self.vectors.shape[1]))
-        some = np.flatnonzero(size)
-        if len(some):
-            tokens, first = self.number[np.concatenate(ids)], (np.cumsum(size) - size)[some]
-            for axis, weight in enumerate(self.vectors.T.copy()):
-                x[some, axis] = np.add.reduceat(weight[tokens], first)
+        weights = self.vectors.T.copy()
+        # Some documents at a time, so that their tokens stay near the processor.
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // 65_536, append=-1)) + 1
+        for at, end in zip([0, *cuts.tolist()], cuts.tolist(), strict=False):
+            some = at + np.flatnonzero(size[at:end])
+            if len(some):
+                tokens = self.number[np.concatenate(ids[at:end])].astype(np.intp)
+                first, weight = np.cumsum(size[some]) - size[some], np.empty(len(tokens), np.float32)
+                for axis in range(len(weights)):
+                    np.take(weights[axis], tokens, out=weight, mode="clip")  # unbuffered; all are in range
+                    x[some, axis] = np.add.reduceat(weight, first)
         x = self._unit(x)
         node = np.zeros(len(ids), np.int64)
         while True:
