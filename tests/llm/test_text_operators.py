@@ -249,3 +249,24 @@ def test_packing_counts_documents_of_each_token(spark):
         want[list(set(x))] += 1
     assert np.array_equal(df, want)
     assert sorted(r.ids for r in encoded.collect()) == sorted(np.array(x, "<u2").tobytes() for x in ids)
+
+
+def test_toxicity_remembers_words_between_tasks():
+    """op6: each task met all its words again; and the faster reading gives the same words."""
+    weights = np.random.default_rng(1).normal(size=toxicity._SIZE).astype(np.float32)
+    machine = toxicity.Machine(weights, -0.3)
+    scorer = toxicity._scorer(machine)
+    texts = [" Plain words, and w o r d s set apart. ", "a b c", "x a b", "", None, "\x1ctab\tand  spaces　Ärger ", "long" * 30, "日本語 text"]
+    got = scorer.strongest(texts)
+    for text, margin in zip(texts, got, strict=True):
+        best = -2.0
+        for w in toxicity.words_of(text):
+            w = toxicity.plain(w)
+            long = len(w) > toxicity.LONGEST
+            parts = [w[k : k + toxicity.LONGEST] for k in range(0, len(w) - toxicity.LONGEST // 2, toxicity.LONGEST // 2)] if long else [w] if w else []
+            best = max([best, *machine.margins(parts)]) if parts else best
+        assert margin == np.clip(best, -2, 2)
+    assert "words" in toxicity.words_of(texts[0]) and toxicity.words_of("a b c")[-1] == "abc"
+    same = toxicity.Machine(weights.copy(), -0.3, 5.0, 1.0)
+    assert toxicity._scorer(same) is scorer and len(scorer.seen) > 5
+    assert toxicity._scorer(toxicity.Machine(weights, 0.3)) is not scorer
