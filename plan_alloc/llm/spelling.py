@@ -10,6 +10,8 @@ with what else such words must share - with m letters in the shorter word, m is
 within one of either length, and their first or their last m // 2 letters are
 equal - and every pair is verified by its edit distance in the join itself, so
 only true pairs are ever written. A signature's rows are split by Spark if they are skewed.
+Every join is a shuffled one by hint: Spark takes a table for as large as its compressed
+files, without the signatures a word is repeated for, and would broadcast it.
 
 A word's form is its near word of largest count (ties: smallest in code-point
 order), if that is at least ``ratio`` times its own count; its root is the end of
@@ -78,7 +80,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     a = filed.select(F.explode(F.array(*own)).alias("key"), F.col("word").alias("a"), F.col("n").alias("n_a"))
     b = filed.select(F.explode(F.array(*own, *longer)).alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"))
     apart = F.length("b") - F.length("a")
-    met = a.join(b, "key").where(((apart == 1) | ((apart == 0) & (F.col("a") < F.col("b")))) & (F.levenshtein("a", "b", 1) == 1))
+    met = a.join(b.hint("merge"), "key").where(((apart == 1) | ((apart == 0) & (F.col("a") < F.col("b")))) & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "b", "n_a", "n_b").distinct()
 
 
@@ -95,10 +97,10 @@ def group(words: DataFrame, *, word_col: str = "word", count_col: str = "n", rat
     chains = keep(near.where("form is not null").select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
     while True:
         onward = chains.select(F.col("word").alias("root"), F.col("root").alias("end"))
-        step = chains.join(onward, "root", "left").select("word", F.coalesce("end", "root").alias("root"), F.col("end").isNotNull().alias("moved"))
+        step = chains.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("end", "root").alias("root"), F.col("end").isNotNull().alias("moved"))
         chains, old = keep(step, "roots"), chains
         forget(old)
         if not chains.where("moved").limit(1).count():
             break
-    out = words.join(near, "word", "left").join(chains.select("word", "root"), "word", "left")
+    out = words.join(near.hint("merge"), "word", "left").join(chains.select("word", "root").hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
