@@ -14,7 +14,7 @@ Plan shape (per control group = ``spec.group_keys``):
   the group keys, reused by the residual sum). Larger ("hot") groups are
   ranked bucket by bucket: remainders are cut into buckets, buckets are counted
   with map-side combine, a running sum gives the rows before each bucket, and
-  rows are numbered inside their bucket.
+  rows are numbered inside their bucket. Rows move once for it.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ ROUNDING_COLUMNS = (ROUNDED, REMAINDER, RANK, ADJUST, FINAL)
 _RAW_S, _TGT_S, _FLOOR_S, _REM_S, _RESID = "_raw_s", "_tgt_s", "_floor_s", "_rem_s", "_residual"
 _ROWS = "_group_rows"
 _SALT, _SALTS = "_salt", "_salts"
-_BUCKET, _BUCKET_ROWS, _BEFORE, _PREFIX, _HEAD = "_bucket", "_bucket_rows", "_before", "_prefix", "_head"
+_BUCKET, _BUCKET_ROWS, _BEFORE, _CELL, _HEAD = "_bucket", "_bucket_rows", "_before", "_cell", "_head"
 
 
 # --------------------------------------------------------------------------
@@ -209,18 +209,28 @@ def allocate(
     ledger = group_ledger(totals, macro, spec)
     target = spec.columns.target
     columns = [F.col(f"`{c}`") for c in granular.columns]
+    # What a row's shares follow from; the number of rows only where groups are split by it.
+    facts = [GROUP_TOTAL, target, *([_ROWS] if spec.zero_baseline == "equal_split" else [])]
+
+    def met(rows: DataFrame) -> DataFrame:
+        return join_groups(rows, ledger, spec, layout).select(*columns, *facts)
 
     def shared(rows: DataFrame) -> DataFrame:
-        shares = join_groups(rows, ledger, spec, layout).withColumn(WEIGHT, _weight(spec))
-        return shares.select(*columns, GROUP_TOTAL, WEIGHT, target, (F.col(WEIGHT) * F.col(target)).alias(RAW))
+        return share(rows, spec).select(*columns, GROUP_TOTAL, WEIGHT, target, RAW)
 
-    allocations = shared(granular)
+    lean = met(granular)
+    allocations = shared(lean)
     # The rows move before the ledger widens them.
-    by_group = shared(dealt(granular, layout.row_count, *spec.keys)) if layout.broadcast and layout.hot_keys is None else None
+    by_group = shared(met(dealt(granular, layout.row_count, *spec.keys))) if layout.broadcast and layout.hot_keys is None else None
     checks, zero_groups = _zero_baselines(totals, spec)
     weights = Weights(allocations.drop(target, RAW), zero_groups, totals, checks)
     unmatched = unmatched_groups(macro, totals, spec.keys), unmatched_groups(totals, macro, spec.keys)
-    return weights, Redistribution(allocations, *unmatched, by_group)
+    return weights, Redistribution(allocations, *unmatched, by_group, lean)
+
+
+def share(lean: DataFrame, spec: AllocSpec) -> DataFrame:
+    """Weight and raw allocation of rows that met the ledger."""
+    return lean.withColumn(WEIGHT, _weight(spec)).withColumn(RAW, F.col(WEIGHT) * F.col(spec.columns.target))
 
 
 # --------------------------------------------------------------------------
@@ -232,6 +242,7 @@ class Redistribution:
     unmatched_macro: DataFrame
     unmatched_granular: DataFrame
     by_group: DataFrame | None = None  # the allocations, each group's rows in one task
+    lean: DataFrame | None = None  # the rows and what ``share`` makes the allocations from
 
 
 def unmatched_groups(left_groups: DataFrame, right_groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -319,17 +330,20 @@ def _rank_by_window(scaled: DataFrame, spec: AllocSpec, rows: int | None) -> Dat
     )
 
 
-def _rank_by_bucket(scaled: DataFrame, spec: AllocSpec, layout: GroupLayout, rows_per_task: int) -> DataFrame:
+def _rank_by_bucket(alloc: DataFrame, spec: AllocSpec, layout: GroupLayout, rows_per_task: int, lean: DataFrame | None = None) -> DataFrame:
     """Exact ranks for hot groups without putting a group in one task.
 
     1. The remainder, in descending order, is cut into ``buckets`` buckets; rows
        are counted by (group, bucket) with map-side combine, and a running sum over
        a group's buckets (at most ``buckets`` + 1 rows) gives the rows before each.
-    2. Rows are numbered inside their bucket by one window on (group, bucket).
-    3. A bucket above ``rows_per_task`` rows is so because remainders tie. Its rows
-       go by their remainder and the head of their sku - as long as the bucket's
-       skus have in common, and four characters more - which keeps the order:
-       counted, summed and numbered like buckets, on that finer key.
+    2. A bucket above ``rows_per_task`` rows is so because remainders tie. If there is
+       one (one small job tells), buckets are counted in finer cells, by the remainder
+       and the head of the sku - as long as the skus of a crowded bucket have in
+       common, and two to four characters more - which keeps the order.
+    3. Rows move once, straight to their cell (or bucket), where they meet the number
+       of rows before it and are numbered by one window. Only the given columns (of
+       ``lean``, if the rows are its ``share``) move: what follows from them is
+       computed again where they arrive.
 
     Nothing is sampled or written, and every step can be computed again.
     """
@@ -339,47 +353,71 @@ def _rank_by_bucket(scaled: DataFrame, spec: AllocSpec, layout: GroupLayout, row
     rem = F.col(_REM_S)
     # A row without a remainder comes last, as in a descending order.
     bucket = F.coalesce(F.greatest(F.lit(0), buckets - 1 - F.floor(rem * buckets).cast("int")), F.lit(buckets))
-    rows = dealt(scaled.withColumn(_BUCKET, bucket), layout.hot_rows, *keys, _BUCKET)
-    counts = rows.groupBy(*keys, _BUCKET).agg(
-        F.count(F.lit(1)).alias(_BUCKET_ROWS), F.sum(_FLOOR_S).alias("_floors"), F.max(_TGT_S).alias("_target"),
-        F.min(sku).alias("_least"), F.max(sku).alias("_most"),
-    )
-    counts = dealt(counts, layout.hot_rows, *keys)
+    source = alloc if lean is None else lean
+
+    def computed(df: DataFrame) -> DataFrame:
+        return _scaled(df if lean is None else share(df, spec), spec)
+
+    rows = computed(source).withColumn(_BUCKET, bucket)
+    place, cell = [*keys, _BUCKET], []
+    head = _crowded_head(rows, spec, place, rows_per_task)
+    if head:
+        # A hash of the cell deals and joins; the cell itself is compared too.
+        place, cell = [*place, _CELL], [_REM_S, _HEAD]
+        rows = rows.withColumn(_HEAD, F.left(sku, F.lit(head))).withColumn(_CELL, F.hash(*cell))
+    counted = F.count(F.lit(1)).alias(_BUCKET_ROWS)
     group = Window.partitionBy(*keys)
     before = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    shared = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("_least"), F.length("_most")))), lambda i: F.left("_least", i) == F.left("_most", i))
-    spans = counts.select(
-        *keys, _BUCKET, _BUCKET_ROWS,
+    sizes = rows.groupBy(*keys, _BUCKET).agg(counted, F.sum(_FLOOR_S).alias("_floors"), F.max(_TGT_S).alias("_target"))
+    whole = dealt(sizes, layout.hot_rows, *keys)
+    spans = whole.select(
+        *keys, _BUCKET,
         F.coalesce(F.sum(_BUCKET_ROWS).over(before), F.lit(0)).alias(_BEFORE),
         (F.max("_target").over(group) - F.sum("_floors").over(group)).alias(_RESID),
-        F.when(F.col(_BUCKET_ROWS) > rows_per_task, F.coalesce(F.size(shared), F.lit(0)) + 4).alias(_PREFIX),
     )
+    if head:
+        inside = Window.partitionBy(*keys, _BUCKET).orderBy(rem.desc(), F.col(_HEAD).asc()).rowsBetween(Window.unboundedPreceding, -1)
+        cells = dealt(rows.groupBy(*keys, *cell).agg(counted).withColumn(_BUCKET, bucket), layout.hot_rows, *keys, _BUCKET)
+        cells = cells.withColumn("_cell_before", F.coalesce(F.sum(_BUCKET_ROWS).over(inside), F.lit(0))).drop(_BUCKET_ROWS)
+        spans = cells.join(spans.hint("merge"), [*keys, _BUCKET], "inner").withColumn(_CELL, F.hash(*cell)).select(
+            *place, *(F.col(c).alias(f"{c}_of") for c in cell), (F.col(_BEFORE) + F.col("_cell_before")).alias(_BEFORE), _RESID
+        )
     # At most so many rows, whatever the data.
-    if layout.hot_groups * (buckets + 1) <= spec.broadcast_group_limit:
+    if not head and layout.hot_groups * (buckets + 1) <= spec.broadcast_group_limit:
         spans = F.broadcast(spans)
     else:
-        spans = dealt(spans, layout.hot_rows, *keys, _BUCKET)
-    placed = rows.join(spans, [*keys, _BUCKET], "inner")
-    ties = _tie_order(scaled, spec)
-    number = F.row_number().over(Window.partitionBy(*keys, _BUCKET).orderBy(*ties))
-    usual = placed.filter(F.col(_PREFIX).isNull()).withColumn(RANK, (F.col(_BEFORE) + number).cast("long"))
-    crowded = placed.filter(F.col(_PREFIX).isNotNull()).withColumn(_HEAD, F.left(sku, F.col(_PREFIX)))
-    fine = [*keys, _BUCKET, _REM_S, _HEAD]
-    over = Window.partitionBy(*keys, _BUCKET).orderBy(rem.desc(), F.col(_HEAD).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    heads = crowded.groupBy(*fine).agg(F.count(F.lit(1)).alias("_head_rows")).withColumn("_head_before", F.coalesce(F.sum("_head_rows").over(over), F.lit(0)))
-    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"h.{c}")) for c in fine]
-    met = crowded.alias("c").join(heads.alias("h"), same, "inner").select("c.*", "h._head_before")
-    number = F.row_number().over(Window.partitionBy(*fine).orderBy(*ties))
-    crowded = met.withColumn(RANK, (F.col(_BEFORE) + F.col("_head_before") + number).cast("long"))
-    columns = [*scaled.columns, _RESID, RANK]
-    return usual.select(*columns).unionAll(crowded.select(*columns))
-
-
-def _side(scaled: DataFrame, spec: AllocSpec, layout: GroupLayout, how: str) -> DataFrame:
+        spans = dealt(spans, layout.hot_rows, *place).hint("merge")
+    columns = [F.col(f"`{c}`") for c in source.columns]
+    moved = computed(dealt(rows.select(*columns, *place[len(keys) :]), layout.hot_rows, *place))
+    met = moved.join(spans, place, "inner")
+    if head:
+        met = met.withColumn(_HEAD, F.left(sku, F.lit(head)))
+        for c in cell:
+            # Not as an equality, for which rows would be dealt again.
+            mine, other = F.col(c), F.col(f"{c}_of")
+            met = met.filter(((mine >= other) & (mine <= other)) | (mine.isNull() & other.isNull()))
+    number = F.row_number().over(Window.partitionBy(*place, *cell).orderBy(*_tie_order(alloc, spec)))
+    ranked = met.withColumn(RANK, (F.col(_BEFORE) + number).cast("long"))
+    return ranked.select(*[F.col(f"`{c}`") for c in alloc.columns], _RAW_S, _TGT_S, _FLOOR_S, _REM_S, _RESID, RANK)
+
+
+def _crowded_head(rows: DataFrame, spec: AllocSpec, bucket: list[str], rows_per_task: int) -> int:
+    """Length of the skus' heads that tell apart the rows of buckets above
+    ``rows_per_task`` rows; 0 if there is no such bucket."""
+    sku = spec.columns.sku
+    sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias(_BUCKET_ROWS), F.min(sku).alias("_least"), F.max(sku).alias("_most"))
+    shared = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("_least"), F.length("_most")))), lambda i: F.left("_least", i) == F.left("_most", i))
+    facts = sizes.filter(F.col(_BUCKET_ROWS) > rows_per_task).agg(F.max(_BUCKET_ROWS).alias("rows"), F.max(F.coalesce(F.size(shared), F.lit(0))).alias("shared")).first()
+    if facts["rows"] is None:
+        return 0
+    return facts["shared"] + max(2, min(4, math.ceil(math.log10(facts["rows"] / rows_per_task))))
+
+
+def _side(alloc: DataFrame, spec: AllocSpec, layout: GroupLayout, how: str) -> DataFrame:
     """Rows of hot groups, or of the others."""
     if layout.hot_groups <= max(spec.broadcast_group_limit, spec.broadcast_hot_limit):
-        return scaled.join(F.broadcast(layout.hot_keys), spec.keys, how)
-    return join_groups(scaled, layout.hot_keys, spec, layout, how)
+        return alloc.join(F.broadcast(layout.hot_keys), spec.keys, how)
+    return join_groups(alloc, layout.hot_keys, spec, layout, how)
 
 
 def apply_rounding(
@@ -388,6 +426,7 @@ def apply_rounding(
     layout: GroupLayout | None = None,
     rows_per_task: int | None = None,
     by_group: DataFrame | None = None,
+    lean: DataFrame | None = None,
 ) -> Rounding:
     """Round down to the precision, then give the missing units one by one to
     the largest remainders (Hamilton / largest-remainder method)
@@ -398,6 +437,8 @@ def apply_rounding(
     job) when not given. ``rows_per_task`` overrides ``spec.hot_rows_per_task``.
     ``by_group``: the rows of ``alloc`` lying by group, if there is such a frame
     (``Redistribution.by_group``); ranks are then given without moving them.
+    ``lean``: rows of which ``alloc`` is the ``share`` (``Redistribution.lean``), for
+    hot groups: fewer columns move.
     """
     cols = spec.columns
     required = {cols.sku, cols.target, RAW}
@@ -412,10 +453,10 @@ def apply_rounding(
     else:
         per_task = rows_per_task or spec.hot_rows_per_task
         if layout.hot_groups == layout.group_count:  # nothing is left for the window
-            ranked = _rank_by_bucket(scaled, spec, layout, per_task)
+            ranked = _rank_by_bucket(alloc, spec, layout, per_task, lean)
         else:
-            hot, cold = (_side(scaled, spec, layout, how) for how in ("left_semi", "left_anti"))
-            ranked = _rank_by_window(cold, spec, layout.row_count - layout.hot_rows).unionByName(_rank_by_bucket(hot, spec, layout, per_task))
+            hot, cold = (_side(alloc, spec, layout, how) for how in ("left_semi", "left_anti"))
+            ranked = _rank_by_window(_scaled(cold, spec), spec, layout.row_count - layout.hot_rows).unionByName(_rank_by_bucket(hot, spec, layout, per_task))
     scale = F.lit(float(spec.scale))
     adjust_s = F.when(F.col(RANK) <= F.col(_RESID), F.lit(1.0)).otherwise(F.lit(0.0))
     out = ranked.select(

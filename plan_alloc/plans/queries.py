@@ -36,22 +36,28 @@ SHARE_OF_MARKET = 0.12
 
 def _units_inputs(spark: SparkSession, sf_dir: str, cube: Cube = CORE, kept: bool = False) -> tuple[DataFrame, DataFrame]:
     """``kept``: for queries of several jobs, see ``kept_cubes``."""
-    granular, macro = kept_cubes(spark, sf_dir, cube) if kept else (granular_cube(spark, sf_dir, cube), macro_cube(spark, sf_dir, cube))
+    granular, macro = kept_cubes(spark, sf_dir, cube, values=False) if kept else (granular_cube(spark, sf_dir, cube), macro_cube(spark, sf_dir, cube))
     return granular.drop("baseline_value"), macro.drop("macro_target_value")
 
 
-def _rounded(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube: Cube = CORE) -> A.Rounding:
+def _rounded(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube: Cube = CORE, kept: bool = False) -> A.Rounding:
     """Weights → redistribution → rounding, the groups measured once on the
     granular totals (size-checked broadcasts and hot-group routing for all
     three steps, as the job does)."""
-    return _measured_rounding(spark, sf_dir, spec, cube)[0]
+    return _measured_rounding(spark, sf_dir, spec, cube, kept)[0]
 
 
-def _measured_rounding(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube: Cube = CORE) -> tuple[A.Rounding, A.GroupLayout]:
-    granular, macro = _units_inputs(spark, sf_dir, cube)
+def _measured_rounding(spark: SparkSession, sf_dir: str, spec: AllocSpec, cube: Cube = CORE, kept: bool = False) -> tuple[A.Rounding, A.GroupLayout]:
+    """``kept``: for hot groups, whose buckets are counted before rows are ranked.
+    Lines are joined once, and rows meet the ledger once."""
+    granular, macro = _units_inputs(spark, sf_dir, cube, kept)
     totals, layout = _measured(granular, spec)
     red = A.allocate(granular, macro, spec, totals, layout)[1]
-    return A.apply_rounding(red.allocations, spec, layout=layout, by_group=red.by_group), layout
+    if not kept:
+        return A.apply_rounding(red.allocations, spec, layout=layout, by_group=red.by_group), layout
+    lean = red.lean if layout.broadcast else keep(red.lean, "lean", clean=True)
+    alloc = A.share(lean, spec).select(*red.allocations.columns)
+    return A.apply_rounding(alloc, spec, layout=layout, by_group=red.by_group, lean=lean), layout
 
 
 # ---- core allocation ------------------------------------------------------
@@ -79,13 +85,13 @@ def q_rnd_apportion_decimal2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_rnd_apportion_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same result as the integer apportionment, every group forced through the
     bucketed (hot group) ranking path."""
-    return _rounded(spark, sf_dir, AllocSpec(hot_group_rows=1, hot_rows_per_task=5_000)).allocations
+    return _rounded(spark, sf_dir, AllocSpec(hot_group_rows=1, hot_rows_per_task=5_000), kept=True).allocations
 
 
 def q_rnd_apportion_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same again with nothing broadcast: the ledger meets the rows of every
     group spread over salts, and crowded buckets go by the heads of their skus."""
-    return _rounded(spark, sf_dir, AllocSpec(hot_group_rows=1, hot_rows_per_task=50, broadcast_group_limit=0)).allocations
+    return _rounded(spark, sf_dir, AllocSpec(hot_group_rows=1, hot_rows_per_task=50, broadcast_group_limit=0), kept=True).allocations
 
 
 def q_rnd_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

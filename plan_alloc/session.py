@@ -73,6 +73,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 # Folders written by ``materialize`` and not yet removed, per session.
 _WRITTEN: dict[int, list[str]] = {}
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Those that the end of the driver's Python removes: nobody else knows when their last reader is done.
 _KEPT: dict[str, SparkSession] = {}
 
@@ -110,14 +111,22 @@ def remove_written(spark: SparkSession, paths: list[str]) -> None:
             _WRITTEN[id(spark)].remove(path)
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+def keep(df: DataFrame, label: str, clean: bool = False) -> DataFrame:
     """``materialize`` for a frame that a returned lazy frame reads: its folder is
-    removed by ``forget`` or when the driver's Python ends."""
+    removed by ``forget`` or when the driver's Python ends. ``clean``: what the
+    write shuffled is deleted with its end, instead of when the driver collects garbage."""
     spark = df.sparkSession
     if not _KEPT:
         atexit.register(_clean)
     before = set(written(spark))
-    kept = materialize(df, label)
+    was = spark.conf.get(_FILE_CLEANUP, None)
+    if clean:
+        spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        kept = materialize(df, label)
+    finally:
+        if clean:
+            spark.conf.set(_FILE_CLEANUP, was) if was is not None else spark.conf.unset(_FILE_CLEANUP)
     kept.kept_at = next(p for p in written(spark) if p not in before)
     _KEPT[kept.kept_at] = spark
     return kept

@@ -146,11 +146,8 @@ def _granular_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> Dat
 
 
 def _granular_of(by_row: DataFrame) -> DataFrame:
-    return by_row.select(
-        "period", "market", "channel", "client", "sku",
-        F.col("qty").alias("baseline_qty"),
-        F.col("amount").cast("double").alias("baseline_value"),
-    )
+    values = [F.col("amount").cast("double").alias("baseline_value")] if "amount" in by_row.columns else []
+    return by_row.select("period", "market", "channel", "client", "sku", F.col("qty").alias("baseline_qty"), *values)
 
 
 def _macro_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFrame:
@@ -160,13 +157,11 @@ def _macro_cube(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> DataFr
 
 
 def _macro_of(by_row: DataFrame) -> DataFrame:
+    values = [F.sum("amount").cast("double").alias("macro_target_value")] if "amount" in by_row.columns else []
     return (
         by_row
         .groupBy(F.add_months("period", -12).alias("period"), "market", "channel")
-        .agg(
-            F.sum("qty").alias("macro_target_qty"),
-            F.sum("amount").cast("double").alias("macro_target_value"),
-        )
+        .agg(F.sum("qty").alias("macro_target_qty"), *values)
     )
 
 
@@ -184,11 +179,13 @@ def _market_totals(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> Dat
     )
 
 
-def kept_cubes(spark: SparkSession, sf_dir: str, cube: Cube = Cube()) -> tuple[DataFrame, DataFrame]:
+def kept_cubes(spark: SparkSession, sf_dir: str, cube: Cube = Cube(), values: bool = True) -> tuple[DataFrame, DataFrame]:
     """``granular_cube`` and ``macro_cube`` over one table of their common rows, for
     queries of several jobs: the lines are joined and summed up once, written to
-    the shared checkpoint folder, and every job reads that."""
-    by_row = keep(_by_row(spark, sf_dir, cube), "cube")
+    the shared checkpoint folder, and every job reads that. Without ``values`` the
+    amounts are not even summed up."""
+    by_row = _by_row(spark, sf_dir, cube)
+    by_row = keep(by_row, "cube") if values else keep(by_row.drop("amount"), "cube", clean=True)
     granular = _granular_of(by_row)
     granular.kept_at = by_row.kept_at  # ``forget`` takes it
     return granular, _macro_of(by_row)
